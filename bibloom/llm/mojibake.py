@@ -88,9 +88,10 @@ def _encoded(text: str, encoding: str) -> bytes | None:
         return None
 
 
-def _better(before: str, after: str) -> bool:
+def _better(before: str, after: str, meant: str = "gb18030") -> bool:
+    """Valid UTF-8 rarely comes about by chance, so half the gain will do for it."""
     a, b = garbling_cost(before), garbling_cost(after)
-    return a - b >= MIN_GAIN and b <= a * MAX_LEFT
+    return a - b >= (MIN_GAIN / 2 if meant == "utf-8" else MIN_GAIN) and b <= a * MAX_LEFT
 
 
 def _round_trip(piece: str) -> str | None:
@@ -107,7 +108,7 @@ def _round_trip(piece: str) -> str | None:
                 text = raw.decode(meant)
             except UnicodeDecodeError:
                 continue
-            if text != piece and _plausible(piece, text, meant) and _better(piece, text) and (best is None or garbling_cost(text) < garbling_cost(best)):
+            if text != piece and _plausible(piece, text, meant) and _better(piece, text, meant) and (best is None or garbling_cost(text) < garbling_cost(best)):
                 best = text
     return best
 
@@ -122,6 +123,8 @@ def _plausible(before: str, after: str, meant: str) -> bool:
     high = [c for c in before if ord(c) >= 0x80]
     if not han:
         return all(0xC0 <= ord(c) <= 0x24F for c in after if ord(c) >= 0x80) and any(ord(c) >= 0x80 for c in after)
+    if re.search("[A-Za-z][一-鿿]+[a-z]", after) and re.search("[A-Za-z][^\x00-\x7f]{1,4}[a-z]", before):
+        return False
     if re.fullmatch("[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?", before):
         return False
     if all(ord(c) < 0x2E80 for c in before) and len(high) < 2 * len(han) - sum(map(str.isascii, before)):
@@ -188,7 +191,7 @@ def _run(run: str, wrong: str) -> str:
             if _better(run, new.replace("�", "")):
                 return new
             continue
-        if _plausible(run, new, meant) and _better(run, new):
+        if _plausible(run, new, meant) and _better(run, new, meant):
             return new
     return run
 
