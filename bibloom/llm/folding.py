@@ -7,6 +7,19 @@ import unicodedata
 
 import numpy as np
 
+#: Traditional and variant characters that names and titles are often typed with, each before its plain form (fixed values).
+VARIANTS = {
+    pair[0]: pair[1]
+    for pair in (
+        "壇坛 論论 學学 報报 實实 踐践 機机 製制 護护 經经 濟济 評评 電电 氣气 農农 業业 營营 養养 醫医 藥药 檢检 驗验 計计 術术 會会 網网 獻献 資资 訊讯 庫库 "
+        "雜杂 誌志 進进 際际 國国 華华 漢汉 圖图 書书 館馆 東东 應应 當当 現现 復复 習习 導导 據据 門门 鐵铁 與与 發发 環环 動动 腦脑 藝艺 診诊 兒儿 內内 產产 "
+        "婦妇 觀观 統统 臨临 衛卫 編编 專专 線线 滙汇 匯汇 彙汇 數数 覽览 賢贤 態态 類类 級级 輯辑 區区 莊庄 鄉乡 嶺岭 島岛 灣湾 塢坞 它他 對对 響响 療疗 後后 "
+        "個个 們们 從从 來来 間间 關关 係系 時时 長长 預预 測测 壓压 體体 質质 軟软 訓训 練练 擇择 選选 領领 樣样 縱纵 隊队 監监 點点 頭头 顯显 顱颅 負负 變变 "
+        "種种 熱热 濃浓 場场 徑径 續续 視视 覺觉 聽听 閾阈 餵喂 鎮镇 傷伤 傳传 針针 補补 膠胶 聯联 絡络 離离 職职 齡龄 齒齿 齲龋 寫写 紙纸 課课 組组 規规 項项 "
+        "納纳 橫横 斷断 調调 異异 訪访 遠远 臟脏 腎肾 龍龙 馬马 鳥鸟 魚鱼 風风 陳陈 張张 劉刘 趙赵 孫孙 錢钱 許许 謝谢 鄒邹 蘇苏 韓韩 楊杨 鄭郑 馮冯 "
+    ).split()
+}
+
 SKIP, EXPANDS = 0, 0xFFFFFFFF
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibloom.functions import columns as C
-from bibloom.llm import copies, groups, mojibake
+from bibloom.llm import canonical, chunks, copies, groups, leaks, matching, mixture, mojibake
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -24,6 +24,15 @@ def p1_repaired(spark: SparkSession, sf: str) -> DataFrame:
     return mojibake.repaired(_table(spark, sf, "chinese_records"), "rec_id", ("title", "authors_raw"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return matching.found(_table(spark, sf, "chinese_records"), _table(spark, sf, "works"))
+
+
+def p2_matched(spark: SparkSession, sf: str) -> DataFrame:
+    """The matches with their confidence."""
+    return matching.match(_table(spark, sf, "chinese_records"), _table(spark, sf, "works"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Serial numbers of either cell share one name space, names have another."""
     serial = lambda c: F.concat(F.lit("s:"), C.valid_issn(F.col(c)))
@@ -40,5 +49,34 @@ def p4_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return copies.collapsed(_table(spark, sf, "chinese_records")).select("rec_id", "title", "pub_year", "n_copies")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical.canonical_values(_table(spark, sf, "chinese_records"), _table(spark, sf, "ref_values"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.found(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"))
+
+
+def p8_scored(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents and items that share a seed, with the alignment's score: edited copies too."""
+    return leaks.leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"))
+
+
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return mixture.mixture(_table(spark, sf, "documents"), _table(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares reached by the mixture beside the targets."""
+    return mixture.shares(p9_mixture(spark, sf), _table(spark, sf, "mix_targets"))
+
+
+def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of every document over the limit of its source."""
+    return chunks.split(_table(spark, sf, "documents"), _table(spark, sf, "size_limits"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p4_found, p4_collapsed)}
+    found = (p1_found, p2_found, p3_found, p4_found, p5_found, p8_found, p9_mixture, p10_pieces)
+    return {f.__name__: f for f in (*found, p1_repaired, p2_matched, p4_collapsed, p8_scored, p9_shares)}
