@@ -50,7 +50,7 @@ def stated_years(c: Column) -> Column:
 def one_year(c: Column, first: int = 1949, last: int = 2026) -> Column:
     """The calendar year that ``c`` states, or null where it states none, several, or one outside the range."""
     years = stated_years(c)
-    year = F.element_at(years, 1).cast("int")
+    year = F.get(years, F.lit(0)).cast("int")
     return F.when((F.size(years) == 1) & year.between(first, last), year)
 
 

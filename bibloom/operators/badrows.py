@@ -91,10 +91,8 @@ def error_parse(line: str, columns: int) -> tuple[list[str], str | None, list[st
                     put(s, k, cost + QUOTE_EDIT, (path, "dn"))
             elif s == QUOTED:
                 put(s, k, cost, (path, t))
-            elif s != AFTER:
+            elif s != AFTER:  # after a closing quote only an inserted one, see spread(), can go on
                 put(PLAIN, k, cost, (path, t))
-            else:
-                put(QUOTED, k, cost + QUOTE_EDIT, (path, t))  # the closing quote is taken back: as if doubled and kept
         best = after
     spread(best, None)
     cost, path = min((best[s, last] for s in (START, PLAIN, AFTER) if (s, last) in best), key=lambda x: x[0])
@@ -130,10 +128,7 @@ def _replay(steps: list[str]) -> tuple[list[str], list[str]]:
             fields.append("")
             state = START
         else:
-            if state == AFTER:
-                fields[-1] += '"'
-                state = QUOTED
-            elif state == START:
+            if state == START:
                 state = PLAIN
             fields[-1] += c
         at += 0 if op else len(x)
