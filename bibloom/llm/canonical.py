@@ -39,7 +39,7 @@ def readings(value: str) -> list[str]:
     if m := _TWO_FORMS.match(out[-1]):
         out += [m["zh"], m["en"]]
     for x in list(out):
-        y = x.strip(" \t　.。·;；:：,，《》\"'“”‘’【】[]*")
+        y = x.strip(" \t　.。·;；:：,，《》\"'“”‘’【】[]()*")
         for _ in range(3):
             z = y
             for w in BEFORE:

@@ -125,7 +125,8 @@ def _plausible(before: str, after: str, meant: str) -> bool:
         return all(0xC0 <= ord(c) <= 0x24F for c in after if ord(c) >= 0x80) and any(ord(c) >= 0x80 for c in after)
     if re.search("[A-Za-z][一-鿿]+[a-z]", after) and re.search("[A-Za-z][^\x00-\x7f]{1,4}[a-z]", before):
         return False
-    if re.fullmatch("[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?", before):
+    words = re.findall(r"[^\W\d_]+", before)
+    if words and all(re.fullmatch("[А-ЯЁ]?[а-яё]+|[А-ЯЁ]", w) for w in words):
         return False
     if all(ord(c) < 0x2E80 for c in before) and len(high) < 2 * len(han) - sum(map(str.isascii, before)):
         return False
