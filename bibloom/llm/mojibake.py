@@ -128,7 +128,7 @@ def _plausible(before: str, after: str, meant: str) -> bool:
     words = re.findall(r"[^\W\d_]+", before)
     if words and (re.fullmatch("[가-힣]+", "".join(words)) or re.fullmatch("[ぁ-ヿ]+", "".join(words))):
         return False
-    if words and all(re.fullmatch("[А-ЯЁ]?[а-яё]+|[А-ЯЁ]", w) for w in words):
+    if words and re.fullmatch(r"[\w\s.'-]+", before) and all(re.fullmatch("[А-ЯЁ]?[а-яё]+|[А-ЯЁ]", w) for w in words):
         return False
     if all(ord(c) < 0x2E80 for c in before) and len(high) < 2 * len(han) - sum(map(str.isascii, before)):
         return False
