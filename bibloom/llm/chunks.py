@@ -16,8 +16,10 @@ from bibloom.llm.leaks import gram_hashes
 
 #: Natural boundaries, strongest first: paragraph, line, sentence, clause, word.
 KINDS = ("paragraph", "line", "sentence", "clause", "word", "none")
-_BREAKS = re.compile(r"(?P<p>[ \t　]*\r?\n(?:[ \t　]*\r?\n)+)|(?P<l>\r?\n)|(?P<s>[。！？!?…]+[”’」』）)\"']*|\.[\"')\]]*(?=\s)|[;；](?=\s|[㐀-鿿]))|(?P<c>[,，、:：|])|(?P<w>[ \t　]+)")
-_RANK = {"p": 0, "l": 1, "s": 2, "c": 3, "w": 4}
+_BREAKS = re.compile(r"(?P<p>[ \t　]*\r?\n(?:[ \t　]*\r?\n)+)|(?P<l>\r?\n)|(?P<s>[。！？!?…]+[”’」』）)\"']*|\.[\"')\]]*(?=\s)|[;；](?=\s|[㐀-鿿]))")
+#: Weak boundaries, sought only where there is no natural one.
+_WEAK = (re.compile(r"[,，、:：|]"), re.compile(r"[ \t　]+"))
+_RANK = {"p": 0, "l": 1, "s": 2}
 #: Characters in the rolling hash's window; one position in SPACING is a landmark.
 WINDOW, SPACING = 16, 48
 #: A piece holds at least this share of its limit, but for the last and where the text forbids.
@@ -31,6 +33,24 @@ def _joins(c: str) -> bool:
     return "̀" <= c <= "ͯ" or "︀" <= c <= "️" or c in "‍゙゚" or "\U0001f3fb" <= c <= "\U0001f3ff"
 
 
+def _kind(c: str) -> int:
+    """Class of a character in the pre-tokenizer's pattern: letter, number, white space or other."""
+    return 0 if c.isalpha() else 1 if c.isdigit() else 2 if c.isspace() else 3
+
+
+def _parted(text: str, at: int) -> bool:
+    """Whether the tokenizer surely begins a new token at ``at``, in the text as well as in a piece that ends or begins there.
+
+    Only plain characters are trusted: ASCII and common ideographs with their punctuation, whose classes no version of
+    Unicode disputes. White space before the cut, and an apostrophe, which may begin a contraction, are not.
+    """
+    if at <= 0 or at >= len(text):
+        return True
+    a, b = text[at - 1], text[at]
+    plain = lambda c: c < "\x7f" or "、" <= c <= "】" or "一" <= c <= "龥" or c in "，。；：？！（）"
+    return plain(a) and plain(b) and not a.isspace() and a != "'" and (b.isspace() or _kind(a) != _kind(b))
+
+
 class Chunker:
     """Pieces of one text under a limit, by one tokenizer."""
 
@@ -41,6 +61,18 @@ class Chunker:
     def size(self, text: str) -> int:
         return len(self.encoding.encode_ordinary(text))
 
+    def span(self, text: str, upto: list[int], start: int, end: int) -> int:
+        """Tokens of ``text[start:end]`` by itself: counted afresh only up to the first and from the last sure token boundary."""
+        a = start
+        while a < end and not _parted(text, a):
+            a += 1
+        b = end
+        while b > a and not _parted(text, b):
+            b -= 1
+        if b <= a:
+            return self.size(text[start:end])
+        return (self.size(text[start:a]) if a > start else 0) + upto[b] - upto[a] + (self.size(text[b:end]) if b < end else 0)
+
     def pieces(self, text: str, most: int, overlap: int) -> list[tuple[int, int, int, int, str]] | None:
         """``(start, end, tokens, overlap characters, kind of the boundary at the end)`` of each piece; null if the text fits.
 
@@ -61,8 +93,7 @@ class Chunker:
         upto = np.searchsorted(ends, at_byte, side="right").tolist()
         marks = [(m.end(), _RANK[m.lastgroup]) for m in _BREAKS.finditer(text)]
         spots, ranks = [m[0] for m in marks], [m[1] for m in marks]
-        good = [i for i, r in enumerate(ranks) if r <= 2]
-        snapped = self._landmarks(codes, [spots[i] for i in good])
+        snapped = self._landmarks(codes, spots)
         landmarks = sorted(snapped)
         out: list[tuple[int, int, int, int, str]] = []
         start = begin = 0
@@ -73,14 +104,14 @@ class Chunker:
                 end, kind = len(text), "end"
             else:
                 end, kind = self._cut(text, upto, begin, last, room, landmarks, snapped, spots, ranks)
-            n = self.size(text[start:end])
+            n = self.span(text, upto, start, end)
             while n > most and end > begin + 1:
                 last = max(begin + 1, bisect_right(upto, upto[end] - (n - most), begin + 1) - 1) if upto[end] - upto[begin] > 1 else begin + 1
                 end, kind = self._cut(text, upto, begin, min(last, end - 1), room, landmarks, snapped, spots, ranks)
-                n = self.size(text[start:end])
+                n = self.span(text, upto, start, end)
             if n > most and begin > start:  # a single character and an overlap that leaves no room for it
                 start = begin
-                n = self.size(text[start:end])
+                n = self.span(text, upto, start, end)
             out.append((start, end, n, begin - start, kind))
             begin = end
             start = begin if begin >= len(text) else self._back(text, upto, begin, overlap, out[-1][0])
@@ -118,8 +149,11 @@ class Chunker:
             return end, KINDS[ranks[bisect_left(spots, end)]]
         a, b = bisect_left(spots, first), bisect_right(spots, last)
         if a < b:
-            i = min(range(a, b), key=lambda i: (max(ranks[i], 2), -i))
-            return spots[i], KINDS[ranks[i]]
+            return spots[b - 1], KINDS[ranks[b - 1]]
+        for kind, weak in zip(("clause", "word"), _WEAK, strict=True):
+            found = [m.end() for m in weak.finditer(text, max(begin, first - 1), last) if first <= m.end() <= last]
+            if found:
+                return found[-1], kind
         end = max(last, begin + 1)
         while end > begin + 1 and end < len(text) and _joins(text[end]):
             end -= 1

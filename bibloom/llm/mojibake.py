@@ -262,7 +262,14 @@ def _clean(text: str) -> bool:
 
 def _big5(text: str) -> bool:
     """Whether a piece has several characters outside GB2312, as text decoded as Big5 or another East Asian set has."""
-    return sum(_cost(c) >= 1.0 for c in text) >= 2
+    return len(_uncommon().intersection(text)) >= 2
+
+
+@functools.cache
+def _uncommon() -> frozenset[str]:
+    """Letters that neither GB2312 nor names have: uncommon ideographs, and letters of scripts that Chinese text seldom holds."""
+    odd = (0x590, 0x600), (0x400, 0x530), (0x3040, 0x3100), (0x3100, 0x31A0), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0xFE30, 0xFE6C)
+    return frozenset(chr(i) for a, b in odd for i in range(a, b) if _cost(chr(i)) >= 1.0)
 
 
 def repaired(df: DataFrame, row: str, fields: tuple[str, ...]) -> DataFrame:
