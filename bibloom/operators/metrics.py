@@ -60,10 +60,10 @@ def activity_span(people: DataFrame) -> DataFrame:
     left, right, span = F.col("left_censored"), F.col("right_censored"), F.col("span_years")
     complete = ~left & ~right
     a = people.groupBy("corpus_id").agg(
-        F.count("*").alias("denominator"), F.count_if(complete).alias("complete"), F.count_if(left & ~right).alias("left_only"), F.count_if(~left & right).alias("right_only"), F.count_if(left & right).alias("both"),
+        F.count("*").alias("denominator"), F.count_if(complete).alias("complete"), F.count_if(left & ~right).alias("left_only"), F.count_if(~left & right).alias("right_only"), F.count_if(left & right).alias("both_ends"),
         *[v.alias(k) for k, v in quantiles(span, complete).items()],
     )
-    return a.select("corpus_id", "denominator", "complete", "left_only", "right_only", "both", *[at_least(F.col("complete"), F.col(q)).alias(q) for q in ("q1", "median", "q3")])
+    return a.select("corpus_id", "denominator", "complete", "left_only", "right_only", "both_ends", *[at_least(F.col("complete"), F.col(q)).alias(q) for q in ("q1", "median", "q3")])
 
 
 def turnover(appearances: DataFrame, people: DataFrame, papers: DataFrame, person: str = "person") -> DataFrame:
