@@ -12,21 +12,26 @@ def person_keys(entries: DataFrame) -> DataFrame:
     """``entries`` (corpus_id, last, fore, initials, orcid) with ``person_key``, ``n_owners``, ``flag``.
 
     Entries with an ORCID are that person. Others go by surname and first initial; if exactly one ORCID is seen under
-    that loose key they belong to it. More than one is a confirmed collision; several forenames, none the beginning of
-    another, a suspected one; without a given name nothing is merged. Owners and forenames are gathered per loose key
-    with partial aggregation, so a common name costs no window over all its entries.
+    that loose key they belong to it. More than one is a confirmed collision, for those ORCIDs too; without any, several
+    forenames, none the beginning of another, are a suspected one and compatible ones a benign drift; without a given name
+    nothing is merged. Owners and forenames are gathered per loose key with partial aggregation, so a common name costs
+    no window over all its entries.
     """
     given = F.coalesce(F.nullif(F.trim("fore"), F.lit("")), F.trim("initials"), F.lit(""))
     loose = F.concat_ws("|", F.lower(F.trim("last")), F.lower(F.substring(given, 1, 1)))
     e = entries.withColumns({"loose": loose, "_given": F.lower(given), "orcid": F.nullif(F.trim("orcid"), F.lit(""))})
     per = e.groupBy("corpus_id", "loose").agg(F.collect_set("orcid").alias("owners"), F.collect_set(F.when(F.col("orcid").isNull() & (F.col("_given") != ""), F.col("_given"))).alias("givens"))
     clash = F.exists("givens", lambda a: F.exists("givens", lambda b: ~F.startswith(a, b) & ~F.startswith(b, a)))
-    flag = F.when(F.size("owners") > 1, "collision_confirmed").when(clash, "collision_suspected").when(F.size("givens") > 1, "drift_benign")
-    per = per.select("corpus_id", "loose", F.size("owners").cast("long").alias("n_owners"), F.when(F.size("owners") == 1, F.get("owners", F.lit(0))).alias("owner"), flag.alias("group_flag"))
+    n = F.size("owners")
+    flag = F.when(n > 1, "collision_confirmed").when(n == 1, None).when(clash, "collision_suspected").when(F.size("givens") > 1, "drift_benign")
+    per = per.select("corpus_id", "loose", n.cast("long").alias("n_owners"), F.when(n == 1, F.get("owners", F.lit(0))).alias("owner"), flag.alias("group_flag"))
     j = e.join(per, ["corpus_id", "loose"])
+    shared = j.filter("orcid is not null and n_owners > 1").select("corpus_id", "orcid", F.lit("collision_confirmed").alias("orcid_flag")).distinct()
     no_given = F.col("_given") == ""
-    key = F.when(F.col("orcid").isNotNull(), F.col("orcid")).when(no_given, F.col("loose")).otherwise(F.coalesce("owner", "loose"))
-    return j.withColumns({"person_key": key, "flag": F.when(no_given, "incomplete_name").otherwise(F.col("group_flag"))}).drop("_given", "owner", "group_flag")
+    own = F.col("orcid").isNotNull()
+    key = F.when(own, F.col("orcid")).when(no_given, F.col("loose")).otherwise(F.coalesce("owner", "loose"))
+    told = F.when(own, F.col("orcid_flag")).when(no_given, "incomplete_name").otherwise(F.col("group_flag"))
+    return j.join(shared, ["corpus_id", "orcid"], "left").withColumns({"person_key": key, "flag": told}).drop("_given", "owner", "group_flag", "orcid_flag")
 
 
 def display_names(entries: DataFrame) -> DataFrame:

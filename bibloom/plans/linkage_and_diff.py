@@ -56,7 +56,7 @@ def consortium_filter(m):
     return m.table("papers").select("row_id", (F.length("authors_str") - F.length(F.replace("authors_str", F.lit(";"), F.lit(""))) + 1).cast("long").alias("n_listed"), F.size("authors").cast("long").alias("n_entries"), F.size(e).cast("long").alias("n_consortia"))
 
 
-@query("""SELECT row_id, regexp_matches(title, '(?i)^\\s*(?:correction|corrections|corrigendum|corrigenda|erratum|errata|retraction|retracted|expression of concern|publisher correction|author correction)\\b') AS is_correction FROM papers""")
+@query("SELECT row_id, regexp_matches(title, '(?i)^\\s*(?:" + "|".join(S.CORRECTION_WORDS) + ")\\b') AS is_correction FROM papers")
 def correction_titles(m):
     return m.table("papers").select("row_id", S.is_correction(F.col("title")).alias("is_correction"))
 
