@@ -10,7 +10,7 @@ from bibloom.functions import scalar as S
 #: A byline from this length on is left out of people metrics, and one from LARGE_TEAM on is reported.
 MANY_AUTHORS, LARGE_TEAM = 50, 20
 #: Why a record is left out, in the order in which the first that applies counts.
-REASONS = ("unparseable_date", "correction", "empty_author_list", "duplicate_pmid", "duplicate_doi", "many_authors")
+REASONS = ("unparseable_date", "correction_or_comment", "empty_author_list", "duplicate_pmid", "duplicate_doi", "hyperauthorship")
 
 
 def byline(entries: DataFrame, record: str = "record_id", order: tuple[str, ...] = ("position",)) -> DataFrame:
@@ -45,20 +45,21 @@ def resolve_target(entries: DataFrame, evidence: Column, record: str = "record_i
 def exclusion_reasons(papers: DataFrame, n_authors: Column, record: str = "record_id", many: int = MANY_AUTHORS) -> DataFrame:
     """``papers`` with ``reason``, null for those kept.
 
-    Of records with one PMID the first (by record) is kept, of those with one DOI the one with the least PMID. Records
-    without the identifier never count as its duplicates.
+    Of records with one PMID the first (by record) is kept, of those with one DOI the one with the least PMID; records
+    already left out don't count. Records without the identifier never count as its duplicates, and are spread over all
+    partitions, many as they may be.
     """
     key = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
-    by_pmid = Window.partitionBy("corpus_id", "_p").orderBy(record)
-    p = papers.withColumns({"_p": key(F.col("pmid")), "_d": key(F.col("doi"))})
-    p = p.withColumn("_dup_p", F.col("_p").isNotNull() & (F.row_number().over(by_pmid) > 1))
-    live = ~F.col("_dup_p") & F.col("year").isNotNull() & ~S.is_correction(F.col("title")) & (n_authors > 0)
-    by_doi = Window.partitionBy("corpus_id", "_d", live).orderBy(F.col("_p").try_cast("long").asc_nulls_last(), "_p", record)
-    p = p.withColumn("_dup_d", F.col("_d").isNotNull() & (F.row_number().over(by_doi) > 1))
-    reason = (
-        F.when(F.col("year").isNull(), REASONS[0]).when(S.is_correction(F.col("title")), REASONS[1]).when(n_authors == 0, REASONS[2]).when(F.col("_dup_p"), REASONS[3]).when(F.col("_dup_d"), REASONS[4]).when(n_authors >= many, REASONS[5])
-    )
-    return p.withColumn("reason", reason).drop("_p", "_d", "_dup_p", "_dup_d")
+    apart = lambda c: F.coalesce(F.col(c), F.concat(F.lit("\x1f"), F.col(record).cast("string")))
+    early = F.when(F.col("year").isNull(), REASONS[0]).when(S.is_correction(F.col("title")), REASONS[1]).when(n_authors == 0, REASONS[2])
+    p = papers.withColumns({"_p": key(F.col("pmid")), "_d": key(F.col("doi")), "_e": early})
+    by_pmid = Window.partitionBy("corpus_id", apart("_p"), F.col("_e").isNull()).orderBy(record)
+    p = p.withColumn("_dup_p", F.col("_p").isNotNull() & F.col("_e").isNull() & (F.row_number().over(by_pmid) > 1))
+    live = ~F.col("_dup_p") & F.col("_e").isNull()
+    by_doi = Window.partitionBy("corpus_id", apart("_d"), live).orderBy(F.col("_p").try_cast("long").asc_nulls_last(), "_p", record)
+    p = p.withColumn("_dup_d", F.col("_d").isNotNull() & live & (F.row_number().over(by_doi) > 1))
+    reason = F.when(F.col("_e").isNotNull(), F.col("_e")).when(F.col("_dup_p"), REASONS[3]).when(F.col("_dup_d"), REASONS[4]).when(n_authors >= many, REASONS[5])
+    return p.withColumn("reason", reason).drop("_p", "_d", "_e", "_dup_p", "_dup_d")
 
 
 def title_duplicates(papers: DataFrame, record: str = "record_id") -> DataFrame:

@@ -24,7 +24,7 @@ def join_citations(papers: DataFrame, citations: DataFrame) -> DataFrame:
     p = papers.withColumns({"_p": F.nullif(F.trim("pmid"), F.lit("")), "_d": F.nullif(F.lower(F.trim("doi")), F.lit(""))})
     j = p.join(first("cp"), F.col("_p") == F.col("cp"), "left").join(first("cd"), F.col("_d") == F.col("cd"), "left")
     j = j.withColumn("hit", F.coalesce("by_cp", "by_cd"))
-    w = Window.partitionBy("hit.position").orderBy("record_id")
+    w = Window.partitionBy(F.coalesce(F.col("hit.position"), -F.xxhash64("record_id"))).orderBy("record_id")  # papers without a hit are spread
     used = j.withColumn("turn", F.when(F.col("hit").isNotNull(), F.row_number().over(w)))
     ok = F.col("turn") == 1
     return used.select(*[F.col(x) for x in papers.columns], F.when(ok, F.col("hit.cc")).alias("cites"), F.when(ok, F.col("hit.cite_source")).alias("cite_source"), F.when(~F.coalesce(ok, F.lit(False)), "none").when(F.col("by_cp").isNotNull(), "pmid").otherwise("doi").alias("route"))

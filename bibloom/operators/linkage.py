@@ -40,7 +40,7 @@ def title_year_merge(base: DataFrame, added: DataFrame) -> DataFrame:
     Both have ``record_id, key``; rows without a key are new.
     """
     known = base.filter("key is not null").groupBy("key").agg(F.min("record_id").alias("base_id"))
-    w = Window.partitionBy("key").orderBy("record_id")
+    w = Window.partitionBy(F.coalesce("key", F.concat(F.lit("\x1f"), F.col("record_id").cast("string")))).orderBy("record_id")  # rows without a key are spread
     a = added.withColumn("turn", F.when(F.col("key").isNotNull(), F.row_number().over(w))).join(known, "key", "left")
     return a.select("record_id", "key", F.when(F.col("base_id").isNotNull(), "cross").when(F.col("turn") > 1, "internal").otherwise("new").alias("outcome"), "base_id")
 

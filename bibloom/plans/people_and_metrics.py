@@ -36,8 +36,8 @@ def pi_resolution(m):
     return m.target
 
 
-@query("""SELECT p.corpus_id, p.record_id, CASE WHEN s.n IS NULL THEN 'empty_author_list' WHEN rn > 1 THEN 'duplicate_pmid' WHEN s.n >= 10 THEN 'many_authors' END AS reason FROM
-  (SELECT *, row_number() OVER (PARTITION BY corpus_id, date_iso, topic ORDER BY record_id) AS rn FROM paper) p LEFT JOIN sized s ON p.record_id = s.record_id""")
+@query("""SELECT corpus_id, record_id, CASE WHEN n IS NULL THEN 'empty_author_list' WHEN rn > 1 THEN 'duplicate_pmid' WHEN n >= 10 THEN 'hyperauthorship' END AS reason FROM
+  (SELECT p.corpus_id, p.record_id, s.n, row_number() OVER (PARTITION BY corpus_id, date_iso, topic, s.n IS NULL ORDER BY p.record_id) AS rn FROM paper p LEFT JOIN sized s ON p.record_id = s.record_id)""")
 def exclusion_reasons(m):
     p = m.papers.join(m.sizes, "record_id", "left").withColumns({"pmid": F.concat_ws(" ", "date_iso", "topic"), "doi": F.lit(None).cast("string"), "title": F.col("journal")})
     return corpus.exclusion_reasons(p, F.coalesce("n", F.lit(0)), many=10).select("corpus_id", "record_id", "reason")

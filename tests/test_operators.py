@@ -12,11 +12,11 @@ from bibloom.operators import cache, cohesion, corpus, diff, impact, linkage, me
 def test_exclusions_first_reason_wins(spark):
     rows = [
         (1, 1, "5", "10.1/a", "ok", 2020, 3), (1, 2, "5", None, "same pmid", 2020, 3), (1, 3, "4", "10.1/A ", "same doi, least pmid", 2020, 3), (1, 4, None, None, "no keys", 2020, 3), (1, 5, "", "", "no keys either", 2020, 3), (1, 6, "7", None, "no year", None, 3),
-        (1, 7, "8", None, "Erratum: x", 2020, 3), (1, 8, "9", None, "bare", 2020, 0), (1, 9, "10", None, "many", 2020, 50), (1, 10, "11", None, "nearly", 2020, 49), (2, 11, "5", "10.1/a", "other corpus", 2020, 3),
+        (1, 0, "5", None, "no year either", None, 3), (1, 7, "8", None, "Erratum: x", 2020, 3), (1, 8, "9", None, "bare", 2020, 0), (1, 9, "10", None, "many", 2020, 50), (1, 10, "11", None, "nearly", 2020, 49), (2, 11, "5", "10.1/a", "other corpus", 2020, 3),
     ]
     df = spark.createDataFrame(rows, "corpus_id long, record_id long, pmid string, doi string, title string, year int, n int")
     got = {r["record_id"]: r["reason"] for r in corpus.exclusion_reasons(df, F.col("n")).collect()}
-    assert got == {1: "duplicate_doi", 2: "duplicate_pmid", 3: None, 4: None, 5: None, 6: "unparseable_date", 7: "correction", 8: "empty_author_list", 9: "many_authors", 10: None, 11: None}
+    assert got == {0: "unparseable_date", 1: "duplicate_doi", 2: "duplicate_pmid", 3: None, 4: None, 5: None, 6: "unparseable_date", 7: "correction_or_comment", 8: "empty_author_list", 9: "hyperauthorship", 10: None, 11: None}
 
 
 def test_byline_with_consortia(spark):
