@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.runtime import forget, lookup, materialise
+from bibloom.runtime import forget, lookup, materialise, rows_of
 
 
 def propagate(edges: DataFrame, tag: str = "cc") -> DataFrame:
@@ -20,7 +20,7 @@ def propagate(edges: DataFrame, tag: str = "cc") -> DataFrame:
     vertices = materialise(e.select(F.explode(F.array("u", "v")).alias("u")).distinct(), tag)
     cur = materialise(e.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), tag)
     maps: list[DataFrame] = []
-    while cur.limit(1).count():
+    while rows_of(cur):
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         rank = lambda c: F.struct(F.xxhash64(F.col(c)), F.col(c).alias("id"))
         least = both.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least("m", F.struct(F.xxhash64(F.col("u")), F.col("u").alias("id"))).getField("id").alias("to"))
@@ -35,7 +35,6 @@ def propagate(edges: DataFrame, tag: str = "cc") -> DataFrame:
     out = vertices.withColumn("label", F.col("u"))
     for step in maps:
         counts = materialise(out.groupBy("label").agg(F.count("*").alias("n")).join(step.select(F.col("u").alias("label"), "to"), "label"), tag)
-        total = out.count()
-        moved = lookup(out, counts, "label", total, spread=F.xxhash64("u"))
+        moved = lookup(out, counts, "label", rows_of(out), spread=F.xxhash64("u"))
         out = materialise(moved.select("u", F.coalesce("to", "label").alias("label")), tag)
     return out

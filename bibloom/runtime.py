@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
@@ -45,15 +45,22 @@ def materialise(df: DataFrame, tag: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/bibloom-{tag}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_forget_all)
     _written.append((spark, path))
     out = spark.read.schema(schema).parquet(path)
-    out._bibloom_path = path
+    out._bibloom_path, out._bibloom_rows = path, seen.get.get("n")
     return out
 
 
+def rows_of(df: DataFrame) -> int:
+    """Rows of a table of ``materialise``, counted while it was written; of another frame by a job."""
+    n = getattr(df, "_bibloom_rows", None)
+    return df.count() if n is None else n
+
+
 def forget(*frames: DataFrame | None) -> None:
     """Delete tables of ``materialise`` that no later plan reads."""
     for df in frames:
