@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bibloom.operators import cohesion, impact, metrics, quality, scoring
+from bibloom.operators import cohesion, impact, metrics, quality, reports, scoring
 from bibloom.plans.adapter import CTES, Model, sql
 
 QUERIES = {}
@@ -220,3 +220,54 @@ def corpus_counts(m):
 @query("""SELECT corpus_id, value, n, place FROM (SELECT corpus_id, affiliation AS value, count(*) AS n, row_number() OVER (PARTITION BY corpus_id ORDER BY count(*) DESC, affiliation) AS place FROM entry WHERE idx = 0 OR idx = n - 1 GROUP BY 1, 2) WHERE place <= 5""")
 def identity_hints(m):
     return quality.identity_hints(m.entries.filter("idx = 0 or idx = n - 1"), F.col("affiliation"))
+
+
+# frames for reports
+
+
+@query("""SELECT corpus_id, n_records, CAST(sum(n_appearances) FILTER (WHERE rn <= 2) AS BIGINT) AS top_two, CAST(sum(n_appearances) AS BIGINT) AS appearances, count(*) AS n_people, count(*) FILTER (WHERE n_appearances = 1) AS seen_once FROM (
+  SELECT x.corpus_id, x.n_appearances, row_number() OVER (PARTITION BY x.corpus_id ORDER BY x.n_appearances DESC, x.person) AS rn, p.n_records FROM person x JOIN (SELECT corpus_id, count(*) AS n_records FROM paper GROUP BY 1) p ON p.corpus_id = x.corpus_id) GROUP BY 1, 2""")
+def glance(m):
+    return reports.glance(m.people, m.papers)
+
+
+@query("SELECT row_number() OVER (ORDER BY score DESC NULLS LAST, corpus_id) AS line, corpus_id, score, outcome, difference FROM (SELECT corpus_id, score, CASE WHEN lead(corpus_id) OVER w IS NULL THEN NULL WHEN score = lead(score) OVER w THEN 'tie' ELSE 'ahead' END AS outcome, round(score - lead(score) OVER w, 1) AS difference FROM placed WINDOW w AS (ORDER BY score DESC, corpus_id))")
+def comparison_table(m):
+    s = scoring.scores(_parts(m))
+    return reports.comparison(s, scoring.statements(scoring.rank_corpora(s)))
+
+
+@query("""SELECT CAST(o_custkey % 25 AS BIGINT) AS corpus_id, 'priority' AS kind, o_orderpriority AS name, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT CAST(o_custkey % 25 AS BIGINT), 'year', CAST(year(o_orderdate) AS VARCHAR), count(*) FROM orders GROUP BY ALL""")
+def evaluation_counts(m):
+    o = m.table("orders").select((F.col("o_custkey") % 25).alias("corpus_id"), F.col("o_orderpriority").alias("priority"), F.year("o_orderdate").alias("year"))
+    return reports.evaluation_counts(o, ("priority", "year"))
+
+
+_WORDS = "list_filter(list_distinct(string_split_regex(lower(title), '[^a-z0-9]+')), lambda t: length(t) >= 4 AND t NOT IN ('with', 'from', 'that', 'this', 'into', 'their', 'using'))"
+_FLAT = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""SELECT doc_id, CASE WHEN length(t) < 200 THEN 'skipped' WHEN {_FLAT.format('title')} <> '' AND contains({_FLAT.format('t')}, {_FLAT.format('title')}) THEN 'title' WHEN len({_WORDS}) > 0 AND len(list_intersect({_WORDS}, string_split_regex(lower(t), '[^a-z0-9]+'))) / len({_WORDS}) >= 0.45 THEN 'tokens' ELSE 'mismatch' END AS verdict
+  FROM (SELECT doc_id, title, coalesce(text, '') AS t FROM documents)""")
+def text_validation(m):
+    return m.table("documents").select("doc_id", reports.text_verdict(F.col("text"), F.col("title"), F.lit(None).cast("string")).alias("verdict"))
+
+
+@query(None)
+def target_in_bylines(m):
+    """Where one person, known by a Chinese and a romanised name, stands in the records' author lists."""
+    r = m.table("chinese_records").select(F.col("rec_id").alias("record_id"), F.filter(F.transform(F.split("authors_raw", "[;；,，、|｜]"), lambda x: F.regexp_replace(x, r"[*＊#†\s]+", "")), lambda x: x != "").alias("authors"))
+    return reports.locate(r, ("韦珩", "Wei Heng"))
+
+
+@query(None)
+def figure_net(m):
+    return reports.panels(_clusters(m), "group_id")
+
+
+SQL["figure_net"] = _recursive("SELECT group_id, cluster, size, panel FROM (SELECT group_id, cluster, count(*) AS size, row_number() OVER (PARTITION BY group_id ORDER BY count(*) DESC, cluster) AS panel FROM found GROUP BY 1, 2) WHERE panel <= 12")
+
+
+@query("""SELECT row_id, len(authors) > 0 AS structured, len(list_filter(authors, lambda a: coalesce(trim(a.affiliation), '') <> '')) AS n_affiliations FROM papers""")
+def structured_bylines(m):
+    return m.table("papers").select("row_id", (F.size("authors") > 0).alias("structured"), F.size(F.filter("authors", lambda a: F.coalesce(F.trim(a["affiliation"]), F.lit("")) != "")).cast("long").alias("n_affiliations"))
