@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibloom.llm import folding
-from bibloom.runtime import lookup, materialise
+from bibloom.runtime import lookup, materialise, rows_of
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _CUT = re.compile(r"\s*(?:\|\|?|｜+|=|＝|;|；|/|／)\s*")
@@ -130,7 +130,7 @@ def copy_groups(df: DataFrame, row: str = "rec_id", text: str = "title", year: s
     flat = df.select(F.col(row).cast("long").alias("id"), F.col(year).cast("long").alias("year"), F.col(text).alias("text")).filter("text is not null and year is not null")
     hashed = materialise(flat.mapInArrow(_hashed, "id long, year long, text string, key binary"), "copies")
     groups = materialise(hashed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "year", "text")).alias("first")).filter("n > 1"), "copies")
-    met = lookup(hashed, groups, "key", hashed.count(), spread=F.xxhash64("id")).filter("first is not null")
+    met = lookup(hashed, groups, "key", rows_of(hashed), spread=F.xxhash64("id")).filter("first is not null")
     pairs = met.select("id", F.col("first.id").alias("group_id"), "text", F.col("first.text").alias("other"), "year", F.col("first.year").alias("other_year"))
     return materialise(pairs.mapInArrow(_checked, "id long, group_id long, same boolean"), "copies")
 

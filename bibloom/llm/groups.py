@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibloom.operators.components import propagate
-from bibloom.runtime import forget, lookup, materialise
+from bibloom.runtime import forget, lookup, materialise, rows_of
 
 #: Breadth-first rounds after which what was reached is merged into one vertex and propagation does the rest.
 MAX_ROUNDS = 12
@@ -19,7 +19,7 @@ def shared_key_edges(rows: DataFrame, row: str, keys: list[Column], tag: str = "
     """
     held = materialise(rows.select(F.col(row).cast("long").alias("u"), F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key")), tag)
     per_key = materialise(held.groupBy("key").agg(F.min("u").alias("v"), F.count("*").alias("n")).filter("n > 1"), tag)
-    found = lookup(held, per_key, "key", held.count(), spread=F.xxhash64("u"))
+    found = lookup(held, per_key, "key", rows_of(held), spread=F.xxhash64("u"))
     edges = materialise(found.filter("v is not null and u <> v").select("u", "v").distinct(), tag)
     forget(held, per_key)
     return edges
@@ -49,7 +49,7 @@ def group_links(edges: DataFrame, tag: str = "groups") -> DataFrame:
         near = lookup(both, frontier, "u", top["total"], spread=F.xxhash64("v")).filter("on").select(F.col("v").alias("u")).distinct()
         fresh = materialise(near.join(seen, "u", "left_anti").join(degrees, "u").withColumn("on", F.lit(True)), tag)
         frontier = fresh
-        if not fresh.limit(1).count():
+        if not rows_of(fresh):
             rest = both.join(seen, "u", "left_anti")
             break
         reached.append(fresh)
@@ -62,7 +62,7 @@ def group_links(edges: DataFrame, tag: str = "groups") -> DataFrame:
     giant = merged["label"] if merged else top["u"]
     labels = materialise(small.join(seen, "u", "left_anti").unionByName(seen.select("u", F.lit(giant).cast("long").alias("label"))), tag)
     least = materialise(labels.groupBy("label").agg(F.min("u").alias("least"), F.count("*").alias("n")), tag)
-    out = lookup(labels, least, "label", labels.count(), spread=F.xxhash64("u")).select("u", F.col("least").alias("label"))
+    out = lookup(labels, least, "label", rows_of(labels), spread=F.xxhash64("u")).select("u", F.col("least").alias("label"))
     forget(both, degrees, *reached, small)
     named = spark.read.schema(labels.schema).parquet(labels._bibloom_path)
     return out.unionByName(alone.join(named.select("u"), "u", "left_anti").select("u", F.col("u").alias("label")))
