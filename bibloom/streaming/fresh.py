@@ -45,3 +45,14 @@ def newest(stream: DataFrame, keys: list[str], stamp: str, value: str, age: str
 def active_windows(stream: DataFrame, keys: list[str], stamp: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Answers per key and time window, late ones counted as long as the watermark allows."""
     return stream.withWatermark(stamp, late).groupBy(F.window(stamp, width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
+
+
+def run_once(df: DataFrame, mode: str, path: str) -> DataFrame:
+    """Run a stream over what is there now and give its result as a table: the last state in complete mode, all updates in others."""
+    spark = df.sparkSession
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+
+    df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{path}/out")
