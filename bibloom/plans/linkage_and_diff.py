@@ -168,6 +168,12 @@ def journal_route_join(m):
     return linkage.journal_routes(names.unionByName(m.table("works").select(F.col("host_journal").alias("journal"), F.lit(None).cast("string").alias("issn")).distinct()), ref)
 
 
+_KEYED = " UNION ALL ".join(f"SELECT row_id, 's:' || x AS key FROM (SELECT row_id, {_COMPACT.replace('issn', c)} AS x FROM journals) WHERE {_VALID}" for c in ("issn", "eissn")) + " UNION ALL SELECT row_id, 'n:' || journal_key FROM journals WHERE journal_key <> ''"
+#: Rows of journals with the least row of their group and its size.
+JOURNAL_GROUPS = f"""WITH RECURSIVE held AS ({_KEYED}), hub AS (SELECT key, min(row_id) AS hub FROM held GROUP BY 1), link AS (SELECT DISTINCT row_id AS u, hub AS v FROM held JOIN hub USING (key)), edge AS (SELECT u, v FROM link UNION SELECT v, u FROM link),
+  walk AS (SELECT DISTINCT row_id AS u, row_id AS r FROM held UNION SELECT w.u, e.v FROM walk w JOIN edge e ON e.u = w.r), grouped AS (SELECT u AS row_id, min(r) AS group_id, count(*) AS n FROM walk GROUP BY 1) """
+
+
 @query(None)
 def journal_row_groups(m):
     """Rows of journal tables that a serial number or a name ties together, by plain propagation."""
@@ -312,3 +318,6 @@ def dedup_first_wins(m):
 @query("SELECT CAST(o_custkey AS BIGINT) AS key, min(o_orderkey) AS kept, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
 def dedup_lowest_id(m):
     return m.table("orders").groupBy(F.col("o_custkey").alias("key")).agg(F.min("o_orderkey").alias("kept"), F.count("*").alias("n")).filter("n > 1")
+
+
+SQL["journal_row_groups"] = JOURNAL_GROUPS + "SELECT row_id, group_id FROM grouped"
