@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bibloom.plans.linkage_and_diff import JOURNAL_GROUPS
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": JOURNAL_GROUPS + "SELECT group_id, row_id FROM grouped WHERE n > 1"}
