@@ -17,7 +17,6 @@ def propagate(edges: DataFrame, tag: str = "cc") -> DataFrame:
     table. Self pairs and repeated pairs are allowed; null ends are ignored; an empty input gives an empty result.
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u is not null and v is not null")
-    vertices = materialise(e.select(F.explode(F.array("u", "v")).alias("u")).distinct(), tag)
     cur = materialise(e.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), tag)
     maps: list[DataFrame] = []
     while rows_of(cur):
@@ -31,10 +30,18 @@ def propagate(edges: DataFrame, tag: str = "cc") -> DataFrame:
         new = materialise(after, tag)
         forget(cur)
         cur = new
-        maps.append(step.filter("u <> to"))
-    out = vertices.withColumn("label", F.col("u"))
-    for step in maps:
-        counts = materialise(out.groupBy("label").agg(F.count("*").alias("n")).join(step.select(F.col("u").alias("label"), "to"), "label"), tag)
-        moved = lookup(out, counts, "label", rows_of(out), spread=F.xxhash64("u"))
-        out = materialise(moved.select("u", F.coalesce("to", "label").alias("label")), tag)
-    return out
+        maps.append(step)
+    final: DataFrame | None = None
+    for step in reversed(maps):  # each level is a fraction of the one before it
+        moves = step.filter("u <> to")
+        if final is not None:
+            later = final.select(F.col("u").alias("to"), F.col("to").alias("end")).join(moves.groupBy("to").agg(F.count("*").alias("n")), "to")
+            moves = materialise(lookup(moves, later, "to", rows_of(step), spread=F.xxhash64("u")).select("u", F.coalesce("end", "to").alias("to")), tag)
+            kept = final.join(moves, "u", "left_anti").unionByName(moves)
+            final = kept
+        else:
+            final = moves
+    vertices = e.select(F.explode(F.array("u", "v")).alias("u")).distinct()
+    if final is None:
+        return materialise(vertices.withColumn("label", F.col("u")), tag)
+    return materialise(vertices.join(final, "u", "left").select("u", F.coalesce("to", "u").alias("label")), tag)
