@@ -2,24 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibloom.runtime import forget, lookup, materialise, rows_of
 
 
+#: Edges that one task settles at the end, in place of some more rounds over next to nothing.
+RESIDUE = 1000
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(u, to)`` of every id of a few edges, ``to`` being one id of its component."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            a, c = top(u), top(v)
+            parent[max(a, c)] = min(a, c)
+    ids = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(x) for x in ids], pa.int64())], names=["u", "to"])
+
+
 def propagate(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """``(u, v)`` pairs of long ids → ``(u, label)`` for every id in a pair, ``label`` being one id of its component.
 
     Each round every vertex takes the least of itself and its neighbours, in an order given by a hash (so that chains of
     rising ids don't pass on their minimum one step at a time), and the edge table is rewritten between the ids taken.
     The table shrinks by a constant factor a round, so about log(vertices) rounds are needed, and each ends in a written
-    table. Self pairs and repeated pairs are allowed; null ends are ignored; an empty input gives an empty result.
+    table; the last RESIDUE edges are settled by one task. Self pairs and repeated pairs are allowed; null ends are ignored; an empty input gives an empty result.
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u is not null and v is not null")
     cur = materialise(e.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), tag)
     maps: list[DataFrame] = []
     while rows_of(cur):
+        if rows_of(cur) <= RESIDUE:
+            maps.append(materialise(cur.select("u", "v").repartition(1).mapInArrow(_settle, "u long, to long"), tag))
+            break
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         rank = lambda c: F.struct(F.xxhash64(F.col(c)), F.col(c).alias("id"))
         least = both.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least("m", F.struct(F.xxhash64(F.col("u")), F.col("u").alias("id"))).getField("id").alias("to"))

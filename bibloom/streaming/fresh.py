@@ -19,15 +19,12 @@ def distinct_within(stream: DataFrame, keys: list[str], stamp: str, age: str = "
 def newest(stream: DataFrame, keys: list[str], stamp: str, value: str, age: str = "10 days") -> DataFrame:
     """Per key the newest answer so far, told whenever it changes: ``(keys, stamp, value)``; late answers never win.
 
-    The state of a key is its newest stamp and value; a key without answers for longer than the watermark is forgotten.
+    The state of a key is its newest stamp and value, however many answers came; of equal stamps the greater value wins.
     """
     types = dict(stream.dtypes)
     out = ", ".join(f"{k} {types[k]}" for k in keys) + f", {stamp} {types[stamp]}, {value} {types[value]}"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         old: Any = state.get if state.exists else None
         best = old
         for b in batches:

@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 from bibloom.operators import components, snapshots
 
 SCHEMA = "row_id long, snapshot_no int, pmid string, doi string, title string, authors array<struct<name:string,first:boolean>>, delivered_at string, extra int"
@@ -58,7 +60,9 @@ def test_form_is_no_change(spark):
     assert [r["change_type"] for r in snapshots.diff_snapshots(spark.createDataFrame(order, SCHEMA)).collect()] == ["changed"]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("residue", [0, 1000])
+def test_components(spark, monkeypatch, residue):
+    monkeypatch.setattr(components, "RESIDUE", residue)
     rnd = random.Random(1)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(120)] + [(5, None), (7, 7)]
     parent = {}
