@@ -9,7 +9,7 @@ from bibloom.operators.components import propagate
 from bibloom.runtime import forget, lookup, materialise, rows_of
 
 #: Breadth-first rounds after which what was reached is merged into one vertex and propagation does the rest.
-MAX_ROUNDS = 12
+MAX_ROUNDS = 5
 
 
 def shared_key_edges(rows: DataFrame, row: str, keys: list[Column], tag: str = "links") -> DataFrame:
