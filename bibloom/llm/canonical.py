@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,8 +18,14 @@ BEFORE = ("来自", "来源", "源自", "源", "摘自", "转自", "中国", "th
 AFTER = ("见备注", "编辑部", "编委会", "杂志社", "出版社", "数据库", "导出", "检索", "下载", "平台", "网站", "database", "export")
 _ISSUE = re.compile(r"[\s,，;；]*(?:19|20)\d\d\s*(?:年(?:\s*第?\s*\d+\s*[期卷])?)?\s*(?:[,，]?\s*\d+\s*\(\s*\d+(?:-\d+)?\s*\))?[\s.。]*$")
 _TWO_FORMS = re.compile(r"^(?P<zh>.*?[㐀-鿿].*?)\s*[=/|(\[:;]\s*(?P<en>[a-z][a-z .&,'-]*[a-z.])\s*[)\]]?\s*$")
-#: Least Jaccard similarity of the sets of characters and character pairs of two names; one edit in a name of three keeps 0.4.
+#: Least Jaccard similarity of the sets of characters and character pairs of two names. One edit takes at most three of n
+#: tokens and gives three new ones, so names one edit apart have (n - 3) / (n + 3) at least, n being the longer's tokens.
 MIN_JACCARD = 0.3
+
+
+def one_edit(n: Column) -> Column:
+    """The similarity that names of ``n`` tokens keep with one edit, never under MIN_JACCARD."""
+    return F.greatest(F.lit(MIN_JACCARD), (n - 3) / (n + 3) - 1e-9)
 #: Edits that a name may be away from its entry, a swap of neighbours counting once; names under SHORT characters must be equal.
 MAX_EDITS, SHORT = 1, 3
 
@@ -98,18 +104,20 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.append_column("edits", pa.array([0 if x == y else edits(x, y) if min(len(x), len(y)) >= SHORT else MAX_EDITS + 1 for x, y in zip(a, c, strict=True)], pa.int32()))
 
 
-def similarity_join(left: DataFrame, right: DataFrame, threshold: float = MIN_JACCARD) -> DataFrame:
-    """Pairs ``(name, entry, jaccard)`` of two tables ``(field, name, tokens)`` whose token sets reach ``threshold``.
+def similarity_join(left: DataFrame, right: DataFrame, threshold: float | Callable[[Column], Column] = one_edit) -> DataFrame:
+    """Pairs ``(field, name, entry, jaccard)`` of two tables ``(field, name, tokens)`` whose token sets reach ``threshold``.
 
-    Tokens are ordered by how rare they are in both tables together. Two sets that reach the threshold share a token of
-    their first |x| - ceil(t|x|) + 1; only these prefixes are joined, under the length filter and the positional filter
-    (what is left after the shared token must still suffice), and the Jaccard similarity of what remains is computed
-    exactly. Empty token sets match nothing. Only prefixes are shuffled.
+    The threshold is a number, or rises with the tokens of the larger set. Tokens are ordered by how rare they are in both
+    tables together. Two sets that reach t share a token of their first |x| - ceil(t|x|) + 1; only these prefixes are
+    joined, under the length filter and the positional filter (what is left after the shared token must still suffice),
+    and the Jaccard similarity of what remains is computed exactly. Empty token sets match nothing. Only prefixes are
+    shuffled.
     """
+    t = threshold if callable(threshold) else lambda n: F.lit(threshold)
     both = left.select("tokens").unionByName(right.select("tokens"))
     df = both.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     size = F.size("tokens")
-    p = lambda n: (n - F.ceil(F.lit(threshold) * n) + 1).cast("int")
+    p = lambda n: (n - F.ceil(t(n) * n) + 1).cast("int")
 
     def prefixes(side: DataFrame, name: str) -> DataFrame:
         each = side.select("field", "name", size.alias("n"), F.explode("tokens").alias("t")).join(df, "t")
@@ -118,12 +126,14 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float = MIN_JA
 
     lp, rp = prefixes(left, "name"), prefixes(right, "entry")
     n, m = F.col("n_name"), F.col("n_entry")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (n + m))
-    met = lp.join(rp, ["field", "t"]).filter((n >= F.ceil(threshold * m)) & (m >= F.ceil(threshold * n)) & (1 + F.least(n - F.col("at_name") - 1, m - F.col("at_entry") - 1) + F.least("at_name", "at_entry") >= need))
+    both_t = t(F.greatest(n, m))
+    need = F.ceil(both_t / (1 + both_t) * (n + m) - 1e-9)
+    met = lp.join(rp, ["field", "t"]).filter((n >= F.ceil(both_t * m - 1e-9)) & (m >= F.ceil(both_t * n - 1e-9)) & (1 + F.least(n - F.col("at_name") - 1, m - F.col("at_entry") - 1) + F.least("at_name", "at_entry") >= need))
     pairs = met.select("field", "name", "entry").distinct()
     full = pairs.join(left.select("field", "name", F.col("tokens").alias("a")), ["field", "name"]).join(right.select("field", F.col("name").alias("entry"), F.col("tokens").alias("b")), ["field", "entry"])
     shared = F.size(F.array_intersect("a", "b"))
-    return full.withColumn("jaccard", shared / (F.size("a") + F.size("b") - shared)).filter(F.col("jaccard") >= threshold).select("field", "name", "entry", "jaccard")
+    larger = F.greatest(F.size("a"), F.size("b"))
+    return full.withColumns({"jaccard": shared / (F.size("a") + F.size("b") - shared), "least": t(larger)}).filter(F.col("jaccard") >= F.col("least")).select("field", "name", "entry", "jaccard")
 
 
 def map_values(values: DataFrame, ref: DataFrame) -> DataFrame:
