@@ -22,8 +22,10 @@ from bibloom.runtime import lookup, materialise, rows_of
 
 #: Rows of the sorted list that each row is compared with, on either side.
 WINDOW = 8
-#: Characters at which keys are compared in the window.
+#: Leading characters of a title that are compared in the window.
 HEAD = 24
+#: Ends the title in a sort key; sorts before all that folded titles hold.
+AFTER = "\x01"
 #: Weight of each field where both sides have it.
 WEIGHTS = {"title": 4.0, "authors": 2.0, "place": 2.0, "doi": 1.5, "numbers": 1.0, "year": 0.5}
 #: Least confidence of a match; from CERTAIN on, what is tied together is one entity before the assignment.
@@ -271,18 +273,22 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sort_rows(e: DataFrame) -> DataFrame:
-    """``(key, digest, id, year, who, where, ...)``: an entry once for each composite sort key that it has; the key begins with the pass."""
+    """``(key, digest, id, year, who, where, ...)``: an entry once for each composite sort key that it has; the key begins with the pass.
+
+    Keys are whole, however long: a title, then year and first author, so that only what is equal in all of them is ordered by the digest.
+    """
     year = F.coalesce(F.col("year").cast("string"), F.lit(""))
     who, known = F.coalesce("who", F.lit("")), F.col("who").isNotNull()
+    titled = lambda t: F.concat_ws(AFTER, t, year, who)
     keys = [
-        F.when(F.length("zh") > 4, F.col("zh")),
-        F.when(F.length("zh") > 4, F.reverse(F.right("zh", F.lit(28)))),
-        F.when(F.length("en") > 8, F.concat("en", year)),
+        F.when(F.length("zh") > 4, titled(F.col("zh"))),
+        F.when(F.length("zh") > 4, titled(F.reverse("zh"))),
+        F.when(F.length("en") > 8, titled(F.col("en"))),
         F.when(F.col("doi").isNotNull(), F.concat_ws("|", "doi", who)),
         F.when(F.col("page").isNotNull() & (F.col("volume").isNotNull() | F.col("issue").isNotNull()), F.concat_ws("|", year, "page", who, F.coalesce("volume", F.lit("")), F.coalesce("issue", F.lit("")))),
         F.when(known, F.concat_ws("|", "lead", year, "numbers")),
     ]
-    rows = [F.concat(F.lit(str(i)), F.substring(k, 1, 28 if i < 2 else 64)) for i, k in enumerate(keys)]
+    rows = [F.concat(F.lit(str(i)), k) for i, k in enumerate(keys)]
     digest = F.xxhash64("side", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in _COMPARED])
     where = F.when(F.col("page").isNotNull(), F.hash("page", F.coalesce("volume", "issue")))
     flat = e.select(F.array_compact(F.array(*rows)).alias("keys"), digest.alias("digest"), "id", "year", F.when(known, F.hash("who")).alias("who"), where.alias("where"), F.when(F.col("numbers") != "", F.hash("numbers")).alias("count"), F.hash("doi").alias("doi"), F.col("doi").isNotNull().alias("has_doi"))
@@ -356,7 +362,7 @@ def _near(t: pa.Table, old: int, across: bool, names: list[str]) -> Iterator[pa.
     ids, year, who, where, count, doi, has = num("id", -1), num("year", -9999), num("who", 0), num("where", 0), num("count", 0), num("doi", 0), num("has_doi", False)
     keys = t.column("key").to_pylist()
     pas = np.array([ord(k[0]) - 48 for k in keys])
-    head = np.array([k[1 : HEAD + 1].ljust(HEAD, "\0") for k in keys], dtype=f"<U{HEAD}").view(np.uint32).reshape(n, HEAD)
+    head = np.array([k[1 : HEAD + 1].partition(AFTER)[0].ljust(HEAD, "\0") for k in keys], dtype=f"<U{HEAD}").view(np.uint32).reshape(n, HEAD)
     part = num("part", 0) if across else None
     out: list[np.ndarray] = []
     links: list[np.ndarray] = []

@@ -187,3 +187,30 @@ def test_mixture(spark):
     assert abs(got["a"]["share"] - 4 / 9) < 0.01 and abs(got["b"]["share"] - 5 / 9) < 0.01 and got["c"]["share"] == 0
     assert got["a"]["most_copies"] == 1 and got["b"]["most_copies"] <= 3 and mixed.filter("source = 'x'").count() == 0
     assert mixture.mixture(docs.limit(0), targets).count() == 0
+
+
+def _featured(spark, records, works):
+    return matching.materialise(matching.entries(spark.createDataFrame(records, R), spark.createDataFrame(works, W)).mapInArrow(matching._featured, matching._FEATURES))
+
+
+def _pairs(e):
+    """Candidates of a record and a work, as rec_id and work_id."""
+    ids = ((min(x["a"], x["b"], key=lambda i: i % 2), max(x["a"], x["b"], key=lambda i: i % 2)) for x in matching.candidates(e).collect())
+    return {(a // 2, b // 2) for a, b in ids if a % 2 == 0 and b % 2 == 1}
+
+
+def test_titles_of_one_series_are_sorted_as_a_whole(spark):
+    rnd = random.Random(11)
+    tails = ["".join(rnd.choice("杏涧材料石陇营养研究与实践鹤浦视力进展护理听阈") for _ in range(12)) for _ in range(300)]
+    head = "沐墩地区农业生态环境综合治理与可持续发展战略系列调查报告第二辑分册专题文集"
+    late = "heavymetalsinthesoilsofthelowerreachesoftherivermudunafterthirtyyearsofirrigation"
+    records = [(i, head + t, "Shen Ruoyan", 1980 + i % 30, None, None, None, None, "x") for i, t in enumerate(tails)] + [(1000 + i, late + t.encode().hex(), "Shen Ruoyan", 1980 + i % 30, None, None, None, None, "x") for i, t in enumerate(tails)]
+    works = [(i, head + t[:-1] + "末", "Shen Ruoyan", None, None, None, None, None, "x") for i, t in enumerate(tails)] + [(1000 + i, late + t.encode().hex()[:-3], "Shen Ruoyan", None, None, None, None, None, "x") for i, t in enumerate(tails)]
+    assert {(r[0], r[0]) for r in records} <= _pairs(_featured(spark, records, works))
+
+
+def test_equal_titles_are_sorted_by_year_and_author(spark):
+    people = ["Shen Ruoyan", "Qian Lin", "You Gui", "Bao Wen", "Xu Dan"]
+    rows = [(i, "音乐对睡眠的影响", people[i % 5], 1960 + i // 5, None, None, None, None, "x") for i in range(300)]
+    works = [(i, t, who + "; Li Na", year, *rest) for i, t, who, year, *rest in rows]
+    assert {(i, i) for i in range(300)} <= _pairs(_featured(spark, rows, works))
