@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -32,8 +33,6 @@ WEIGHTS = {"title": 4.0, "authors": 2.0, "place": 2.0, "doi": 1.5, "numbers": 1.
 LEAST, CERTAIN = 0.70, 0.85
 #: Years that two descriptions of one paper may be apart.
 YEARS = 2
-#: Entities of a conflict that are assigned optimally in one task; larger ones are assigned round by round.
-EXACT = 60
 _NOTE = re.compile(r"^\s*(?:勘误|更正|订正|撤稿|[Ee]rrat|ERRAT|[Cc]orrection|CORRECTION|[Cc]orrigend|CORRIGEND|[Rr]etract|RETRACT)|一文的(?:更正|勘误|订正)")
 _SEQUEL = re.compile(r"[（(\[［【]\s*(上|中|下|续\d?|[一二三四五六]|[ⅠⅡⅢⅣⅤⅰⅱⅲⅳⅴ]|[ivx]{1,4}|\d)\s*[）)\]］】]|\bpart\s+([ivx\d]+)\b", re.I)
 _MARKED = re.compile(r"[（(\[［【]\s*[上中下续一二三四五六ⅠⅡⅢⅣⅤⅰⅱⅲⅳⅴivxIVX\d]{1,4}\s*[）)\]］】]|[Pp][Aa][Rr][Tt] ")
@@ -431,45 +430,64 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _assign(rows: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """One-to-one assignment of the greatest total confidence among a few entities (shortest augmenting paths)."""
-    left, right = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
-    li, ri = {x: i for i, x in enumerate(left)}, {x: i for i, x in enumerate(right)}
-    n = max(len(left), len(right))
-    cost = np.zeros((n + 1, n + 1))
-    for a, b, w in rows:
-        cost[li[a] + 1, ri[b] + 1] = min(cost[li[a] + 1, ri[b] + 1], -w)
-    u, v, p, way = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, dtype=int), np.zeros(n + 1, dtype=int)
-    for i in range(1, n + 1):
-        p[0], j0 = i, 0
-        least, used = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=bool)
+    """One-to-one assignment of the greatest total confidence among the entities of a conflict, however many (shortest augmenting paths over the edges).
+
+    ``u`` and ``v`` are bounds with u + v >= confidence for every edge, equal for those taken, and 0 for whoever is left
+    over. From each left entity in turn the cheapest way is sought, nearest first, to a free right entity or to a left
+    one that is rather left over.
+    """
+    best = {(a, b): w for a, b, w in sorted(rows, key=lambda r: r[2])}
+    ways: dict[int, list[tuple[int, float]]] = {}
+    for (a, b), w in sorted(best.items()):
+        ways.setdefault(a, []).append((b, w))
+    u, v = {}, dict.fromkeys((b for _, b in best), 0.0)
+    taken: dict[int, int] = {}
+    partner: dict[int, int] = {}
+    for start, edges in ways.items():
+        u[start] = max(0.0, max(w - v[b] for b, w in edges))
+        far_left, far_right, come, heap = {start: 0.0}, {}, {}, []
+        a, d, end, out, free = start, 0.0, u[start], start, None
         while True:
-            used[j0] = True
-            i0 = p[j0]
-            cur = cost[i0] - u[i0] - v
-            better = ~used & (cur < least)
-            better[0] = False
-            least[better], way[better] = cur[better], j0
-            free = np.where(used, np.inf, least)
-            free[0] = np.inf
-            j1 = int(free.argmin())
-            delta = free[j1]
-            u[p[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            j0 = j1
-            if p[j0] == 0:
+            if d + u[a] < end:
+                end, out = d + u[a], a
+            for b, w in ways[a]:
+                new = d + max(0.0, u[a] + v[b] - w)
+                if b not in far_right and new < end and (b not in come or new < come[b][0]):
+                    come[b] = new, a
+                    heapq.heappush(heap, (new, b in taken, b))
+            while heap and heap[0][2] in far_right:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= end:
                 break
-        while j0:
-            p[j0], j0 = p[way[j0]], way[j0]
-    best = {(a, b): w for a, b, w in sorted(rows, key=lambda r: r[2])}
-    return [(left[p[j] - 1], right[j - 1], best[left[p[j] - 1], right[j - 1]]) for j in range(1, n + 1) if p[j] and p[j] <= len(left) and j <= len(right) and (left[p[j] - 1], right[j - 1]) in best]
+            d, _, b = heapq.heappop(heap)
+            far_right[b] = d
+            if b not in taken:
+                end, free = d, b
+                break
+            a = taken[b]
+            far_left[a] = d
+        for x, far in far_left.items():
+            u[x] -= end - far
+        for x, far in far_right.items():
+            v[x] += end - far
+        if free is None and out == start:
+            continue
+        b = partner.pop(out) if free is None else free
+        while True:
+            a = come[b][1]
+            taken[b], before = a, partner.get(a)
+            partner[a] = b
+            if a == start:
+                break
+            b = before
+    return [(a, b, best[a, b]) for a, b in partner.items()]
 
 
 def one_to_one(edges: DataFrame, tag: str = "assign") -> DataFrame:
     """``(left, right, confidence)`` → the assignment with the greatest total confidence.
 
-    Edges without rival stand. Conflicts are taken apart into connected components: one of at most EXACT edges is solved
-    optimally; in larger ones the edges that are best for both ends are taken, round by round, until none is left.
+    Edges without rival stand. Conflicts are taken apart into connected components, each of which is solved optimally by
+    one task, whatever its size.
     """
     edges = materialise(edges.groupBy("left", "right").agg(F.max("confidence").alias("confidence")), tag)
     ln = edges.groupBy("left").agg(F.count("*").alias("ln"))
@@ -482,24 +500,12 @@ def one_to_one(edges: DataFrame, tag: str = "assign") -> DataFrame:
     node = lambda c, s: F.col(c) * 2 + s
     labels = propagate(rivals.select(node("left", 0).alias("u"), node("right", 1).alias("v")), tag)
     tied = rivals.withColumn("u", node("left", 0)).join(labels, "u").drop("u")
-    sizes = tied.groupBy("label").agg(F.count("*").alias("n"))
-    tied = materialise(tied.join(sizes, "label"), tag)
 
     def solve(t: pa.Table) -> pa.Table:
         got = _assign(list(zip(*(t.column(c).to_pylist() for c in ("left", "right", "confidence")), strict=True)))
         return pa.table({"left": pa.array([g[0] for g in got], pa.int64()), "right": pa.array([g[1] for g in got], pa.int64()), "confidence": pa.array([g[2] for g in got], pa.float64())})
 
-    exact = tied.filter(F.col("n") <= EXACT).groupBy("label").applyInArrow(solve, "left long, right long, confidence double")
-    out = alone.unionByName(exact)
-    rest = tied.filter(F.col("n") > EXACT).select("left", "right", "confidence")
-    while rows_of(rest):
-        rank = F.struct("confidence", (-F.col("left")).alias("l"), (-F.col("right")).alias("r"))
-        bl = rest.groupBy("left").agg(F.max(rank).alias("bl"))
-        br = rest.groupBy("right").agg(F.max(rank).alias("br"))
-        won = materialise(rest.join(bl, "left").join(br, "right").filter((F.col("bl") == rank) & (F.col("br") == rank)).select("left", "right", "confidence"), tag)
-        out = out.unionByName(won)
-        rest = materialise(rest.join(won.select("left"), "left", "left_anti").join(won.select("right"), "right", "left_anti"), tag)
-    return out
+    return alone.unionByName(tied.groupBy("label").applyInArrow(solve, "left long, right long, confidence double"))
 
 
 def match(records: DataFrame, works: DataFrame) -> DataFrame:

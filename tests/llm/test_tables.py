@@ -214,3 +214,45 @@ def test_equal_titles_are_sorted_by_year_and_author(spark):
     rows = [(i, "音乐对睡眠的影响", people[i % 5], 1960 + i // 5, None, None, None, None, "x") for i in range(300)]
     works = [(i, t, who + "; Li Na", year, *rest) for i, t, who, year, *rest in rows]
     assert {(i, i) for i in range(300)} <= _pairs(_featured(spark, rows, works))
+
+
+def test_large_conflict_gets_the_greatest_total(spark):
+    # a-x 0.84, a-y 0.83, b-x 0.83: both pairs of 0.83 are worth more; all in one component, tied by y and the next x
+    rows = [r for k in range(100) for r in ((2 * k, 2 * k, 0.84), (2 * k, 2 * k + 1, 0.83), (2 * k + 1, 2 * k, 0.83), (2 * k + 1, 2 * k + 2, 0.70))]
+    got = {(r["left"], r["right"]): r["confidence"] for r in matching.one_to_one(spark.createDataFrame(rows, "left long, right long, confidence double")).collect()}
+    assert set(got) == {p for k in range(100) for p in ((2 * k, 2 * k + 1), (2 * k + 1, 2 * k))}
+
+
+def test_assignment_against_a_dense_solver():
+    rnd = random.Random(10)
+    for n, m, ties in ((40, 40, 3), (60, 35, 16), (35, 60, 1), (50, 50, 1000)):
+        w = {(i, j): 0.7 + 0.15 * rnd.randrange(ties + 1) / ties for i in range(n) for j in rnd.sample(range(m), 6)}
+        got = matching._assign([(i, j, x) for (i, j), x in w.items()])
+        assert len({g[0] for g in got}) == len(got) == len({g[1] for g in got}) and all(w[g[:2]] == g[2] for g in got)
+        assert abs(sum(g[2] for g in got) - _dense(n, m, w)) < 1e-9
+
+
+def _dense(n, m, w):
+    """Greatest total by Bellman-Ford over the residual graph, one augmentation after the other."""
+    taken, total = {}, 0.0
+    while True:
+        gain = {("l", i): 0.0 for i in range(n) if i not in taken.values()}
+        come = dict.fromkeys(gain)
+        changed = True
+        while changed:
+            changed = False
+            for (i, j), x in w.items():
+                steps = [(("r", j), ("l", i), -x)] if taken.get(j) == i else [(("l", i), ("r", j), x)]
+                for a, b, g in steps:
+                    if a in gain and gain[a] + g > gain.get(b, -9e9) + 1e-12:
+                        gain[b], come[b], changed = gain[a] + g, a, True
+        ends = [(g, k) for k, g in gain.items() if k[0] == "r" and k[1] not in taken]
+        if not ends or max(ends)[0] <= 1e-12:
+            return total
+        g, k = max(ends)
+        total += g
+        while k is not None:
+            before = come[k]
+            if k[0] == "r":
+                taken[k[1]] = before[1]
+            k = before
