@@ -314,13 +314,13 @@ def _windows(across: bool) -> Callable:
         first: pa.Table | None = None
         for b in batches:
             t = pa.Table.from_batches([b])
-            if first is None or first.num_rows < WINDOW:
-                first = pa.concat_tables([first, t]).slice(0, WINDOW) if first is not None else t.slice(0, WINDOW)
             n_held = held.num_rows if held is not None else 0
             whole = pa.concat_tables([held, t]).combine_chunks() if held is not None else t.combine_chunks()
-            if not across:
-                whole, links = _collapsed(whole, n_held)
-                yield from _batch(links, 2, names)
+            whole, links = _collapsed(whole, n_held)
+            yield from _batch(links, 2, names)
+            if first is None or first.num_rows < WINDOW:
+                fresh = whole.slice(n_held)
+                first = pa.concat_tables([first, fresh]).slice(0, WINDOW) if first is not None else fresh.slice(0, WINDOW)
             yield from _near(whole, n_held, across, names)
             held = whole.slice(max(0, whole.num_rows - WINDOW))
         if held is not None and not across:
@@ -357,14 +357,12 @@ def _near(t: pa.Table, old: int, across: bool, names: list[str]) -> Iterator[pa.
     if n < 2:
         return
     num = lambda c, none: t.column(c).combine_chunks().fill_null(none).to_numpy(zero_copy_only=False)
-    dig = num("digest", 0)
     ids, year, who, where, count, doi, has = num("id", -1), num("year", -9999), num("who", 0), num("where", 0), num("count", 0), num("doi", 0), num("has_doi", False)
     keys = t.column("key").to_pylist()
     pas = np.array([ord(k[0]) - 48 for k in keys])
     head = np.array([k[1 : HEAD + 1].partition(AFTER)[0].ljust(HEAD, "\0") for k in keys], dtype=f"<U{HEAD}").view(np.uint32).reshape(n, HEAD)
     part = num("part", 0) if across else None
     out: list[np.ndarray] = []
-    links: list[np.ndarray] = []
     for d in range(1, WINDOW + 1):
         if d >= n:
             break
@@ -374,8 +372,6 @@ def _near(t: pa.Table, old: int, across: bool, names: list[str]) -> Iterator[pa.
         ok = (pas[i] == pas[j]) & (ids[i] != ids[j])
         if part is not None:
             ok &= part[i] != part[j]
-            same = ok & (dig[i] == dig[j])
-            links.append(np.stack([ids[i[same]], ids[j[same]]], axis=1))
         ok &= (year[i] == -9999) | (year[j] == -9999) | (np.abs(year[i] - year[j]) <= YEARS)
         i, j = i[ok], j[ok]
         same_who = (who[i] == who[j]) & (who[i] != 0)
@@ -394,8 +390,6 @@ def _near(t: pa.Table, old: int, across: bool, names: list[str]) -> Iterator[pa.
             out.append(np.stack([ids[i[good]], ids[j[good]]]))
     if out:
         yield from _batch(np.concatenate(out, axis=1).T, 0, names)
-    if links:
-        yield from _batch(np.concatenate(links), 2, names)
 
 
 def candidates(e: DataFrame) -> DataFrame:
@@ -403,7 +397,7 @@ def candidates(e: DataFrame) -> DataFrame:
 
     All keys are sorted in one range partitioning by (key, digest, id), the key beginning with its pass, so that ties of a hot key are split over
     partitions too. Repeated descriptions are linked to the first and leave the window to others. Every partition also
-    gives its first and last WINDOW rows, which are compared across partitions.
+    gives its first and last WINDOW descriptions, which are collapsed again and compared across partitions.
     """
     rows = _sort_rows(e)
     order = ["key", "digest", "id"]

@@ -256,3 +256,19 @@ def _dense(n, m, w):
             if k[0] == "r":
                 taken[k[1]] = before[1]
             k = before
+
+
+def test_a_run_over_many_partitions_takes_one_place(spark):
+    early, hot, late = "沐墩地区农业生态由", "沐墩地区农业生态甲", "沐墩地区农业生态电"
+    rows = [(0, early, "Shen Ruoyan; Qian Lin", 2000, None, None, None, None, "x")] + [(i, hot, "You Gui", 1950, None, None, None, None, "x") for i in range(1, 4000)]
+    works = [(0, late, "Shen Ruoyan; Bao Wen", None, None, "3", "4", "5", "x")]
+    assert early < hot < late
+    e = _featured(spark, rows, works).withColumn("doi", F.when(F.col("year").isNull() | (F.col("year") == 2000), "10.99006/k2017.001026291"))
+    shown = matching._sort_rows(e).filter("key like '0%'").repartitionByRange(16, "key", "digest", "id").sortWithinPartitions("key", "digest", "id")
+    hit = matching.materialise(shown.mapInArrow(matching._windows(False), matching._PAIR))
+    edge = hit.filter("kind = 1")
+    assert edge.groupBy("part", "digest").count().filter("count > 2").count() == 0
+    across = edge.select("key", "digest", "id", "year", "who", "where", "count", "doi", "has_doi", "part").distinct().repartitionByRange(1, "key", "digest", "id").sortWithinPartitions("key", "digest", "id")
+    got = {(x["a"], x["b"], x["kind"]) for x in across.mapInArrow(matching._windows(True), matching._PAIR).collect() + hit.filter("kind <> 1").collect()}
+    assert (0, 1, 0) in got
+    assert len({x for a, b, kind in got if kind == 2 for x in (a, b)}) == 3999
