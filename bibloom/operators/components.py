@@ -1,36 +1,24 @@
-"""Connected components over an edge table, by repeated minimum propagation and contraction."""
+"""Connected components over an edge table, by repeated minimum propagation and contraction; edges between rows that share a key."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibloom.runtime import forget, lookup, materialise, rows_of
 
 
-#: Edges that one task settles at the end, in place of some more rounds over next to nothing.
-RESIDUE = 1000
-
-
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(u, to)`` of every id of a few edges, ``to`` being one id of its component."""
-    parent: dict[int, int] = {}
+def shared_key_edges(rows: DataFrame, row: str, keys: list[Column], tag: str = "links") -> DataFrame:
+    """``(u, v)``: each row and the least row that has one of its keys; rows that share nothing have no edge.
 
-    def top(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for b in batches:
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            a, c = top(u), top(v)
-            parent[max(a, c)] = min(a, c)
-    ids = list(parent)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(x) for x in ids], pa.int64())], names=["u", "to"])
+    A key of n rows costs n edges, never n². Counting is pre-aggregated, and a hot key's rows are spread over all tasks.
+    """
+    held = materialise(rows.select(F.col(row).cast("long").alias("u"), F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key")), tag)
+    per_key = materialise(held.groupBy("key").agg(F.min("u").alias("v"), F.count("*").alias("n")).filter("n > 1"), tag)
+    found = lookup(held, per_key, "key", rows_of(held), spread=F.xxhash64("u"))
+    edges = materialise(found.filter("v is not null and u <> v").select("u", "v").distinct(), tag)
+    forget(held, per_key)
+    return edges
 
 
 def propagate(edges: DataFrame, tag: str = "cc") -> DataFrame:
@@ -39,34 +27,31 @@ def propagate(edges: DataFrame, tag: str = "cc") -> DataFrame:
     Each round every vertex takes the least of itself and its neighbours, in an order given by a hash (so that chains of
     rising ids don't pass on their minimum one step at a time), and the edge table is rewritten between the ids taken.
     The table shrinks by a constant factor a round, so about log(vertices) rounds are needed, and each ends in a written
-    table; the last RESIDUE edges are settled by one task. Self pairs and repeated pairs are allowed; null ends are ignored; an empty input gives an empty result.
+    table. A hub's edges are spread over all tasks by their known number. Self pairs and repeated pairs are allowed; null
+    ends are ignored; an empty input gives an empty result.
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u is not null and v is not null")
     cur = materialise(e.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), tag)
     maps: list[DataFrame] = []
+    rank = lambda c: F.struct(F.xxhash64(F.col(c)), F.col(c).alias("id"))
     while rows_of(cur):
-        if rows_of(cur) <= RESIDUE:
-            maps.append(materialise(cur.select("u", "v").repartition(1).mapInArrow(_settle, "u long, to long"), tag))
-            break
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c)), F.col(c).alias("id"))
-        least = both.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least("m", F.struct(F.xxhash64(F.col("u")), F.col("u").alias("id"))).getField("id").alias("to"))
-        step = materialise(least, tag)
-        a = step.select(F.col("u"), F.col("to").alias("nu"))
-        b = step.select(F.col("u").alias("v"), F.col("to").alias("nv"))
-        after = cur.join(a, "u").join(b, "v").filter("nu <> nv").select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).distinct()
-        new = materialise(after, tag)
+        least = both.groupBy("u").agg(F.min(rank("v")).alias("m"), F.count("*").alias("n"))
+        step = materialise(least.select("u", F.least("m", rank("u")).getField("id").alias("to"), "n"), tag)
+        at_u = lookup(cur, step, "u", rows_of(cur), spread=F.xxhash64("v")).select(F.col("to").alias("nu"), F.col("v").alias("u"))
+        at_v = lookup(at_u, step, "u", rows_of(cur), spread=F.xxhash64("nu")).filter("nu <> to")
+        new = materialise(at_v.select(F.least("nu", "to").alias("u"), F.greatest("nu", "to").alias("v")).distinct(), tag)
         forget(cur)
         cur = new
         maps.append(step)
     final: DataFrame | None = None
     for step in reversed(maps):  # each level is a fraction of the one before it
-        moves = step.filter("u <> to")
+        moves = step.filter("u <> to").select("u", "to")
         if final is not None:
-            later = final.select(F.col("u").alias("to"), F.col("to").alias("end")).join(moves.groupBy("to").agg(F.count("*").alias("n")), "to")
-            moves = materialise(lookup(moves, later, "to", rows_of(step), spread=F.xxhash64("u")).select("u", F.coalesce("end", "to").alias("to")), tag)
-            kept = final.join(moves, "u", "left_anti").unionByName(moves)
-            final = kept
+            ends = moves.groupBy("to").agg(F.count("*").alias("n"))
+            later = materialise(final.select(F.col("u").alias("to"), F.col("to").alias("end")).join(ends, "to"), tag)
+            moves = lookup(moves, later, "to", rows_of(step), spread=F.xxhash64("u")).select("u", F.coalesce("end", "to").alias("to"))
+            final = materialise(final.join(moves.select("u"), "u", "left_anti").unionByName(moves), tag)
         else:
             final = moves
     vertices = e.select(F.explode(F.array("u", "v")).alias("u")).distinct()

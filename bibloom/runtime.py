@@ -32,29 +32,41 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``. Where that is unset, local mode gets a temporary one; a cluster has to name it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="bibloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def materialise(df: DataFrame, tag: str = "step") -> DataFrame:
-    """Write ``df`` as a table into the shared folder and read it again: lineage ends there and a lost executor loses nothing."""
+    """Write ``df`` as a table into the shared folder and read it again: lineage ends there and a lost executor loses nothing.
+
+    Its rows, and the greatest value of a column ``n``, are noted while it is written; see rows_of() and lookup().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/bibloom-{tag}-{uuid.uuid4().hex}"
     schema = df.schema
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
+    noted = [F.count(F.lit(1)).alias("n"), *([F.max("n").alias("top")] if "n" in df.columns else [])]
+    df.observe(seen, *noted).write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_forget_all)
     _written.append((spark, path))
     out = spark.read.schema(schema).parquet(path)
-    out._bibloom_path, out._bibloom_rows = path, seen.get.get("n")
+    out._bibloom_path, out._bibloom_rows, out._bibloom_top = path, seen.get.get("n"), seen.get.get("top", 0) or 0
     return out
 
 
+def together(frames: list[DataFrame]) -> DataFrame:
+    """The rows of several tables of ``materialise`` with one schema, as one scan."""
+    first = frames[0]
+    return first.sparkSession.read.schema(first.schema).parquet(*[f._bibloom_path for f in frames])
+
+
 def rows_of(df: DataFrame) -> int:
     """Rows of a table of ``materialise``, counted while it was written; of another frame by a job."""
     n = getattr(df, "_bibloom_rows", None)
@@ -93,15 +105,21 @@ def lookup(big: DataFrame, small: DataFrame, key: str, total: int, n: str = "n",
     """``big`` left-joined with ``small``, which is unique in ``key`` and has each key's row count of ``big`` in ``n``.
 
     Keys holding more than HOT_SHARE of ``total`` rows (so at most 200 of them) are broadcast; their rows take a join key
-    that spreads them over all partitions, so that no task gets more than its share. ``small`` should be materialised.
-    Null keys match nothing and are spread too. Columns of ``small`` other than ``key`` and ``n`` are added.
+    that spreads them over all partitions, so that no task gets more than its share. ``small`` should be materialised:
+    then its greatest count is known, and without a hot key nothing is broadcast. Null keys match nothing and are spread
+    too. Columns of ``small`` other than ``key`` and ``n`` are added; a count that is too high does no harm.
     """
     values = [c for c in small.columns if c not in (key, n)]
-    hot = small.filter(F.col(n) > F.lit(max(1.0, total * HOT_SHARE))).select(F.col(key), F.struct(*values).alias("_hot"))
+    least = max(1.0, total * HOT_SHARE)
     cold = small.select(F.col(key).alias("_k"), F.lit(0).alias("_s"), F.struct(*values).alias("_cold"))
     spread = spread if spread is not None else F.xxhash64(*[F.col(c).cast("string") for c in big.columns])
-    away = F.col("_hot").isNotNull() | F.col(key).isNull()
-    marked = big.join(F.broadcast(hot), key, "left").withColumns({"_s": F.when(away, F.pmod(spread, F.lit(1 << 30)).cast("int") + 1).otherwise(F.lit(0))})
+    top = getattr(small, "_bibloom_top", None) if n == "n" else None
+    if top is not None and top <= least:
+        marked, away = big.withColumn("_hot", F.lit(None).cast(cold.schema["_cold"].dataType)), F.col(key).isNull()
+    else:
+        hot = small.filter(F.col(n) > F.lit(least)).select(F.col(key), F.struct(*values).alias("_hot"))
+        marked, away = big.join(F.broadcast(hot), key, "left"), F.col("_hot").isNotNull() | F.col(key).isNull()
+    marked = marked.withColumn("_s", F.when(away, F.pmod(spread, F.lit(1 << 30)).cast("int") + 1).otherwise(F.lit(0)))
     joined = marked.join(cold, (marked[key] == cold["_k"]) & (marked["_s"] == cold["_s"]), "left")
     got = F.coalesce("_hot", "_cold")
     return joined.select(*[big_c for big_c in big.columns], *[got[v].alias(v) for v in values])
