@@ -2,70 +2,68 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.operators.components import propagate
-from bibloom.runtime import forget, lookup, materialise, rows_of
-
-#: Breadth-first rounds after which what was reached is merged into one vertex and propagation does the rest.
-MAX_ROUNDS = 5
+from bibloom.operators.components import propagate, shared_key_edges
+from bibloom.runtime import forget, lookup, materialise, rows_of, together
 
-
-def shared_key_edges(rows: DataFrame, row: str, keys: list[Column], tag: str = "links") -> DataFrame:
-    """``(u, v)``: each row and the least row that has one of its keys; rows that share nothing have no edge.
-
-    A key of n rows costs n edges, never n². Counting is pre-aggregated, and a hot key's rows are spread over all tasks.
-    """
-    held = materialise(rows.select(F.col(row).cast("long").alias("u"), F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key")), tag)
-    per_key = materialise(held.groupBy("key").agg(F.min("u").alias("v"), F.count("*").alias("n")).filter("n > 1"), tag)
-    found = lookup(held, per_key, "key", rows_of(held), spread=F.xxhash64("u"))
-    edges = materialise(found.filter("v is not null and u <> v").select("u", "v").distinct(), tag)
-    forget(held, per_key)
-    return edges
+#: Frontiers are followed for this many rounds times log2(vertices). A giant component of chance links is log(vertices)
+#: deep; what is deeper is a chain, in which each further round would add a few vertices only.
+DEPTH = 8
 
 
 def group_links(edges: DataFrame, tag: str = "groups") -> DataFrame:
     """``(u, label)`` for every id of an edge; label is the least id of its component.
 
     1. From the vertex of the highest degree, frontiers are joined with the edges until nothing new is reached: that is
-       the giant component. A frontier's vertices of very high degree are broadcast (at most 200), others are shuffled.
-    2. Its vertices are anti-joined away. Should it still grow after MAX_ROUNDS, what was reached becomes one vertex.
+       the giant component. A level's neighbours are on the level before, the same or the next one, so a round looks at
+       two levels only, and neither its plan nor its cost grows with the rounds before it. Edges carry the degrees of
+       their ends; those of vertices of very high degree are spread over all tasks.
+    2. Its vertices are anti-joined away. Should it be deeper than DEPTH rounds times log2(vertices), what was reached
+       becomes one vertex of the rest, so that a chain of any length comes out whole.
     3. The remaining components are labelled by minimum propagation.
     Ids that occur only in pairs with themselves form a group of one. An empty input gives an empty result.
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u is not null and v is not null")
-    both = materialise(e.filter("u <> v").unionByName(e.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), tag)
+    ways = materialise(e.filter("u <> v").unionByName(e.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), tag)
     alone = e.filter("u = v").select("u").distinct()
-    degrees = materialise(both.groupBy("u").agg(F.count("*").alias("n")), tag)
-    top = degrees.agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u"), F.sum("n").alias("total")).first()
-    spark = edges.sparkSession
+    degrees = materialise(ways.groupBy("u").agg(F.count("*").alias("n")), tag)
+    top = degrees.agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u"), F.max("n").alias("n")).first()
     if top["u"] is None:
         return alone.select("u", F.col("u").alias("label"))
-    frontier = materialise(degrees.filter(F.col("u") == top["u"]).withColumn("on", F.lit(True)), tag)
-    reached = [frontier]
-    seen = frontier.select("u")
-    for _ in range(MAX_ROUNDS):
-        near = lookup(both, frontier, "u", top["total"], spread=F.xxhash64("v")).filter("on").select(F.col("v").alias("u")).distinct()
-        fresh = materialise(near.join(seen, "u", "left_anti").join(degrees, "u").withColumn("on", F.lit(True)), tag)
-        frontier = fresh
+    total = rows_of(ways)
+    both = materialise(lookup(ways, degrees.select(F.col("u").alias("v"), "n", F.col("n").alias("nv")), "v", total, spread=F.xxhash64("u")), tag)
+    forget(ways)
+    spark = edges.sparkSession
+    levels = [materialise(spark.createDataFrame([(top["u"], top["n"])], "u long, n long").withColumn("on", F.lit(True)), tag)]
+    for _ in range(math.ceil(DEPTH * math.log2(rows_of(degrees) + 1))):
+        near = lookup(both, levels[-1], "u", total, spread=F.xxhash64("v")).filter("on").select(F.col("v").alias("u"), F.col("nv").alias("n")).distinct()
+        for level in levels[-2:]:
+            near = near.join(level.select("u"), "u", "left_anti")
+        fresh = materialise(near.withColumn("on", F.lit(True)), tag)
         if not rows_of(fresh):
-            rest = both.join(seen, "u", "left_anti")
             break
-        reached.append(fresh)
-        seen = seen.unionByName(fresh.select("u"))
+        levels.append(fresh)
+    reached = together(levels)
+    reached._bibloom_top = top["n"]
+    outside = lookup(both.select("u", "v"), reached, "u", total, spread=F.xxhash64("v")).filter("on is null").select("u", "v")
+    if rows_of(fresh):
+        mark = reached.select(F.col("u").alias("v"), "n", F.lit(top["u"]).alias("to"))
+        mark._bibloom_top = top["n"]
+        outside = lookup(outside, mark, "v", total, spread=F.xxhash64("u")).select("u", F.coalesce("to", "v").alias("v"))
     else:
-        mark = lambda c: seen.select(F.col("u").alias(c), F.lit(top["u"]).alias(f"{c}_to"))
-        rest = both.join(mark("u"), "u", "left").join(mark("v"), "v", "left").select(F.coalesce("u_to", "u").alias("u"), F.coalesce("v_to", "v").alias("v")).filter("u <> v")
-    small = propagate(rest.filter("u < v"), tag)
-    merged = small.filter(F.col("u") == top["u"]).select("label").first()
+        outside = outside.filter("u < v")
+    small = propagate(outside, tag)
+    merged = small.filter(F.col("u") == top["u"]).select("label").first() if rows_of(fresh) else None
     giant = merged["label"] if merged else top["u"]
-    labels = materialise(small.join(seen, "u", "left_anti").unionByName(seen.select("u", F.lit(giant).cast("long").alias("label"))), tag)
+    labels = materialise(small.filter(F.col("u") != top["u"]).unionByName(reached.select("u", F.lit(giant).cast("long").alias("label"))), tag)
     least = materialise(labels.groupBy("label").agg(F.min("u").alias("least"), F.count("*").alias("n")), tag)
     out = lookup(labels, least, "label", rows_of(labels), spread=F.xxhash64("u")).select("u", F.col("least").alias("label"))
-    forget(both, degrees, *reached, small)
-    named = spark.read.schema(labels.schema).parquet(labels._bibloom_path)
-    return out.unionByName(alone.join(named.select("u"), "u", "left_anti").select("u", F.col("u").alias("label")))
+    forget(both, degrees, *levels, small)
+    return out.unionByName(alone.join(labels.select("u"), "u", "left_anti").select("u", F.col("u").alias("label")))
 
 
 def row_groups(rows: DataFrame, row: str, keys: list[Column]) -> DataFrame:

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from bibloom.llm import canonical, copies, groups, matching, mixture
-from bibloom.operators import components
 
 
 def _components(edges):
@@ -27,9 +26,9 @@ def _components(edges):
     return {(x, min(c)) for c in out.values() for x in c}
 
 
-@pytest.mark.parametrize("residue", [0, 1000])
-def test_groups_against_union_find(spark, monkeypatch, residue):
-    monkeypatch.setattr(components, "RESIDUE", residue)
+@pytest.mark.parametrize("depth", [0.3, 8])
+def test_groups_against_union_find(spark, monkeypatch, depth):
+    monkeypatch.setattr(groups, "DEPTH", depth)
     rnd = random.Random(1)
     star = [(0, i) for i in range(1, 200)] + [(i, 400 + i) for i in range(1, 60)]
     chain = [(1000 + i, 1001 + i) for i in range(60)]
