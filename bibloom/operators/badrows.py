@@ -42,8 +42,9 @@ def error_parse(line: str, columns: int) -> tuple[list[str], str | None, list[st
     """Fields, fault and edits of the cheapest repair of ``line`` into ``columns`` fields.
 
     Dynamic programme over the line's tokens, the lexer's state and the number of delimiters passed. An edit deletes or
-    inserts a quote or a delimiter; one made beside a quote, or that takes out a line break, counts as a quote edit.
-    fault is null at cost 0, ``quoting`` if any repair needs a quote edit, else ``column_count``. An empty line is one
+    inserts a quote or a delimiter; to delete a delimiter joins two fields, each of which keeps its own quotes. One
+    inserted between a quote and text, or that takes out a line break, counts as a quote edit. So a line whose quoting is
+    right is repaired by delimiter edits alone, and no other line is. fault is null at cost 0, ``quoting`` if any repair needs a quote edit, else ``column_count``. An empty line is one
     empty field.
     """
     tokens = _TOKENS.findall(line)
@@ -83,7 +84,7 @@ def error_parse(line: str, columns: int) -> tuple[list[str], str | None, list[st
             elif t == ",":
                 put(QUOTED if s == QUOTED else START, k + (s != QUOTED), cost, (path, t))
                 if s != QUOTED:
-                    put(s, k, cost + (QUOTE_EDIT if s == AFTER and follows == '"' else DELIMITER_EDIT), (path, "dd"))
+                    put(START, k, cost + DELIMITER_EDIT, (path, "dd"))
             elif t in "\r\n":
                 if s == QUOTED:
                     put(s, k, cost, (path, t))
@@ -118,6 +119,7 @@ def _replay(steps: list[str]) -> tuple[list[str], list[str]]:
             edits.append(f"{op} at {at}")
         c = {"iq": '"', "id": ","}.get(x, x) if op else x
         if x in ("dq", "dd", "dn") and op:
+            state = START if x == "dd" else state
             at += 1
             continue
         if c == '"' and state != PLAIN:
@@ -136,16 +138,9 @@ def _replay(steps: list[str]) -> tuple[list[str], list[str]]:
 
 
 def parse_line(line: str, columns: int) -> tuple[list[str], str | None, list[str]]:
-    """As error_parse(), with the zero-cost case decided by one regular expression.
-
-    Where the quoting is right the fault can only be the number of columns, however the cheapest repair is made.
-    """
-    if _GOOD.fullmatch(line):
-        found = fields_of(line)
-        if len(found) == columns:
-            return found, None, []
-        fields, _, edits = error_parse(line, columns)
-        return fields, "column_count", edits
+    """As error_parse(), with lines that cost nothing told by one regular expression."""
+    if _GOOD.fullmatch(line) and len(found := fields_of(line)) == columns:
+        return found, None, []
     return error_parse(line, columns)
 
 

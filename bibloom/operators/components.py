@@ -45,6 +45,7 @@ def propagate(edges: DataFrame, tag: str = "cc") -> DataFrame:
         cur = new
         maps.append(step)
     final: DataFrame | None = None
+    used = list(maps)
     for step in reversed(maps):  # each level is a fraction of the one before it
         moves = step.filter("u <> to").select("u", "to")
         if final is not None:
@@ -52,9 +53,12 @@ def propagate(edges: DataFrame, tag: str = "cc") -> DataFrame:
             later = materialise(final.select(F.col("u").alias("to"), F.col("to").alias("end")).join(ends, "to"), tag)
             moves = lookup(moves, later, "to", rows_of(step), spread=F.xxhash64("u")).select("u", F.coalesce("end", "to").alias("to"))
             final = materialise(final.join(moves.select("u"), "u", "left_anti").unionByName(moves), tag)
+            used += [later, final]
         else:
             final = moves
     vertices = e.select(F.explode(F.array("u", "v")).alias("u")).distinct()
     if final is None:
         return materialise(vertices.withColumn("label", F.col("u")), tag)
-    return materialise(vertices.join(final, "u", "left").select("u", F.coalesce("to", "u").alias("label")), tag)
+    out = materialise(vertices.join(final, "u", "left").select("u", F.coalesce("to", "u").alias("label")), tag)
+    forget(cur, *used)
+    return out

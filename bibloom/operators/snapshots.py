@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bibloom.functions import columns as C
-from bibloom.operators.components import propagate
-from bibloom.runtime import materialise
+from bibloom.operators.components import propagate, shared_key_edges
+from bibloom.runtime import forget, lookup, materialise, rows_of
 
-#: Rows of compact arrays (key, hash, least row) that one task holds at most on average: 4M x 24 bytes.
-ROWS_A_BUCKET = 1 << 22
+#: Rows of compact arrays (paper, snapshot, two hashes, least row) that a bucket holds on average: 1M x 40 bytes.
+ROWS_A_BUCKET = 1 << 20
 
 
 def _plain(c: Column, kind: T.DataType) -> Column:
@@ -31,79 +31,86 @@ def _plain(c: Column, kind: T.DataType) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def content_hash(df: DataFrame, ignore: tuple[str, ...], normal: dict[str, Column]) -> Column:
-    """64-bit hash of all columns but ``ignore``, in name order; ``normal`` gives columns that have a form of their own."""
+def content(df: DataFrame, ignore: tuple[str, ...], normal: dict[str, Column]) -> Column:
+    """All columns but ``ignore`` as one text, in name order; ``normal`` gives columns that have a form of their own."""
     cells = [F.coalesce(normal[f.name], F.lit("")) if f.name in normal else _plain(F.col(f"`{f.name}`"), f.dataType) for f in sorted(df.schema.fields, key=lambda f: f.name) if f.name not in ignore]
-    return F.xxhash64(F.concat_ws("\x1d", *cells))
+    return F.concat_ws("\x1d", *cells)
 
 
-def paper_keys(df: DataFrame, tag: str = "papers") -> DataFrame:
-    """``(row, key)`` of every row with a PMID or DOI; rows tied by either, directly or through others, have one key.
+def _papers(compact: DataFrame, tag: str) -> DataFrame:
+    """``compact`` with ``paper``, one row number for all rows tied by PMID or DOI, directly or through others.
 
-    The two identifiers are the vertices (hashed to 64 bits, in two name spaces), a row with both is an edge. Only the
-    distinct pairs go into the component search.
+    Only distinct pairs of the two identifiers, each with its least row, go into the component search. Identifiers are
+    compared as they are, no hash stands for them. A pair that holds a large share of all rows is spread over all tasks.
     """
-    ids = df.select("pmid_k", "doi_k").filter("pmid_k is not null and doi_k is not null").distinct()
-    edges = ids.select(F.xxhash64(F.lit("p"), "pmid_k").alias("u"), F.xxhash64(F.lit("d"), "doi_k").alias("v"))
-    return propagate(edges, tag).withColumnRenamed("u", "node")
+    pairs = materialise(compact.groupBy("ids").agg(F.min("row").alias("least"), F.count("*").alias("n"), F.first("pmid_k").alias("pmid_k"), F.first("doi_k").alias("doi_k")), tag)
+    edges = shared_key_edges(pairs, "least", [F.concat(F.lit("p"), "pmid_k"), F.concat(F.lit("d"), "doi_k")], tag)
+    labels = propagate(edges, tag)
+    named = materialise(pairs.join(labels.withColumnRenamed("u", "least"), "least", "left").select("ids", "n", F.coalesce("label", "least").alias("paper")), tag)
+    forget(pairs, edges, labels)
+    return lookup(compact, named, "ids", rows_of(compact), spread=F.xxhash64("row"))
+
+
+_CHANGES = "change_type string, row_id long, snapshot_no long, old_row_id long"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a bucket as arrays; per pair of snapshots, set differences by searchsorted on the sorted keys."""
-    cols = [b.to_pydict() if False else [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)] for b in batches]
+    """All rows of a bucket as arrays; per pair of snapshots, set differences by searchsorted on the sorted papers."""
+    cols = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(5)] for b in batches]
     if not cols:
         return
-    key, snap, digest, row = (np.concatenate([c[i] for c in cols]) for i in range(4))
+    key, snap, one, two, row = (np.concatenate([c[i] for c in cols]) for i in range(5))
     numbers = np.unique(snap)
-    at: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    at: dict[int, tuple[np.ndarray, ...]] = {}
     for s in numbers:
-        m = snap == s
-        o = np.argsort(key[m], kind="stable")
-        at[int(s)] = key[m][o], digest[m][o], row[m][o]
-    none = np.array([], dtype=np.int64)
+        m = np.flatnonzero(snap == s)
+        m = m[np.argsort(key[m], kind="stable")]
+        at[int(s)] = key[m], one[m], two[m], row[m]
+    none = (np.array([], dtype=np.int64),) * 4
     lo, hi = (int(numbers.min()), int(numbers.max())) if len(numbers) else (0, -1)
     for s in range(lo, hi + 2):
-        ka, da, ra = at.get(s - 1, (none, none, none))
-        kb, db, rb = at.get(s, (none, none, none))
+        ka, a1, a2, ra = at.get(s - 1, none)
+        kb, b1, b2, rb = at.get(s, none)
         pos = np.searchsorted(ka, kb)
         hit = pos < len(ka)
         hit[hit] = ka[pos[hit]] == kb[hit]
         gone = np.ones(len(ka), dtype=bool)
         gone[pos[hit]] = False
         differ = np.zeros(len(kb), dtype=bool)
-        differ[hit] = da[pos[hit]] != db[hit]
-        for kind, rows in (("added", rb[~hit]), ("changed", rb[differ]), ("removed", ra[gone])):
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.string()), pa.array(rows, pa.int64()), pa.array(np.full(len(rows), s, dtype=np.int64))], names=["change_type", "row_id", "snapshot_no"])
+        differ[hit] = (a1[pos[hit]] != b1[hit]) | (a2[pos[hit]] != b2[hit])
+        for kind, rows, old in (("added", rb[~hit], None), ("changed", rb[differ], ra[pos[differ]]), ("removed", ra[gone], ra[gone])):
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.string()), pa.array(rows, pa.int64()), pa.array(np.full(len(rows), s, dtype=np.int64)), pa.nulls(len(rows), pa.int64()) if old is None else pa.array(old, pa.int64())], names=["change_type", "row_id", "snapshot_no", "old_row_id"])
 
 
-def diff_snapshots(df: DataFrame, keys: DataFrame | None = None, row: str = "row_id", snapshot: str = "snapshot_no", ignore: tuple[str, ...] = ("delivered_at",)) -> DataFrame:
-    """``(change_type, row_id, snapshot_no)`` for every snapshot against the one before.
+def diff_snapshots(df: DataFrame, row: str = "row_id", snapshot: str = "snapshot_no", ignore: tuple[str, ...] = ("delivered_at",), rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
+    """``(change_type, row_id, snapshot_no, old_row_id)`` for every snapshot against the one before.
 
-    A paper is all rows tied by PMID or DOI; it has changed if the set of its rows' contents has. Rows without either
-    identifier take no part. Repeated rows, null and filler cells and further columns are fine (further columns count as
-    content); an empty table gives no rows. The first and the last snapshot bound the comparison: nothing is "added" in
-    the first or "removed" after the last.
+    A paper is all rows tied by PMID or DOI; it has changed if the set of its rows' contents has, which is told by 128
+    bits of hash. ``row_id`` is its least row in that snapshot, ``old_row_id`` in the one before, and both are the earlier
+    one where it was removed. Rows without either identifier take no part. Papers are hashed to as many buckets as hold
+    ``rows_a_bucket`` rows each, at least one for each shuffle partition. Repeated rows, null and filler cells and further
+    columns are fine (further columns count as content); an empty table gives no rows. The first and the last snapshot
+    bound the comparison: nothing is "added" in the first or "removed" after the last.
     """
     base = df.withColumns({"pmid_k": C.pmid_key(F.col("pmid")), "doi_k": C.doi_key(F.col("doi"))}).filter("pmid_k is not null or doi_k is not null")
-    plain = df.columns
-    digest = content_hash(df, (row, snapshot, *ignore), {"pmid": F.col("pmid_k"), "doi": F.col("doi_k")})
-    assert set(plain) >= {row, snapshot, "pmid", "doi"}
-    compact = materialise(base.select(F.col(row).cast("long").alias("row"), F.col(snapshot).cast("long").alias("snap"), digest.alias("digest"), "pmid_k", "doi_k"), "snap")
-    nodes = keys if keys is not None else paper_keys(compact, "snap")
-    node = F.when(F.col("pmid_k").isNotNull(), F.xxhash64(F.lit("p"), "pmid_k")).otherwise(F.xxhash64(F.lit("d"), "doi_k"))
-    one = compact.select(node.alias("node"), "snap", "digest", "row").groupBy("node", "snap", "digest").agg(F.min("row").alias("row"))
-    keyed = one.join(nodes, "node", "left").select(F.coalesce("label", "node").alias("key"), "snap", "digest", "row")
-    sets = keyed.groupBy("key", "snap", "digest").agg(F.min("row").alias("row")).groupBy("key", "snap").agg(F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("d"), F.count("*").alias("n"), F.min("row").alias("row"))
-    flat = sets.select("key", "snap", F.xxhash64("d", "n").alias("digest"), "row")
+    text = content(df, (row, snapshot, *ignore), {"pmid": F.col("pmid_k"), "doi": F.col("doi_k")})
+    ids = F.concat_ws("\x1f", F.coalesce("pmid_k", F.lit("")), F.coalesce("doi_k", F.lit("")))
+    with_text = base.select(F.col(row).cast("long").alias("row"), F.col(snapshot).cast("long").alias("snap"), text.alias("text"), ids.alias("ids"), "pmid_k", "doi_k")
+    compact = materialise(with_text.select("row", "snap", F.xxhash64("text").alias("one"), F.xxhash64(F.lit(1), "text").alias("two"), "ids", "pmid_k", "doi_k"), "snap")
     bounds = compact.agg(F.min("snap").alias("lo"), F.max("snap").alias("hi")).first()
-    if bounds is None or bounds["lo"] is None:
-        return df.sparkSession.createDataFrame([], "change_type string, row_id long, snapshot_no long")
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    buckets = flat.repartition(parts, F.col("key"))
-    out = buckets.mapInArrow(_compare, "change_type string, row_id long, snapshot_no long")
+    if bounds["lo"] is None:
+        return df.sparkSession.createDataFrame([], _CHANGES)
+    contents = _papers(compact, "snap").groupBy("paper", "snap", "one", "two").agg(F.min("row").alias("row"))
+    mixed = [F.bit_xor(F.xxhash64(F.lit(i), "one", "two")).alias(f"x{i}") for i in (1, 2)]
+    sets = contents.groupBy("paper", "snap").agg(*mixed, F.count("*").alias("n"), F.min("row").alias("row"))
+    flat = sets.select("paper", "snap", *[F.xxhash64(f"x{i}", "n").alias(f"x{i}") for i in (1, 2)], "row")
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows_of(compact) // rows_a_bucket))
+    out = flat.repartition(parts, F.col("paper")).mapInArrow(_compare, _CHANGES)
     return out.filter((F.col("snapshot_no") > bounds["lo"]) & (F.col("snapshot_no") <= bounds["hi"]))
 
 
-def changed_values(df: DataFrame, changes: DataFrame, row: str = "row_id") -> DataFrame:
-    """The full rows behind ``changes``: only the differing keys' values are fetched."""
-    return changes.join(df.drop("snapshot_no"), changes["row_id"] == df[row], "inner").drop(df[row])
+def changed_values(df: DataFrame, changes: DataFrame, columns: tuple[str, ...], row: str = "row_id") -> DataFrame:
+    """``changes`` with the new and the old values of ``columns``: only the differing papers' rows are fetched. New values of a removed paper and old ones of an added one are null."""
+    values = lambda c, prefix: df.select(F.col(row).cast("long").alias(c), *[F.col(x).alias(f"{prefix}{x}") for x in columns])
+    found = changes.withColumn("_new", F.when(F.col("change_type") != "removed", F.col("row_id")))
+    return found.join(values("_new", ""), "_new", "left").join(values("old_row_id", "old_"), "old_row_id", "left").drop("_new")

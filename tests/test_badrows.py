@@ -1,5 +1,3 @@
-import itertools
-
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -64,5 +62,8 @@ def test_bad_rows(spark):
     assert B.parse_lines(clash).columns.count("fields") == 1
 
 
-def test_edit_kinds():
-    assert all(len(set(x)) == 2 for x in itertools.combinations(["quoting", "column_count"], 2))
+def test_edits_say_what_to_mend():
+    assert B.parse_line("a,b,c", 2)[2] in (["delete delimiter at 1"], ["delete delimiter at 3"])
+    assert B.parse_line('"a","b"', 1) == (["ab"], "column_count", ["delete delimiter at 3"])
+    assert B.parse_line("a", 2) == (["a", ""], "column_count", ["insert delimiter at 1"])
+    assert B.parse_line('"a', 1)[1:] in (("quoting", ["insert quote at 2"]), ("quoting", ["delete quote at 0"]))

@@ -1,8 +1,6 @@
 import random
 from collections import defaultdict
 
-import pytest
-
 from bibloom.operators import components, snapshots
 
 SCHEMA = "row_id long, snapshot_no int, pmid string, doi string, title string, authors array<struct<name:string,first:boolean>>, delivered_at string, extra int"
@@ -49,7 +47,14 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = {tuple(r) for r in snapshots.diff_snapshots(df).select("change_type", "row_id", "snapshot_no").collect()}
     assert got == _brute(rows)
-    assert snapshots.changed_values(df, snapshots.diff_snapshots(df)).count() == len(got)
+    few = snapshots.diff_snapshots(df, rows_a_bucket=20)
+    assert few.rdd.getNumPartitions() > 8 and {tuple(r) for r in few.drop("old_row_id").collect()} == got
+    values = snapshots.changed_values(df, few, ("title", "extra")).collect()
+    by = {r[0]: r for r in rows}
+    assert len(values) == len(got)
+    for v in values:
+        assert (v["title"], v["extra"]) == ((None, None) if v["change_type"] == "removed" else (by[v["row_id"]][4], by[v["row_id"]][7]))
+        assert (v["old_title"], v["old_extra"]) == ((None, None) if v["change_type"] == "added" else (by[v["old_row_id"]][4], by[v["old_row_id"]][7]))
 
 
 def test_form_is_no_change(spark):
@@ -60,9 +65,7 @@ def test_form_is_no_change(spark):
     assert [r["change_type"] for r in snapshots.diff_snapshots(spark.createDataFrame(order, SCHEMA)).collect()] == ["changed"]
 
 
-@pytest.mark.parametrize("residue", [0, 1000])
-def test_components(spark, monkeypatch, residue):
-    monkeypatch.setattr(components, "RESIDUE", residue)
+def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(120)] + [(5, None), (7, 7)]
     parent = {}
