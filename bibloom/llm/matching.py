@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
 import unicodedata
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,14 +23,14 @@ from bibloom.runtime import lookup, materialise, rows_of
 
 #: Rows of the sorted list that each row is compared with, on either side.
 WINDOW = 8
-#: Leading characters of a title that are compared in the window.
-HEAD = 24
 #: Ends the title in a sort key; sorts before all that folded titles hold.
 AFTER = "\x01"
 #: Weight of each field where both sides have it.
 WEIGHTS = {"title": 4.0, "authors": 2.0, "place": 2.0, "doi": 1.5, "numbers": 1.0, "year": 0.5}
 #: Least confidence of a match; from CERTAIN on, what is tied together is one entity before the assignment.
 LEAST, CERTAIN = 0.70, 0.85
+#: Records and works of one paper that are joined in one piece, at most.
+CELL = 1000
 #: Years that two descriptions of one paper may be apart.
 YEARS = 2
 _NOTE = re.compile(r"^\s*(?:勘误|更正|订正|撤稿|[Ee]rrat|ERRAT|[Cc]orrection|CORRECTION|[Cc]orrigend|CORRIGEND|[Rr]etract|RETRACT)|一文的(?:更正|勘误|订正)")
@@ -250,29 +250,59 @@ def clean_page(text: str | None) -> str | None:
 
 
 _TEXTS = ("doi", "volume", "issue", "page", "zh", "en", "sequel", "authors", "numbers", "who", "lead")
-_FEATURES = "id long, side int, year int, cut boolean, note boolean, et_al boolean, " + ", ".join(f"{x} string" for x in _TEXTS)
+_FEATURES = "id long, side int, year int, cut boolean, note boolean, et_al boolean, " + ", ".join(f"{x} string" for x in _TEXTS) + ", compact binary"
 _COMPARED = ("year", "cut", "note", "et_al", *_TEXTS[:-2])
 
 
+#: Authors of which a compact description has the initials, and the bits that a title's character pairs are hashed to.
+_LISTED, _BITS = 4, 256
+_COMPACT = np.dtype([("year", "<i2"), ("flags", "u1"), ("authors", "<u2"), ("pairs_zh", "<u2"), ("pairs_en", "<u2"), *((x, "<u4") for x in ("sequel", "volume", "issue", "page", "doi", "numbers")), ("initials", "<u4", (_LISTED,))])
+_CUT, _NOTE_BIT, _ET_AL_BIT, _ZH, _EN, _YEAR = (1 << i for i in range(6))
+
+
+def _code(text: str | None) -> int:
+    """A number that is equal for equal texts, 0 for none."""
+    return zlib.crc32(text.encode()) | 1 if text else 0
+
+
+def _initials(name: str) -> int:
+    """The set of first letters of a name's tokens."""
+    out = 0
+    for t in name.split(" "):
+        out |= 1 << (ord(t[0]) - 97)
+    return out
+
+
+def _compact(f: Features, year: int | None, doi: str | None, volume: str | None, issue: str | None, page: str | None, names: list[str], numbers: str) -> tuple:
+    flags = f.cut * _CUT | f.note * _NOTE_BIT | f.et_al * _ET_AL_BIT | bool(f.zh) * _ZH | bool(f.en) * _EN | (year is not None) * _YEAR
+    pairs = [min(65535, len(set(zip(t, t[1:], strict=False)))) for t in (f.zh, f.en)]
+    first = [_initials(n) for n in names[:_LISTED]]
+    return max(-32768, min(32767, year or 0)), flags, min(65535, len(names)), *pairs, _code(f.sequel), _code(volume), _code(issue), _code(page), _code(doi), _code(numbers), first + [0] * (_LISTED - len(first))
+
+
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cleaned cells and features; authors and numbers as joined text, with the first author's initials and the first three authors."""
+    """Cleaned cells and features; authors and numbers as joined text, with the first author's initials and the first three authors, and all in compact form."""
     names = [x.split()[0] for x in _FEATURES.split(", ")]
     for b in batches:
         doi, volume, issue, page, title, people = (b.column(i).to_pylist() for i in range(3, 9))
         f = list(map(features, title, people))
         sets = [list(map(" ".join, x.authors)) for x in f]
+        doi, volume, issue, page = list(map(clean_doi, doi)), list(map(clean_number, volume)), list(map(clean_number, issue)), list(map(clean_page, page))
+        numbers = [",".join(x.numbers) for x in f]
+        compact = np.array(list(map(_compact, f, b.column(2).to_pylist(), doi, volume, issue, page, sets, numbers)), dtype=_COMPACT).tobytes()
+        size = _COMPACT.itemsize
         texts = (
-            map(clean_doi, doi), map(clean_number, volume), map(clean_number, issue), map(clean_page, page), (x.zh for x in f), (x.en for x in f), (x.sequel for x in f), (";".join(s) for s in sets), (",".join(x.numbers) for x in f),
+            doi, volume, issue, page, (x.zh for x in f), (x.en for x in f), (x.sequel for x in f), (";".join(s) for s in sets), numbers,
             ("".join(w[0] for w in s[0].split(" ")) if s else None for s in sets), (";".join(s[:3]) if s else None for s in sets),
         )
         flags = (pa.array([x.cut for x in f], pa.bool_()), pa.array([x.note for x in f], pa.bool_()), pa.array([x.et_al for x in f], pa.bool_()))
         #: ids of the two sides must differ
         ids = pa.array(b.column(0).to_numpy() * 2 + b.column(1).to_numpy(), pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, b.column(1), b.column(2), *flags, *(pa.array(list(t), pa.string()) for t in texts)], names=names)
+        yield pa.RecordBatch.from_arrays([ids, b.column(1), b.column(2), *flags, *(pa.array(list(t), pa.string()) for t in texts), pa.array([compact[i : i + size] for i in range(0, len(compact), size)], pa.binary())], names=names)
 
 
 def _sort_rows(e: DataFrame) -> DataFrame:
-    """``(key, digest, id, year, who, where, ...)``: an entry once for each composite sort key that it has; the key begins with the pass.
+    """``(key, digest, id, compact)``: an entry once for each composite sort key that it has; the key begins with the pass.
 
     Keys are whole, however long: a title, then year and first author, so that only what is equal in all of them is ordered by the digest.
     """
@@ -289,20 +319,16 @@ def _sort_rows(e: DataFrame) -> DataFrame:
     ]
     rows = [F.concat(F.lit(str(i)), k) for i, k in enumerate(keys)]
     digest = F.xxhash64("side", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in _COMPARED])
-    where = F.when(F.col("page").isNotNull(), F.hash("page", F.coalesce("volume", "issue")))
-    flat = e.select(F.array_compact(F.array(*rows)).alias("keys"), digest.alias("digest"), "id", "year", F.when(known, F.hash("who")).alias("who"), where.alias("where"), F.when(F.col("numbers") != "", F.hash("numbers")).alias("count"), F.hash("doi").alias("doi"), F.col("doi").isNotNull().alias("has_doi"))
-    return flat.select(F.explode("keys").alias("key"), *flat.columns[1:])
+    return e.select(F.array_compact(F.array(*rows)).alias("keys"), digest.alias("digest"), "id", "compact").select(F.explode("keys").alias("key"), "digest", "id", "compact")
 
 
-_PAIR = "a long, b long, kind int, key string, digest long, id long, year int, who int, where int, count int, doi int, has_doi boolean, part int"
+_PAIR = "a long, b long, kind int, key string, digest long, id long, compact binary, part int"
 
 
 def _windows(across: bool) -> Callable:
     """Candidates among WINDOW neighbours of a sorted partition, and its edge rows, which meet the next partition's later.
 
-    A pair of neighbours is a candidate if the years allow it and enough of who, where, DOI and numbers agrees; in title
-    order the numbers alone say little, as titles end in them, and what agrees may be less the longer the keys begin alike.
-    All by array operations over the whole batch, one distance after the other.
+    Every pair of neighbours is compared: see bounds(). All by array operations over the whole batch, one distance after the other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +353,7 @@ def _windows(across: bool) -> Callable:
             edge = pa.concat_tables([first, held]).combine_chunks()
             n = edge.num_rows
             nothing = pa.array(np.full(n, -1), pa.int64())
-            cols = [nothing, nothing, pa.array(np.full(n, 1), pa.int32()), *(edge.column(i).combine_chunks() for i in range(9)), pa.array(np.full(n, part), pa.int32())]
+            cols = [nothing, nothing, pa.array(np.full(n, 1), pa.int32()), *(edge.column(i).combine_chunks() for i in range(4)), pa.array(np.full(n, part), pa.int32())]
             yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names=names)
 
     return run
@@ -348,44 +374,96 @@ def _batch(pairs: np.ndarray, kind: int, names: list[str]) -> Iterator[pa.Record
     if len(pairs):
         pairs = np.unique(np.sort(pairs, axis=1), axis=0)
         m = len(pairs)
-        kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.bool_()]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(m, kind), pa.int32()), *(pa.nulls(m, k) for k in kinds), pa.array(np.zeros(m), pa.int32())], names=names)
 
 
+def _described(column: pa.ChunkedArray) -> np.ndarray:
+    """The compact descriptions of a table, without copying them."""
+    flat = column.combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    at = np.frombuffer(flat.buffers()[1], dtype=np.int32)[flat.offset]
+    return np.frombuffer(flat.buffers()[2], dtype=_COMPACT, count=len(flat), offset=at)
+
+
+def _pair_bits(titles: list[str]) -> np.ndarray:
+    """The character pairs of each title, hashed to _BITS bits."""
+    flat = np.frombuffer("".join(titles).encode("utf-32-le"), dtype=np.uint32)
+    sizes = np.fromiter(map(len, titles), dtype=np.int64, count=len(titles))
+    row = np.repeat(np.arange(len(titles)), sizes)
+    inside = row[1:] == row[:-1]
+    bit = (flat[:-1] * np.uint32(0x9E3779B1) ^ flat[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(24)
+    out = np.zeros((len(titles), _BITS), dtype=bool)
+    out[row[1:][inside], bit[inside]] = True
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def bounds(a: np.ndarray, b: np.ndarray, title: np.ndarray, of_title: np.ndarray) -> np.ndarray:
+    """For pairs of compact descriptions, a confidence that confidence() can't exceed; 0 where that surely is 0.
+
+    ``title`` bounds the titles' similarity, ``of_title`` tells where it stands for titles at all. Codes that are equal
+    count as equal values, and an author as the same wherever one's initials are among the other's, so nothing that
+    confidence() accepts gets less than it does there.
+    """
+    cut = (a["flags"] | b["flags"]) & _CUT > 0
+    both = a["flags"] & b["flags"]
+    dated = both & _YEAR > 0
+    apart = np.abs(a["year"].astype(np.int32) - b["year"])
+    ok = ~(dated & (apart > YEARS)) & ((a["flags"] ^ b["flags"]) & _NOTE_BIT == 0) & (a["sequel"] == b["sequel"])
+    na, nb = a["authors"].astype(np.int32), b["authors"].astype(np.int32)
+    fewer, named = np.minimum(na, nb), (na > 0) & (nb > 0)
+    expected = np.where((a["flags"] | b["flags"]) & _ET_AL_BIT > 0, fewer, np.maximum(na, nb))
+    shared = a["initials"] & b["initials"]
+    may = ((shared == a["initials"]) | (shared == b["initials"])) & (np.arange(_LISTED) < fewer[:, None])
+    authors = np.where(named, (may.sum(axis=1) + np.maximum(0, fewer - _LISTED)) / np.maximum(1, expected), 0.0)
+    have = [(a[x] != 0) & (b[x] != 0) for x in ("volume", "issue", "page")]
+    weight = have[0] * 1 + have[1] + have[2] * 2
+    same = sum((h & (a[x] == b[x])) * w for h, x, w in zip(have, ("volume", "issue", "page"), (1, 1, 2), strict=True))
+    placed = weight >= 2
+    place = np.where(placed, same / np.maximum(1, weight), 0.0)
+    doi = (a["doi"] != 0) & (a["doi"] == b["doi"])
+    counted = (a["numbers"] != 0) & (b["numbers"] != 0) & ~cut
+    numbers = (a["numbers"] == b["numbers"]) | of_title & (title >= 1)
+    agree = (authors >= 0.75).astype(np.int8) + (place >= 0.9) + doi + ((authors >= 1) & (na > 1))
+    far = named & (authors < 0.4) | placed & (place < 0.5) | ~dated
+    other = named & (authors < 0.3) & placed & (place < 0.5) & ~doi
+    with_title = (title >= 0.6) & ~((title < 0.8) & (agree < 2) | (title < 0.999) & (agree < 1) | (agree == 0) & far) & ~other
+    without = ~(counted & ~numbers) & ~(named & (authors < 0.5)) & ~(placed & (place < 0.6)) & (agree >= 2) & (counted | doi | (place >= 0.9))
+    ok &= np.where(of_title, with_title, without)
+    parts = ((of_title, title, "title"), (named, authors, "authors"), (placed, place, "place"), (doi, 1.0, "doi"), (counted, numbers, "numbers"), (dated, 1 - apart / (YEARS + 1), "year"))
+    total = sum(WEIGHTS[k] * there for there, _, k in parts)
+    return np.where(ok, sum(WEIGHTS[k] * there * value for there, value, k in parts) / np.maximum(total, 1e-9), 0.0)
+
+
 def _near(t: pa.Table, old: int, across: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The pairs of neighbours whose confidence may reach LEAST."""
     n = t.num_rows
     if n < 2:
         return
-    num = lambda c, none: t.column(c).combine_chunks().fill_null(none).to_numpy(zero_copy_only=False)
-    ids, year, who, where, count, doi, has = num("id", -1), num("year", -9999), num("who", 0), num("where", 0), num("count", 0), num("doi", 0), num("has_doi", False)
+    ids = t.column("id").combine_chunks().to_numpy(zero_copy_only=False)
     keys = t.column("key").to_pylist()
     pas = np.array([ord(k[0]) - 48 for k in keys])
-    head = np.array([k[1 : HEAD + 1].partition(AFTER)[0].ljust(HEAD, "\0") for k in keys], dtype=f"<U{HEAD}").view(np.uint32).reshape(n, HEAD)
-    part = num("part", 0) if across else None
+    d_of = _described(t.column("compact"))
+    bits = _pair_bits([k[1:].partition(AFTER)[0] if k[0] < "3" else "" for k in keys])
+    held = np.bitwise_count(bits).sum(axis=1, dtype=np.int32)
+    pairs = np.where(pas == 2, d_of["pairs_en"], d_of["pairs_zh"]).astype(np.int32)
+    part = t.column("part").combine_chunks().to_numpy(zero_copy_only=False) if across else None
     out: list[np.ndarray] = []
     for d in range(1, WINDOW + 1):
         if d >= n:
             break
         i, j = np.arange(0, n - d), np.arange(d, n)
-        fresh = j >= old
-        i, j = i[fresh], j[fresh]
-        ok = (pas[i] == pas[j]) & (ids[i] != ids[j])
+        ok = (j >= old) & (pas[i] == pas[j]) & (ids[i] != ids[j])
         if part is not None:
             ok &= part[i] != part[j]
-        ok &= (year[i] == -9999) | (year[j] == -9999) | (np.abs(year[i] - year[j]) <= YEARS)
         i, j = i[ok], j[ok]
-        same_who = (who[i] == who[j]) & (who[i] != 0)
-        same_where = (where[i] == where[j]) & (where[i] != 0)
-        same_count = (count[i] == count[j]) & (count[i] != 0)
-        same_doi = has[i] & has[j] & (doi[i] == doi[j])
-        p = pas[i]
-        strong = same_who.astype(np.int8) + same_where + same_doi
-        unknown = (who[i] == 0) | (who[j] == 0)
-        maybe = np.flatnonzero((p <= 2) & ((strong > 0) | same_count | unknown))
-        alike = np.zeros(len(i), dtype=np.int64)
-        alike[maybe] = np.where((h := head[i[maybe]] != head[j[maybe]]).any(axis=1), h.argmax(axis=1), HEAD)
-        titles = (p <= 2) & ((alike >= 6) & (strong >= 1) & ((strong >= 2) | same_count | (alike >= 16)) | (alike >= 12) & unknown | (alike >= np.where(p == 1, 20, 16)) & same_count)
-        good = titles | (p == 3) & same_doi & ((strong >= 2) | same_count | unknown) | (p >= 4) & (strong + same_count >= 2)
+        p, both = pas[i], d_of["flags"][i] & d_of["flags"][j]
+        # what one title has and the other lacks can't be shared; a title cut short, or one with a second form, may yet be the same
+        only_i, only_j = (np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1, dtype=np.int32) for x, y in ((i, j), (j, i)))
+        ni, nj = np.maximum(pairs[i], held[i]), np.maximum(pairs[j], held[j])
+        open_ = (p > 2) | ((d_of["flags"][i] | d_of["flags"][j]) & _CUT > 0) | (both & (_ZH | _EN) == _ZH | _EN)
+        title = np.where(open_, 1.0, 2 * np.minimum(ni - only_i, nj - only_j) / np.maximum(1, ni + nj))
+        good = bounds(d_of[i], d_of[j], title, (p <= 2) | (both & (_ZH | _EN) > 0)) >= LEAST - 1e-6
         if good.any():
             out.append(np.stack([ids[i[good]], ids[j[good]]]))
     if out:
@@ -403,7 +481,7 @@ def candidates(e: DataFrame) -> DataFrame:
     order = ["key", "digest", "id"]
     parts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hit = materialise(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_windows(False), _PAIR), "window")
-    edge = hit.filter("kind = 1").select("key", "digest", "id", "year", "who", "where", "count", "doi", "has_doi", "part").distinct()
+    edge = hit.filter("kind = 1").select("key", "digest", "id", "compact", "part").distinct()
     across = edge.repartitionByRange(1, *order).sortWithinPartitions(*order).mapInArrow(_windows(True), _PAIR)
     return hit.filter("kind <> 1").select("a", "b", "kind").unionByName(across.filter("kind <> 1").select("a", "b", "kind")).groupBy("a", "b").agg(F.max("kind").alias("kind"))
 
@@ -522,24 +600,37 @@ def match(records: DataFrame, works: DataFrame) -> DataFrame:
     labels = propagate(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "entities")
     #: the lowest bit of an id is its side
     of_side = lambda c: F.col(c).bitwiseAND(F.lit(1))
-    has = materialise(labels.groupBy("label").agg(F.max(of_side("u")).alias("hi"), F.min(of_side("u")).alias("lo"), F.count_if(of_side("u") == 0).alias("n")), "entities")
+    lo, hi = F.min(of_side("u")), F.max(of_side("u"))
+    has = materialise(labels.groupBy("label").agg(F.when(hi != lo, 2).otherwise(hi).alias("h"), F.count("*").alias("n")), "entities")
+    known = materialise(lookup(labels, has, "label", rows_of(labels), spread=F.xxhash64("u")).withColumnRenamed("label", "entity"), "entities")
     loose = scored.filter(F.col("confidence") < CERTAIN)
-    entity = lambda c: labels.join(has.select("label", F.when(F.col("hi") != F.col("lo"), 2).otherwise(F.col("hi")).alias(f"h{c}")), "label").select(F.col("u").alias(c), F.col("label").alias(f"e{c}"), f"h{c}")
+    entity = lambda c: known.select(F.col("u").alias(c), F.col("entity").alias(f"e{c}"), F.col("h").alias(f"h{c}"))
     ends = loose.join(entity("a"), "a", "left").join(entity("b"), "b", "left").select("confidence", *[F.coalesce(f"e{c}", c).alias(f"e{c}") for c in "ab"], *[F.coalesce(f"h{c}", of_side(c)).alias(f"h{c}") for c in "ab"])
     cross = ends.filter("ea <> eb and ha + hb = 1 and ha <> hb").select(F.when(F.col("ha") == 0, F.col("ea")).otherwise(F.col("eb")).alias("left"), F.when(F.col("ha") == 0, F.col("eb")).otherwise(F.col("ea")).alias("right"), "confidence")
     assigned = materialise(one_to_one(cross), "assigned")
     # entities that hold both sides by themselves, and those that the assignment brings together
-    tied = sure.filter(of_side("a") != of_side("b")).select(F.col("a").alias("u"), "confidence").join(labels, "u").groupBy("label").agg(F.max("confidence").alias("tie"))
-    own = has.filter("hi <> lo").select("label", "n").join(tied, "label", "left").select(F.col("label").alias("left"), F.col("label").alias("right"), F.coalesce("tie", F.lit(1.0)).alias("confidence"))
-    papers = own.unionByName(assigned.select("left", "right", "confidence"))
-    known = labels.select(F.col("u").alias("id"), F.col("label").alias("entity"))
-    single = lambda c: assigned.select(F.col(c).alias("id")).join(known, "id", "left_anti").select("id", F.col("id").alias("entity"))
-    member = materialise(known.unionByName(single("left")).unionByName(single("right")), "member")
-    works_of = member.filter(of_side("id") == 1).withColumnRenamed("entity", "right").join(papers, "right").groupBy("left").agg(F.collect_list(F.struct(F.shiftright("id", 1).alias("id"), "confidence")).alias("works"))
-    rows = member.filter(of_side("id") == 0).withColumnRenamed("entity", "left")
-    small = materialise(works_of.join(rows.groupBy("left").agg(F.count("*").alias("n")), "left"), "works")
-    out = lookup(rows, small, "left", max(1, rows_of(member)), spread=F.xxhash64("id"))
-    return out.select(F.shiftright("id", 1).alias("rec_id"), F.explode("works").alias("w")).select("rec_id", F.col("w.id").alias("work_id"), "w.confidence")
+    tied = sure.filter(of_side("a") != of_side("b")).select(F.col("a").alias("u"), "confidence").join(known, "u").groupBy("entity").agg(F.max("confidence").alias("tie"))
+    own = has.filter("h = 2").select(F.col("label").alias("entity")).join(tied, "entity", "left").select(F.col("entity").alias("left"), F.col("entity").alias("right"), F.coalesce("tie", F.lit(1.0)).alias("confidence"))
+    single = lambda c: assigned.select(F.col(c).alias("id")).join(known.select(F.col("u").alias("id")), "id", "left_anti").select("id", F.col("id").alias("entity"))
+    member = materialise(known.select(F.col("u").alias("id"), "entity").unionByName(single("left")).unionByName(single("right")), "member")
+    return _expanded(member, own.unionByName(assigned.select("left", "right", "confidence")))
+
+
+def _expanded(member: DataFrame, papers: DataFrame) -> DataFrame:
+    """All pairs of a record and a work of each paper. Papers of many copies are joined in pieces of CELL by CELL rows at most."""
+    rows = {"left": member.filter(F.col("id").bitwiseAND(F.lit(1)) == 0), "right": member.filter(F.col("id").bitwiseAND(F.lit(1)) == 1)}
+    count = lambda c: rows[c].groupBy(F.col("entity").alias(c)).agg(F.count("*").alias(f"n_{c}"))
+    sized = materialise(papers.join(count("left"), "left").join(count("right"), "right").withColumn("n", F.greatest("n_left", "n_right")), "papers")
+    pieces = lambda c: F.ceil(F.col(f"n_{c}") / CELL)
+
+    def side(c: str, other: str, into: str) -> DataFrame:
+        paper = sized.select(F.col(c).alias("entity"), F.col("left").alias("paper"), "confidence", "n_left", "n_right", "n")
+        paper._bibloom_top = sized._bibloom_top
+        got = lookup(rows[c], paper, "entity", rows_of(member), spread=F.xxhash64("id")).filter("paper is not null")
+        at, all_ = F.pmod(F.xxhash64("id"), pieces(c)), F.sequence(F.lit(0), pieces(other) - 1)
+        return got.select(F.shiftright("id", 1).alias(into), "paper", "confidence", at.cast("long").alias(f"at_{c}"), F.explode(all_.cast("array<long>")).alias(f"at_{other}"))
+
+    return side("left", "right", "rec_id").join(side("right", "left", "work_id").drop("confidence"), ["paper", "at_left", "at_right"]).select("rec_id", "work_id", "confidence")
 
 
 def found(records: DataFrame, works: DataFrame) -> DataFrame:
