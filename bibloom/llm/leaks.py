@@ -1,8 +1,7 @@
-"""Evaluation passages inside training text: rare n-gram seeds, Smith-Waterman alignment, and a check for verbatim runs."""
+"""Evaluation passages inside training text: rare n-gram seeds join them to documents, Smith-Waterman alignment decides, and a check tells verbatim runs."""
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,15 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibloom.llm import folding
-from bibloom.runtime import forget, materialise
+from bibloom.runtime import forget, lookup, materialise, rows_of
 
 #: Verbatim runs that make a leak: words of an English passage, characters of a Chinese one.
 WORDS, CHARACTERS = 16, 30
 #: Characters in a seed; both are powers of two, and a run of WORDS or CHARACTERS holds many.
 SEED_EN, SEED_ZH = 16, 8
-#: The test set is sent to every task; beyond this many characters it is searched in blocks of items.
-BLOCK_CHARACTERS = 4_000_000
-MATCH, MISMATCH, GAP = 2, -2, -3
+#: A gram is common wording if it stands in more documents than this many times the median of its item's grams; all others are seeds.
+COMMON = 4
+#: Bits of the filter that finds grams of the items in texts, for each gram, at least and at most in all, and probes of each.
+BITS_A_GRAM, LEAST_BITS, MOST_BITS, PROBES = 64, 22, 27, 6
+MATCH, MISMATCH, GAP = 2, -2, -2
+#: Share of the best possible score from which a copy is one however edited; what scores less must hold a verbatim run.
+LEAST_SHARE = 0.3
+#: Pairs aligned at once.
+ALIGNED = 64
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,7 +49,7 @@ def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass
 class Item:
-    """A passage as folded codes, with the runs that count as leaked and the grams of every run."""
+    """A passage as folded codes, with the runs that count as leaked and the length of its grams."""
 
     item_id: int
     codes: np.ndarray
@@ -52,9 +57,9 @@ class Item:
     runs: list[tuple[int, int]]
 
 
-def _words(codes: np.ndarray, text: str) -> list[int]:
+def _words(text: str) -> list[int]:
     """Starts of the words among the folded codes, and their number at the end."""
-    f, at, texts = folding.fold([text])
+    f, _, _ = folding.fold([text])
     kept = f != folding.SKIP
     before = np.concatenate([[0], np.cumsum(kept)])
     start = np.flatnonzero(kept & ~np.concatenate([[False], kept[:-1]]))
@@ -62,7 +67,7 @@ def _words(codes: np.ndarray, text: str) -> list[int]:
 
 
 def make_item(item_id: int, passage: str | None, lang: str | None) -> Item | None:
-    """Items whose passage is too short for any run, or null, can't leak and are left out."""
+    """Items whose passage is too short for any run, or null, can't leak and are left out. A run of 16 words is at least as long as a seed."""
     if not passage:
         return None
     f, _, _ = folding.fold([passage])
@@ -72,138 +77,187 @@ def make_item(item_id: int, passage: str | None, lang: str | None) -> Item | Non
         runs = [(i, i + CHARACTERS) for i in range(len(codes) - CHARACTERS + 1)]
         k = SEED_ZH
     else:
-        w = _words(codes, passage)
+        w = _words(passage)
         runs = [(w[i], w[i + WORDS]) for i in range(len(w) - WORDS)]
         k = SEED_EN
-    return Item(item_id, codes, k, runs) if runs and all(b - a >= k for a, b in runs) else Item(item_id, codes, 2, runs) if runs else None
+    return Item(item_id, codes, k, runs) if runs else None
 
 
-def _grams(items: list[Item]) -> dict[int, np.ndarray]:
-    """Per gram size, the sorted hashes of all grams of all items."""
-    by: dict[int, list[np.ndarray]] = {}
-    for x in items:
-        by.setdefault(x.k, []).append(gram_hashes(x.codes, x.k))
-    return {k: np.unique(np.concatenate(v)) for k, v in by.items()}
+def _signed(h: np.ndarray) -> np.ndarray:
+    return h.view(np.int64)
 
 
-def _filter(hashes: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << 22, dtype=bool)
-    out[(hashes >> np.uint64(42)).astype(np.int64)] = True
-    return out
+def _as_text(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
-class Scanner:
-    """Finds grams of the items in batches of texts: one table look-up a position, then a binary search for the few that pass."""
+def _as_codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
-    def __init__(self, grams: dict[int, np.ndarray]):
-        self.grams = {k: (v, _filter(v)) for k, v in grams.items()}
 
-    def hits(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """``(k, text numbers, positions among the text's folded codes, gram hashes, codes)`` per gram size."""
-        f, at, _ = folding.fold(texts)
-        kept = f != folding.SKIP
-        codes = f[kept]
-        self.start = np.concatenate([[0], np.cumsum(kept)])[at]
-        self.codes = codes
-        for k, (grams, table) in self.grams.items():
-            h = gram_hashes(codes, k)
-            maybe = np.flatnonzero(table[(h >> np.uint64(42)).astype(np.int64)])
-            hm = h[maybe]
-            at_gram = np.minimum(np.searchsorted(grams, hm), len(grams) - 1)
-            ok = grams[at_gram] == hm
-            pos, hm = maybe[ok], hm[ok]
-            text = np.searchsorted(self.start, pos, side="right") - 1
-            inside = pos + k <= self.start[text + 1]
-            yield k, text[inside], pos[inside], hm[inside], codes
+_ITEMS = "item_id long, k int, codes string, least int, runs array<int>"
+_GRAMS = "item_id long, k int, at int, gram long, last int"
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int]:
-    """Smith-Waterman score of the best local alignment of two code arrays, and where it ends in each.
+def _read_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each item's folded text, the length of its shortest run, and for every place of its text the end of the run that begins there, or 0."""
+    for b in batches:
+        got = [x for x in map(make_item, *(b.column(i).to_pylist() for i in range(3))) if x]
+        runs = []
+        for x in got:
+            ends = np.zeros(len(x.codes), dtype=np.int32)
+            for start, end in x.runs:
+                ends[start] = end
+            runs.append(ends.tolist())
+        yield pa.RecordBatch.from_arrays([pa.array([x.item_id for x in got], pa.int64()), pa.array([x.k for x in got], pa.int32()), pa.array([_as_text(x.codes) for x in got], pa.string()), pa.array([min(e - s for s, e in x.runs) for x in got], pa.int32()), pa.array(runs, pa.list_(pa.int32()))], names=["item_id", "k", "codes", "least", "runs"])
 
-    Rows are computed as arrays; gaps along a row are settled by a running maximum, as their cost is linear.
-    """
-    h = np.zeros(len(b) + 1, dtype=np.int32)
-    ramp = np.arange(len(b) + 1, dtype=np.int32) * -GAP
-    best = (0, 0, 0)
-    for i, x in enumerate(a, 1):
-        diagonal = h[:-1] + np.where(b == x, MATCH, MISMATCH)
-        up = h[1:] + GAP
-        row = np.maximum(np.maximum(diagonal, up), 0)
-        new = np.concatenate([[0], row]).astype(np.int32)
-        new = np.maximum.accumulate(new + ramp) - ramp
-        top = int(new.max())
-        if top > best[0]:
-            best = (top, i, int(new.argmax()))
-        h = new
-    return best[0], best[1], best[2]
-
-
-def verbatim(item: Item, segment: np.ndarray) -> bool:
-    """Whether a run of the item stands in the segment: a gram at the run's start is sought, then the codes compared."""
-    text = segment.astype(np.uint32).tobytes()
-    whole = item.codes.astype(np.uint32).tobytes()
-    for a, b in item.runs:
-        at = text.find(whole[4 * a : 4 * b])
-        while at >= 0 and at % 4:
-            at = text.find(whole[4 * a : 4 * b], at + 1)
-        if at >= 0:
-            return True
-    return False
-
-
-def seeds_of(items: list[Item], frequency: dict[int, int]) -> tuple[dict[int, np.ndarray], dict[int, list[tuple[int, int]]]]:
-    """The rarest gram of every run of every item (so that no run lacks one), and where in which items each stands."""
-    where: dict[int, list[tuple[int, int]]] = {}
-    by: dict[int, set[int]] = {}
-    for n, x in enumerate(items):
-        h = gram_hashes(x.codes, x.k)
-        rare = [(frequency.get(int(v), 0), i) for i, v in enumerate(h)]
-        chosen = {min(rare[a : b - x.k + 1])[1] for a, b in x.runs}
-        by.setdefault(x.k, set()).update(int(h[i]) for i in chosen)
-    for n, x in enumerate(items):
-        for i, v in enumerate(map(int, gram_hashes(x.codes, x.k))):
-            if v in by[x.k]:
-                where.setdefault(v, []).append((n, i))
-    return {k: np.array(sorted(v), dtype=np.uint64) for k, v in by.items()}, where
 
+def _item_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every gram of every item with its place, and the last place at which a gram of the run that begins there begins (-1: no run begins there)."""
+    for b in batches:
+        for item, k, codes, runs in zip(*(b.column(c).to_pylist() for c in ("item_id", "k", "codes", "runs")), strict=True):
+            h = gram_hashes(_as_codes(codes), k)
+            n = len(h)
+            ends = np.array(runs[:n], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, item)), pa.array(np.full(n, k, dtype=np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(_signed(h)), pa.array(np.where(ends > 0, ends - k, -1).astype(np.int32))], names=["item_id", "k", "at", "gram", "last"])
 
-_SCHEMA = "doc_id long, item_id long, score double, verbatim boolean"
+
+def _probes(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The filter's bits of each hash, one probe after the other; the mask of who is left is sent back."""
+    step = (h >> np.uint64(64 - bits)) | np.uint64(1)
+    mask = np.uint64((1 << bits) - 1)
+    with np.errstate(over="ignore"):
+        for i in range(PROBES):
+            keep = yield (h + np.uint64(i) * step) & mask
+            if keep is not None:
+                h, step = h[keep], step[keep]
+
+
+def _filter_of(bits: int):
+    """The filter's bits that are set by a partition of grams, packed, for each gram length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+        for b in batches:
+            ks, h = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            for k in np.unique(ks):
+                t = tables.setdefault(int(k), np.zeros(1 << bits, dtype=bool))
+                for at in _probes(h[ks == k], bits):
+                    t[at] = True
+        for k, t in tables.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(t).tobytes()], pa.binary())], names=["k", "bits"])
+
+    return run
+
+
+def gram_filter(grams: DataFrame) -> tuple[int, dict[int, np.ndarray]]:
+    """A Bloom filter of the items' grams for each gram length: of bounded size, whatever the test set, built in up to eight parts."""
+    bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(BITS_A_GRAM * max(1, rows_of(grams)))))))
+    out: dict[int, np.ndarray] = {}
+    for r in grams.select("k", "gram").distinct().coalesce(8).mapInArrow(_filter_of(bits), "k int, bits binary").toLocalIterator():
+        part = np.frombuffer(r["bits"], dtype=np.uint8)
+        out[r["k"]] = part | out[r["k"]] if r["k"] in out else part
+    return bits, out
 
 
-def _search(items: list[Item], frequency: dict[int, int]):
-    seeds, where = seeds_of(items, frequency)
+_HOLDING = "doc_id long, lo long, stretch string, k array<int>, at array<int>, gram array<long>, of_doc array<long>"
+
+
+def _scan(bits: int, packed: dict[int, np.ndarray], longest: int):
+    """Finds grams of the items in texts and cuts out the stretches around them.
+
+    A stretch is as wide as the longest item on either side of its hits; hits nearer than twice that share one. The
+    first stretch of a document carries the distinct grams of all of it.
+    """
+    wide = longest + longest // 8 + 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(seeds)
+        tables = {k: np.unpackbits(v).astype(bool) for k, v in packed.items()}
+        names = [x.split()[0] for x in _HOLDING.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for b in batches:
             ids = b.column(0).to_pylist()
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for _, text, pos, h, _ in scanner.hits(texts):
-                for t, p, v in zip(text.tolist(), pos.tolist(), h.tolist(), strict=True):
-                    for n, i in where[v]:
-                        spans.setdefault((t, n), []).append((p - i, p))
-            out = []
-            for (t, n), got in spans.items():
-                x = items[n]
-                best, exact = 0.0, False
-                for lo, hi in _clusters(sorted(got), len(x.codes)):
-                    a = max(lo, int(scanner.start[t]))
-                    z = min(hi, int(scanner.start[t + 1]))
-                    segment = scanner.codes[a:z]
-                    score, _, _ = align(x.codes, segment)
-                    best = max(best, score / (MATCH * len(x.codes)))
-                    exact = exact or score >= MATCH * min(e - s for s, e in x.runs) and verbatim(x, segment)
-                out.append((ids[t], x.item_id, best, exact))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], names=["doc_id", "item_id", "score", "verbatim"])
+            f, at, _ = folding.fold([x or "" for x in b.column(1).to_pylist()])
+            kept = f != folding.SKIP
+            codes = f[kept]
+            start = np.concatenate([[0], np.cumsum(kept)])[at]
+            hits = []
+            for k, table in tables.items():
+                h = gram_hashes(codes, k)
+                pos, left = np.arange(len(h)), h
+                probe = _probes(h, bits)
+                bit = next(probe)
+                for i in range(PROBES):
+                    keep = table[bit]
+                    pos, left = pos[keep], left[keep]
+                    bit = probe.send(keep) if i + 1 < PROBES else bit
+                text = np.searchsorted(start, pos, side="right") - 1
+                inside = pos + k <= start[text + 1]
+                hits.append(np.stack([text[inside], pos[inside], _signed(left[inside]), np.full(int(inside.sum()), k)]))
+            t, pos, gram, k = np.concatenate(hits, axis=1)
+            order = np.lexsort((pos, t))
+            t, pos, gram, k = t[order], pos[order], gram[order], k[order]
+            cut = np.flatnonzero((np.diff(t) != 0) | (np.diff(pos) > 2 * wide)) + 1
+            rows, before = [], -1
+            for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(t)], strict=True) if len(t) else ():
+                doc = int(t[x])
+                lo, hi = max(int(start[doc]), int(pos[x]) - wide), min(int(start[doc + 1]), int(pos[y - 1]) + wide)
+                whole = np.unique(gram[t == doc]).tolist() if doc != before else None
+                before = doc
+                rows.append((ids[doc], lo - int(start[doc]), _as_text(codes[lo:hi]), k[x:y].astype(np.int32).tolist(), (pos[x:y] - lo).astype(np.int32).tolist(), gram[x:y].tolist(), whole))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
     return run
 
 
-def _clusters(diagonals: list[tuple[int, int]], size: int) -> Iterator[tuple[int, int]]:
-    """Stretches of a document to align: seeds whose diagonals lie within an item's length form one."""
-    lo = last = diagonals[0][0]
-    for d, _ in diagonals[1:]:
+def _seeds_of_item(t: pa.Table) -> pa.Table:
+    """The places of one item at which seeds begin: grams that are no common wording, and the rarest of every run, the first of equals."""
+    order = np.argsort(t.column("at").to_numpy())
+    at, df, gram, last = (t.column(c).to_numpy()[order] for c in ("at", "df", "gram", "last"))
+    chosen = df <= COMMON * np.median(df[df > 0]) if (df > 0).any() else np.zeros(len(df), dtype=bool)
+    for i in np.flatnonzero(last >= 0):
+        part = df[i : last[i] + 1]
+        if part.min() > 0:  # a run with a gram that stands nowhere stands nowhere
+            chosen[i + int(part.argmin())] = True
+    chosen &= df > 0
+    n = int(chosen.sum())
+    return pa.table({"item_id": pa.array(t.column("item_id").to_numpy()[:1].repeat(n)), "at": pa.array(at[chosen]), "gram": pa.array(gram[chosen])})
+
+
+def align(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Smith-Waterman scores of the best local alignments of pairs of code arrays, all pairs at once.
+
+    Rows are computed as arrays; gaps along a row are settled by a running maximum, as their cost is linear. Padding
+    matches nothing, so it adds nothing to a score.
+    """
+    n, m = max(map(len, a), default=0), max(map(len, b), default=0)
+    pa_, pb = np.full((len(a), n), 0xFFFFFFFE, dtype=np.uint32), np.full((len(b), m), 0xFFFFFFFF, dtype=np.uint32)
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        pa_[i, : len(x)], pb[i, : len(y)] = x, y
+    h = np.zeros((len(a), m + 1), dtype=np.int32)
+    ramp = np.arange(m + 1, dtype=np.int32) * -GAP
+    best = np.zeros(len(a), dtype=np.int32)
+    for i in range(n):
+        diagonal = h[:, :-1] + np.where(pb == pa_[:, i : i + 1], np.int32(MATCH), np.int32(MISMATCH))
+        np.maximum(diagonal, h[:, 1:] + np.int32(GAP), out=diagonal)
+        np.maximum(diagonal, 0, out=diagonal)
+        h = np.concatenate([np.zeros((len(a), 1), dtype=np.int32), diagonal], axis=1)
+        h += ramp
+        np.maximum.accumulate(h, axis=1, out=h)
+        h -= ramp
+        np.maximum(best, h.max(axis=1), out=best)
+    return best
+
+
+def verbatim(codes: str, runs: list[int], segment: str) -> bool:
+    """Whether one of the item's runs stands in the segment."""
+    return any(codes[a:b] in segment for a, b in enumerate(runs) if b)
+
+
+def _clusters(diagonals: list[int], size: int) -> Iterator[tuple[int, int]]:
+    """Parts of a stretch to align: seeds whose diagonals lie within an item's length form one."""
+    lo = last = diagonals[0]
+    for d in diagonals[1:]:
         if d - last > size:
             yield lo - size // 8 - 16, last + size + size // 8 + 16
             lo = d
@@ -211,60 +265,67 @@ def _clusters(diagonals: list[tuple[int, int]], size: int) -> Iterator[tuple[int
     yield lo - size // 8 - 16, last + size + size // 8 + 16
 
 
-def gram_frequencies(docs: DataFrame, items: list[Item], doc: str, text: str) -> tuple[DataFrame, dict[int, int]]:
-    """In how many documents each gram of the items stands, over all documents, and the documents that hold any.
-
-    The frequencies have at most one row for each gram of the test set, whatever the corpus.
-    """
-    grams = _grams(items)
+_SCHEMA = "doc_id long, item_id long, score double, verbatim boolean"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(grams)
-        for b in batches:
-            ids = b.column(0)
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            held: dict[int, set[int]] = {}
-            for _, t, _, h, _ in scanner.hits(texts):
-                for i, v in {(int(i), int(v)) for i, v in zip(t, h, strict=True)}:
-                    held.setdefault(i, set()).add(v)
-            rows = sorted(held)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(at), b.column(1).take(at), pa.array([[v - (1 << 64) if v >= 1 << 63 else v for v in held[i]] for i in rows], pa.list_(pa.int64()))], names=["doc_id", "text", "grams"])
 
-    holding = materialise(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, text string, grams array<long>"), "holding")
-    counts = holding.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-    return holding, {r["g"] % (1 << 64): r["n"] for r in counts.toLocalIterator()}
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of an item and a stretch whose alignment scores at least what a verbatim run of the required length does, and LEAST_SHARE unless there is such a run."""
+    for b in batches:
+        doc, item, diagonals, stretch, codes, least, runs = (b.column(c).to_pylist() for c in ("doc_id", "item_id", "diagonals", "stretch", "codes", "least", "runs"))
+        todo = []
+        for i, (d, s, c) in enumerate(zip(diagonals, stretch, codes, strict=True)):
+            todo += [(i, max(0, lo), min(len(s), hi)) for lo, hi in _clusters(sorted(d), len(c))]
+        todo.sort(key=lambda x: (x[2] - x[1], len(codes[x[0]])))
+        best: dict[int, int] = {}
+        exact: set[int] = set()
+        for part in (todo[x : x + ALIGNED] for x in range(0, len(todo), ALIGNED)):
+            scores = align([_as_codes(codes[i]) for i, _, _ in part], [_as_codes(stretch[i][lo:hi]) for i, lo, hi in part])
+            for (i, lo, hi), score in zip(part, scores.tolist(), strict=True):
+                if score >= MATCH * least[i]:
+                    best[i] = max(best.get(i, 0), score)
+                    if i not in exact and verbatim(codes[i], runs[i], stretch[i][lo:hi]):
+                        exact.add(i)
+        got = sorted(i for i in best if i in exact or best[i] >= LEAST_SHARE * MATCH * len(codes[i]))
+        yield pa.RecordBatch.from_arrays([pa.array([doc[i] for i in got], pa.int64()), pa.array([item[i] for i in got], pa.int64()), pa.array([best[i] / (MATCH * len(codes[i])) for i in got], pa.float64()), pa.array([i in exact for i in got], pa.bool_())], names=["doc_id", "item_id", "score", "verbatim"])
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", lang: str = "lang") -> DataFrame:
-    """``(doc_id, item_id, score, verbatim)`` of every document and item that share a seed.
-
-    Pass 1 counts, over all documents, in how many each n-gram of the passages stands, and keeps the documents that have
-    any. The rarest gram of each run of the required length becomes a seed. Pass 2 aligns the item with the stretch
-    around its seeds (score: share of the best possible), and ``verbatim`` tells whether a run of 16 words (English) or
-    30 characters (Chinese) stands there, disregarding case, width, white space and punctuation. Long documents are
-    searched whole. The items, a fixed set, go to every task in blocks of BLOCK_CHARACTERS. Null or empty texts and
-    passages match nothing; an empty table on either side gives no rows.
+    """``(doc_id, item_id, score, verbatim)`` of every document that an item's passage leaked into, verbatim or edited.
+
+    A pair leaks if the Smith-Waterman score of the passage against the document is at least that of a verbatim run of 16
+    words (English) or 30 characters (Chinese), case, width, white space and punctuation being disregarded, and either
+    such a run stands there in one piece (``verbatim``) or the score is at least LEAST_SHARE of the passage's best
+    possible. ``score`` is that share.
+
+    1. One scan of the documents finds the grams of the passages by a filter of bounded size and cuts out the stretches
+       around them; what follows reads these only. Long documents are searched whole.
+    2. Grams are joined with the passages' own (which removes what the filter let through by chance) and counted over all
+       documents. All but common wording are seeds, and the rarest of every run is one, so that no run lacks a seed.
+    3. Seeds join passages to stretches; each pair is one row, spread over all tasks however many documents one item
+       leaked into, and is aligned around its seeds.
+    Null or empty texts and passages match nothing; an empty table on either side gives no rows. Document ids must be unique.
     """
-    schema_rows = items.select(F.col(item).cast("long"), F.col(passage), F.col(lang))
-    blocks: list[list[Item]] = [[]]
-    size = 0
-    for r in schema_rows.toLocalIterator():
-        if x := make_item(r[0], r[1], r[2]):
-            if size + len(x.codes) > BLOCK_CHARACTERS and blocks[-1]:
-                blocks.append([])
-                size = 0
-            blocks[-1].append(x)
-            size += len(x.codes)
-    found = []
-    for block in blocks:
-        if block:
-            holding, frequency = gram_frequencies(docs, block, doc, text)
-            found.append(materialise(holding.select("doc_id", "text").mapInArrow(_search(block, frequency), _SCHEMA), "leaks"))
-            forget(holding)
-    if not found:
-        return docs.sparkSession.createDataFrame([], _SCHEMA)
-    return functools.reduce(DataFrame.unionByName, found)
+    spark = docs.sparkSession
+    own = materialise(items.select(F.col(item).cast("long"), F.col(passage), F.col(lang)).mapInArrow(_read_items, _ITEMS), "items")
+    longest = own.agg(F.max(F.length("codes"))).first()[0]
+    if longest is None:
+        return spark.createDataFrame([], _SCHEMA)
+    grams = materialise(own.mapInArrow(_item_grams, _GRAMS), "grams")
+    scan = _scan(*gram_filter(grams), longest)
+    holding = materialise(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, _HOLDING), "holding")
+    df = holding.select(F.explode("of_doc").alias("gram")).join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    counted = grams.join(df, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    seeds = counted.groupBy("item_id").applyInArrow(_seeds_of_item, "item_id long, at int, gram long")
+    by_gram = materialise(seeds.groupBy("gram").agg(F.collect_list(F.struct("item_id", "at")).alias("of")).join(df.withColumnRenamed("df", "n"), "gram"), "seeds")
+    hits = materialise(holding.select("doc_id", "lo", F.explode(F.arrays_zip("at", "gram")).alias("h")).select("doc_id", "lo", F.col("h.at").alias("pos"), "h.gram"), "hits")
+    met = lookup(hits, by_gram, "gram", rows_of(hits), spread=F.xxhash64("doc_id", "pos")).filter("of is not null").select("doc_id", "lo", "pos", F.explode("of").alias("of"))
+    pairs = materialise(met.groupBy("doc_id", "lo", F.col("of.item_id").alias("item_id")).agg(F.collect_set(F.col("pos") - F.col("of.at")).alias("diagonals")), "pairs")
+    sized = materialise(own.drop("k").join(pairs.groupBy("item_id").agg(F.count("*").alias("n")), "item_id"), "sized")
+    full = lookup(pairs, sized, "item_id", rows_of(pairs), spread=F.xxhash64("doc_id", "lo")).join(holding.select("doc_id", "lo", "stretch"), ["doc_id", "lo"])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = materialise(full.repartition(parts, "doc_id", "lo", "item_id").mapInArrow(_aligned, _SCHEMA), "leaks")
+    forget(own, grams, holding, by_gram, hits, pairs, sized)
+    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.bool_or("verbatim").alias("verbatim"))
 
 
 def found(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -95,14 +95,52 @@ def test_leaks_against_brute_force(spark):
 
 def test_alignment_against_brute_force():
     rnd = np.random.default_rng(1)
-    for _ in range(30):
-        a, b = rnd.integers(0, 3, rnd.integers(1, 12)), rnd.integers(0, 3, rnd.integers(1, 12))
+    many = [(rnd.integers(0, 3, rnd.integers(1, 12)).astype(np.uint32), rnd.integers(0, 3, rnd.integers(1, 12)).astype(np.uint32)) for _ in range(30)]
+    for (a, b), score in zip(many, leaks.align([x for x, _ in many], [y for _, y in many]), strict=True):
         h = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
         for i in range(1, len(a) + 1):
             for j in range(1, len(b) + 1):
                 s = leaks.MATCH if a[i - 1] == b[j - 1] else leaks.MISMATCH
                 h[i, j] = max(0, h[i - 1, j - 1] + s, h[i - 1, j] + leaks.GAP, h[i, j - 1] + leaks.GAP)
-        assert leaks.align(a, b)[0] == h.max()
+        assert score == h.max()
+
+
+def test_edited_copies(spark):
+    """Copies with 5 to 30 % of their characters or words changed, left out or added, among texts of the same vocabulary."""
+    rnd = random.Random(7)
+    han = "书记员以桁垚谷命名这一差异并写了封信向洄颀索取原始签条岫沅评议会要求个实验室在截止日前交存全部手稿天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳"
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9))) for _ in range(300)]
+    unit = {"zh": lambda: rnd.choice(han), "en": lambda: rnd.choice(words)}
+    join = {"zh": "".join, "en": " ".join}
+    passages = {i: ("zh" if i % 2 else "en", [unit["zh" if i % 2 else "en"]() for _ in range(rnd.randrange(100, 220) if i % 2 else rnd.randrange(60, 140))]) for i in range(1, 21)}
+
+    def edited(lang, p, share):
+        out = []
+        for x in p:
+            r = rnd.random()
+            if r >= share:
+                out.append(x)
+            elif r < share / 3:
+                out.append(unit[lang]())
+            elif r < 2 * share / 3:
+                out += [x, unit[lang]()]
+        return out
+
+    docs, want = [], {}
+    for i, (lang, p) in passages.items():
+        for share in (0.05, 0.1, 0.2, 0.3):
+            text = join[lang]([unit[lang]() for _ in range(rnd.randrange(300))] + edited(lang, p, share) + [unit[lang]() for _ in range(rnd.randrange(300))])
+            docs.append((len(docs), text))
+            want[docs[-1][0], i] = share
+        docs.append((len(docs), join[lang]([unit[lang]() for _ in range(300)] + p[: 25 if lang == "zh" else 12] + [unit[lang]() for _ in range(300)])))  # a quotation
+        docs.append((len(docs), join[lang]([unit[lang]() for _ in range(700)])))
+    items = spark.createDataFrame([(i, join[lang](p), lang) for i, (lang, p) in passages.items()], "item_id long, passage string, lang string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    for share in (0.05, 0.1, 0.2, 0.3):
+        of = {k for k, s in want.items() if s == share}
+        print(share, len(of & got) / len(of))
+        assert len(of & got) >= 0.9 * len(of)
+    assert len(got & set(want)) >= 0.95 * len(got)
 
 
 def _check(text, most, overlap):
