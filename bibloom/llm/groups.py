@@ -41,9 +41,7 @@ def group_links(edges: DataFrame, tag: str = "groups") -> DataFrame:
     levels = [materialise(spark.createDataFrame([(top["u"], top["n"])], "u long, n long").withColumn("on", F.lit(True)), tag)]
     for _ in range(math.ceil(DEPTH * math.log2(rows_of(degrees) + 1))):
         near = lookup(both, levels[-1], "u", total, spread=F.xxhash64("v")).filter("on").select(F.col("v").alias("u"), F.col("nv").alias("n")).distinct()
-        for level in levels[-2:]:
-            near = near.join(level.select("u"), "u", "left_anti")
-        fresh = materialise(near.withColumn("on", F.lit(True)), tag)
+        fresh = materialise(near.join(together(levels[-2:]).select("u"), "u", "left_anti").withColumn("on", F.lit(True)), tag)
         if not rows_of(fresh):
             break
         levels.append(fresh)
