@@ -24,8 +24,8 @@ BITS_A_GRAM, LEAST_BITS, MOST_BITS, PROBES = 64, 22, 27, 6
 MATCH, MISMATCH, GAP = 2, -2, -2
 #: Share of the best possible score from which a copy is one however edited; what scores less must hold a verbatim run.
 LEAST_SHARE = 0.3
-#: Pairs aligned at once.
-ALIGNED = 64
+#: Pairs aligned at once, and places of their bands and items together, unless one pair alone has more.
+ALIGNED, PLACES = 256, 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -224,29 +224,41 @@ def _seeds_of_item(t: pa.Table) -> pa.Table:
     return pa.table({"item_id": pa.array(t.column("item_id").to_numpy()[:1].repeat(n)), "at": pa.array(at[chosen]), "gram": pa.array(gram[chosen])})
 
 
-def align(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Smith-Waterman scores of the best local alignments of pairs of code arrays, all pairs at once.
+def align(a: list[np.ndarray], b: list[np.ndarray], low: list[int], high: list[int]) -> np.ndarray:
+    """Smith-Waterman scores of the best local alignments of pairs of code arrays within a band, all pairs at once.
 
-    Rows are computed as arrays; gaps along a row are settled by a running maximum, as their cost is linear. Padding
-    matches nothing, so it adds nothing to a score.
+    Place i of ``a`` meets places i + low to i + high of ``b``. Arrays have a row for each place of the band and a column
+    for each pair, so that every step is one pass over contiguous numbers; gaps along the band are settled by a running
+    maximum, as their cost is linear. Padding matches nothing, so it adds nothing to a score.
     """
-    n, m = max(map(len, a), default=0), max(map(len, b), default=0)
-    pa_, pb = np.full((len(a), n), 0xFFFFFFFE, dtype=np.uint32), np.full((len(b), m), 0xFFFFFFFF, dtype=np.uint32)
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        pa_[i, : len(x)], pb[i, : len(y)] = x, y
-    h = np.zeros((len(a), m + 1), dtype=np.int32)
-    ramp = np.arange(m + 1, dtype=np.int32) * -GAP
-    best = np.zeros(len(a), dtype=np.int32)
+    n, width, k = max(map(len, a), default=0), max((h - l + 1 for l, h in zip(low, high, strict=True)), default=0), len(a)
+    rows = np.full((n, k), 0xFFFFFFFE, dtype=np.uint32)
+    band = np.full((n + width, k), 0xFFFFFFFF, dtype=np.uint32)
+    for i, (x, y, lo) in enumerate(zip(a, b, low, strict=True)):
+        rows[: len(x), i] = x
+        part = y[max(0, lo) : max(0, lo + n + width)]
+        band[max(0, -lo) : max(0, -lo) + len(part), i] = part[: n + width - max(0, -lo)]
+    kind = np.int16 if MATCH * n - GAP * width < 32000 else np.int32
+    inside = np.arange(width)[:, None] <= np.array([h - l for l, h in zip(low, high, strict=True)])[None, :]
+    whole = bool(inside.all())
+    h = np.zeros((width + 1, k), dtype=kind)
+    ramp = (np.arange(width) * -GAP).astype(kind)[:, None]
+    best = np.zeros((width, k), dtype=kind)
+    new = np.empty((width, k), dtype=kind)
     for i in range(n):
-        diagonal = h[:, :-1] + np.where(pb == pa_[:, i : i + 1], np.int32(MATCH), np.int32(MISMATCH))
-        np.maximum(diagonal, h[:, 1:] + np.int32(GAP), out=diagonal)
-        np.maximum(diagonal, 0, out=diagonal)
-        h = np.concatenate([np.zeros((len(a), 1), dtype=np.int32), diagonal], axis=1)
-        h += ramp
-        np.maximum.accumulate(h, axis=1, out=h)
-        h -= ramp
-        np.maximum(best, h.max(axis=1), out=best)
-    return best
+        np.multiply(band[i : i + width] == rows[i], kind(MATCH - MISMATCH), out=new, dtype=kind, casting="unsafe")
+        new += kind(MISMATCH)
+        new += h[:-1]
+        np.maximum(new, h[1:] + kind(GAP), out=new)
+        np.maximum(new, 0, out=new)
+        new += ramp
+        np.maximum.accumulate(new, axis=0, out=new)
+        new -= ramp
+        if not whole:
+            new *= inside
+        np.maximum(best, new, out=best)
+        h[:-1] = new
+    return best.max(axis=0, initial=0)
 
 
 def verbatim(codes: str, runs: list[int], segment: str) -> bool:
@@ -255,14 +267,29 @@ def verbatim(codes: str, runs: list[int], segment: str) -> bool:
 
 
 def _clusters(diagonals: list[int], size: int) -> Iterator[tuple[int, int]]:
-    """Parts of a stretch to align: seeds whose diagonals lie within an item's length form one."""
+    """Bands of diagonals to align: from the seeds' own, an eighth of the item's length to either side; bands that meet are one."""
+    margin = size // 8 + 16
     lo = last = diagonals[0]
     for d in diagonals[1:]:
-        if d - last > size:
-            yield lo - size // 8 - 16, last + size + size // 8 + 16
+        if d - last > 2 * margin:
+            yield lo - margin, last + margin
             lo = d
         last = d
-    yield lo - size // 8 - 16, last + size + size // 8 + 16
+    yield lo - margin, last + margin
+
+
+def _batches(todo: list[tuple[int, int, int]], codes: list[str]) -> Iterator[list[tuple[int, int, int]]]:
+    """Pairs in the order of their bands, as many at once as ALIGNED and PLACES allow."""
+    part: list[tuple[int, int, int]] = []
+    size = 0
+    for x in todo:
+        size = max(size, x[2] - x[1] + 2 * len(codes[x[0]]))
+        if part and (len(part) >= ALIGNED or size * (len(part) + 1) > PLACES):
+            yield part
+            part, size = [], x[2] - x[1] + 2 * len(codes[x[0]])
+        part.append(x)
+    if part:
+        yield part
 
 
 _SCHEMA = "doc_id long, item_id long, score double, verbatim boolean"
@@ -272,18 +299,16 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of an item and a stretch whose alignment scores at least what a verbatim run of the required length does, and LEAST_SHARE unless there is such a run."""
     for b in batches:
         doc, item, diagonals, stretch, codes, least, runs = (b.column(c).to_pylist() for c in ("doc_id", "item_id", "diagonals", "stretch", "codes", "least", "runs"))
-        todo = []
-        for i, (d, s, c) in enumerate(zip(diagonals, stretch, codes, strict=True)):
-            todo += [(i, max(0, lo), min(len(s), hi)) for lo, hi in _clusters(sorted(d), len(c))]
+        todo = [(i, lo, hi) for i, (d, c) in enumerate(zip(diagonals, codes, strict=True)) for lo, hi in _clusters(sorted(d), len(c))]
         todo.sort(key=lambda x: (x[2] - x[1], len(codes[x[0]])))
         best: dict[int, int] = {}
         exact: set[int] = set()
-        for part in (todo[x : x + ALIGNED] for x in range(0, len(todo), ALIGNED)):
-            scores = align([_as_codes(codes[i]) for i, _, _ in part], [_as_codes(stretch[i][lo:hi]) for i, lo, hi in part])
+        for part in _batches(todo, codes):
+            scores = align([_as_codes(codes[i]) for i, _, _ in part], [_as_codes(stretch[i]) for i, _, _ in part], [lo for _, lo, _ in part], [hi for _, _, hi in part])
             for (i, lo, hi), score in zip(part, scores.tolist(), strict=True):
                 if score >= MATCH * least[i]:
                     best[i] = max(best.get(i, 0), score)
-                    if i not in exact and verbatim(codes[i], runs[i], stretch[i][lo:hi]):
+                    if i not in exact and verbatim(codes[i], runs[i], stretch[i][max(0, lo) : len(codes[i]) + hi]):
                         exact.add(i)
         got = sorted(i for i in best if i in exact or best[i] >= LEAST_SHARE * MATCH * len(codes[i]))
         yield pa.RecordBatch.from_arrays([pa.array([doc[i] for i in got], pa.int64()), pa.array([item[i] for i in got], pa.int64()), pa.array([best[i] / (MATCH * len(codes[i])) for i in got], pa.float64()), pa.array([i in exact for i in got], pa.bool_())], names=["doc_id", "item_id", "score", "verbatim"])

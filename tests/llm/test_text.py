@@ -96,7 +96,7 @@ def test_leaks_against_brute_force(spark):
 def test_alignment_against_brute_force():
     rnd = np.random.default_rng(1)
     many = [(rnd.integers(0, 3, rnd.integers(1, 12)).astype(np.uint32), rnd.integers(0, 3, rnd.integers(1, 12)).astype(np.uint32)) for _ in range(30)]
-    for (a, b), score in zip(many, leaks.align([x for x, _ in many], [y for _, y in many]), strict=True):
+    for (a, b), score in zip(many, leaks.align([x for x, _ in many], [y for _, y in many], [-len(x) for x, _ in many], [len(y) for _, y in many]), strict=True):
         h = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
         for i in range(1, len(a) + 1):
             for j in range(1, len(b) + 1):
