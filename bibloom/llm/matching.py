@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
+import operator
 import re
 import unicodedata
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -254,30 +256,38 @@ _FEATURES = "id long, side int, year int, cut boolean, note boolean, et_al boole
 _COMPARED = ("year", "cut", "note", "et_al", *_TEXTS[:-2])
 
 
-#: Authors of which a compact description has the initials, and the bits that a title's character pairs are hashed to.
-_LISTED, _BITS = 4, 256
-_COMPACT = np.dtype([("year", "<i2"), ("flags", "u1"), ("authors", "<u2"), ("pairs_zh", "<u2"), ("pairs_en", "<u2"), *((x, "<u4") for x in ("sequel", "volume", "issue", "page", "doi", "numbers")), ("initials", "<u4", (_LISTED,))])
+#: Authors of which a compact description has the initials, and the bits that a title's character pairs are hashed to, in the window and in a description.
+_LISTED, _BITS, _SKETCH = 4, 256, 64
+#: Bits of the codes that stand for texts in a compact description.
+_CODES = {"sequel": 8, "volume": 16, "issue": 8, "page": 16, "doi": 32, "numbers": 16}
+_COMPACT = np.dtype([("year", "<i2"), ("flags", "u1"), ("authors", "<u2"), ("pairs_zh", "<u2"), ("pairs_en", "<u2"), *((x, f"<u{n // 8}") for x, n in _CODES.items()), ("initials", "<u4", (_LISTED,)), ("sketch", "<u8")])
 _CUT, _NOTE_BIT, _ET_AL_BIT, _ZH, _EN, _YEAR = (1 << i for i in range(6))
+_LETTER = {chr(97 + i): 1 << i for i in range(26)}
 
 
-def _code(text: str | None) -> int:
-    """A number that is equal for equal texts, 0 for none."""
-    return zlib.crc32(text.encode()) | 1 if text else 0
+def _code(texts: list[str | None], bits: int) -> np.ndarray:
+    """Numbers that are equal for equal texts, 0 for none."""
+    plain = np.array([x or "" for x in texts], dtype=object)
+    return np.where(plain == "", 0, pd.util.hash_array(plain, categorize=False) >> np.uint64(64 - bits) | np.uint64(1))
 
 
-def _initials(name: str) -> int:
-    """The set of first letters of a name's tokens."""
-    out = 0
-    for t in name.split(" "):
-        out |= 1 << (ord(t[0]) - 97)
-    return out
+def _pairs(text: str) -> int:
+    return min(65535, len(set(zip(text, text[1:], strict=False))))
 
 
-def _compact(f: Features, year: int | None, doi: str | None, volume: str | None, issue: str | None, page: str | None, names: list[str], numbers: str) -> tuple:
-    flags = f.cut * _CUT | f.note * _NOTE_BIT | f.et_al * _ET_AL_BIT | bool(f.zh) * _ZH | bool(f.en) * _EN | (year is not None) * _YEAR
-    pairs = [min(65535, len(set(zip(t, t[1:], strict=False)))) for t in (f.zh, f.en)]
-    first = [_initials(n) for n in names[:_LISTED]]
-    return max(-32768, min(32767, year or 0)), flags, min(65535, len(names)), *pairs, _code(f.sequel), _code(volume), _code(issue), _code(page), _code(doi), _code(numbers), first + [0] * (_LISTED - len(first))
+def _compact(f: list[Features], year: list[int | None], **texts: list[str | None]) -> np.ndarray:
+    """Descriptions of fixed size, from which bounds() tells what a pair can't be."""
+    out = np.zeros(len(f), dtype=_COMPACT)
+    out["year"] = [max(-32768, min(32767, y or 0)) for y in year]
+    out["flags"] = [x.cut * _CUT | x.note * _NOTE_BIT | x.et_al * _ET_AL_BIT | bool(x.zh) * _ZH | bool(x.en) * _EN | (y is not None) * _YEAR for x, y in zip(f, year, strict=True)]
+    out["authors"] = [min(65535, len(x.authors)) for x in f]
+    out["pairs_zh"], out["pairs_en"] = [_pairs(x.zh) for x in f], [_pairs(x.en) for x in f]
+    for c, bits in _CODES.items():
+        out[c] = _code(texts[c], bits)
+    for i in range(_LISTED):
+        out["initials"][:, i] = [functools.reduce(operator.or_, (_LETTER[t[0]] for t in x.authors[i])) if i < len(x.authors) else 0 for x in f]
+    out["sketch"] = _pair_bits([x.zh or x.en for x in f], _SKETCH)[:, 0]
+    return out
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +299,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [list(map(" ".join, x.authors)) for x in f]
         doi, volume, issue, page = list(map(clean_doi, doi)), list(map(clean_number, volume)), list(map(clean_number, issue)), list(map(clean_page, page))
         numbers = [",".join(x.numbers) for x in f]
-        compact = np.array(list(map(_compact, f, b.column(2).to_pylist(), doi, volume, issue, page, sets, numbers)), dtype=_COMPACT).tobytes()
+        compact = _compact(f, b.column(2).to_pylist(), doi=doi, volume=volume, issue=issue, page=page, numbers=numbers, sequel=[x.sequel for x in f]).tobytes()
         size = _COMPACT.itemsize
         texts = (
             doi, volume, issue, page, (x.zh for x in f), (x.en for x in f), (x.sequel for x in f), (";".join(s) for s in sets), numbers,
@@ -386,18 +396,26 @@ def _described(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(flat.buffers()[2], dtype=_COMPACT, count=len(flat), offset=at)
 
 
-def _pair_bits(titles: list[str]) -> np.ndarray:
-    """The character pairs of each title, hashed to _BITS bits."""
+def _pair_bits(titles: list[str], bits: int = _BITS) -> np.ndarray:
+    """The character pairs of each title, hashed to so many bits, as rows of 64-bit numbers."""
     flat = np.frombuffer("".join(titles).encode("utf-32-le"), dtype=np.uint32)
     sizes = np.fromiter(map(len, titles), dtype=np.int64, count=len(titles))
     row = np.repeat(np.arange(len(titles)), sizes)
     inside = row[1:] == row[:-1]
-    bit = (flat[:-1] * np.uint32(0x9E3779B1) ^ flat[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(24)
-    out = np.zeros((len(titles), _BITS), dtype=bool)
+    bit = (flat[:-1] * np.uint32(0x9E3779B1) ^ flat[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(33 - bits.bit_length())
+    out = np.zeros((len(titles), bits), dtype=bool)
     out[row[1:][inside], bit[inside]] = True
     return np.packbits(out, axis=1).view(np.uint64)
 
 
+def _most_alike(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """What text_similarity() can be at most: the character pairs that only one title's bits show can't be shared."""
+    only_a, only_b = np.bitwise_count(a & ~b), np.bitwise_count(b & ~a)
+    if a.ndim > 1:
+        only_a, only_b = only_a.sum(axis=1, dtype=np.int32), only_b.sum(axis=1, dtype=np.int32)
+    return 2 * np.minimum(na - only_a.astype(np.int32), nb - only_b.astype(np.int32)) / np.maximum(1, na + nb)
+
+
 def bounds(a: np.ndarray, b: np.ndarray, title: np.ndarray, of_title: np.ndarray) -> np.ndarray:
     """For pairs of compact descriptions, a confidence that confidence() can't exceed; 0 where that surely is 0.
 
@@ -445,8 +463,8 @@ def _near(t: pa.Table, old: int, across: bool, names: list[str]) -> Iterator[pa.
     pas = np.array([ord(k[0]) - 48 for k in keys])
     d_of = _described(t.column("compact"))
     bits = _pair_bits([k[1:].partition(AFTER)[0] if k[0] < "3" else "" for k in keys])
-    held = np.bitwise_count(bits).sum(axis=1, dtype=np.int32)
-    pairs = np.where(pas == 2, d_of["pairs_en"], d_of["pairs_zh"]).astype(np.int32)
+    zh, en = d_of["pairs_zh"].astype(np.int32), d_of["pairs_en"].astype(np.int32)
+    pairs, either = np.where(pas == 2, en, zh), np.where(d_of["flags"] & _ZH > 0, zh, en)
     part = t.column("part").combine_chunks().to_numpy(zero_copy_only=False) if across else None
     out: list[np.ndarray] = []
     for d in range(1, WINDOW + 1):
@@ -458,12 +476,13 @@ def _near(t: pa.Table, old: int, across: bool, names: list[str]) -> Iterator[pa.
             ok &= part[i] != part[j]
         i, j = i[ok], j[ok]
         p, both = pas[i], d_of["flags"][i] & d_of["flags"][j]
-        # what one title has and the other lacks can't be shared; a title cut short, or one with a second form, may yet be the same
-        only_i, only_j = (np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1, dtype=np.int32) for x, y in ((i, j), (j, i)))
-        ni, nj = np.maximum(pairs[i], held[i]), np.maximum(pairs[j], held[j])
-        open_ = (p > 2) | ((d_of["flags"][i] | d_of["flags"][j]) & _CUT > 0) | (both & (_ZH | _EN) == _ZH | _EN)
-        title = np.where(open_, 1.0, 2 * np.minimum(ni - only_i, nj - only_j) / np.maximum(1, ni + nj))
-        good = bounds(d_of[i], d_of[j], title, (p <= 2) | (both & (_ZH | _EN) > 0)) >= LEAST - 1e-6
+        # titles are in the keys of three passes; for the others the short sketch must do. A title cut short, or one with a second form, may yet be the same
+        keyed = p <= 2
+        form = both & (_ZH | _EN)
+        other = (d_of["flags"][i] ^ d_of["flags"][j]) & (_ZH | _EN)
+        title = np.where(keyed, _most_alike(bits[i], bits[j], pairs[i], pairs[j]), _most_alike(d_of["sketch"][i], d_of["sketch"][j], either[i], either[j]))
+        title[((d_of["flags"][i] | d_of["flags"][j]) & _CUT > 0) | (form == _ZH | _EN) | ~keyed & (form == _EN) & (other > 0)] = 1.0
+        good = bounds(d_of[i], d_of[j], title, keyed | (form > 0)) >= LEAST - 1e-6
         if good.any():
             out.append(np.stack([ids[i[good]], ids[j[good]]]))
     if out:
