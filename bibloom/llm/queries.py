@@ -72,6 +72,18 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.shares(p9_mixture(spark, sf), _table(spark, sf, "mix_targets"))
 
 
+def p9_marginals(spark: SparkSession, sf: str) -> DataFrame:
+    """The languages and topics of the mixture beside what they were raked to."""
+    return mixture.marginals(*mixture.fitted(_table(spark, sf, "documents"), _table(spark, sf, "mix_targets")))
+
+
+def p9_all_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares of a mixture that is to have as many tokens as all documents of its sources, so that scarce sources end at their number of repeats."""
+    docs, targets = _table(spark, sf, "documents"), _table(spark, sf, "mix_targets")
+    total = mixture.counted(docs, targets).agg(F.sum("n_tokens")).first()[0] or 0
+    return mixture.shares(mixture.mixture(docs, targets, total_tokens=float(total)), targets)
+
+
 def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """The pieces of every document over the limit of its source."""
     return chunks.split(_table(spark, sf, "documents"), _table(spark, sf, "size_limits"))
@@ -79,4 +91,4 @@ def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (p1_found, p2_found, p3_found, p4_found, p5_found, p8_found, p9_mixture, p10_pieces)
-    return {f.__name__: f for f in (*found, p1_repaired, p2_matched, p4_collapsed, p8_scored, p9_shares)}
+    return {f.__name__: f for f in (*found, p1_repaired, p2_matched, p4_collapsed, p8_scored, p9_shares, p9_marginals, p9_all_tokens)}

@@ -162,29 +162,61 @@ def test_matching(spark):
     assert matching.found(r.limit(0), w).count() == 0 and matching.found(r, w.limit(0)).count() == 0
 
 
-def test_aims_and_raking():
+def test_aims():
     aim = mixture.aims({"a": 1000.0, "b": 100.0, "c": 500.0}, {"a": 0.5, "b": 0.3, "c": 0.2, "d": 0.1}, {"a": 1, "b": 2, "c": 1, "d": 5})
     assert abs(aim["b"] - 200) < 1e-6 and abs(aim["a"] - 200 * 5 / 3) < 1e-6 and aim["d"] == 0
     capped = mixture.aims({"a": 1000.0, "b": 100.0}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 2}, total=800)
     assert capped == {"a": 600.0, "b": 200.0}
     assert mixture.aims({}, {"a": 1.0}, {"a": 1}) == {"a": 0.0}
-    cells = [(s, g, t) for s in "ab" for g in ("zh", "en") for t in "12"]
-    size = np.array([10.0, 20, 30, 40, 50, 60, 70, 80])
-    fit = mixture.rake(cells, size, {"a": 60.0, "b": 120.0}, {"a": 2, "b": 1}, {"zh": 0.5, "en": 0.5})
-    by = lambda i, k: sum(w * s for c, w, s in zip(cells, fit.weights, size, strict=True) if c[i] == k)
-    assert abs(by(0, "a") - 60) < 1e-6 and abs(by(0, "b") - 120) < 1e-6 and abs(by(1, "zh") - 90) < 1e-3
-    assert fit.weights[:4].max() <= 2 + 1e-9 and fit.weights[4:].max() <= 1 + 1e-9
+
+
+CELLS = [(s, g, t, 10.0 * (i + 1)) for i, (s, g, t) in enumerate((s, g, t) for s in "ab" for g in ("zh", "en") for t in ("one", "two", None))]
+
+
+def _plain_raking(cells, want, rounds=2000):
+    """Proportional fitting cell by cell, without ceilings."""
+    w = {c[:3]: 1.0 for c in cells}
+    for _ in range(rounds):
+        for axis in (2, 1, 0):
+            have = defaultdict(float)
+            for *c, size in cells:
+                have[c[axis]] += w[tuple(c)] * size
+            w = {c: x * want[axis].get(c[axis], 0.0) / have[c[axis]] for c, x in w.items()}
+    return w
+
+
+def test_raking_against_plain_fitting(spark):
+    df = spark.createDataFrame(CELLS, "source string, lang string, topic string, size double")
+    want = [{"a": 60.0, "b": 120.0}, {"zh": 90.0, "en": 90.0}, {"one": 45.0, "two": 90.0, None: 45.0}]
+    fit = mixture.rake(df, want[0], {"a": 9, "b": 9}, {"zh": 1, "en": 1}, {"one": 0.25, "two": 0.5, None: 0.25})
+    got = {(r["source"], r["lang"], r["topic"]): r["weight"] for r in fit.weights.collect()}
+    plain = _plain_raking(CELLS, want)
+    assert max(fit.errors.values()) < 1e-6 and all(abs(got[c] - plain[c]) < 1e-4 for c in plain)
+    capped = mixture.rake(df, want[0], {"a": 2, "b": 1}, {"zh": 0.5, "en": 0.5})
+    weights = capped.weights.collect()
+    assert max(r["weight"] for r in weights if r["source"] == "b") <= 1 + 1e-6 and max(r["weight"] for r in weights if r["source"] == "a") <= 2 + 1e-6
+    size = {c[:3]: c[3] for c in CELLS}
+    for s, aim in want[0].items():
+        assert abs(sum(r["weight"] * size[r["source"], r["lang"], r["topic"]] for r in weights if r["source"] == s) - aim) < 1e-4
+    with pytest.raises(ValueError):
+        mixture.rake(df, want[0], {"a": 9, "b": 9}, {"zh": 0.5, "fr": 0.5})
+    with pytest.raises(ValueError):
+        mixture.rake(df, want[0], {"a": 1, "b": 1}, None, {"one": 1.0})
 
 
 def test_mixture(spark):
-    rnd = random.Random(3)
-    rows = [(i, rnd.choice(["a", "a", "a", "b", "x"]), rnd.choice(["zh", "en", None]), f"l{i % 5}", "word " * rnd.randrange(1, 60), 1) for i in range(1500)] + [(5000, "b", None, None, None, 1), (5001, "b", None, None, "", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, corpus_label string, text string, copies int")
-    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.5, 3), ("c", 0.1, 2)], "source string, target_share double, max_repeats int")
-    mixed = mixture.mixture(docs, targets)
+    docs = spark.createDataFrame([(i, "a" if i % 3 else "b", "zh" if i % 2 else None, f"label {i % 90}", "word " * (1 + i % 7) if i % 11 else None, i) for i in range(3000)] + [(9000, None, "en", "x", "word", 1), (9001, "x", "en", "x", "word", 1)], "doc_id long, source string, lang string, corpus_label string, text string, copies int")
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.5, 3), ("c", 0.1, 5)], "source string, target_share double, max_repeats int")
+    mixed, fit = mixture.fitted(docs, targets)
     got = {r["source"]: r for r in mixture.shares(mixed, targets).collect()}
     assert abs(got["a"]["share"] - 4 / 9) < 0.01 and abs(got["b"]["share"] - 5 / 9) < 0.01 and got["c"]["share"] == 0
     assert got["a"]["most_copies"] == 1 and got["b"]["most_copies"] <= 3 and mixed.filter("source = 'x'").count() == 0
+    by = mixture.marginals(mixed, fit).collect()
+    assert {r["name"] for r in by if r["marginal"] == "topic"} == {f"label {i}" for i in range(90)} and {r["name"] for r in by if r["marginal"] == "lang"} == {"zh", None}
+    assert all(abs(r["share"] - r["target_share"]) < 0.05 for r in by)
+    # shares by label are met for the labels as they are spelled
+    few, fit = mixture.fitted(docs, targets, total_tokens=150, topic_shares={"label 5": 4, "label 6": 5})
+    assert few.select("topic").distinct().count() == 2 and max(fit.errors.values()) < 1e-6 and fit.langs is None
     assert mixture.mixture(docs.limit(0), targets).count() == 0
 
 
@@ -215,6 +247,37 @@ def test_equal_titles_are_sorted_by_year_and_author(spark):
     assert {(i, i) for i in range(300)} <= _pairs(_featured(spark, rows, works))
 
 
+def test_bounds_of_confidence_hold():
+    """No pair of descriptions gets a confidence above the bound that decides whether the window keeps it."""
+    rnd = random.Random(12)
+    titles = ["基于624例样本的鹤浦早产儿视力进展研究", "基于624例样本的鹤浦早产儿视力进展分析", "基于625例样本的鹤浦早产儿视力进展研究（下）", "Visual progression in 624 preterm infants", "Visual progression in 624 preterm infant…", "更正：基于624例样本的鹤浦早产儿视力进展研究", "基于624例样本的鹤浦早产儿视力进展研究 / Visual progression in 624 preterm infants", None]
+    people = ["Shen Ruoyan; Qian Lin", "R Shen; L Qian", "Shen Ruoyan et al.", "Qian Lin; Shen Ruoyan; Bao Wen; Xu Dan; You Gui", "You Gui", None]
+    rows = []
+    for _ in range(250):
+        cells = [rnd.choice([None, "36", "37"]), rnd.choice([None, "9", "2"]), rnd.choice([None, "338", "12"])]
+        rows.append((rnd.choice(titles), rnd.choice(people), rnd.choice([None, 2016, 2017, 2021]), cells, rnd.choice([None, "10.1/a123", "10.1/b123"])))
+    f = [matching.features(t, p) for t, p, *_ in rows]
+    cell = lambda i: [r[3][i] for r in rows]
+    compact = matching._compact(f, [r[2] for r in rows], volume=cell(0), issue=cell(1), page=cell(2), doi=[r[4] for r in rows], numbers=[",".join(x.numbers) for x in f], sequel=[x.sequel for x in f])
+    i, j = np.triu_indices(len(rows), 1)
+    both = compact["flags"][i] & compact["flags"][j] & (matching._ZH | matching._EN)
+    bound = matching.bounds(compact[i], compact[j], np.ones(len(i)), both > 0)
+    true = np.array([matching.confidence(f[a], rows[a][2], tuple(rows[a][3]), rows[a][4], f[b], rows[b][2], tuple(rows[b][3]), rows[b][4]) for a, b in zip(i, j, strict=True)])
+    assert (true <= bound + 1e-9).all() and (true > 0).sum() > 100
+    n = compact["pairs_zh"].astype(np.int32)
+    for bits in (matching._pair_bits([x.zh for x in f]), matching._pair_bits([x.zh for x in f], 64)):
+        most = matching._most_alike(bits[i], bits[j], n[i], n[j])
+        assert all(matching.text_similarity(f[a].zh, f[b].zh) <= m + 1e-9 for a, b, m in zip(i.tolist(), j.tolist(), most.tolist(), strict=True) if f[a].zh and f[b].zh)
+
+
+def test_papers_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(matching, "CELL", 7)
+    member = spark.createDataFrame([(2 * i, 5) for i in range(40)] + [(2 * i + 1, 5) for i in range(23)] + [(200, 200), (201, 201), (301, 301)], "id long, entity long")
+    papers = spark.createDataFrame([(5, 5, 0.9), (200, 201, 0.8)], "left long, right long, confidence double")
+    got = matching._expanded(matching.materialise(member), papers).collect()
+    assert len(got) == 40 * 23 + 1 and {(r["rec_id"], r["work_id"]) for r in got} == {(i, j) for i in range(40) for j in range(23)} | {(100, 100)}
+
+
 def test_large_conflict_gets_the_greatest_total(spark):
     # a-x 0.84, a-y 0.83, b-x 0.83: both pairs of 0.83 are worth more; all in one component, tied by y and the next x
     rows = [r for k in range(100) for r in ((2 * k, 2 * k, 0.84), (2 * k, 2 * k + 1, 0.83), (2 * k + 1, 2 * k, 0.83), (2 * k + 1, 2 * k + 2, 0.70))]
@@ -259,15 +322,16 @@ def _dense(n, m, w):
 
 def test_a_run_over_many_partitions_takes_one_place(spark):
     early, hot, late = "沐墩地区农业生态由", "沐墩地区农业生态甲", "沐墩地区农业生态电"
-    rows = [(0, early, "Shen Ruoyan; Qian Lin", 2000, None, None, None, None, "x")] + [(i, hot, "You Gui", 1950, None, None, None, None, "x") for i in range(1, 4000)]
-    works = [(0, late, "Shen Ruoyan; Bao Wen", None, None, "3", "4", "5", "x")]
+    same = "10.99006/k2017.001026291"
+    rows = [(0, early, "Shen Ruoyan; Qian Lin", 2000, same, None, None, None, "x")] + [(i, hot, "You Gui", 1950, None, None, None, None, "x") for i in range(1, 4000)]
+    works = [(0, late, "Shen Ruoyan; Bao Wen", None, same, "3", "4", "5", "x")]
     assert early < hot < late
-    e = _featured(spark, rows, works).withColumn("doi", F.when(F.col("year").isNull() | (F.col("year") == 2000), "10.99006/k2017.001026291"))
+    e = _featured(spark, rows, works)
     shown = matching._sort_rows(e).filter("key like '0%'").repartitionByRange(16, "key", "digest", "id").sortWithinPartitions("key", "digest", "id")
     hit = matching.materialise(shown.mapInArrow(matching._windows(False), matching._PAIR))
     edge = hit.filter("kind = 1")
     assert edge.groupBy("part", "digest").count().filter("count > 2").count() == 0
-    across = edge.select("key", "digest", "id", "year", "who", "where", "count", "doi", "has_doi", "part").distinct().repartitionByRange(1, "key", "digest", "id").sortWithinPartitions("key", "digest", "id")
+    across = edge.select("key", "digest", "id", "compact", "part").distinct().repartitionByRange(1, "key", "digest", "id").sortWithinPartitions("key", "digest", "id")
     got = {(x["a"], x["b"], x["kind"]) for x in across.mapInArrow(matching._windows(True), matching._PAIR).collect() + hit.filter("kind <> 1").collect()}
     assert (0, 1, 0) in got
     assert len({x for a, b, kind in got if kind == 2 for x in (a, b)}) == 3999
