@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import functools
 import heapq
-import operator
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -35,6 +33,7 @@ LEAST, CERTAIN = 0.70, 0.85
 CELL = 1000
 #: Years that two descriptions of one paper may be apart.
 YEARS = 2
+_MAY_NOTE = frozenset("勘更订撤EeCcRr")
 _NOTE = re.compile(r"^\s*(?:勘误|更正|订正|撤稿|[Ee]rrat|ERRAT|[Cc]orrection|CORRECTION|[Cc]orrigend|CORRIGEND|[Rr]etract|RETRACT)|一文的(?:更正|勘误|订正)")
 _SEQUEL = re.compile(r"[（(\[［【]\s*(上|中|下|续\d?|[一二三四五六]|[ⅠⅡⅢⅣⅤⅰⅱⅲⅳⅴ]|[ivx]{1,4}|\d)\s*[）)\]］】]|\bpart\s+([ivx\d]+)\b", re.I)
 _MARKED = re.compile(r"[（(\[［【]\s*[上中下续一二三四五六ⅠⅡⅢⅣⅤⅰⅱⅲⅳⅴivxIVX\d]{1,4}\s*[）)\]］】]|[Pp][Aa][Rr][Tt] ")
@@ -74,7 +73,7 @@ def forms(title: str | None) -> tuple[str, str, bool, bool, str]:
     t = title if title.isascii() else mojibake.repair(title)[0] or ""
     if "（" in t or "[" in t or "(" in t or "&" in t:
         t = _ADDED.sub("", t)
-    note = bool(_NOTE.search(t))
+    note = (t.lstrip()[:1] in _MAY_NOTE or "一文的" in t) and bool(_NOTE.search(t))
     sequel = ""
     if _MARKED.search(t):
         sequel = "+".join(sorted({unicodedata.normalize("NFKC", next(filter(None, m.groups()))).casefold() for m in _SEQUEL.finditer(t)}))
@@ -101,22 +100,24 @@ def _two_forms(t: str) -> bool:
 
 
 _ET_AL = re.compile(r"[;,]?\s*\bet\s+al\b\.?", re.I)
-_NAMES = re.compile(r"[;；|、]")
-_WORD = re.compile(r"[a-z]+")
+#: ASCII letters in lower case, separators of names as semicolons, all else as spaces.
+_NAMES = {i: c.lower() if (c := chr(i)).isalpha() else ";" if c in ";|" else " " for i in range(128)}
+_OTHER = re.compile(r"[^\x00-\x7f]")
 
 
 def author_tokens(text: str | None) -> tuple[tuple[tuple[str, ...], ...], bool]:
     """Each author as the sorted name tokens in lower case (so that the order of names doesn't matter), and whether the list was cut."""
     if not text:
         return (), False
-    plain = text if text.isascii() else unicodedata.normalize("NFKD", text)
+    plain = text
+    if not plain.isascii():
+        plain = "".join(c for c in unicodedata.normalize("NFKD", plain).casefold() if not unicodedata.combining(c))
     et_al = " al" in plain and bool(_ET_AL.search(plain))
     if et_al:
         plain = _ET_AL.sub("", plain)
-    plain = plain.casefold()
     if not plain.isascii():
-        plain = "".join(c for c in plain if not unicodedata.combining(c))
-    out = [tuple(sorted(_WORD.findall(a))) for a in _NAMES.split(plain)]
+        plain = _OTHER.sub(" ", plain.replace("、", ";").replace("；", ";"))
+    out = [tuple(sorted(a.split())) for a in plain.translate(_NAMES).split(";")]
     return tuple(a for a in out if a), et_al
 
 
@@ -271,8 +272,15 @@ def _code(texts: list[str | None], bits: int) -> np.ndarray:
     return np.where(plain == "", 0, pd.util.hash_array(plain, categorize=False) >> np.uint64(64 - bits) | np.uint64(1))
 
 
-def _pairs(text: str) -> int:
-    return min(65535, len(set(zip(text, text[1:], strict=False))))
+def _pairs(titles: list[str]) -> np.ndarray:
+    """How many different character pairs each title has."""
+    flat = np.frombuffer("".join(titles).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    row = np.repeat(np.arange(len(titles), dtype=np.uint64), np.fromiter(map(len, titles), dtype=np.int64, count=len(titles)))
+    inside = row[1:] == row[:-1]
+    pairs = np.sort((row[1:] << np.uint64(42) | flat[:-1] << np.uint64(21) | flat[1:])[inside])
+    first = np.ones(len(pairs), dtype=bool)
+    first[1:] = pairs[1:] != pairs[:-1]
+    return np.minimum(65535, np.bincount((pairs[first] >> np.uint64(42)).astype(np.int64), minlength=len(titles)))
 
 
 def _compact(f: list[Features], year: list[int | None], **texts: list[str | None]) -> np.ndarray:
@@ -281,11 +289,10 @@ def _compact(f: list[Features], year: list[int | None], **texts: list[str | None
     out["year"] = [max(-32768, min(32767, y or 0)) for y in year]
     out["flags"] = [x.cut * _CUT | x.note * _NOTE_BIT | x.et_al * _ET_AL_BIT | bool(x.zh) * _ZH | bool(x.en) * _EN | (y is not None) * _YEAR for x, y in zip(f, year, strict=True)]
     out["authors"] = [min(65535, len(x.authors)) for x in f]
-    out["pairs_zh"], out["pairs_en"] = [_pairs(x.zh) for x in f], [_pairs(x.en) for x in f]
+    out["pairs_zh"], out["pairs_en"] = _pairs([x.zh for x in f]), _pairs([x.en for x in f])
     for c, bits in _CODES.items():
         out[c] = _code(texts[c], bits)
-    for i in range(_LISTED):
-        out["initials"][:, i] = [functools.reduce(operator.or_, (_LETTER[t[0]] for t in x.authors[i])) if i < len(x.authors) else 0 for x in f]
+    out["initials"] = [([sum({_LETTER[t[0]] for t in a}) for a in x.authors[:_LISTED]] + [0] * _LISTED)[:_LISTED] for x in f]
     out["sketch"] = _pair_bits([x.zh or x.en for x in f], _SKETCH)[:, 0]
     return out
 
