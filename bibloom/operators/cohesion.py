@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibloom.functions import scalar as S
-from bibloom.operators.components import propagate
+from bibloom.operators.components import propagate, shared_key_edges
 from bibloom.operators.metrics import LEAST
-from bibloom.runtime import materialise
+from bibloom.runtime import lookup, materialise, rows_of
 
 
 def clusters(papers: DataFrame, members: DataFrame, corpus: str = "corpus_id", record: str = "record_id", person: str = "person") -> DataFrame:
@@ -20,11 +20,11 @@ def clusters(papers: DataFrame, members: DataFrame, corpus: str = "corpus_id", r
     big = papers.groupBy(corpus).agg(F.count("*").alias("k")).filter(F.col("k") >= LEAST).select(corpus)
     p = papers.select(corpus, record).join(big, corpus)
     m = materialise(members.select(corpus, record, person).join(big, corpus).distinct(), "members")
-    hub = m.groupBy(corpus, person).agg(F.min(record).alias("hub"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    edges = m.join(hub, [corpus, person]).select(F.col(record).alias("u"), F.col("hub").alias("v")).filter("u <> v").distinct()
+    key = F.concat_ws("\x1f", F.col(corpus).cast("string"), F.col(person).cast("string"))
+    edges = shared_key_edges(m.select(record, key.alias("key")), record, [F.col("key")], "cohesion")
     labels = propagate(edges, "cohesion")
-    least = labels.groupBy("label").agg(F.min("u").alias("cluster"))
-    named = labels.join(least, "label").select(F.col("u").alias(record), "cluster")
+    least = materialise(labels.groupBy("label").agg(F.min("u").alias("cluster"), F.count("*").alias("n")), "cohesion")
+    named = lookup(labels, least, "label", rows_of(labels), spread=F.xxhash64("u")).select(F.col("u").alias(record), "cluster")
     return p.join(named, record, "left").select(corpus, record, F.coalesce("cluster", F.col(record)).alias("cluster"))
 
 

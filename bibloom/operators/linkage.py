@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from bibloom.functions import columns as C
 from bibloom.functions import scalar as S
-from bibloom.operators.components import propagate
+from bibloom.operators.components import propagate, shared_key_edges
+from bibloom.runtime import lookup, materialise, rows_of
 
 
 def identity_keys(doi: Column, pmid: Column, title: Column, year: Column) -> Column:
@@ -17,21 +18,69 @@ def identity_keys(doi: Column, pmid: Column, title: Column, year: Column) -> Col
     return F.array_compact(F.array(F.concat(F.lit("d:"), C.doi_key(doi)), F.concat(F.lit("p:"), C.pmid_key(pmid)), title_year))
 
 
-def merge_records(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Two harvests as one: ``(entity, n_first, n_second, kind)``.
+#: What a key of identity_keys() is, by its first letter.
+KINDS = {"d": "doi", "p": "pmid", "t": "title_year"}
 
-    Both have ``corpus_id, record_id, keys``, ids unique over both. Rows that share a key, directly or through others, are
-    one entity; the kind is both, first_only or second_only. Rows without any key stay alone.
+
+def merge_harvests(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Where each record of a second harvest goes: ``(corpus_id, record_id, entity, in_first, outcome, kind)``.
+
+    Both have ``corpus_id, record_id, keys``, the keys in order of preference and the ids unique within their harvest.
+    Records of the first harvest are never folded into each other. One of the second is
+
+    * ``cross`` if it has a key that a record of the first states itself: by the first such key, its least record;
+    * ``internal`` if it shares keys with others of the second only, directly or through others: it goes to the least
+      record of the first that any of them goes to, else to their least record;
+    * ``new`` if it is the least of those, or alone.
+
+    ``kind`` is that of the key that decided: doi, pmid or title_year. The result doesn't depend on the order of rows. Keys
+    that a large share of all rows have are spread over all tasks.
+    """
+    scoped = lambda df: df.select("corpus_id", "record_id", F.transform("keys", lambda k: F.concat(F.col("corpus_id").cast("string"), F.lit("\x1f"), k)).alias("keys"))
+    b = materialise(scoped(second), "merge")
+    own = scoped(first).select(F.explode("keys").alias("key"), "record_id").groupBy("key").agg(F.min("record_id").alias("base"))
+    held = materialise(b.select("record_id", F.posexplode("keys").alias("at", "key")), "merge")
+    counted = materialise(held.groupBy("key").agg(F.count("*").alias("n"), F.count("*").alias("copies")).join(own, "key", "left"), "merge")
+    letter = F.substring(F.substring_index("key", "\x1f", -1), 1, 1)
+    kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[letter]
+    best = lambda condition, *c: F.min(F.when(condition, F.struct("at", kind.alias("kind"), *c)))
+    each = lookup(held, counted, "key", rows_of(held)).groupBy("record_id").agg(best(F.col("base").isNotNull(), "base").alias("direct"), best(F.col("copies") > 1).alias("shared"))
+    labels = propagate(shared_key_edges(b, "record_id", [F.get("keys", F.lit(i)) for i in range(len(KINDS))], "merge"), "merge")
+    j = b.drop("keys").join(each, "record_id", "left").join(labels.withColumnRenamed("u", "record_id"), "record_id", "left").withColumn("group", F.coalesce("label", "record_id"))
+    groups = materialise(j.groupBy("group").agg(F.min("direct.base").alias("base"), F.min("record_id").alias("least"), F.count("*").alias("n")), "merge")
+    j = lookup(j, groups, "group", rows_of(b), spread=F.xxhash64("record_id"))
+    direct = F.col("direct").isNotNull()
+    alone = F.col("base").isNull() & (F.col("record_id") == F.col("least"))
+    outcome = F.when(direct, "cross").when(alone, "new").otherwise("internal")
+    return j.select("corpus_id", "record_id", F.coalesce("direct.base", "base", "least").alias("entity"), F.col("base").isNotNull().alias("in_first"), outcome.alias("outcome"), F.when(direct, F.col("direct.kind")).when(~alone, F.col("shared.kind")).alias("kind"))
+
+
+def fold_harvests(first: DataFrame, second: DataFrame, merged: DataFrame) -> DataFrame:
+    """The merged corpus: ``(corpus_id, entity, in_first, doi, work_id, author_ids, confirmed_by)``, one row for each paper.
+
+    Both harvests have ``corpus_id, record_id, doi, work_id, author_ids, source``. The record that keeps its place keeps
+    its cells; a missing DOI or work id comes from the first copy that has one, the ids of authors and the sources are
+    those of all copies.
     """
-    rows = first.select("corpus_id", "record_id", "keys", F.lit(0).alias("side")).unionByName(second.select("corpus_id", "record_id", "keys", F.lit(1).alias("side")))
-    held = rows.select("corpus_id", "record_id", F.explode("keys").alias("key"))
-    hub = held.groupBy("corpus_id", "key").agg(F.min("record_id").alias("hub"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    edges = held.join(hub, ["corpus_id", "key"]).select(F.col("record_id").alias("u"), F.col("hub").alias("v")).filter("u <> v").distinct()
-    labels = propagate(edges, "merge").withColumnRenamed("u", "record_id")
-    e = rows.join(labels, "record_id", "left").withColumn("e", F.coalesce("label", "record_id"))
-    a = e.groupBy("corpus_id", "e").agg(F.min("record_id").alias("entity"), F.count_if(F.col("side") == 0).alias("n_first"), F.count_if(F.col("side") == 1).alias("n_second"))
-    kind = F.when((F.col("n_first") > 0) & (F.col("n_second") > 0), "both").when(F.col("n_first") > 0, "first_only").otherwise("second_only")
-    return a.select("corpus_id", "entity", "n_first", "n_second", kind.alias("kind"))
+    cols = ("doi", "work_id", "author_ids", "source")
+    a = first.select("corpus_id", F.col("record_id").alias("entity"), F.lit(True).alias("in_first"), F.struct(F.lit(0).alias("side"), "record_id").alias("place"), *cols)
+    b = second.join(merged.select("corpus_id", "record_id", "entity", "in_first"), ["corpus_id", "record_id"]).select("corpus_id", "entity", "in_first", F.struct(F.lit(1).alias("side"), "record_id").alias("place"), *cols)
+    rows = a.unionByName(b)
+    key = ["corpus_id", "entity", "in_first"]
+    stated = lambda c: F.min_by(F.nullif(F.trim(c), F.lit("")), F.when(F.trim(c) != "", F.col("place"))).alias(c)
+    one = rows.groupBy(*key).agg(stated("doi"), stated("work_id"), F.array_sort(F.collect_set("source")).alias("confirmed_by"))
+    ids = rows.select(*key, F.explode("author_ids").alias("id")).distinct().groupBy(*key).agg(F.array_sort(F.collect_list("id")).alias("author_ids"))
+    return one.join(ids, key, "left").select(*key, "doi", "work_id", F.coalesce("author_ids", F.array().cast("array<string>")).alias("author_ids"), "confirmed_by")
+
+
+def merge_counts(first: DataFrame, merged: DataFrame) -> DataFrame:
+    """Per corpus how many records each harvest has, and the merged one; how many papers both have; and what decided, across harvests and within the second."""
+    a = first.groupBy("corpus_id").agg(F.count("*").alias("first_total"))
+    hit = lambda o, k: F.count_if((F.col("outcome") == o) & (F.col("kind") == k)).alias(f"{o}_{k}")
+    b = merged.groupBy("corpus_id").agg(F.count("*").alias("second_total"), F.count_if(F.col("outcome") == "new").alias("second_only"), *[hit(o, k) for o in ("cross", "internal") for k in KINDS.values()])
+    both = merged.filter("in_first").select("corpus_id", "entity").distinct().groupBy("corpus_id").agg(F.count("*").alias("both_sources"))
+    j = a.join(b, "corpus_id", "full").join(both, "corpus_id", "left").fillna(0)
+    return j.withColumns({"merged_total": F.col("first_total") + F.col("second_only"), "first_only": F.col("first_total") - F.col("both_sources")})
 
 
 def title_year_merge(base: DataFrame, added: DataFrame) -> DataFrame:
@@ -48,20 +97,29 @@ def title_year_merge(base: DataFrame, added: DataFrame) -> DataFrame:
 def journal_routes(names: DataFrame, table: DataFrame) -> DataFrame:
     """How each journal name finds its entry: ``(journal, route, entry, n_candidates)``.
 
-    ``names`` has ``journal, issn``, ``table`` ``entry, name, issn, eissn``. Routes in order: issn, name_exact, name_abbrev
-    (only with exactly one candidate); several candidates are ambiguous, none is none.
+    ``names`` has ``journal, issn``, ``table`` ``entry, name, official_abbreviation, issn, eissn``. Routes in order: issn,
+    name_exact, name_abbrev_official (the name is an entry's own abbreviation), name_abbrev (either abbreviates the other,
+    with exactly one candidate); several candidates on a route are ambiguous, none is none.
     """
-    by_issn = table.select("entry", F.explode(F.array_compact(F.array(C.valid_issn(F.col("issn")), C.valid_issn(F.col("eissn"))))).alias("i")).groupBy("i").agg(F.min("entry").alias("e1"))
-    t = table.withColumn("k", S.journal_key(F.col("name"))).filter("k <> ''")
-    by_name = t.groupBy("k").agg(F.min("entry").alias("e2"))
+    by_issn = table.select("entry", F.explode(F.array_compact(F.array(C.valid_issn(F.col("issn")), C.valid_issn(F.col("eissn"))))).alias("i")).groupBy("i").agg(F.min("entry").alias("e1"), F.countDistinct("entry").alias("n1"))
+    keyed = lambda c: table.select("entry", S.journal_key(F.col(c)).alias("k")).filter("k <> ''").distinct()
+    t = keyed("name")
+    by_name = t.groupBy("k").agg(F.min("entry").alias("e2"), F.count("*").alias("n2"))
+    by_official = keyed("official_abbreviation").groupBy("k").agg(F.min("entry").alias("e3"), F.count("*").alias("n3"))
     n = names.withColumns({"i": C.valid_issn(F.col("issn")), "k": S.journal_key(F.col("journal"))}).withColumn("tok", S.journal_tokens(F.col("k")))
     sig = lambda c: F.array_join(F.transform(c, lambda x: F.substring(x, 1, 1)), "")
-    n = n.withColumn("sig", sig(F.col("tok"))).join(by_issn, "i", "left").join(by_name, "k", "left")
+    n = n.withColumn("sig", sig(F.col("tok"))).join(by_issn, "i", "left").join(by_name, "k", "left").join(by_official, "k", "left")
     tt = t.select("entry", S.journal_tokens(F.col("k")).alias("ttok")).withColumn("sig", sig(F.col("ttok")))
-    loose = n.filter("e1 is null and e2 is null and sig <> ''").select("journal", "sig", "tok").distinct().join(tt, "sig").filter(S.abbreviates(F.col("tok"), F.col("ttok"))).groupBy("journal").agg(F.countDistinct("entry").alias("n3"), F.min("entry").alias("e3"))
-    j = n.join(loose, "journal", "left")
-    route = F.when(F.col("e1").isNotNull(), "issn").when(F.col("e2").isNotNull(), "name_exact").when(F.col("n3") == 1, "name_abbrev").when(F.col("n3") > 1, "ambiguous").otherwise("none")
-    return j.select("journal", route.alias("route"), F.when(route != "ambiguous", F.coalesce("e1", "e2", "e3")).alias("entry"), F.coalesce("n3", F.lit(0)).cast("long").alias("n_candidates"))
+    rest = n.filter("e1 is null and e2 is null and e3 is null and sig <> ''").select("k", "sig", "tok").distinct()
+    loose = rest.join(tt, "sig").filter(S.abbreviates(F.col("tok"), F.col("ttok"))).groupBy("k").agg(F.countDistinct("entry").alias("n4"), F.min("entry").alias("e4"))
+    j = n.join(loose, "k", "left")
+    route, entry, many = F.lit("none"), F.lit(None).cast("long"), F.lit(0).cast("long")
+    for at, name in ((4, "name_abbrev"), (3, "name_abbrev_official"), (2, "name_exact"), (1, "issn")):
+        e, k = F.col(f"e{at}"), F.col(f"n{at}")
+        route = F.when(k == 1, name).when(k > 1, "ambiguous").otherwise(route)
+        entry = F.when(k == 1, e).when(k > 1, None).otherwise(entry)
+        many = F.when(k > 0, k).otherwise(many)
+    return j.select("journal", route.alias("route"), entry.alias("entry"), many.alias("n_candidates"))
 
 
 def worklist(papers: DataFrame) -> DataFrame:
@@ -99,20 +157,65 @@ def graduate_groups(rows: DataFrame) -> DataFrame:
     return a.withColumn("flag", F.when((F.col("n_rows") > 1) & (F.col("n_degrees") == F.col("n_rows")), "continuing_student").when(F.col("n_rows") > 1, "same_name_same_degree"))
 
 
-def reconcile(graduates: DataFrame, people: DataFrame) -> DataFrame:
-    """Graduates against the people of a corpus: ``(corpus_id, graduate, outcome, person)``.
+def name_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(corpus_id, left, right, level)``: pairs of names of one corpus that agree at all.
 
-    Candidates meet by a shared block (``block``: a folded surname or the like), then their names are compared. One
-    accepted person is matched, several are ambiguous; a weaker likeness is partial_name, other scripts are undecidable,
-    nothing is without_record. A person that two graduates claim is contested, and both go to review.
+    Both have ``corpus_id, name``, distinct. Names that are equal or forms of each other meet by their form (each rotation
+    of the tokens, joined, or the ideographs), which few share; those that may state part of each other by a full word.
+    """
+    parts = lambda df, c: df.select("corpus_id", F.col("name").alias(c), S.latin_tokens(F.col("name")).alias("t"), F.nullif(S.han_key(F.col("name")), F.lit("")).alias("h"))
+    form = F.array_distinct(F.concat(F.transform(S.rotations(F.col("t")), lambda x: F.concat(F.lit("l:"), x)), F.array_compact(F.array(F.concat(F.lit("h:"), "h")))))
+    word = F.array_distinct(F.filter("t", lambda x: F.length(x) > 1))
+    meet = lambda k: parts(left, "left").select("corpus_id", "left", F.explode(k).alias("k")).join(parts(right, "right").select("corpus_id", "right", F.explode(k).alias("k")), ["corpus_id", "k"]).select("corpus_id", "left", "right")
+    pairs = meet(form).unionByName(meet(word)).distinct()
+    return pairs.withColumn("level", S.name_level(F.col("left"), F.col("right"))).filter("level is not null and level <> 'undecidable_script'")
+
+
+def reconcile(graduates: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Graduates against the people of a corpus, both ``(corpus_id, name)`` and distinct.
+
+    The first result has ``(corpus_id, graduate, outcome, person)``: one person that agrees is matched, several are
+    ambiguous; else partial_name if a name may state part of it, undecidable_script if the corpus has names in the other
+    script only to compare with, else without_record. A person that two graduates claim is contested, and so are these.
+    The second has ``(corpus_id, person, standing)`` of every person: claimed, in_review (named by a graduate that isn't
+    matched) or people_only.
     """
-    c = graduates.select("corpus_id", "graduate", "name", F.explode("blocks").alias("block")).join(people.select("corpus_id", "person", F.col("name").alias("pname"), F.explode("blocks").alias("block")), ["corpus_id", "block"]).drop("block").distinct()
-    c = c.withColumn("level", S.name_level(F.col("name"), F.col("pname"))).filter("level is not null")
+    found = materialise(name_candidates(graduates, people), "names")
     good = F.col("level").isin("exact", "name_form")
-    a = c.groupBy("corpus_id", "graduate").agg(F.count_if(good).alias("n_good"), F.min(F.when(good, F.col("person"))).alias("person"), F.bool_or(F.col("level") == "partial_name").alias("weak"), F.bool_or(F.col("level") == "undecidable_script").alias("other"))
-    g = graduates.select("corpus_id", "graduate").join(a, ["corpus_id", "graduate"], "left")
-    outcome = F.when(F.col("n_good") == 1, "matched").when(F.col("n_good") > 1, "ambiguous").when(F.col("weak"), "partial_name").when(F.col("other"), "undecidable_script").otherwise("without_record")
+    a = found.groupBy("corpus_id", "left").agg(F.count_if(good).alias("n_good"), F.min(F.when(good, F.col("right"))).alias("person"), F.bool_or(F.col("level") == "partial_name").alias("weak"))
+    script = S.script_of(F.col("name"))
+    has = people.groupBy("corpus_id").agg(F.bool_or(script == "han").alias("has_han"), F.bool_or(script == "latin").alias("has_latin"))
+    own = S.script_of(F.col("graduate"))
+    other = (own == "han") & F.col("has_latin") | (own == "latin") & F.col("has_han")
+    g = graduates.select("corpus_id", F.col("name").alias("graduate")).join(a.withColumnRenamed("left", "graduate"), ["corpus_id", "graduate"], "left").join(F.broadcast(has), "corpus_id", "left")
+    outcome = F.when(F.col("n_good") == 1, "matched").when(F.col("n_good") > 1, "ambiguous").when(F.col("weak"), "partial_name").when(other, "undecidable_script").otherwise("without_record")
     g = g.withColumn("outcome", outcome).withColumn("person", F.when(F.col("outcome") == "matched", F.col("person")))
     claims = g.filter("person is not null").groupBy("corpus_id", "person").agg(F.count("*").alias("claims"))
-    j = g.join(claims, ["corpus_id", "person"], "left")
-    return j.select("corpus_id", "graduate", F.when(F.col("claims") > 1, "contested").otherwise(F.col("outcome")).alias("outcome"), "person")
+    out = materialise(g.join(claims, ["corpus_id", "person"], "left").select("corpus_id", "graduate", F.when(F.col("claims") > 1, "contested").otherwise(F.col("outcome")).alias("outcome"), "person"), "outcomes")
+    claimed = out.filter("outcome = 'matched'").select("corpus_id", "person").withColumn("claimed", F.lit(True))
+    review = found.withColumnRenamed("left", "graduate").join(out.filter(F.col("outcome").isin("ambiguous", "partial_name", "contested")).select("corpus_id", "graduate"), ["corpus_id", "graduate"]).select("corpus_id", F.col("right").alias("person")).distinct().withColumn("review", F.lit(True))
+    standing = F.when(F.col("claimed"), "claimed").when(F.col("review"), "in_review").otherwise("people_only")
+    p = people.select("corpus_id", F.col("name").alias("person")).join(claimed, ["corpus_id", "person"], "left").join(review, ["corpus_id", "person"], "left")
+    return out, p.select("corpus_id", "person", standing.alias("standing"))
+
+
+def reconcile_shares(outcomes: DataFrame, standings: DataFrame) -> DataFrame:
+    """Per corpus graduates by outcome, the bounds of those without a record, and their share: null under 5 graduates or with half of them open."""
+    n = lambda *o: F.count_if(F.col("outcome").isin(*o))
+    a = outcomes.groupBy("corpus_id").agg(F.count("*").alias("graduates"), n("matched").alias("with_record"), n("without_record").alias("without_record"), n("ambiguous", "partial_name", "contested").alias("review"), n("undecidable_script").alias("undecidable"))
+    p = standings.groupBy("corpus_id").agg(F.count_if(F.col("standing") == "people_only").alias("people_only"))
+    open_ = (F.col("review") + F.col("undecidable")) / F.col("graduates")
+    share = F.when((F.col("graduates") >= 5) & (open_ <= 0.5), F.col("without_record") / F.col("graduates"))
+    return a.join(p, "corpus_id", "left").withColumns({"without_at_most": F.col("without_record") + F.col("review"), "share_without": share})
+
+
+def same_advisor(a: Column, b: Column) -> Column:
+    """Whether two cells name one advisor: their letters are equal, or their Latin tokens in any order."""
+    ta, tb = S.latin_tokens(a), S.latin_tokens(b)
+    key = lambda c: S.letters_only(C.narrow(c))
+    return F.coalesce(((key(a) != "") & (key(a) == key(b))) | ((F.size(ta) > 0) & (F.array_sort(ta) == F.array_sort(tb)) & (S.script_of(a) == "latin") & (S.script_of(b) == "latin")), F.lit(False))
+
+
+def best_issn(*cells: Column) -> Column:
+    """The first valid serial number of several cells."""
+    return F.coalesce(*[C.valid_issn(c) for c in cells])

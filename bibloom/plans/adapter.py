@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibloom.operators import corpus, people
+from bibloom.runtime import materialise
 
 LONG = "long"
 
@@ -74,6 +75,14 @@ class Model:
         return self.entries.filter("idx = 0")
 
 
+    def keep(self) -> Model:
+        """The same model with papers, entries and people as written tables, for queries that read them several times: each source table is read once."""
+        out = Model(self.spark, self.sf)
+        for name in ("papers", "entries", "people"):
+            out.__dict__[name] = materialise(getattr(out, name), name)
+        return out
+
+
 #: Common table expressions, each after those that it uses.
 CTES = {
     "paper": """SELECT CAST(c_nationkey AS BIGINT) AS corpus_id, o_orderkey AS record_id, o_custkey AS group_id, strftime(o_orderdate, '%Y-%m-%d') AS date_iso, CAST(year(o_orderdate) AS BIGINT) AS yr,

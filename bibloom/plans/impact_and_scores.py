@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bibloom.operators import cohesion, impact, metrics, quality, reports, scoring
 from bibloom.plans.adapter import CTES, Model, sql
+from bibloom.runtime import materialise
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -107,9 +108,15 @@ CTES["scored"] = "SELECT corpus_id, count(*) AS n_components, string_agg(compone
 
 
 def _parts(m):
+    m = m.keep()
     return scoring.components(metrics.first_author_slots(m.papers, m.leads, m.target, m.people), metrics.lead_partition(m.people), metrics.time_to_lead(m.people), metrics.records_per_year(m.papers), impact.summary(m.papers))
 
 
+def _scores(m):
+    """One row for each corpus, read by several steps."""
+    return materialise(scoring.scores(_parts(m)), "scores")
+
+
 @query("SELECT corpus_id, component, round(value, 6) AS value FROM parts")
 def score_components(m):
     return _parts(m).withColumn("value", F.round("value", 6))
@@ -135,12 +142,12 @@ CTES["placed"] = """SELECT corpus_id, score, CAST(NULL AS VARCHAR) AS reason, ra
 
 @query("SELECT * FROM placed")
 def rank_corpora(m):
-    return scoring.rank_corpora(scoring.scores(_parts(m)))
+    return scoring.rank_corpora(_scores(m))
 
 
 @query("SELECT * FROM (SELECT corpus_id, lead(corpus_id) OVER w AS next_id, CASE WHEN score = lead(score) OVER w THEN 'tie' ELSE 'ahead' END AS outcome, round(score - lead(score) OVER w, 1) AS difference FROM placed WINDOW w AS (ORDER BY score DESC, corpus_id)) WHERE next_id IS NOT NULL")
 def adjacent_statements(m):
-    return scoring.statements(scoring.rank_corpora(scoring.scores(_parts(m))))
+    return scoring.statements(scoring.rank_corpora(_scores(m)))
 
 
 # clusters: the orders of one customer, tied by shared parts of the same brand
@@ -233,7 +240,7 @@ def glance(m):
 
 @query("SELECT row_number() OVER (ORDER BY score DESC NULLS LAST, corpus_id) AS line, corpus_id, score, outcome, difference FROM (SELECT corpus_id, score, CASE WHEN lead(corpus_id) OVER w IS NULL THEN NULL WHEN score = lead(score) OVER w THEN 'tie' ELSE 'ahead' END AS outcome, round(score - lead(score) OVER w, 1) AS difference FROM placed WINDOW w AS (ORDER BY score DESC, corpus_id))")
 def comparison_table(m):
-    s = scoring.scores(_parts(m))
+    s = _scores(m)
     return reports.comparison(s, scoring.statements(scoring.rank_corpora(s)))
 
 
@@ -253,13 +260,6 @@ def text_validation(m):
     return m.table("documents").select("doc_id", reports.text_verdict(F.col("text"), F.col("title"), F.lit(None).cast("string")).alias("verdict"))
 
 
-@query(None)
-def target_in_bylines(m):
-    """Where one person, known by a Chinese and a romanised name, stands in the records' author lists."""
-    r = m.table("chinese_records").select(F.col("rec_id").alias("record_id"), F.filter(F.transform(F.split("authors_raw", "[;；,，、|｜]"), lambda x: F.regexp_replace(x, r"[*＊#†\s]+", "")), lambda x: x != "").alias("authors"))
-    return reports.locate(r, ("韦珩", "Wei Heng"))
-
-
 @query(None)
 def figure_net(m):
     return reports.panels(_clusters(m), "group_id")

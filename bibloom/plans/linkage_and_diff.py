@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bibloom.functions import columns as C
 from bibloom.functions import scalar as S
 from bibloom.operators import cache, cohesion, corpus, diff, linkage, people
+from bibloom.plans import sqltext as X
 from bibloom.plans.adapter import CTES, Model, sql
 
 QUERIES = {}
@@ -114,23 +115,17 @@ def evidence_tier(m):
     return e.groupBy("corpus_id", tier.alias("tier")).agg(F.count("*").alias("n"))
 
 
-@query(None)
-def name_compare(m):
-    """Byline names of the works against those of the records with the same DOI: how they agree."""
-    w = m.table("works").select(C.doi_key(F.col("doi")).alias("d"), "work_id", F.get(F.split("authors_str", ";"), F.lit(0)).alias("a"))
-    r = m.table("chinese_records").select(C.doi_key(F.col("doi")).alias("d"), "rec_id", F.get(F.split("authors_pinyin_raw", ";"), F.lit(0)).alias("b"))
-    fillers = F.col("d").rlike(r"\d{3}")
-    j = w.filter(fillers).join(r.filter(fillers), "d")
-    return j.select("work_id", "rec_id", S.name_level(F.col("a"), F.col("b")).alias("level"))
-
-
-@query(None)
+@query("""SELECT row_id, name FROM (SELECT *, regexp_replace(lower(strip_accents(last)), '[^a-z]+', '', 'g') AS s, regexp_replace(lower(strip_accents(coalesce(nullif(trim(fore), ''), initials, ''))), '[^a-z ]+', '', 'g') AS g FROM byname) WHERE s = 'wei' AND (trim(g) = '' OR trim(g)[1] = 'z')""")
 def name_match(m):
     """Byline entries that can be the person typed as the first argument, by the rules for initials and given names."""
     return _names(m).filter(S.name_match("Wei Z", F.col("last"), F.col("fore"), F.col("initials"))).select("row_id", "name")
 
 
-@query(None)
+_AT = "list_position(list_transform(parts, lambda x: regexp_matches(lower(x), '{}')), true)"
+
+
+@query(f"""SELECT label, count(*) AS n FROM (SELECT CASE WHEN i > 0 THEN CASE WHEN i > 1 THEN parts[i-1] || ', ' || parts[i] ELSE parts[1] END ELSE parts[1] END AS label FROM (SELECT parts, coalesce(nullif({_AT.format(S.INSTITUTION_WORDS)}, 0), {_AT.format(S.UNIT_WORDS)}) AS i FROM
+  (SELECT list_filter(list_transform(string_split(string_split(regexp_replace(affiliation, '[\\w.+-]+@[\\w.-]+\\.\\w+', '', 'g'), ';')[1], ','), lambda x: regexp_replace(x, '^[ .]+|[ .]+$', '', 'g')), lambda x: x <> '') AS parts FROM byname WHERE trim(affiliation) <> ''))) GROUP BY 1""")
 def affiliation_labels(m):
     return _names(m).filter(F.trim("affiliation") != "").select("row_id", S.affiliation_label(F.col("affiliation")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
@@ -138,16 +133,6 @@ def affiliation_labels(m):
 # joins with side tables
 
 
-@query("""SELECT record_id AS entity, CASE WHEN even AND odd THEN 'both' WHEN even THEN 'first_only' ELSE 'second_only' END AS kind FROM (SELECT min(id) AS record_id, bool_or(id < 1000000000) AS even, bool_or(id >= 1000000000) AS odd FROM (
-  SELECT record_id AS id, record_id AS k FROM paper WHERE record_id % 3 <> 0 UNION ALL SELECT record_id + 1000000000, record_id FROM paper WHERE record_id % 2 = 0) GROUP BY k)""")
-def corpus_merge(m):
-    p = m.papers
-    key = lambda x: F.array(F.concat(F.lit("d:"), x.cast("string")), F.concat(F.lit("t:"), x.cast("string")))
-    a = p.filter("record_id % 3 <> 0").select("corpus_id", "record_id", key(F.col("record_id")).alias("keys"))
-    b = p.filter("record_id % 2 = 0").select("corpus_id", (F.col("record_id") + 1_000_000_000).alias("record_id"), F.array(F.concat(F.lit("t:"), F.col("record_id").cast("string"))).alias("keys"))
-    return linkage.merge_records(a, b).select("entity", "kind")
-
-
 _TITLE = "regexp_replace(lower(title), '[^a-z0-9一-鿿]', '', 'g')"
 
 
@@ -160,33 +145,26 @@ def title_year_merge(m):
     return linkage.title_year_merge(base, added).select("record_id", "outcome", "base_id")
 
 
-@query(None)
+_KEY = "regexp_replace(trim(regexp_replace(replace(lower(strip_accents({})), '&', ' and '), '[^a-z0-9一-鿿]+', ' ', 'g')), '^the ', '')"
+_TOKENS = "list_filter(string_split({}, ' '), lambda t: t NOT IN ('the', 'of', 'and', 'for', 'in', 'on', 'a', 'an', 'de', 'der', 'die', 'das', ''))"
+_SIGN = "array_to_string(list_transform({}, lambda t: t[1]), '')"
+_FITS = "len(x) = len(y) AND len(x) > 0 AND len(list_filter(range(1, len(x) + 1), lambda i: NOT (starts_with(x[i], y[i]) OR starts_with(y[i], x[i])))) = 0 AND list_sum(list_transform(range(1, len(x) + 1), lambda i: least(length(x[i]), length(y[i])))) >= 6"
+
+
+@query(f"""SELECT journal, CASE WHEN n1 = 1 THEN 'issn' WHEN n1 > 1 THEN 'ambiguous' WHEN n2 = 1 THEN 'name_exact' WHEN n2 > 1 THEN 'ambiguous' WHEN n3 = 1 THEN 'name_abbrev_official' WHEN n3 > 1 THEN 'ambiguous' WHEN n4 = 1 THEN 'name_abbrev' WHEN n4 > 1 THEN 'ambiguous' ELSE 'none' END AS route,
+  CASE WHEN n1 IS NOT NULL THEN CASE WHEN n1 = 1 THEN e1 END WHEN n2 IS NOT NULL THEN CASE WHEN n2 = 1 THEN e2 END WHEN n3 IS NOT NULL THEN CASE WHEN n3 = 1 THEN e3 END WHEN n4 = 1 THEN e4 END AS entry, coalesce(n1, n2, n3, n4, 0) AS n_candidates FROM
+  (SELECT journal, {X.issn('issn')} AS i, {_KEY.format('journal')} AS k FROM (SELECT journal, min(issn) AS issn FROM papers GROUP BY 1 UNION ALL SELECT DISTINCT host_journal, NULL FROM works)) n
+  LEFT JOIN (SELECT {X.issn('issn')} AS i, min(ref_id) AS e1, count(DISTINCT ref_id) AS n1 FROM ref_values WHERE field_name = 'journal' AND {X.issn('issn')} IS NOT NULL GROUP BY 1) a ON a.i = n.i
+  LEFT JOIN (SELECT k, min(ref_id) AS e2, count(DISTINCT ref_id) AS n2 FROM (SELECT ref_id, {_KEY.format('unnest([canonical, english_name])')} AS k FROM ref_values WHERE field_name = 'journal') WHERE k <> '' GROUP BY 1) b ON b.k = n.k
+  LEFT JOIN (SELECT {_KEY.format('abbreviation')} AS k, min(ref_id) AS e3, count(DISTINCT ref_id) AS n3 FROM ref_values WHERE field_name = 'journal' AND {_KEY.format('abbreviation')} <> '' GROUP BY 1) c ON c.k = n.k
+  LEFT JOIN (SELECT k, min(ref_id) AS e4, count(DISTINCT ref_id) AS n4 FROM (SELECT DISTINCT {_KEY.format('journal')} AS k FROM (SELECT journal FROM papers UNION SELECT host_journal FROM works)) u JOIN (SELECT ref_id, {_KEY.format('unnest([canonical, english_name])')} AS rk FROM ref_values WHERE field_name = 'journal') r ON (SELECT {_FITS} FROM (SELECT {_TOKENS.format('u.k')} AS x, {_TOKENS.format('r.rk')} AS y)) GROUP BY 1) d ON d.k = n.k""")
 def journal_route_join(m):
-    """Journals of the papers against the reference list by ISSN, by name, and by abbreviation."""
+    """Journals of the papers and works against the reference list by ISSN, by name, by the entry's own abbreviation, and by abbreviating each other."""
     names = m.table("papers").groupBy("journal").agg(F.min("issn").alias("issn"))
-    ref = m.table("ref_values").filter("field_name = 'journal'").select(F.col("ref_id").alias("entry"), F.explode(F.array("canonical", "english_name", "abbreviation")).alias("name"), "issn", F.lit(None).cast("string").alias("eissn"))
+    ref = m.table("ref_values").filter("field_name = 'journal'").select(F.col("ref_id").alias("entry"), F.explode(F.array("canonical", "english_name")).alias("name"), F.col("abbreviation").alias("official_abbreviation"), "issn", F.lit(None).cast("string").alias("eissn"))
     return linkage.journal_routes(names.unionByName(m.table("works").select(F.col("host_journal").alias("journal"), F.lit(None).cast("string").alias("issn")).distinct()), ref)
 
 
-_KEYED = " UNION ALL ".join(f"SELECT row_id, 's:' || x AS key FROM (SELECT row_id, {_COMPACT.replace('issn', c)} AS x FROM journals) WHERE {_VALID}" for c in ("issn", "eissn")) + " UNION ALL SELECT row_id, 'n:' || journal_key FROM journals WHERE journal_key <> ''"
-#: Rows of journals with the least row of their group and its size.
-JOURNAL_GROUPS = f"""WITH RECURSIVE held AS ({_KEYED}), hub AS (SELECT key, min(row_id) AS hub FROM held GROUP BY 1), link AS (SELECT DISTINCT row_id AS u, hub AS v FROM held JOIN hub USING (key)), edge AS (SELECT u, v FROM link UNION SELECT v, u FROM link),
-  walk AS (SELECT DISTINCT row_id AS u, row_id AS r FROM held UNION SELECT w.u, e.v FROM walk w JOIN edge e ON e.u = w.r), grouped AS (SELECT u AS row_id, min(r) AS group_id, count(*) AS n FROM walk GROUP BY 1) """
-
-
-@query(None)
-def journal_row_groups(m):
-    """Rows of journal tables that a serial number or a name ties together, by plain propagation."""
-    from bibloom.operators.components import propagate
-
-    serial = lambda c: F.concat(F.lit("s:"), C.valid_issn(F.col(c)))
-    held = m.table("journals").select("row_id", F.explode(F.array_distinct(F.array_compact(F.array(serial("issn"), serial("eissn"), F.when(F.col("journal_key") != "", F.concat(F.lit("n:"), "journal_key")))))).alias("key"))
-    hub = held.groupBy("key").agg(F.min("row_id").alias("v"))
-    labels = propagate(held.join(hub, "key").select(F.col("row_id").alias("u"), "v"), "journals")
-    least = labels.groupBy("label").agg(F.min("u").alias("group_id"))
-    return labels.join(least, "label").select(F.col("u").alias("row_id"), "group_id")
-
-
 @query("""SELECT journal, count(*) AS n_papers, arg_min(issn, row_id) AS issn, count(DISTINCT issn) AS n_issns FROM (SELECT journal, row_id, CASE WHEN """ + _VALID + """ THEN x END AS issn FROM (SELECT journal, row_id, """ + _COMPACT + """ AS x FROM papers) t) WHERE trim(journal) <> '' GROUP BY 1""")
 def journal_worklist(m):
     return linkage.worklist(m.table("papers").withColumnRenamed("row_id", "record_id"))
@@ -204,7 +182,8 @@ def risk_join(m):
     return linkage.risk_join(m.table("papers"), m.table("journals").filter("warning_level is not null").select("issn", F.col("warning_level").alias("signal")))
 
 
-@query(None)
+@query(f"""WITH n AS (SELECT host_journal AS journal, count(*) AS n, {_TOKENS.format(_KEY.format('host_journal'))} AS tok FROM works WHERE trim(host_journal) <> '' GROUP BY 1), p AS (SELECT a.journal, b.journal AS anchor, b.n AS an FROM n a JOIN n b ON {_SIGN.format('a.tok')} = {_SIGN.format('b.tok')} AND (b.n > a.n OR b.n = a.n AND b.journal <= a.journal) AND (SELECT {_FITS} FROM (SELECT a.tok AS x, b.tok AS y)))
+SELECT journal, arg_min(anchor, (-an, anchor)) AS anchor FROM p GROUP BY 1""")
 def alias_groups(m):
     """Names of works' journals that abbreviate a commoner one."""
     return cohesion.alias_groups(m.table("works").filter("trim(host_journal) <> ''").groupBy(F.col("host_journal").alias("journal")).agg(F.count("*").alias("n")))
@@ -228,15 +207,6 @@ def graduate_groups(m):
     return linkage.graduate_groups(_roster(m))
 
 
-@query(None)
-def thesis_reconcile(m):
-    """First authors of the works as graduates against first authors of the records of the same year as people."""
-    block = lambda c: F.filter(F.transform(F.split(F.lower(c), " "), F.trim), lambda x: F.length(x) > 1)
-    g = m.table("works").filter("authors_str is not null").select(F.col("publication_year").cast("long").alias("corpus_id"), F.col("work_id").alias("graduate"), F.trim(F.get(F.split("authors_str", ";"), F.lit(0))).alias("name"))
-    p = m.table("chinese_records").filter("authors_pinyin_raw is not null").select(F.col("pub_year").cast("long").alias("corpus_id"), F.trim(F.get(F.split("authors_pinyin_raw", ";"), F.lit(0))).alias("name")).distinct()
-    return linkage.reconcile(g.withColumn("blocks", block("name")), p.select("corpus_id", F.xxhash64("name").alias("person"), "name", block("name").alias("blocks"))).drop("person")
-
-
 # two harvests: orders to 1999 and from 1997
 
 CTES["harvest"] = "SELECT *, '10.1/' || record_id AS k FROM paper"
@@ -318,6 +288,3 @@ def dedup_first_wins(m):
 @query("SELECT CAST(o_custkey AS BIGINT) AS key, min(o_orderkey) AS kept, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
 def dedup_lowest_id(m):
     return m.table("orders").groupBy(F.col("o_custkey").alias("key")).agg(F.min("o_orderkey").alias("kept"), F.count("*").alias("n")).filter("n > 1")
-
-
-SQL["journal_row_groups"] = JOURNAL_GROUPS + "SELECT row_id, group_id FROM grouped"

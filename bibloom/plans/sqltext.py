@@ -124,3 +124,40 @@ changes AS (SELECT CASE WHEN old_row_id IS NULL THEN 'added' WHEN new_row IS NUL
 
 VALUES = CHANGES + """ SELECT change_type, c.snapshot_no, c.row_id, old_row_id, n.pmid, o.pmid AS old_pmid, n.doi, o.doi AS old_doi, n.title, o.title AS old_title
 FROM changes c LEFT JOIN papers n ON n.row_id = new_row LEFT JOIN papers o ON o.row_id = old_row_id"""
+
+
+# names
+
+
+def script(x: str) -> str:
+    han, latin = f"regexp_matches({x}, '[一-鿿㐀-䶿]')", f"regexp_matches({x}, '[A-Za-zÀ-ɏ]')"
+    return f"CASE WHEN {x} IS NULL OR NOT ({han} OR {latin}) THEN 'empty' WHEN {han} AND {latin} THEN 'mixed' WHEN {han} THEN 'han' ELSE 'latin' END"
+
+
+def tokens(x: str) -> str:
+    return f"regexp_extract_all(lower(strip_accents({narrow(x)})), '[a-z]+')"
+
+
+def forms(t: str) -> str:
+    return f"list_transform(range(1, len({t}) + 1), lambda i: array_to_string(list_concat({t}[i:], CASE WHEN i > 1 THEN {t}[1:i-1] ELSE [] END), ''))"
+
+
+def covered(s: str, l: str) -> str:
+    many = f"len(list_filter({s}, lambda x: starts_with(x, w))) > len(list_filter({l}, lambda x: starts_with(x, w)))"
+    same = f"len(list_filter({s}, lambda x: x = w)) > len(list_filter({l}, lambda x: x = w))"
+    short = f"len({s}) < len({l}) OR len({s}) = len({l}) AND len(list_filter({s}, lambda x: length(x) = 1)) > 0"
+    return f"(len({s}) > 0 AND ({short}) AND len(list_filter(list_distinct({s}), lambda w: CASE WHEN length(w) = 1 THEN {many} ELSE {same} END)) = 0)"
+
+
+def name_level(a: str, b: str) -> str:
+    """Agreement of two names, from columns ``{a}_name``, ``{a}_script``, ``{a}_tokens`` and ``{a}_forms`` and those of ``b``."""
+    sa, sb, ta, tb = f"{a}_script", f"{b}_script", f"{a}_tokens", f"{b}_tokens"
+    han = lambda x: f"regexp_replace({x}_name, '[^一-鿿㐀-䶿]', '', 'g')"
+    return f"""CASE WHEN {sa} = 'empty' OR {sb} = 'empty' THEN NULL WHEN {sa} = 'han' AND {sb} = 'han' THEN CASE WHEN {han(a)} = {han(b)} THEN 'exact' END
+    WHEN {sa} <> {sb} AND {sa} <> 'mixed' AND {sb} <> 'mixed' THEN 'undecidable_script' WHEN NOT ({sa} = 'latin' OR {sb} = 'latin') OR len({ta}) = 0 OR len({tb}) = 0 THEN NULL
+    WHEN {ta} = {tb} THEN CASE WHEN len({ta}) = 1 THEN 'partial_name' ELSE 'exact' END WHEN list_has_any({a}_forms, {b}_forms) THEN 'name_form' WHEN {covered(ta, tb)} OR {covered(tb, ta)} THEN 'partial_name' END"""
+
+
+def name_columns(x: str, of: str) -> str:
+    """The columns that name_level() needs of the name ``of``."""
+    return f"{of} AS {x}_name, {script(of)} AS {x}_script, coalesce({tokens(of)}, []) AS {x}_tokens, {forms(f'coalesce({tokens(of)}, [])')} AS {x}_forms"

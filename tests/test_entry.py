@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 CHECKED = (
     "byline_positions", "pi_resolution", "exclusion_reasons", "people_rows", "rank_people_span", "first_author_slots", "activity_span", "roster_turnover", "byline_by_year", "trend_ols", "citation_join", "citation_summary", "citation_percentile", "score_components",
-    "rank_corpora", "coauthor_clusters", "cluster_person_edges", "issn_checksum", "date_parts", "person_keys", "corpus_merge", "title_year_merge", "journal_row_groups", "risk_join", "diff_papers", "diff_window", "ttl_cache_lookup", "stream_newest", "text_validation",
+    "rank_corpora", "coauthor_clusters", "cluster_person_edges", "issn_checksum", "date_parts", "person_keys", "corpus_merge", "title_year_merge", "risk_join", "merge_counts", "corpus_fold", "role_filter", "role_counts", "name_compare", "thesis_reconcile", "target_in_bylines", "journal_route_join", "p6_found", "p7_found", "source_signals", "diff_papers", "diff_window", "ttl_cache_lookup", "stream_newest", "text_validation",
 )
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 

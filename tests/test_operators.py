@@ -1,4 +1,4 @@
-"""Edge cases of the reference's operators on hand-made frames."""
+"""Edge cases of the operators on hand-made frames."""
 
 import random
 from statistics import quantiles
@@ -6,7 +6,7 @@ from statistics import quantiles
 import pytest
 from pyspark.sql import functions as F
 
-from bibloom.operators import cache, cohesion, corpus, diff, impact, linkage, metrics, people, quality, scoring
+from bibloom.operators import cache, cohesion, corpus, diff, impact, linkage, metrics, people, quality, roles, scoring
 
 
 def test_exclusions_first_reason_wins(spark):
@@ -120,23 +120,72 @@ def test_alias_groups(spark):
 
 
 def test_journal_routes(spark):
-    names = spark.createDataFrame([("X", "0317-8471"), ("The Alpha Beta Gamma", None), ("Alph Bet Gam", None), ("Delt Eps Zet", None), ("None such", "bad")], "journal string, issn string")
-    table = spark.createDataFrame([(1, "Alpha Beta Gamma", "0317-8471", None), (2, "Delta Epsilon Zeta", None, None), (3, "Deltas Epsilons Zetas", None, "2049-3630")], "entry long, name string, issn string, eissn string")
+    names = spark.createDataFrame([("X", "0317-8471"), ("The Alpha Beta Gamma", None), ("Alph Bet Gam", None), ("Delt Eps Zet", None), ("None such", "bad"), ("A.B.G.", None), (None, None)], "journal string, issn string")
+    table = spark.createDataFrame([(1, "Alpha Beta Gamma", "A B G", "0317-8471", None), (2, "Delta Epsilon Zeta", None, None, None), (3, "Deltas Epsilons Zetas", None, None, "2049-3630")], "entry long, name string, official_abbreviation string, issn string, eissn string")
     got = {r["journal"]: (r["route"], r["entry"]) for r in linkage.journal_routes(names, table).collect()}
-    assert got == {"X": ("issn", 1), "The Alpha Beta Gamma": ("name_exact", 1), "Alph Bet Gam": ("name_abbrev", 1), "Delt Eps Zet": ("ambiguous", None), "None such": ("none", None)}
+    assert got == {"X": ("issn", 1), "The Alpha Beta Gamma": ("name_exact", 1), "Alph Bet Gam": ("name_abbrev", 1), "Delt Eps Zet": ("ambiguous", None), "None such": ("none", None), "A.B.G.": ("name_abbrev_official", 1), None: ("none", None)}
 
 
 def test_reconcile(spark):
-    g = spark.createDataFrame([(1, 1, "Wei Zhou", ["wei"]), (1, 2, "Zhou Wei", ["wei"]), (1, 3, "Li W", ["li"]), (1, 4, "吴安", ["x"]), (1, 5, "No One", ["no"]), (1, 6, "Ma Bo", ["ma"])], "corpus_id long, graduate long, name string, blocks array<string>")
-    p = spark.createDataFrame([(1, "a", "wei zhou", ["wei"]), (1, "b", "Li Wen", ["li"]), (1, "c", "Wu An", ["x"]), (1, "d", "Ma Bo", ["ma"]), (1, "e", "Bo Ma", ["ma"])], "corpus_id long, person string, name string, blocks array<string>")
-    assert {r["graduate"]: r["outcome"] for r in linkage.reconcile(g, p).collect()} == {1: "contested", 2: "contested", 3: "partial_name", 4: "undecidable_script", 5: "without_record", 6: "ambiguous"}
+    g = spark.createDataFrame([(1, x) for x in ("Wei Zhou", "Zhou Wei", "Li W", "吴安", "No One", "Ma Bo", "Qi Yun")] + [(2, "Wei Zhou")], "corpus_id long, name string")
+    p = spark.createDataFrame([(1, x) for x in ("wei zhou", "Li Wen", "Wu An", "Ma Bo", "Bo Ma", "QiYun", "Xu")], "corpus_id long, name string")
+    out, standing = linkage.reconcile(g, p)
+    assert {(r["corpus_id"], r["graduate"]): r["outcome"] for r in out.collect()} == {(1, "Wei Zhou"): "contested", (1, "Zhou Wei"): "contested", (1, "Li W"): "partial_name", (1, "吴安"): "undecidable_script", (1, "No One"): "without_record", (1, "Ma Bo"): "ambiguous", (1, "Qi Yun"): "matched", (2, "Wei Zhou"): "without_record"}
+    assert {r["person"]: r["standing"] for r in standing.collect()} == {"wei zhou": "in_review", "Li Wen": "in_review", "Wu An": "people_only", "Ma Bo": "in_review", "Bo Ma": "in_review", "QiYun": "claimed", "Xu": "people_only"}
+    share = {r["corpus_id"]: (r["graduates"], r["without_record"], r["without_at_most"], r["share_without"]) for r in linkage.reconcile_shares(out, standing).collect()}
+    assert share == {1: (7, 1, 5, None), 2: (1, 1, 1, None)}
+    empty = linkage.reconcile(g.limit(0), p.limit(0))
+    assert empty[0].count() == 0 and empty[1].count() == 0
 
 
 def test_merge_and_diff(spark):
-    a = spark.createDataFrame([(1, 1, ["d:x"]), (1, 2, ["p:1"]), (1, 3, [])], "corpus_id long, record_id long, keys array<string>")
-    b = spark.createDataFrame([(1, 11, ["d:x", "p:1"]), (1, 12, ["d:z"]), (1, 13, [])], "corpus_id long, record_id long, keys array<string>")
-    assert {(r["entity"], r["n_first"], r["n_second"], r["kind"]) for r in linkage.merge_records(a, b).collect()} == {(1, 2, 1, "both"), (3, 1, 0, "first_only"), (12, 0, 1, "second_only"), (13, 0, 1, "second_only")}
-    assert {(r["record_id"], r["status"]) for r in diff.rows(a, b).collect()} == {(3, "unkeyable_old"), (12, "only_new"), (13, "unkeyable_new")}
+    keyed = "corpus_id long, record_id long, keys array<string>"
+    a = spark.createDataFrame([(1, 1, ["d:x"]), (1, 2, ["p:1"]), (1, 3, [])], keyed)
+    b = spark.createDataFrame([(1, 11, ["d:x", "p:1"]), (1, 12, ["d:z"]), (1, 13, []), (1, 14, ["p:9", "t:a|1"]), (1, 15, ["d:y", "t:a|1"]), (1, 16, ["d:y"]), (1, 17, ["d:q", "p:1"]), (1, 18, ["d:q"]), (2, 19, ["d:x"])], keyed)
+    got = {r["record_id"]: (r["entity"], r["in_first"], r["outcome"], r["kind"]) for r in linkage.merge_harvests(a, b).collect()}
+    # 11 goes by its DOI although its PMID is another record's; 14 to 16 are one paper of the second harvest; 18 reaches record 2 only by a DOI that 17 brings
+    assert got == {11: (1, True, "cross", "doi"), 12: (12, False, "new", None), 13: (13, False, "new", None), 14: (14, False, "new", None), 15: (14, False, "internal", "doi"), 16: (14, False, "internal", "doi"), 17: (2, True, "cross", "pmid"), 18: (1, True, "internal", "doi"), 19: (19, False, "new", None)}
+    counts = {r["corpus_id"]: r for r in linkage.merge_counts(a, linkage.merge_harvests(a, b)).collect()}
+    assert (counts[1]["first_total"], counts[1]["second_total"], counts[1]["both_sources"], counts[1]["merged_total"], counts[1]["first_only"], counts[1]["cross_doi"], counts[1]["cross_pmid"], counts[1]["internal_doi"]) == (3, 8, 2, 6, 1, 1, 1, 3)
+    assert linkage.merge_harvests(a, b.limit(0)).count() == 0 and linkage.merge_harvests(a.limit(0), b).filter("outcome = 'cross'").count() == 0
+    full = "corpus_id long, record_id long, doi string, work_id string, author_ids array<string>, source string"
+    fa = spark.createDataFrame([(1, 1, None, "", ["A1"], "a"), (1, 2, "10.1/b", None, None, "a"), (1, 3, None, None, None, "a")], full)
+    fb = spark.createDataFrame([(1, 11, "10.1/x", "W1", ["A2", "A1"], "b"), (1, 12, "10.1/z", "W2", [], "b")], full)
+    merged = linkage.merge_harvests(a, b.filter("record_id < 13 and corpus_id = 1"))
+    folded = {(r["entity"], r["in_first"]): (r["doi"], r["work_id"], r["author_ids"], r["confirmed_by"]) for r in linkage.fold_harvests(fa, fb, merged).collect()}
+    assert folded == {(1, True): ("10.1/x", "W1", ["A1", "A2"], ["a", "b"]), (2, True): ("10.1/b", None, [], ["a"]), (3, True): (None, None, [], ["a"]), (12, False): ("10.1/z", "W2", [], ["b"])}
+    assert {(r["record_id"], r["status"]) for r in diff.rows(a, b.filter("record_id < 14")).collect()} == {(3, "unkeyable_old"), (12, "only_new"), (13, "unkeyable_new")}
+
+
+def test_roles(spark):
+    cells = "record_id long, idx int, n long, last string, fore string, initials string, orcid string, email string, affiliation string, is_corresponding boolean"
+    rows = [
+        (1, 0, 3, "Wei", "Zhou", "Z", "", "", "Hospital A", None), (1, 1, 3, "Wei", "Zhou", "Z", "0-1", "", "", True), (1, 2, 3, "Li", "A", "A", "", "", "", None),  # an earlier entry's affiliation goes before a later ORCID
+        (2, 0, 3, "Li", "A", "A", "", "", "", None), (2, 1, 3, "Wei", "Zhou", "Z", "0-1", "", "", None), (2, 2, 3, "Xu", "A", "A", "", "", "", None),  # in the middle
+        (3, 0, 1, "Wei", "Zhou", "Z", None, None, None, False), (4, 0, 2, "Wei", "Z", "Z", "", "a@mail.x.org", "", True), (4, 1, 2, "Li", "A", "A", "", "", "", None),
+    ]
+    df = spark.createDataFrame(rows, cells)
+    who = roles.Identity("Wei Zhou", "0-1", ["x.org"], ["hospital"])
+    got = {r["record_id"]: (r["kept"], r["roles"], r["evidence"], r["idx"]) for r in roles.role_filter(df, who).collect()}
+    assert got == {1: (True, "first", "affiliation", 0), 3: (False, "first / last", None, 0), 4: (True, "first / corresponding", "email", 0)}
+    who.require_affiliation = False
+    loose = roles.role_filter(df, who)
+    assert {r["record_id"]: r["evidence"] for r in loose.collect()} == {1: "affiliation", 3: "name_only", 4: "email"}
+    total = spark.createDataFrame([(i, 7) for i in range(1, 5)], "record_id long, corpus_id long")
+    assert [tuple(r) for r in roles.search_counts(loose, total).collect()] == [(7, 4, 2, 1, 0, 1)]
+    marks = spark.createDataFrame([("first / last [affiliation]",), ("name_only",), ("fallback",), ("",), (None,)], "m string")
+    assert [tuple(r) for r in marks.coalesce(1).select(roles.tier_of(F.col("m")), roles.is_name_only(F.col("m"))).collect()] == [("affiliation", False), (None, True), (None, True), (None, False), (None, False)]
+    ids = spark.createDataFrame([(["https://x/A2", None, "x"], ["A1", "A2"]), (None, None)], "a array<string>, b array<string>")
+    assert [r[0] for r in ids.coalesce(1).select(roles.record_author_ids(F.col("a"), F.col("b"))).collect()] == [["A1", "A2"], []]
+
+
+def test_author_search(spark):
+    rows = [("w", "w1", "I2", "t", 2001), ("w", "w1", "I1", "t", 2000), ("w", "w1", "", "u", 2002), ("v", "v1", None, None, None), ("v", "v2", "I", "t", 1)]
+    df = spark.createDataFrame(rows, "name string, person string, institution string, topic string, year int")
+    c = roles.author_candidates(df, F.col("name"))
+    assert {r["person"]: (r["institutions"], r["topics"], r["resolution"]) for r in c.collect()} == {"w1": (["I1", "I2"], ["t", "u"], "unique"), "v1": (None, None, "ambiguous"), "v2": (["I"], ["t"], "ambiguous")}
+    s = spark.createDataFrame([("w", False), ("v", False), ("x", False), ("y", True)], "searched string, failed boolean")
+    assert {r["searched"]: (r["resolution"], r["person"]) for r in roles.resolutions(s, c, F.col("failed")).collect()} == {"w": ("unique", "w1"), "v": ("ambiguous", None), "x": ("none", None), "y": ("error", None)}
 
 
 def test_gates(spark):
