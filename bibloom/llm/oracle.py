@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
-from bibloom.plans.linkage_and_diff import JOURNAL_GROUPS
+from bibloom.plans import sqltext as X
+
+_KEYED = f"SELECT row_id, 's:' || {X.issn('issn')} AS key FROM journals UNION SELECT row_id, 's:' || {X.issn('eissn')} FROM journals UNION SELECT row_id, 'n:' || journal_key FROM journals WHERE journal_key <> ''"
+_WALK = "walk AS (SELECT DISTINCT u, u AS r FROM edge UNION SELECT w.u, e.v FROM walk w JOIN edge e ON e.u = w.r)"
+#: Rows of journals with the least row of their group and its size.
+_GROUPS = f"""WITH RECURSIVE held AS (SELECT * FROM ({_KEYED}) WHERE key IS NOT NULL), hub AS (SELECT key, min(row_id) AS hub FROM held GROUP BY 1), link AS (SELECT DISTINCT row_id AS u, hub AS v FROM held JOIN hub USING (key)), edge AS (SELECT u, v FROM link UNION SELECT v, u FROM link), {_WALK}, grouped AS (SELECT u AS row_id, min(r) AS group_id, count(*) AS n FROM walk GROUP BY 1) """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": JOURNAL_GROUPS + "SELECT group_id, row_id FROM grouped WHERE n > 1"}
+    return {
+        "p3_found": _GROUPS + "SELECT group_id, row_id FROM grouped WHERE n > 1",
+        "p3_row_groups": _GROUPS + "SELECT row_id, group_id FROM grouped",
+        "p3_deep": """WITH RECURSIVE v AS (SELECT o_orderkey * 8 + j AS v FROM orders, range(8) t(j)), edge AS (SELECT v AS c, v * 2 // 3 AS p FROM v), down AS (SELECT c FROM edge WHERE p = 0 UNION SELECT e.c FROM down d JOIN edge e ON e.p = d.c),
+            deep AS (SELECT 2 * c AS u FROM down UNION SELECT 0) SELECT u, 0::bigint AS label FROM deep UNION ALL SELECT 2 * v + 1, 2 * (v - v % 10) + 1 FROM (SELECT v FROM v UNION SELECT v - v % 10 FROM v)""",
+    }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibloom.functions import columns as C
@@ -33,11 +33,29 @@ def p2_matched(spark: SparkSession, sf: str) -> DataFrame:
     return matching.match(_table(spark, sf, "chinese_records"), _table(spark, sf, "works"))
 
 
-def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+def _journal_keys() -> list[Column]:
     """Serial numbers of either cell share one name space, names have another."""
     serial = lambda c: F.concat(F.lit("s:"), C.valid_issn(F.col(c)))
-    name = F.when(F.col("journal_key") != "", F.concat(F.lit("n:"), F.col("journal_key")))
-    return groups.row_groups(_table(spark, sf, "journals"), "row_id", [serial("issn"), serial("eissn"), name])
+    return [serial("issn"), serial("eissn"), F.when(F.col("journal_key") != "", F.concat(F.lit("n:"), F.col("journal_key")))]
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return groups.row_groups(_table(spark, sf, "journals"), "row_id", _journal_keys())
+
+
+def p3_row_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row of journals that has a serial number or a name, with its group, rows alone included."""
+    journals, keys = _table(spark, sf, "journals"), _journal_keys()
+    found = p3_found(spark, sf)
+    return journals.filter(F.coalesce(*keys).isNotNull()).select("row_id").join(found, "row_id", "left").select("row_id", F.coalesce("group_id", "row_id").alias("group_id"))
+
+
+def p3_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of 16 links an order: one component in which v is tied to 2v/3 and which is dozens of links deep, and stars of ten."""
+    v = _table(spark, sf, "orders").select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.col("o_orderkey") * 8 + j)).alias("v"))
+    deep = v.select((F.col("v") * 2).alias("u"), (F.floor(F.col("v") * 2 / 3) * 2).alias("v"))
+    stars = v.select((F.col("v") * 2 + 1).alias("u"), ((F.col("v") - F.col("v") % 10) * 2 + 1).alias("v"))
+    return groups.group_links(deep.unionByName(stars))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,4 +109,4 @@ def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (p1_found, p2_found, p3_found, p4_found, p5_found, p8_found, p9_mixture, p10_pieces)
-    return {f.__name__: f for f in (*found, p1_repaired, p2_matched, p4_collapsed, p8_scored, p9_shares, p9_marginals, p9_all_tokens)}
+    return {f.__name__: f for f in (*found, p3_row_groups, p3_deep, p1_repaired, p2_matched, p4_collapsed, p8_scored, p9_shares, p9_marginals, p9_all_tokens)}
