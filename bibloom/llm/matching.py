@@ -37,6 +37,8 @@ _MAY_NOTE = frozenset("勘更订撤EeCcRr")
 _NOTE = re.compile(r"^\s*(?:勘误|更正|订正|撤稿|[Ee]rrat|ERRAT|[Cc]orrection|CORRECTION|[Cc]orrigend|CORRIGEND|[Rr]etract|RETRACT)|一文的(?:更正|勘误|订正)")
 _SEQUEL = re.compile(r"[（(\[［【]\s*(上|中|下|续\d?|[一二三四五六]|[ⅠⅡⅢⅣⅤⅰⅱⅲⅳⅴ]|[ivx]{1,4}|\d)\s*[）)\]］】]|\bpart\s+([ivx\d]+)\b", re.I)
 _MARKED = re.compile(r"[（(\[［【]\s*[上中下续一二三四五六ⅠⅡⅢⅣⅤⅰⅱⅲⅳⅴivxIVX\d]{1,4}\s*[）)\]］】]|[Pp][Aa][Rr][Tt] ")
+#: What any mark of a sequel begins with.
+_OPENS = frozenset("（([［【Pp")
 _ADDED = re.compile(r"（网络首发）|\(网络首发\)|\[(?:中文|英文|chinese|english)\]|（(?:中文|英文)）|&amp;", re.I)
 _HAN = re.compile(r"[㐀-鿿]")
 _NUMBER = re.compile(r"\d{2,}")
@@ -75,7 +77,7 @@ def forms(title: str | None) -> tuple[str, str, bool, bool, str]:
         t = _ADDED.sub("", t)
     note = (t.lstrip()[:1] in _MAY_NOTE or "一文的" in t) and bool(_NOTE.search(t))
     sequel = ""
-    if _MARKED.search(t):
+    if not _OPENS.isdisjoint(t) and _MARKED.search(t):
         sequel = "+".join(sorted({unicodedata.normalize("NFKC", next(filter(None, m.groups()))).casefold() for m in _SEQUEL.finditer(t)}))
         t = _SEQUEL.sub("", t)
     cut_short = t.rstrip().endswith(("…", "...", "．．．"))

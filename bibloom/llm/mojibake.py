@@ -264,7 +264,12 @@ def _clean(text: str) -> bool:
 
 def _big5(text: str) -> bool:
     """Whether a piece has several characters outside GB2312, as text decoded as Big5 or another East Asian set has."""
-    return len(_uncommon().intersection(text)) >= 2
+    return bool(_any_uncommon().search(text)) and len(_uncommon().intersection(text)) >= 2
+
+
+@functools.cache
+def _any_uncommon() -> re.Pattern:
+    return re.compile("[" + "".join(sorted(_uncommon())) + "]")
 
 
 @functools.cache
