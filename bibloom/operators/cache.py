@@ -26,6 +26,16 @@ def lookup_fresh(requests: DataFrame, rows: DataFrame, keys: list[str], stamp: s
     return requests.join(best, keys, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+def reusable_counts(requests: DataFrame, rows: DataFrame, keys: list[str], stamp: str, tie: str, now: Column, max_age_days: int, count: str = "citation_count") -> DataFrame:
+    """lookup_fresh() over answers that have a count: a failure isn't kept, it is asked again."""
+    return lookup_fresh(requests, rows.filter(F.col(count).isNotNull()), keys, stamp, tie, now, max_age_days)
+
+
+def reusable_risk(requests: DataFrame, rows: DataFrame, keys: list[str], stamp: str, tie: str, now: Column, max_age_days: int, sources: str = "sources") -> DataFrame:
+    """lookup_fresh() over answers that at least one source gave."""
+    return lookup_fresh(requests, rows.filter(F.size(sources) > 0), keys, stamp, tie, now, max_age_days)
+
+
 def upsert(kept: DataFrame, new: DataFrame, keys: list[str], stamp: str, tie: str) -> DataFrame:
     """The kept table with new answers put in: per key the newest."""
     return latest(kept.unionByName(new), keys, stamp, tie)

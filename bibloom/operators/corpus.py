@@ -43,7 +43,7 @@ def resolve_target(entries: DataFrame, evidence: Column, record: str = "record_i
 
 
 def exclusion_reasons(papers: DataFrame, n_authors: Column, record: str = "record_id", many: int = MANY_AUTHORS) -> DataFrame:
-    """``papers`` with ``reason``, null for those kept.
+    """``papers`` with ``reason``, null for those kept. A date without a year is unparseable, whatever year stands in for it.
 
     Of records with one PMID the first (by record) is kept, of those with one DOI the one with the least PMID; records
     already left out don't count. Records without the identifier never count as its duplicates, and are spread over all
@@ -51,7 +51,8 @@ def exclusion_reasons(papers: DataFrame, n_authors: Column, record: str = "recor
     """
     key = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
     apart = lambda c: F.coalesce(F.col(c), F.concat(F.lit("\x1f"), F.col(record).cast("string")))
-    early = F.when(F.col("year").isNull(), REASONS[0]).when(S.is_correction(F.col("title")), REASONS[1]).when(n_authors == 0, REASONS[2])
+    undated = ~S.date_parseable(F.col("pub_date")) if "pub_date" in papers.columns else F.col("year").isNull()
+    early = F.when(undated, REASONS[0]).when(S.is_correction(F.col("title")), REASONS[1]).when(n_authors == 0, REASONS[2])
     p = papers.withColumns({"_p": key(F.col("pmid")), "_d": key(F.col("doi")), "_e": early})
     by_pmid = Window.partitionBy("corpus_id", apart("_p"), F.col("_e").isNull()).orderBy(record)
     p = p.withColumn("_dup_p", F.col("_p").isNotNull() & F.col("_e").isNull() & (F.row_number().over(by_pmid) > 1))
@@ -73,6 +74,21 @@ def window_years(papers: DataFrame) -> DataFrame:
     return papers.groupBy("corpus_id").agg(F.min("year").cast("long").alias("window_start"), F.max("year").cast("long").alias("window_end"))
 
 
+def stated_window(papers: DataFrame, envelope: DataFrame) -> DataFrame:
+    """window_years(), but for the years of the search (``mindate, maxdate``, free text) where the envelope states them; an end before its start is moved to it."""
+    year = lambda c: F.nullif(F.regexp_extract(c, r"([0-9]{4})", 1), F.lit("")).cast("long")
+    j = envelope.select("corpus_id", year("mindate").alias("lo"), year("maxdate").alias("hi")).join(window_years(papers), "corpus_id", "left")
+    start = F.coalesce("lo", "window_start")
+    return j.select("corpus_id", start.alias("window_start"), F.greatest(start, F.coalesce("hi", "window_end")).alias("window_end"))
+
+
+def lifted_evidence(target: DataFrame, record_ids: DataFrame, wanted: str, record: str = "record_id") -> DataFrame:
+    """The target's evidence as reported: an open-index id anywhere on the record lifts it to that rank. The entry chosen stays."""
+    j = target.join(record_ids.select(record, F.array_contains("author_ids", wanted).alias("_has")), record, "left")
+    lifted = F.when(F.coalesce("_has", F.lit(False)), F.greatest("pi_evidence", F.lit(S.EVIDENCE["openalex"]))).otherwise(F.col("pi_evidence"))
+    return j.withColumn("reported_evidence", lifted.cast("long")).drop("_has")
+
+
 def spine(papers: DataFrame) -> DataFrame:
     """``(corpus_id, year)`` for every year of each corpus's window, years without records included."""
     return window_years(papers).select("corpus_id", "window_start", "window_end", F.explode(F.sequence("window_start", "window_end")).alias("year"))

@@ -54,28 +54,48 @@ def reference_cells(works: DataFrame, cell: tuple[str, ...] = ("topic", "year"))
     return works.filter("cites is not null").groupBy(*cell, "cites").agg(F.count("*").alias("n"))
 
 
+#: Why a paper has no place in its reference distribution, in the order in which the first that applies counts, after the located ones.
+STATUSES = ("located", "no_citation_count", "no_identifier", "topic_lookup_failed", "no_topic", "no_year", "distribution_unavailable", "distribution_too_small")
+
+
 def percentiles(papers: DataFrame, cells: DataFrame, reported: DataFrame | None = None, cell: tuple[str, ...] = ("topic", "year"), least: int = LEAST_CELL) -> DataFrame:
-    """Each paper's place in its cell: ``(record_id, status, population, percentile, at_or_below, low, high)``.
+    """Each paper's place in its cell: ``(record_id, status, population, percentile, at_or_below, low, high, tied, tied_share, points_a_paper, above_max)``.
 
     The percentile is the share of strictly fewer citations; ``low`` and ``high`` bound it by what ``reported`` (cell,
-    reported_total) says the distribution lacks. Sums run over a cell's distinct counts, never over its papers. A cell of
-    fewer than ``least`` papers gives none, and the status tells why there is none.
+    reported_total) says the distribution lacks. A count that the distribution doesn't hold has its place too. Sums run
+    over a cell's distinct counts, never over its papers. A cell of fewer than ``least`` papers gives none, and the status
+    tells why there is none; papers may have ``has_identifier`` and ``lookup_failed``.
     """
     by = Window.partitionBy(*cell)
     up = by.orderBy("cites").rowsBetween(Window.unboundedPreceding, -1)
-    c = cells.withColumns({"below": F.coalesce(F.sum("n").over(up), F.lit(0)), "population": F.sum("n").over(by)})
-    population = cells.groupBy(*cell).agg(F.sum("n").alias("population"))
-    p = papers.join(population, list(cell), "left").join(c.select(*cell, "cites", "below", "n"), [*cell, "cites"], "left")
-    if reported is not None:
-        p = p.join(reported, list(cell), "left")
-    else:
-        p = p.withColumn("reported_total", F.lit(None).cast("long"))
+    asked = papers.filter("cites is not null").select(*cell, "cites").distinct().withColumn("n", F.lit(0).cast("long"))
+    counts = cells.select(*cell, "cites", "n").unionByName(asked).groupBy(*cell, "cites").agg(F.sum("n").alias("n"))
+    c = counts.withColumns({"below": F.coalesce(F.sum("n").over(up), F.lit(0)), "population": F.sum("n").over(by), "top": F.max(F.when(F.col("n") > 0, F.col("cites"))).over(by)})
+    p = papers.join(c, [*cell, "cites"], "left")
+    p = p.join(reported, list(cell), "left") if reported is not None else p.withColumn("reported_total", F.lit(None).cast("long"))
     missing = F.greatest(F.lit(0), F.coalesce(F.col("reported_total") - F.col("population"), F.lit(0)))
-    status = F.when(F.col("cites").isNull(), "no_count").when(F.col("population").isNull(), "no_cell").when(F.col("population") < least, "small_cell").when(F.col("n").isNull(), "not_in_cell").otherwise("located")
-    ok = status == "located"
+    flag = lambda x, otherwise: F.coalesce(F.col(x), F.lit(otherwise)) if x in papers.columns else F.lit(otherwise)
+    status = F.when(F.col("cites").isNull(), STATUSES[1]).when(~flag("has_identifier", True), STATUSES[2]).when(flag("lookup_failed", False), STATUSES[3]).when(F.col(cell[0]).isNull(), STATUSES[4]).when(F.col(cell[1]).isNull(), STATUSES[5])
+    status = status.when(F.coalesce(F.col("population"), F.lit(0)) == 0, STATUSES[6]).when(F.col("population") < least, STATUSES[7]).otherwise(STATUSES[0])
+    ok = status == STATUSES[0]
     pct = lambda x, n: F.when(ok, F.lit(100.0) * x / n)
-    n = F.col("population")
-    return p.select("record_id", status.alias("status"), F.when(ok, n).alias("population"), pct(F.col("below"), n).alias("percentile"), pct(F.col("below") + F.col("n"), n).alias("at_or_below"), pct(F.col("below"), n + missing).alias("low"), pct(F.col("below") + missing, n + missing).alias("high"))
+    n, tied = F.col("population"), F.col("n")
+    return p.select(
+        "record_id", status.alias("status"), F.when(ok, n).alias("population"), pct(F.col("below"), n).alias("percentile"), pct(F.col("below") + tied, n).alias("at_or_below"), pct(F.col("below"), n + missing).alias("low"), pct(F.col("below") + missing, n + missing).alias("high"),
+        F.when(ok, tied).alias("tied"), F.when(ok, tied / n).alias("tied_share"), pct(F.lit(1), n).alias("points_a_paper"), F.when(ok, F.col("cites") > F.col("top")).alias("above_max"),
+    )
+
+
+def status_counts(placed: DataFrame) -> DataFrame:
+    """How many papers have each status, those that none has with 0."""
+    every = placed.sparkSession.createDataFrame([(s,) for s in STATUSES], "status string")
+    return every.join(placed.groupBy("status").agg(F.count("*").alias("n")), "status", "left").fillna(0, ["n"])
+
+
+def source_histogram(papers: DataFrame) -> DataFrame:
+    """Per corpus the sources that its counts came from, and whether they are mixed."""
+    h = papers.filter("cites is not null").groupBy("corpus_id", "cite_source").agg(F.count("*").alias("n"))
+    return h.withColumn("mixed_sources", F.count("*").over(Window.partitionBy("corpus_id")) > 1)
 
 
 def first_answer(papers: DataFrame, sources: list[tuple[str, DataFrame]], key: str = "record_id") -> DataFrame:

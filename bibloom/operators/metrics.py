@@ -164,3 +164,32 @@ def trend(series: DataFrame, x: str = "year", y: str = "count", keys: tuple[str,
     half = t * F.sqrt(F.col("sse") / (F.col("n") - 2) / F.col("sxx"))
     lower, upper = F.col("slope") - half, F.col("slope") + half
     return e.select(*keys, "n", "slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"), "sse", lower.alias("lower"), upper.alias("upper"), ((lower > 0) | (upper < 0)).alias("excludes_zero"), (F.col("sse") == 0).alias("exact_fit"))
+
+
+def trend_faults(series: DataFrame, x: str = "year", y: str = "count", keys: tuple[str, ...] = ("corpus_id",)) -> DataFrame:
+    """What forbids a line through a series: ``(keys, year, fault)``, a year given twice, one that is no whole year, a count that isn't finite.
+
+    Which of two counts of one year is meant only the caller can say, so none is chosen.
+    """
+    v = F.col(y).cast("double")
+    bad = F.when(F.col(x).isNull() | (F.col(x).cast("double") != F.floor(F.col(x).cast("double"))), "no_year").when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), "not_finite")
+    single = series.withColumn("fault", bad).filter("fault is not null").select(*keys, F.col(x).cast("double").alias("year"), "fault")
+    twice = series.filter(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("year")).agg(F.count("*").alias("k")).filter("k > 1").select(*keys, "year", F.lit("repeated_year").alias("fault"))
+    return single.distinct().unionByName(twice)
+
+
+def trend_context(series: DataFrame, keys: tuple[str, ...] = ("corpus_id",)) -> DataFrame:
+    """What a line through a series rests on: its first and last year, years missing in between, years that are known to be undercounted, and its centre."""
+    weak = F.coalesce(F.col("partial"), F.lit(False)) | F.coalesce(F.col("indexing_lag"), F.lit(False))
+    a = series.groupBy(*keys).agg(F.min("year").alias("first"), F.max("year").alias("last"), F.collect_set("year").alias("years"), F.array_sort(F.collect_set(F.when(weak, F.col("year")))).alias("weak"), F.avg("year").alias("centre"))
+    gaps = F.array_sort(F.array_except(F.sequence("first", "last"), F.col("years")))
+    text = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return a.select(*keys, F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), text(gaps).alias("gaps"), text(F.col("weak")).alias("censored"), "centre")
+
+
+def corresponding_share(entries: DataFrame, target: DataFrame, record: str = "record_id") -> DataFrame:
+    """Per corpus records in which the target is located, and those in which it is corresponding: null where no entry of the corpus has such a mark."""
+    marked = entries.groupBy("corpus_id").agg(F.bool_or(F.coalesce("is_corresponding", F.lit(False))).alias("measured"))
+    t = entries.join(target.select(record, "pi_index"), record).filter("idx = pi_index").groupBy("corpus_id").agg(F.count("*").alias("located"), F.count_if(F.coalesce("is_corresponding", F.lit(False))).alias("k"))
+    j = marked.join(t, "corpus_id", "left")
+    return j.select("corpus_id", F.coalesce("located", F.lit(0)).alias("located"), F.when(F.col("measured"), F.coalesce("k", F.lit(0))).alias("corresponding"))

@@ -9,11 +9,23 @@ from pyspark.sql import functions as F
 LEAST_OPENALEX = 0.5
 
 
-def gates(papers: DataFrame, n_authors: Column, verified: Column | None = None) -> DataFrame:
-    """``(corpus_id, n_records, refused, gate)``: records without structured authors, nothing kept, or counts that can't be."""
-    a = papers.groupBy("corpus_id").agg(F.count("*").alias("n_records"), F.count_if(F.coalesce(n_authors, F.lit(0)) == 0).alias("bare"), (F.sum(verified.cast("long")) if verified is not None else F.lit(0)).cast("long").alias("verified"))
-    gate = F.when(F.col("n_records") == 0, "empty_corpus").when(F.col("verified") > F.col("n_records"), "inconsistent_counts").when(F.col("bare") > 0, "no_structured_authors")
-    return a.select("corpus_id", "n_records", "bare", gate.isNotNull().alias("refused"), gate.alias("gate"))
+def gates(envelope: DataFrame, papers: DataFrame, n_authors: Column) -> DataFrame:
+    """``(corpus_id, n_records, bare, refused, gate)`` of every corpus of the envelope: nothing kept, counts that can't be, or records without structured authors.
+
+    ``envelope`` has a row for each corpus, whether it has records or not, and may state ``fetched`` and ``verified``.
+    """
+    a = papers.groupBy("corpus_id").agg(F.count("*").alias("n_records"), F.count_if(F.coalesce(n_authors, F.lit(0)) == 0).alias("bare"))
+    told = all(c in envelope.columns for c in ("fetched", "verified"))
+    j = envelope.join(a, "corpus_id", "left").fillna(0, ["n_records", "bare"])
+    gate = F.when(F.col("verified") > F.col("fetched"), "inconsistent_counts") if told else F.when(F.lit(False), "")
+    gate = gate.when(F.col("n_records") == 0, "empty_corpus").when(F.col("bare") > 0, "no_structured_authors")
+    return j.select("corpus_id", "n_records", "bare", gate.isNotNull().alias("refused"), gate.alias("gate"))
+
+
+def harvest_counts(envelope: DataFrame) -> DataFrame:
+    """Fetched, verified and rejected of each harvest; where more were verified than fetched nothing is rejected and the counts are marked."""
+    left = F.col("fetched") - F.col("verified")
+    return envelope.select("corpus_id", "fetched", "verified", F.when(left >= 0, left).alias("rejected"), F.coalesce(left < 0, F.lit(False)).alias("inconsistent"))
 
 
 def identity_reach(papers: DataFrame, target: DataFrame, strong: int = 2, record: str = "record_id") -> DataFrame:
@@ -23,16 +35,23 @@ def identity_reach(papers: DataFrame, target: DataFrame, strong: int = 2, record
 
 
 def warnings(reach: DataFrame, envelope: DataFrame | None = None) -> DataFrame:
-    """One row for each warning of a corpus: target_not_located, weak_identity, incomplete_harvest, identity_fallback."""
+    """One row for each warning of a corpus, with what it was seen by: target_not_located, weak_identity, incomplete_harvest, identity_fallback.
+
+    Weak identity has three situations: no identifier of any kind on any record, an identifier of the open index on a
+    minority of them, and one that was never asked for. Its share must be at least LEAST_OPENALEX to stand for the rest.
+    """
     r = reach if envelope is None else reach.join(envelope, "corpus_id", "left")
     has = lambda c: F.col(c) if c in r.columns else F.lit(None)
+    share = has("openalex_share").cast("double")
+    weak = (F.col("strongly_reached") == 0) & (F.coalesce(share, F.lit(0.0)) < LEAST_OPENALEX)
+    one = lambda when, kind, seen: F.when(when, F.struct(F.lit(kind).alias("warning"), seen.alias("situation")))
     kinds = F.array_compact(F.array(
-        F.when((F.col("total") > 0) & (F.col("reached") == 0), F.lit("target_not_located")),
-        F.when((F.col("strongly_reached") == 0) & (F.coalesce(has("openalex_share").cast("double"), F.lit(0.0)) < LEAST_OPENALEX), F.lit("weak_identity")),
-        F.when(has("esearch_count").cast("long") > has("pmids_returned").cast("long"), F.lit("incomplete_harvest")),
-        F.when(F.coalesce(has("fallback_fired").cast("boolean"), F.lit(False)), F.lit("identity_fallback")),
+        one((F.col("total") > 0) & (F.col("reached") == 0), "target_not_located", F.lit("none_of_the_records")),
+        one(weak, "weak_identity", F.when(share.isNull(), "index_not_asked").when(share > 0, "index_on_a_minority").otherwise("no_identifier")),
+        one(has("esearch_count").cast("long") > has("pmids_returned").cast("long"), "incomplete_harvest", F.lit("fewer_than_found")),
+        one(F.coalesce(has("fallback_fired").cast("boolean"), F.lit(False)), "identity_fallback", F.lit("all_kept")),
     ))
-    return r.select("corpus_id", F.explode(kinds).alias("warning"))
+    return r.select("corpus_id", F.explode(kinds).alias("w")).select("corpus_id", "w.warning", "w.situation")
 
 
 def corpus_counts(papers: DataFrame, tier: Column, source: Column) -> DataFrame:

@@ -36,6 +36,17 @@ def evaluation_counts(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return rows.select("corpus_id", F.explode(cells).alias("c")).groupBy("corpus_id", "c.kind", "c.name").agg(F.count("*").alias("n"))
 
 
+def evaluation_rows(rows: DataFrame, target: DataFrame) -> DataFrame:
+    """Which rows of a table of statements are about the target: per corpus matched, unverified_single or refused, and how many rows that leaves, dated and undated."""
+    from bibloom.operators.linkage import same_advisor, select_rows
+
+    j = rows.join(F.broadcast(target), "corpus_id")
+    chosen = select_rows(j, same_advisor(F.col("advisor"), F.col("target")))
+    kept = j.join(chosen.select("corpus_id", "outcome"), "corpus_id").filter((F.col("outcome") == "unverified_single") | (F.col("outcome") == "matched") & same_advisor(F.col("advisor"), F.col("target")))
+    n = kept.groupBy("corpus_id").agg(F.count("*").alias("rows_used"), F.count("year").alias("dated"))
+    return chosen.join(n, "corpus_id", "left").fillna(0, ["rows_used", "dated"])
+
+
 def locate(records: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Where the target, known by ``names`` (one for each script), stands in each record's list ``authors``.
 
@@ -56,12 +67,32 @@ def locate(records: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 
 def glance(people: DataFrame, papers: DataFrame) -> DataFrame:
-    """A few numbers for each corpus: records, people, people seen once, and appearances held by the two most frequent."""
+    """A few numbers for each corpus: records, years, records a year, venues, people by stratum, people seen once, and what the two most frequent hold."""
     counted = people.groupBy("corpus_id", "n_appearances").agg(F.count("*").alias("k"))
     up = Window.partitionBy("corpus_id").orderBy(F.desc("n_appearances"))
     c = counted.withColumn("before", F.coalesce(F.sum("k").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     top = c.groupBy("corpus_id").agg(F.sum(F.col("n_appearances") * F.greatest(F.lit(0), F.least(F.col("k"), F.lit(2) - F.col("before")))).alias("top_two"), F.sum(F.col("n_appearances") * F.col("k")).alias("appearances"), F.sum("k").alias("n_people"), F.coalesce(F.sum(F.when(F.col("n_appearances") == 1, F.col("k"))), F.lit(0)).cast("long").alias("seen_once"))
-    return papers.groupBy("corpus_id").agg(F.count("*").alias("n_records")).join(top, "corpus_id", "left")
+    by = people.groupBy("corpus_id").agg(*[F.count_if(F.col("stratum") == x).alias(f"people_{x.lower()}") for x in "ABCD"], F.count_if(F.col("n_first") > 0).alias("with_lead"))
+    own = papers.groupBy("corpus_id").agg(F.count("*").alias("n_records"), F.min("year").cast("long").alias("first_year"), F.max("year").cast("long").alias("last_year"), F.countDistinct(F.nullif(F.trim("journal"), F.lit(""))).alias("n_venues"))
+    j = own.join(top, "corpus_id", "left").join(by, "corpus_id", "left")
+    return j.withColumns({"records_a_year": F.round(F.col("n_records") / (F.col("last_year") - F.col("first_year") + 1), 1), "top_two_share": F.round(F.col("top_two") / F.col("appearances"), 3)})
+
+
+def validation_report(papers: DataFrame) -> DataFrame:
+    """What became of each paper's file, one line for each: its source is what stands in brackets at the end of the status."""
+    source = F.nullif(F.regexp_extract("pdf_status", r"[(（]([^()（）]+)[)）]\s*$", 1), F.lit(""))
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return papers.select("pmid", F.left(blank("title"), F.lit(200)).alias("title"), blank("pub_date").alias("pub_date"), blank("doi").alias("doi"), blank("pmc_id").alias("pmc_id"), blank("pdf_status").alias("pdf_status"), F.coalesce(source, F.lit("")).alias("pdf_source"), blank("pdf_validation").alias("validation_reason"))
+
+
+def file_counts(attempts: DataFrame, key: str = "record_id") -> DataFrame:
+    """Outcome of fetching each paper's file from several sources, and how many papers had each: the source that answered first with a valid file, else failed; what was kept before is cached.
+
+    ``attempts`` has the key, ``source, milliseconds, valid, cached``.
+    """
+    best = attempts.groupBy(key).agg(F.bool_or("cached").alias("c"), F.min_by(F.when(F.col("valid"), F.col("source")), F.when(F.col("valid"), F.struct("milliseconds", "source"))).alias("source"))
+    status = F.when(F.col("c"), "cached").when(F.col("source").isNotNull(), "downloaded").otherwise("failed")
+    return best.groupBy(status.alias("status"), F.when(~F.col("c"), F.col("source")).alias("source")).agg(F.count("*").alias("n"))
 
 
 def comparison(scored: DataFrame, statements: DataFrame) -> DataFrame:

@@ -77,8 +77,30 @@ def rank_corpora(scored: DataFrame) -> DataFrame:
     return s.select("corpus_id", "score", "reason", F.when(ok, F.rank().over(order).cast("long")).alias("rank"), F.when(ok, F.count("*").over(tie) > 1).alias("tied"), (F.col("kinds") <= 1).alias("comparable"))
 
 
+def tied_with(ranked: DataFrame) -> DataFrame:
+    """Ranked corpora with the others of the same printed score, and their place in a table (score down, then id)."""
+    group = Window.partitionBy("score")  # one row for each corpus
+    r = ranked.filter("rank is not null").withColumn("same", F.array_sort(F.collect_list("corpus_id").over(group)))
+    place = F.row_number().over(Window.partitionBy().orderBy(F.desc("score"), "corpus_id")).cast("long")
+    return r.select("corpus_id", "rank", place.alias("place"), F.array_join(F.array_remove("same", F.col("corpus_id")).cast("array<string>"), ",").alias("tied_with"))
+
+
 def statements(ranked: DataFrame) -> DataFrame:
     """Each ranked corpus against the next one down: tie, or by how much it is ahead."""
     w = Window.partitionBy().orderBy(F.desc("score"), "corpus_id")  # one row for each corpus
     r = ranked.filter("rank is not null").withColumns({"next_id": F.lead("corpus_id").over(w), "next_score": F.lead("score").over(w)})
     return r.filter("next_id is not null").select("corpus_id", "next_id", F.when(F.col("score") == F.col("next_score"), "tie").otherwise("ahead").alias("outcome"), F.round(F.col("score") - F.col("next_score"), 1).alias("difference"))
+
+
+def pairwise(scored: DataFrame) -> DataFrame:
+    """What may be said of each corpus and the one with the next id: nothing if either has no score, or they rest on other components or weights; else tie, ahead or behind, and by how much.
+
+    ``scored`` has ``corpus_id, score, components`` and may have ``weights``, a text that is equal for equal weights.
+    """
+    w = Window.partitionBy().orderBy("corpus_id")  # one row for each corpus
+    cols = ["score", "components", *(["weights"] if "weights" in scored.columns else [])]
+    r = scored.withColumns({"other_id": F.lead("corpus_id").over(w), **{f"other_{c}": F.lead(c).over(w) for c in cols}}).filter("other_id is not null")
+    unlike = lambda c: ~F.col(c).eqNullSafe(F.col(f"other_{c}")) if c in cols else F.lit(False)
+    gap = F.round(F.col("score") - F.col("other_score"), 1)
+    outcome = F.when(F.col("score").isNull() | F.col("other_score").isNull(), "unranked").when(unlike("components"), "different_components").when(unlike("weights"), "different_weights").when(gap == 0, "tie").when(gap > 0, "ahead").otherwise("behind")
+    return r.select("corpus_id", "other_id", outcome.alias("outcome"), F.when(outcome.isin("tie", "ahead", "behind"), F.abs(gap)).alias("difference"))

@@ -75,7 +75,7 @@ def reference_histogram(m):
     return impact.reference_cells(m.papers)
 
 
-@query(f"""SELECT p.record_id, CASE WHEN p.cites IS NULL THEN 'no_count' WHEN q.population IS NULL THEN 'no_cell' WHEN q.population < 100 THEN 'small_cell' ELSE 'located' END AS status,
+@query(f"""SELECT p.record_id, CASE WHEN p.cites IS NULL THEN 'no_citation_count' WHEN q.population IS NULL THEN 'distribution_unavailable' WHEN q.population < 100 THEN 'distribution_too_small' ELSE 'located' END AS status,
   CASE WHEN p.cites IS NOT NULL AND q.population >= 100 THEN CAST(q.population AS BIGINT) END AS population, CASE WHEN p.cites IS NOT NULL AND q.population >= 100 THEN round(100.0 * b.below / q.population, 6) END AS percentile,
   CASE WHEN p.cites IS NOT NULL AND q.population >= 100 THEN round(100.0 * b.upto / q.population, 6) END AS at_or_below, CASE WHEN p.cites IS NOT NULL AND q.population >= 100 THEN round(100.0 * b.below / (q.population + 50), 6) END AS low
   FROM paper p LEFT JOIN (SELECT topic, yr, count(cites) AS population FROM paper GROUP BY 1, 2) q ON q.topic = p.topic AND q.yr = p.yr
@@ -198,7 +198,7 @@ SQL["cluster_person_edges"] = _recursive(""", seen AS (SELECT DISTINCT f.group_i
 
 @query("""SELECT p.corpus_id, count(*) AS n_records, count(*) FILTER (WHERE s.n IS NULL) AS bare, count(*) FILTER (WHERE s.n IS NULL) > 0 AS refused, CASE WHEN count(*) FILTER (WHERE s.n IS NULL) > 0 THEN 'no_structured_authors' END AS gate FROM paper p LEFT JOIN sized s ON s.record_id = p.record_id GROUP BY 1""")
 def gate_structured_authors(m):
-    return quality.gates(m.papers.join(m.sizes, "record_id", "left"), F.col("n"))
+    return quality.gates(m.papers.select("corpus_id").distinct(), m.papers.join(m.sizes, "record_id", "left"), F.col("n"))
 
 
 CTES["reach"] = "SELECT p.corpus_id, count(*) AS total, count(t.pi_evidence) AS reached, count(*) FILTER (WHERE t.pi_evidence >= 4) AS strongly_reached FROM paper p LEFT JOIN target t ON t.record_id = p.record_id GROUP BY 1"
@@ -209,10 +209,13 @@ def identity_reach(m):
     return quality.identity_reach(m.papers, m.target, 4)
 
 
-@query("""SELECT * FROM (SELECT corpus_id, unnest(list_filter([CASE WHEN reached = 0 THEN 'target_not_located' END, CASE WHEN corpus_id % 2 = 0 AND strongly_reached = 0 OR strongly_reached = 0 THEN 'weak_identity' END, CASE WHEN total > 600 THEN 'incomplete_harvest' END, CASE WHEN corpus_id % 5 = 0 THEN 'identity_fallback' END], lambda x: x IS NOT NULL)) AS warning FROM reach)""")
+@query("""SELECT corpus_id, w.warning, w.situation FROM (SELECT corpus_id, unnest(list_filter([CASE WHEN reached = 0 THEN {'warning': 'target_not_located', 'situation': 'none_of_the_records'} END, CASE WHEN strongly_reached < 20 AND coalesce(share, 0) < 0.5 THEN {'warning': 'weak_identity', 'situation': CASE WHEN share IS NULL THEN 'index_not_asked' WHEN share > 0 THEN 'index_on_a_minority' ELSE 'no_identifier' END} END,
+  CASE WHEN total > 600 THEN {'warning': 'incomplete_harvest', 'situation': 'fewer_than_found'} END, CASE WHEN corpus_id % 5 = 0 THEN {'warning': 'identity_fallback', 'situation': 'all_kept'} END], lambda x: x IS NOT NULL)) AS w FROM (SELECT *, CASE WHEN corpus_id < 8 THEN NULL WHEN corpus_id < 12 THEN 0.0 WHEN corpus_id < 16 THEN 0.3 ELSE 0.8 END AS share FROM reach))""")
 def warning_coverage(m):
     r = quality.identity_reach(m.papers, m.target, 4)
-    envelope = r.select("corpus_id", F.col("total").alias("esearch_count"), F.lit(600).alias("pmids_returned"), (F.col("corpus_id") % 5 == 0).alias("fallback_fired"))
+    r = r.withColumn("strongly_reached", F.when(F.col("strongly_reached") < 20, 0).otherwise(F.col("strongly_reached")))
+    c = F.col("corpus_id")
+    envelope = r.select("corpus_id", F.col("total").alias("esearch_count"), F.lit(600).alias("pmids_returned"), (c % 5 == 0).alias("fallback_fired"), F.when(c < 8, None).when(c < 12, 0.0).when(c < 16, 0.3).otherwise(0.8).alias("openalex_share"))
     return quality.warnings(r, envelope)
 
 
@@ -232,9 +235,10 @@ def identity_hints(m):
 # frames for reports
 
 
-@query("""SELECT corpus_id, n_records, CAST(sum(n_appearances) FILTER (WHERE rn <= 2) AS BIGINT) AS top_two, CAST(sum(n_appearances) AS BIGINT) AS appearances, count(*) AS n_people, count(*) FILTER (WHERE n_appearances = 1) AS seen_once FROM (
-  SELECT x.corpus_id, x.n_appearances, row_number() OVER (PARTITION BY x.corpus_id ORDER BY x.n_appearances DESC, x.person) AS rn, p.n_records FROM person x JOIN (SELECT corpus_id, count(*) AS n_records FROM paper GROUP BY 1) p ON p.corpus_id = x.corpus_id) GROUP BY 1, 2""")
+@query("""SELECT p.*, x.* EXCLUDE (corpus_id), y.* EXCLUDE (corpus_id), round(n_records / (last_year - first_year + 1), 1) AS records_a_year, round(top_two / appearances, 3) AS top_two_share FROM (SELECT corpus_id, count(*) AS n_records, min(yr) AS first_year, max(yr) AS last_year, count(DISTINCT journal) AS n_venues FROM paper GROUP BY 1) p LEFT JOIN (SELECT corpus_id, CAST(sum(n_appearances) FILTER (WHERE rn <= 2) AS BIGINT) AS top_two, CAST(sum(n_appearances) AS BIGINT) AS appearances, count(*) AS n_people, count(*) FILTER (WHERE n_appearances = 1) AS seen_once FROM (
+  SELECT corpus_id, n_appearances, row_number() OVER (PARTITION BY corpus_id ORDER BY n_appearances DESC, person) AS rn FROM person) GROUP BY 1) x ON x.corpus_id = p.corpus_id LEFT JOIN (SELECT corpus_id, """ + ", ".join(f"count(*) FILTER (WHERE stratum = '{x}') AS people_{x.lower()}" for x in "ABCD") + """, count(*) FILTER (WHERE n_first > 0) AS with_lead FROM person GROUP BY 1) y ON y.corpus_id = p.corpus_id""")
 def glance(m):
+    m = m.keep()
     return reports.glance(m.people, m.papers)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +12,7 @@ from bibloom.sources.schema import AUTHOR, CORPUS, PAPER, resolve_headers
 
 SPREADSHEETS = (".xlsx", ".xlsm", ".xls", ".csv")
 #: Columns of the flat export and how much of an abstract it keeps.
-EXPORT, ABSTRACT = ("pmid", "title", "authors_str", "journal", "pub_date", "pub_year", "volume", "issue", "pages", "doi", "pmc_id", "role", "source_label", "confirmed", "abstract"), 500
+EXPORT, ABSTRACT = ("no", "pmid", "title", "authors_str", "role", "source_label", "journal", "pub_date", "volume", "issue", "pages", "doi", "pmc_id", "pdf_status", "abstract"), 500
 
 
 def latest_file(spark: SparkSession, pattern: str) -> str | None:
@@ -38,14 +38,42 @@ def read_papers(spark: SparkSession, path: str) -> DataFrame:
     return nested.unionByName(bare)
 
 
-def write_papers(papers: DataFrame, path: str) -> None:
+def write_papers(papers: DataFrame, path: str, search: DataFrame | None = None) -> None:
+    """Papers as JSON lines. ``search``, one row with what was searched for and found, stands in a file of its own beside them, so that a reader can tell a whole corpus from one cut short."""
     papers.write.mode("overwrite").json(path)
+    if search is not None:
+        search.withColumn("schema_version", F.lit(1)).coalesce(1).write.mode("overwrite").json(path.rstrip("/") + ".search")
 
 
-def export_rows(papers: DataFrame) -> DataFrame:
-    """The flat export: 15 columns, the abstract cut to 500 characters."""
-    label = S.source_label(F.col("confirmed_by"), F.col("source"))
-    return papers.withColumns({"source_label": label, "confirmed": F.array_join("confirmed_by", ";"), "abstract": F.left("abstract", F.lit(ABSTRACT))}).select(*EXPORT)
+def export_rows(papers: DataFrame, order: str = "pmid") -> DataFrame:
+    """The flat export: 15 columns, numbered in an order, the abstract cut to 500 characters; cells that a table lacks are blank.
+
+    Numbers come from ranges of the order and the rows before each, so no task sees all rows.
+    """
+    have = papers.columns
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")
+    label = S.source_label(F.col("confirmed_by") if "confirmed_by" in have else F.array().cast("array<string>"), cell("source"))
+    placed = papers.orderBy(order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    before = placed.groupBy("_part").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each partition
+    numbered = placed.join(F.broadcast(before.select("_part", "before")), "_part").withColumn("no", F.col("before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    return numbered.select("no", *[label.alias(c) if c == "source_label" else F.left(cell(c), F.lit(ABSTRACT)).alias(c) if c == "abstract" else cell(c).alias(c) for c in EXPORT[1:]])
+
+
+def worklist_rows(journals: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """A template to fill in by hand: what is known of each journal, and empty cells for the rest."""
+    return journals.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in journals.columns else F.lit("").alias(c) for c in columns])
+
+
+def load_counters(rows: DataFrame) -> DataFrame:
+    """How many rows of side_rows() were loaded, rejected (by reason) and repeated."""
+    kind = F.when(F.col("reject").isNotNull(), F.col("reject")).when(F.col("duplicate"), "duplicate").otherwise("loaded")
+    return rows.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def fill_constant(df: DataFrame, column: str) -> DataFrame:
+    """Blank cells of a column filled with its only value, if it has one only: a roster that names its advisor once."""
+    one = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+    return df.crossJoin(F.broadcast(one)).withColumn(column, F.coalesce(F.col(column), F.when(F.col("lo") == F.col("hi"), F.col("lo")))).drop("lo", "hi")
 
 
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
@@ -82,18 +110,18 @@ def parse_day(c: Column) -> Column:
 
 def side_rows(df: DataFrame, table: str) -> DataFrame:
     """Rows of a side table with ``reject`` (null if loaded) and ``duplicate`` of an earlier row with the same key."""
-    from pyspark.sql import Window
-
     has = lambda *c: F.lit(False) if not [x for x in c if x in df.columns] else F.coalesce(*[F.col(x) for x in c if x in df.columns]).isNotNull()
     rules = {
         "journals": (F.when(~has("issn", "eissn") & ~has("journal"), "no_key"), ("issn", "eissn", "journal", "source_edition")),
         "theses": (F.when(~has("student", "student_latin"), "no_student").when(C.one_year(F.col("graduation_year")).isNull() if "graduation_year" in df.columns else F.lit(True), "no_year"), ("advisor", "student", "degree", "graduation_year")),
         "evaluations": (F.when(~has("source"), "no_source").when(~has("content", "rating"), "empty"), ("advisor", "source", "content", "rating", "year")),
-        "chinese_records": (F.when(~has("title"), "no_title").when(C.one_year(F.col("pub_year")).isNull() if "pub_year" in df.columns else F.lit(True), "no_year").when(~has("authors"), "no_author"), ("title", "pub_year", "source_db")),
+        "chinese_records": (F.when(~has("title"), "no_title").when(C.one_year(F.col("pub_year")).isNull() if "pub_year" in df.columns else F.lit(True), "no_year").when(~has("authors"), "no_author"), ("title_key", "pub_year")),
     }
     reject, key = rules[table]
+    if table == "chinese_records" and "title" in df.columns:
+        df = df.withColumn("title_key", S.journal_key(F.col("title")))
     w = Window.partitionBy(F.xxhash64(*[F.coalesce(F.lower(F.col(k)), F.lit("")) for k in key if k in df.columns]), *[F.col(k) for k in key if k in df.columns]).orderBy(F.monotonically_increasing_id())
-    return df.withColumn("reject", reject).withColumn("duplicate", F.row_number().over(w) > 1)
+    return df.withColumn("reject", reject).withColumn("duplicate", F.row_number().over(w) > 1).drop("title_key")
 
 
 def split_authors(c: Column) -> Column:

@@ -101,9 +101,95 @@ class _Reader(DataSourceReader):
                 yield Path(partition.path).name, i, json.dumps(x, ensure_ascii=False)
 
 
-def search_term(names: list[str], orcid: str | None = None, affiliations: tuple[str, ...] = ()) -> str:
-    """A search of a person: the identifier, or any form of the name together with any of the institutions."""
-    forms = " OR ".join(f"{n}[Author]" for n in dict.fromkeys(names) if n)
-    where = " OR ".join(f"{a}[Affiliation]" for a in affiliations if a)
-    person = f"({forms})" + (f" AND ({where})" if where else "") if forms else ""
-    return " OR ".join(x for x in (f"{orcid}[auid]" if orcid else "", f"({person})" if person and orcid else person) if x)
+def name_variants(author: str) -> list[str]:
+    """Forms under which an index may hold "Surname Forename": the name as typed, and the surname with any initials that begin with the first."""
+    words = author.split()
+    if len(words) < 2:
+        return [f"{words[0]}[Author]"] if words else []
+    return [f'"{author.strip()}"[Author]', f'"{words[0]} {words[1][0].upper()}*"[Author]']
+
+
+def search_term(author: str, orcid: str = "", affiliations: tuple[str, ...] = ()) -> str:
+    """A search of a person: the identifier, or any form of the name together with any of the institutions. The identifier isn't narrowed by these."""
+    person = " OR ".join(name_variants(author))
+    where = " OR ".join(f'"{a}"[Affiliation]' for a in affiliations)
+    named = f"(({person}) AND ({where}))" if person and where else f"({person})" if person else ""
+    return " OR ".join(x for x in (f"{orcid}[auid]" if orcid else "", named) if x)
+
+
+def remedy(total: int, wanted: int, ceiling: int = CEILING) -> str | None:
+    """What helps a search that finds more than it fetches: a higher budget, or, over what the service gives at all, a narrower search."""
+    return None if total <= min(wanted, ceiling) else "narrow_search" if total > ceiling else "raise_budget"
+
+
+def scan_ids(fetch: Callable[[str, int, int], tuple[int, list[str]]], author: str, orcid: str = "", affiliations: tuple[str, ...] = (), wanted: int = CEILING, page: int = 100) -> tuple[list[str], dict]:
+    """All ids that a search finds, and where they come from.
+
+    ``fetch(term, start, size)`` gives the total and a page of ids; a probe of size 0 tells the total. A search that finds
+    more than its budget is narrowed by the affiliations, if there are any and it wasn't yet. Ids given twice count once.
+    """
+    term = search_term(author, orcid)
+    total = fetch(term, 0, 0)[0]
+    narrowed = total > min(wanted, CEILING) and bool(affiliations)
+    if narrowed:
+        term = search_term(author, orcid, affiliations)
+        total = fetch(term, 0, 0)[0]
+    ids: dict[str, None] = {}
+    for start, size in page_starts(total, wanted, page):
+        ids |= dict.fromkeys(fetch(term, start, size)[1])
+    return list(ids), {"term": term, "esearch_count": total, "pmids_returned": len(ids), "narrowed": narrowed, "remedy": remedy(total, wanted)}
+
+
+def scan_records(fetch: Callable[[list[str]], str | None], ids: list[str], batch: int = BATCH) -> Iterator[str]:
+    """The answers for all ids, in batches; a batch that fails is left out and the others go on."""
+    for i in range(0, len(ids), batch):
+        if (body := fetch(ids[i : i + batch])) is not None:
+            yield body
+
+
+def scan_cursor(fetch: Callable[[str], dict | None], most: int = 2000, key: str = "id") -> tuple[list[dict], dict]:
+    """Works of a service paged by cursors, each once, up to ``most``; whether that cut the result short, and whether a page failed."""
+    found: dict[str, dict] = {}
+    cursor, failed = "*", False
+    while cursor and len(found) < most:
+        page = fetch(cursor)
+        if page is None:
+            failed = True
+            break
+        for x in page.get("results", []):
+            found.setdefault(x.get(key), x)
+        cursor = page.get("meta", {}).get("next_cursor") if page.get("results") else None
+    rows = list(found.values())
+    return rows[:most], {"truncated": bool(cursor) and not failed or len(rows) > most, "request_failed": failed}
+
+
+def jitter(least: float = 0.3, most: float = 1.5, draw: Callable[[float, float], float] | None = None) -> float:
+    """Seconds to wait besides the throttle, so that calls of several workers don't fall together."""
+    import random
+
+    return (draw or random.uniform)(least, most)
+
+
+def first_count(fetchers: list[tuple[str, Callable[[str], int | None]]], key: str) -> tuple[int | None, str | None]:
+    """The first service that knows a count; zero is an answer, null or a failure is none."""
+    for name, fetch in fetchers:
+        try:
+            n = fetch(key)
+        except (OSError, ValueError):
+            n = None
+        if n is not None and n >= 0:
+            return n, name
+    return None, None
+
+
+def topics_of(lookups: dict[str, str], fetch: Callable[[str], dict | None]) -> dict[str, dict]:
+    """Topic and status of every record, ``lookups`` giving what each is asked by (empty: no identifier); equal lookups are asked once."""
+    kept: dict[str, dict | None] = {}
+    out = {}
+    for record, by in lookups.items():
+        if by and by not in kept:
+            kept[by] = fetch(by)
+        answer = kept.get(by) if by else None
+        topic = (answer or {}).get("topic")
+        out[record] = {"topic": topic, "status": "no_identifier" if not by else "topic_lookup_failed" if answer is None else "topic_found" if topic else "no_topic"}
+    return out

@@ -190,9 +190,9 @@ def test_author_search(spark):
 
 def test_gates(spark):
     df = spark.createDataFrame([(1, 2), (1, None), (2, 3)], "corpus_id long, n int")
-    assert {r["corpus_id"]: r["gate"] for r in quality.gates(df, F.col("n")).collect()} == {1: "no_structured_authors", 2: None}
+    assert {r["corpus_id"]: r["gate"] for r in quality.gates(spark.createDataFrame([(1, 3, 3), (2, 2, 1), (3, 1, 0), (4, 1, 2)], "corpus_id long, fetched long, verified long"), df, F.col("n")).collect()} == {1: "no_structured_authors", 2: None, 3: "empty_corpus", 4: "inconsistent_counts"}
     reach = spark.createDataFrame([(1, 5, 0, 0), (2, 5, 5, 5)], "corpus_id long, total long, reached long, strongly_reached long")
-    assert {tuple(r) for r in quality.warnings(reach).collect()} == {(1, "target_not_located"), (1, "weak_identity")}
+    assert {tuple(r) for r in quality.warnings(reach).collect()} == {(1, "target_not_located", "none_of_the_records"), (1, "weak_identity", "index_not_asked")}
 
 
 def test_cache_at_the_cutoff(spark):

@@ -40,7 +40,9 @@ def test_corpora(spark, tmp_path):
     assert files.latest_file(spark, str(tmp_path / "*.json")).endswith(".json")
     with pytest.raises(ValueError):
         files.read_corpora(spark, "x.XLSX")
-    files.write_papers(p, str(tmp_path / "out"))
+    assert {r["no"] for r in files.export_rows(p).collect()} == {1, 2, 3} and files.export_rows(p).columns == [*files.EXPORT]
+    files.write_papers(p, str(tmp_path / "out"), spark.createDataFrame([("q", 9)], "term string, esearch_count long"))
+    assert spark.read.json(str(tmp_path / "out.search")).first()["esearch_count"] == 9
     assert spark.read.json(str(tmp_path / "out")).count() == 3
 
 
@@ -88,4 +90,49 @@ def test_rest(spark, tmp_path):
     t.wait()
     t.wait()
     assert naps[-1] == pytest.approx(0.34)
-    assert rest.search_term(["A B", "A B"], "0000", ("U",)) == "0000[auid] OR ((A B[Author]) AND (U[Affiliation]))"
+    assert rest.search_term("Ab Cd", "0000", ("U",)) == '0000[auid] OR (("Ab Cd"[Author] OR "Ab C*"[Author]) AND ("U"[Affiliation]))' and rest.search_term("Ab") == "(Ab[Author])" and rest.search_term("") == ""
+
+
+def test_scans():
+    from bibloom.sources import rest
+
+    found = {"wide": [str(i) for i in range(250)], "narrow": ["1", "2", "2", "3"]}
+    fetch = lambda term, start, size: (len(found[k := "narrow" if "Affiliation" in term else "wide"]), found[k][start : start + size])
+    ids, told = rest.scan_ids(fetch, "Ab Cd", wanted=1000)
+    assert ids == found["wide"] and told["esearch_count"] == 250 and not told["narrowed"] and told["remedy"] is None
+    ids, told = rest.scan_ids(fetch, "Ab Cd", affiliations=("U",), wanted=100)
+    assert ids == ["1", "2", "3"] and told["narrowed"] and told["pmids_returned"] == 3
+    assert rest.scan_ids(fetch, "Ab Cd", wanted=100)[1]["remedy"] == "raise_budget" and rest.remedy(20_000, 10_000) == "narrow_search"
+    assert list(rest.scan_records(lambda ids: None if "2" in ids else ",".join(ids), ["1", "2", "3"], 1)) == ["1", "3"]
+    pages = {"*": {"results": [{"id": "a"}, {"id": "b"}], "meta": {"next_cursor": "x"}}, "x": {"results": [{"id": "b"}, {"id": "c"}], "meta": {"next_cursor": None}}}
+    assert rest.scan_cursor(pages.get) == ([{"id": "a"}, {"id": "b"}, {"id": "c"}], {"truncated": False, "request_failed": False})
+    assert rest.scan_cursor(pages.get, 2)[1]["truncated"] and rest.scan_cursor({"*": pages["*"]}.get)[1]["request_failed"]
+    assert rest.first_count([("a", lambda k: None), ("b", lambda k: 0)], "x") == (0, "b") and rest.first_count([], "x") == (None, None)
+    asked = []
+    topics = rest.topics_of({"1": "d", "2": "d", "3": "", "4": "e", "5": "f"}, lambda by: asked.append(by) or {"d": {"topic": "T"}, "e": {}}.get(by))
+    assert {k: v["status"] for k, v in topics.items()} == {"1": "topic_found", "2": "topic_found", "3": "no_identifier", "4": "no_topic", "5": "topic_lookup_failed"} and asked == ["d", "e", "f"]
+
+
+def test_answers(spark, tmp_path):
+    from bibloom.sources import signals
+
+    rows = [
+        ("1", "doaj", 200, '{"total": 1, "results": [{"bibjson": {"apc": {"has_apc": true}, "editorial": {"review_process": ["Peer review", "Open"]}}}]}'), ("2", "doaj", 200, '{"total": 0}'), ("3", "doaj", 500, '{"total": 0}'), ("4", "doaj", 200, "no json"),
+        ("1", "crossref", 200, '{"message": {"coverage": {"abstracts-current": 0.0, "orcids-current": 0.5}, "counts": {"total-dois": 12}}}'), ("2", "crossref", 200, "{}"), ("1", "openalex", 200, '{"id": "S1", "is_in_doaj": false, "works_count": 7, "summary_stats": {"2yr_mean_citedness": 1.234, "h_index": 5}}'), ("2", "openalex", 200, "{}"), ("3", "openalex", 200, "[1]"),
+    ]
+    got = {tuple(r) for r in signals.source_signals(spark.createDataFrame(rows, "issn string, service string, status int, body string")).collect()}
+    assert got == {
+        ("1", "doaj", "doaj_indexed", "1"), ("1", "doaj", "doaj_apc", "true"), ("1", "doaj", "doaj_review_process", "Peer review, Open"), ("2", "doaj", "doaj_not_indexed", "0"), ("1", "crossref", "crossref_metadata_missing", "1/2"), ("1", "crossref", "crossref_deposited_dois", "12"),
+        ("2", "crossref", "crossref_unknown", ""), ("1", "openalex", "openalex_in_doaj", "false"), ("1", "openalex", "openalex_indexed_in_scopus", "unknown"), ("1", "openalex", "openalex_works_count", "7"), ("1", "openalex", "openalex_impact", "1.23/5"), ("2", "openalex", "openalex_unknown", ""),
+    }
+    docs = spark.createDataFrame([('{"a": {}, "b": 1}',), ('{"a": [], "c": "x"}',), ("x",), (None,)], "d string").coalesce(1)
+    from pyspark.sql import functions as F
+
+    assert [r[0] for r in docs.select(signals.readable_shape(F.col("d"), {"a": "OBJECT", "b": "BIGINT", "c": "STRING"})).collect()] == [[], ["a"], ["document"], ["document"]]
+    stamps = spark.createDataFrame([("2024-01-02T03:04:05",), ("20240102_030405",), ("soon",), (None,)], "t string").coalesce(1).select(signals.stamp(F.col("t"))).collect()
+    assert [r[0] is not None for r in stamps] == [True, True, False, False]
+    path = str(tmp_path / "answers")
+    signals.save_answers(spark.createDataFrame([("1", 3), ("2", None)], "doi string, citation_count long"), path, 5)
+    kept = signals.load_answers(spark, path, "doi string, citation_count long, n_searched long, source string")
+    assert {tuple(r) for r in kept.collect()} == {("1", 3, 5, None), ("2", None, 5, None)} and signals.denominator_mismatch(kept).first()["n_kept"] == 2
+    assert signals.load_answers(spark, path + "x", "doi string").count() == 0
