@@ -26,8 +26,6 @@ MIN_JACCARD = 0.3
 def one_edit(n: Column) -> Column:
     """The similarity that names of ``n`` tokens keep with one edit, never under MIN_JACCARD."""
     return F.greatest(F.lit(MIN_JACCARD), (n - 3) / (n + 3) - 1e-9)
-#: Edits that a name may be away from its entry, a swap of neighbours counting once; names under SHORT characters must be equal.
-MAX_EDITS, SHORT = 1, 3
 
 
 def _plain(text: str) -> str:
@@ -72,25 +70,6 @@ def tokens(name: str) -> list[str]:
     return marked
 
 
-def edits(a: str, b: str, most: int = MAX_EDITS) -> int:
-    """Edit distance with swaps of neighbours, given up beyond ``most``."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before: list[int] = []
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            d = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            new.append(d)
-        if min(new) > most:
-            return most + 1
-        before, row = row, new
-    return row[-1]
-
-
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [(i, r) for i, v in enumerate(b.column(1).to_pylist()) if v for r in readings(v)]
@@ -98,12 +77,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([r for _, r in got], pa.string()), pa.array([tokens(r) for _, r in got], pa.list_(pa.string()))], names=["key", "name", "tokens"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        a, c = b.column("name").to_pylist(), b.column("entry").to_pylist()
-        yield b.append_column("edits", pa.array([0 if x == y else edits(x, y) if min(len(x), len(y)) >= SHORT else MAX_EDITS + 1 for x, y in zip(a, c, strict=True)], pa.int32()))
-
-
 def similarity_join(left: DataFrame, right: DataFrame, threshold: float | Callable[[Column], Column] = one_edit) -> DataFrame:
     """Pairs ``(field, name, entry, jaccard)`` of two tables ``(field, name, tokens)`` whose token sets reach ``threshold``.
 
@@ -137,10 +110,11 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float | Callab
 
 
 def map_values(values: DataFrame, ref: DataFrame) -> DataFrame:
-    """``(field, value)`` distinct cells → ``(field, value, ref_id, jaccard, edits)``, ``ref_id`` 0 for those that mean no entry.
+    """``(field, value)`` distinct cells → ``(field, value, ref_id, jaccard, margin)``, ``ref_id`` 0 for those that mean no entry.
 
-    ``ref`` has ``field_name, ref_id`` and the names of an entry. Of a cell's readings the one nearest to an entry counts:
-    fewest edits, then highest similarity, then the smallest ref_id. Null and blank cells must be left out before.
+    ``ref`` has ``field_name, ref_id`` and the names of an entry. Of all readings of a cell and all names of entries, the
+    pair of the highest Jaccard similarity that reaches the threshold decides, of equals the smallest ref_id. ``margin`` is
+    how far the next entry's best pair lies behind, null where there is none. Null and blank cells must be left out before.
     """
     keyed = values.select(F.concat_ws("\x1f", "field", "value").alias("key"), "value", "field")
     read = keyed.select("key", "value").mapInArrow(_read, "key string, name string, tokens array<string>").withColumn("field", F.substring_index("key", "\x1f", 1))
@@ -150,10 +124,13 @@ def map_values(values: DataFrame, ref: DataFrame) -> DataFrame:
     entries = materialise(entry_names.select(F.substring_index("key", "\x1f", 1).alias("field"), F.substring_index("key", "\x1f", -1).cast("long").alias("ref_id"), "name", "tokens"), "entries")
     left = read.groupBy("field", "name").agg(F.first("tokens").alias("tokens"))
     right = entries.groupBy("field", "name").agg(F.first("tokens").alias("tokens"))
-    near = similarity_join(left, right).mapInArrow(_near, "field string, name string, entry string, jaccard double, edits int").filter(F.col("edits") <= MAX_EDITS)
+    near = similarity_join(left, right)
     ids = entries.groupBy("field", F.col("name").alias("entry")).agg(F.min("ref_id").alias("ref_id"))
-    best = near.join(ids, ["field", "entry"]).join(read.select("field", "name", "key"), ["field", "name"]).groupBy("key").agg(F.min(F.struct("edits", (-F.col("jaccard")).alias("far"), "ref_id")).alias("b"))
-    out = keyed.join(best, "key", "left").select("field", "value", F.coalesce("b.ref_id", F.lit(0).cast("long")).alias("ref_id"), (-F.col("b.far")).alias("jaccard"), F.col("b.edits").alias("edits"))
+    each = near.join(ids, ["field", "entry"]).join(read.select("field", "name", "key"), ["field", "name"]).groupBy("key", "ref_id").agg(F.max("jaccard").alias("jaccard"))
+    # an entry gives one row at most for a cell, so what is sorted is never longer than the reference list
+    best = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("jaccard")).alias("far"), "ref_id"))).alias("b"))
+    first, second = F.get("b", F.lit(0)), F.get("b", F.lit(1))
+    out = keyed.join(best, "key", "left").select("field", "value", F.coalesce(first["ref_id"], F.lit(0).cast("long")).alias("ref_id"), (-first["far"]).alias("jaccard"), (second["far"] - first["far"]).alias("margin"))
     return out
 
 

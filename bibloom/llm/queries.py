@@ -71,6 +71,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.canonical_values(_table(spark, sf, "chinese_records"), _table(spark, sf, "ref_values"))
 
 
+def p5_values(spark: SparkSession, sf: str) -> DataFrame:
+    """The distinct values with the entries they mean, the similarity that decided and its margin."""
+    typed = canonical.cells(_table(spark, sf, "chinese_records"), "rec_id", ("journal", "source_db")).select("field", "value").distinct()
+    return canonical.map_values(typed, _table(spark, sf, "ref_values"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.found(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"))
 
@@ -109,4 +115,4 @@ def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (p1_found, p2_found, p3_found, p4_found, p5_found, p8_found, p9_mixture, p10_pieces)
-    return {f.__name__: f for f in (*found, p3_row_groups, p3_deep, p1_repaired, p2_matched, p4_collapsed, p8_scored, p9_shares, p9_marginals, p9_all_tokens)}
+    return {f.__name__: f for f in (*found, p3_row_groups, p3_deep, p5_values, p1_repaired, p2_matched, p4_collapsed, p8_scored, p9_shares, p9_marginals, p9_all_tokens)}
