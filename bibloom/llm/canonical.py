@@ -88,13 +88,15 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float | Callab
     """
     t = threshold if callable(threshold) else lambda n: F.lit(threshold)
     both = left.select("tokens").unionByName(right.select("tokens"))
-    df = both.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    counts = materialise(both.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.count("*").alias("df")), "tokens")
+    total = counts.agg(F.sum("n")).first()[0] or 0
     size = F.size("tokens")
     p = lambda n: (n - F.ceil(t(n) * n) + 1).cast("int")
 
     def prefixes(side: DataFrame, name: str) -> DataFrame:
-        each = side.select("field", "name", size.alias("n"), F.explode("tokens").alias("t")).join(df, "t")
-        order = each.groupBy("field", "name", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "t"))), F.lit(1), p(F.col("n"))).alias("first"))
+        # a common character is a hot key: its rows are spread by its count
+        each = lookup(side.select("field", "name", size.alias("size"), F.explode("tokens").alias("t")), counts, "t", total, spread=F.xxhash64("field", "name"))
+        order = each.groupBy("field", "name", F.col("size").alias("n")).agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "t"))), F.lit(1), p(F.col("n"))).alias("first"))
         return order.select("field", F.col("name").alias(name), F.col("n").alias(f"n_{name}"), F.posexplode("first").alias(f"at_{name}", "x")).select("*", F.col("x.t").alias("t")).drop("x")
 
     lp, rp = prefixes(left, "name"), prefixes(right, "entry")

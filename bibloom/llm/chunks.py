@@ -163,7 +163,7 @@ class Chunker:
 def split(docs: DataFrame, limits: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", folder: str = tokens.FOLDER, name: str = tokens.VOCABULARY) -> DataFrame:
     """One row for each piece of every document that exceeds the limit of its source.
 
-    ``(doc_id, source, piece_no, n_pieces, start_char, end_char, n_tokens, overlap_chars, boundary, piece)``. Pieces
+    ``(doc_id, source, piece_no, n_pieces, start_char, end_char, n_tokens, overlap_chars, overlap_tokens, boundary, piece)``. Pieces
     cover the text without a gap; ``n_tokens`` is what the tokenizer counts of the piece by itself and never exceeds the
     limit, except that a single character can't be cut. Null texts, documents within their limit and sources without a
     limit give no rows. ``limits`` has one row for each source, is a bounded list and is broadcast; texts are cut where
@@ -175,15 +175,21 @@ def split(docs: DataFrame, limits: DataFrame, doc: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunker = Chunker(folder, name)
-        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+        kinds = (pa.int64(), pa.string(), *[pa.int32()] * 7, pa.string(), pa.string())
         for b in batches:
             out = []
             for i, s, t, most, overlap in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 got = chunker.pieces(t, most, overlap) or []
-                out += [(i, s, k, len(got), start, end, n, over, kind, t[start:end]) for k, (start, end, n, over, kind) in enumerate(got)]
+                out += [(i, s, k, len(got), start, end, n, over, tokens.count(t[start : start + over], folder, name), kind, t[start:end]) for k, (start, end, n, over, kind) in enumerate(got)]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=_SCHEMA_NAMES)
 
-    return big.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(_SCHEMA_NAMES, ("long", "string", "int", "int", "int", "int", "int", "int", "string", "string"), strict=True)))
+    return big.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(_SCHEMA_NAMES, ("long", "string", *["int"] * 7, "string", "string"), strict=True)))
 
 
-_SCHEMA_NAMES = ["doc_id", "source", "piece_no", "n_pieces", "start_char", "end_char", "n_tokens", "overlap_chars", "boundary", "piece"]
+def joined(pieces: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: the documents put together again from their pieces, overlaps left out. A document's pieces are no more than its text."""
+    own = F.struct("piece_no", F.substr("piece", F.col("overlap_chars") + 1).alias("own"))
+    return pieces.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["own"]), "").alias("text"))
+
+
+_SCHEMA_NAMES = ["doc_id", "source", "piece_no", "n_pieces", "start_char", "end_char", "n_tokens", "overlap_chars", "overlap_tokens", "boundary", "piece"]

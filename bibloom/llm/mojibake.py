@@ -17,11 +17,30 @@ ONE_BYTE = ("latin-1", "cp1252", "mac_roman", "cp1251", "koi8-r", "cp437")
 TWO_BYTE = ("gb18030", "big5", "cp949", "cp932")
 #: Encodings a text may have been written in.
 INTENDED = ("utf-8", "gb18030")
-MAX_LAYERS = 5
 #: A repair must lower the cost by MIN_GAIN, to at most MAX_LEFT of what it was.
 MIN_GAIN, MAX_LEFT = 1.0, 0.6
 _SPLIT = re.compile(r"([;；,，、|｜/\s*#＊]+)")
-_LOST = re.compile("\ufffd|锟斤|斤拷|[\x80-\x84\x86-\x9f\ue000-\uf8ff]|烫烫烫|屯屯屯")
+#: Signs of text that was lost: replacement, control and private characters.
+_SIGNS = re.compile("[\ufffd\x80-\x84\x86-\x9f\ue000-\uf8ff]")
+
+
+def _decoded_signs() -> tuple[str, ...]:
+    """What two replacement characters become when their UTF-8 is read as one of the wrong encodings: their round trip back shows that text was lost before."""
+    raw, out = ("\ufffd" * 2).encode(), []
+    for wrong in (*ONE_BYTE, *TWO_BYTE):
+        try:
+            text = raw.decode(wrong)
+        except UnicodeDecodeError:
+            continue
+        size = 3 if wrong in ONE_BYTE else 2
+        out += [text[i : i + size] for i in range(len(text) - size + 1)] if wrong in TWO_BYTE else [text[:size]]
+    return tuple(dict.fromkeys(out))
+
+
+_DECODED_SIGNS = _decoded_signs()
+#: Those of them that look like common ideographs.
+_WIDE_SIGNS = tuple(x for x in _DECODED_SIGNS if all("一" <= c <= "鿿" for c in x))
+_LOST = re.compile("|".join([_SIGNS.pattern, *map(re.escape, _DECODED_SIGNS)]))
 #: What any run worth repairing among ideographs holds: six bytes of UTF-8 or more.
 _HAN_PAIR = re.compile(rb"[\xe2-\xef][\x80-\xbf]{2}[\xe2-\xef][\x80-\xbf]{2}|[\xc2-\xdf][\x80-\xbf](?:[\xc2-\xdf][\x80-\xbf][\xe3-\xe9]|[\xe3-\xe9][\x80-\xbf]{2}[\xc2-\xdf])[\x80-\xbf]")
 _HAN_BYTES = re.compile(rb"(?:[\xe2-\xef][\x80-\xbf]{2}|[\xc2-\xdf][\x80-\xbf])*[\xe3-\xe9][\x80-\xbf]{2}(?:[\xe2-\xef][\x80-\xbf]{2}|[\xc2-\xdf][\x80-\xbf]|[\x20-\x7e](?=[\xe2-\xef][\x80-\xbf]{2}))*")
@@ -97,13 +116,11 @@ def _better(before: str, after: str, meant: str = "gb18030") -> bool:
 
 
 def _round_trip(piece: str) -> str | None:
-    """The best strict repair of one layer of ``piece`` as a whole, or null."""
-    best = None
-    for wrong in (*ONE_BYTE, *TWO_BYTE):
-        raw = _encoded(piece, wrong)
-        if raw is None:
-            continue
-        for meant in INTENDED:
+    """The best strict repair of one layer of ``piece`` as a whole, or null. What reads as UTF-8 goes first: bytes seldom are valid UTF-8 by chance."""
+    raws = {wrong: raw for wrong in (*ONE_BYTE, *TWO_BYTE) if (raw := _encoded(piece, wrong)) is not None}
+    for meant in INTENDED:
+        best = None
+        for wrong, raw in raws.items():
             if meant == wrong:
                 continue
             try:
@@ -112,7 +129,9 @@ def _round_trip(piece: str) -> str | None:
                 continue
             if text != piece and _plausible(piece, text, meant) and _better(piece, text, meant) and (best is None or garbling_cost(text) < garbling_cost(best)):
                 best = text
-    return best
+        if best is not None:
+            return best
+    return None
 
 
 def _plausible(before: str, after: str, meant: str) -> bool:
@@ -230,19 +249,18 @@ def _wide_runs(text: str) -> str | None:
 
 @functools.lru_cache(1 << 16)
 def _piece(piece: str) -> str:
-    for _ in range(MAX_LAYERS):
+    while True:  # every layer lowers the cost, so this ends
         new = _round_trip(piece) or _runs(piece)
         if new is None or new == piece:
-            break
+            return piece
         piece = new
-    return piece
 
 
 def repair(text: str | None) -> tuple[str | None, bool, bool]:
     """``(repaired text, affected, wholly recovered)``.
 
-    Whole texts are tried first, then the pieces between separators, then runs inside the pieces, each for up to
-    MAX_LAYERS layers. A text that holds replacement, private or control characters, or the traces they leave when
+    Whole texts are tried first, then the pieces between separators, then runs inside the pieces, each layer after
+    layer while the cost falls. A text that holds replacement, private or control characters, or the traces they leave when
     decoded again, is affected even where nothing can be recovered. Null and empty texts are not affected.
     """
     if not text or text.isascii():
@@ -259,7 +277,7 @@ def repair(text: str | None) -> tuple[str | None, bool, bool]:
 
 def _clean(text: str) -> bool:
     """Nothing odd in it, and no ideographs that read as UTF-8: the common case, decided by two searches. What the other marks of lost text are made of is odd."""
-    return not (_ODD.search(text) or "锟斤" in text or "斤拷" in text or "烫烫烫" in text or "屯屯屯" in text or _HAN_PAIR.search(text.encode("gb18030", "replace")) or _big5(text))
+    return not (_ODD.search(text) or any(x in text for x in _WIDE_SIGNS) or _HAN_PAIR.search(text.encode("gb18030", "replace")) or _big5(text))
 
 
 def _big5(text: str) -> bool:

@@ -113,6 +113,13 @@ def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.split(_table(spark, sf, "documents"), _table(spark, sf, "size_limits"))
 
 
+def p10_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of all texts, those that were cut put together again from their pieces."""
+    docs = _table(spark, sf, "documents").filter("text is not null").select("doc_id", "text")
+    again = chunks.joined(p10_pieces(spark, sf)).withColumnRenamed("text", "rebuilt")
+    return docs.join(again, "doc_id", "left").select("doc_id", F.md5(F.coalesce("rebuilt", "text")).alias("digest"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (p1_found, p2_found, p3_found, p4_found, p5_found, p8_found, p9_mixture, p10_pieces)
-    return {f.__name__: f for f in (*found, p3_row_groups, p3_deep, p5_values, p1_repaired, p2_matched, p4_collapsed, p8_scored, p9_shares, p9_marginals, p9_all_tokens)}
+    return {f.__name__: f for f in (*found, p3_row_groups, p3_deep, p5_values, p10_rebuilt, p1_repaired, p2_matched, p4_collapsed, p8_scored, p9_shares, p9_marginals, p9_all_tokens)}

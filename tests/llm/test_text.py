@@ -23,6 +23,10 @@ def test_round_trips_are_restored():
     assert mojibake.repair(mac) == (ZH, True, True)
     twice = ZH.encode().decode("latin-1").encode().decode("latin-1")
     assert mojibake.repair(twice)[0] == ZH
+    deep = ZH
+    for _ in range(8):
+        deep = deep.encode().decode("latin-1")
+    assert mojibake.repair(deep) == (ZH, True, True)
     assert mojibake.repair("前文" + ZH.encode().decode("latin-1") + "后文")[0] == "前文" + ZH + "后文"
 
 
@@ -168,6 +172,16 @@ def test_pieces():
     assert chunks.Chunker().pieces("short", 10, 2) is None
 
 
+def test_overlaps_have_the_size_asked_for(spark):
+    rnd = random.Random(5)
+    texts = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 9))) + rnd.choice(["", "", ".", ","]) for _ in range(900)), "".join(rnd.choice("天地玄黄宇宙洪荒日月盈昃，。") for _ in range(2500))]
+    docs = spark.createDataFrame([(i, "a", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    pieces = chunks.split(docs, spark.createDataFrame([("a", 100, 16)], "source string, max_tokens int, overlap_tokens int"))
+    got = pieces.filter("piece_no > 0").select("overlap_tokens", "overlap_chars").collect()
+    assert len(got) > 20 and all(r["overlap_chars"] > 0 and 14 <= r["overlap_tokens"] <= 17 for r in got), sorted(r["overlap_tokens"] for r in got)
+    assert {r["doc_id"]: r["text"] for r in chunks.joined(pieces).collect()} == dict(enumerate(texts))
+
+
 def test_edits_alter_only_neighbours():
     rnd = random.Random(4)
     text = "".join("".join(rnd.choice("天地玄黄宇宙洪荒日月盈昃辰宿列张") for _ in range(rnd.randrange(8, 40))) + "。" for _ in range(400))
