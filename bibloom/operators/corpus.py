@@ -63,6 +63,22 @@ def exclusion_reasons(papers: DataFrame, n_authors: Column, record: str = "recor
     return p.withColumn("reason", reason).drop("_p", "_d", "_e", "_dup_p", "_dup_d")
 
 
+def numbered(df: DataFrame, keys: list[str], order: str, into: str, width: int = 1 << 16) -> DataFrame:
+    """``df`` with its rows' places, from 0, in the order of a whole number that is unique within each key.
+
+    Rows are numbered within ranges of ``width`` numbers and the rows of the ranges before are added, so a key that holds
+    most of all rows is no single task.
+    """
+    part = F.floor(F.col(order) / width)
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order)) - 1
+    ranged = df.withColumn("_range", part)
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_before", before).drop("_n")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "_range")]
+    j = ranged.withColumn("_within", within).alias("a").join(counts.alias("b"), same)
+    return j.select(*[F.col(f"a.{c}").alias(c) for c in df.columns], (F.col("_before") + F.col("_within")).cast("long").alias(into))
+
+
 def title_duplicates(papers: DataFrame, record: str = "record_id") -> DataFrame:
     """Groups of records of a corpus whose titles have the same ASCII letters and digits: ``(corpus_id, key, n, first)``."""
     key = F.regexp_replace(F.lower("title"), "[^a-z0-9]", "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibloom.functions import scalar as S
-from bibloom.operators.corpus import LARGE_TEAM, spine
+from bibloom.operators.corpus import LARGE_TEAM, numbered, spine
 
 #: Least cases for an aggregate, a median of a subset, and a percentage.
 LEAST, LEAST_SUBSET, LEAST_PERCENT = 5, 10, 20
@@ -139,9 +139,9 @@ def affiliation_coverage(papers: DataFrame, entries: DataFrame, record: str = "r
 
 
 def titles_by_year(papers: DataFrame, record: str = "record_id") -> DataFrame:
-    """Records of each year in the order of their ids as text, joined."""
-    rows = papers.groupBy("corpus_id", F.col("year").cast("long").alias("year")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(record).cast("string").alias("k"), F.col("title").alias("t")))), lambda x: x["t"]), " | ").alias("titles"))
-    return rows
+    """Titles of each year, one a row, with their place in the order of the ids."""
+    rows = papers.select("corpus_id", F.col("year").cast("long").alias("year"), record, "title")
+    return numbered(rows, ["corpus_id", "year"], record, "place")
 
 
 #: Two-sided 95 % quantiles of Student's t for 1 to 30 degrees of freedom; 1.96 beyond (fixed values).

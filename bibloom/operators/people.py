@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibloom.functions import scalar as S
+from bibloom.runtime import lookup, materialise, rows_of
 
 
 def person_keys(entries: DataFrame) -> DataFrame:
@@ -63,10 +64,17 @@ def name_gap(entries: DataFrame) -> DataFrame:
 
 
 def rank(people: DataFrame, value: Column, person: str = "person") -> DataFrame:
-    """Competition rank (1, 2, 2, 4) of each corpus's people by ``value``, ties told."""
-    v = people.withColumn("value", value.cast("long"))
-    w = Window.partitionBy("corpus_id")
-    return v.withColumns({"rank": F.rank().over(w.orderBy(F.desc("value"))).cast("long"), "tied": F.count("*").over(Window.partitionBy("corpus_id", "value")) > 1}).select("corpus_id", person, "value", "rank", "tied")
+    """Competition rank (1, 2, 2, 4) of each corpus's people by ``value``, ties told.
+
+    A rank is one more than the people with a greater value, summed over the distinct values of a corpus and never over
+    its people; a value that many share is spread over all tasks.
+    """
+    key = F.concat_ws("\x1f", F.col("corpus_id").cast("string"), F.col("value").cast("string"))
+    v = materialise(people.select("corpus_id", person, value.cast("long").alias("value")).withColumn("key", key), "rank")
+    counts = v.groupBy("corpus_id", "value", "key").agg(F.count("*").alias("n"))
+    above = Window.partitionBy("corpus_id").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
+    table = materialise(counts.select("key", "n", (F.coalesce(F.sum("n").over(above), F.lit(0)) + 1).alias("rank"), (F.col("n") > 1).alias("tied")), "rank")
+    return lookup(v, table, "key", rows_of(v), spread=F.xxhash64(person)).select("corpus_id", person, "value", "rank", "tied")
 
 
 def lead_to_senior(people: DataFrame, person: str = "person") -> DataFrame:

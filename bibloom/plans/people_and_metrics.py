@@ -192,7 +192,7 @@ def affiliation_coverage(m):
     return metrics.affiliation_coverage(m.papers, m.entries)
 
 
-@query("""SELECT corpus_id, yr AS year, count(*) AS n, string_agg(journal, ' | ' ORDER BY CAST(record_id AS VARCHAR)) AS titles FROM paper GROUP BY 1, 2""")
+@query("""SELECT corpus_id, yr AS year, record_id, journal AS title, row_number() OVER (PARTITION BY corpus_id, yr ORDER BY record_id) - 1 AS place FROM paper""")
 def titles_by_year(m):
     return metrics.titles_by_year(m.papers.withColumn("title", F.col("journal")))
 
@@ -227,9 +227,7 @@ def figure_lag(m):
 
 @query("""SELECT corpus_id, record_id, yr AS year, row_number() OVER (PARTITION BY corpus_id, yr ORDER BY record_id) - 1 AS stack FROM paper""")
 def figure_year(m):
-    from pyspark.sql import Window
-
-    return m.papers.select("corpus_id", "record_id", "year", (F.row_number().over(Window.partitionBy("corpus_id", "year").orderBy("record_id")) - 1).cast("long").alias("stack"))
+    return corpus.numbered(m.papers.select("corpus_id", "record_id", "year"), ["corpus_id", "year"], "record_id", "stack")
 
 
 @query("""SELECT p.corpus_id, CASE WHEN x.stratum IN ('A', 'B') THEN 'student' ELSE 'other' END AS lane, s.n AS n_authors, count(*) AS n_papers FROM paper p JOIN sized s ON s.record_id = p.record_id JOIN (SELECT record_id, person FROM entry WHERE idx = 0) l ON l.record_id = p.record_id LEFT JOIN person x ON x.corpus_id = p.corpus_id AND x.person = l.person GROUP BY 1, 2, 3""")

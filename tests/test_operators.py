@@ -179,6 +179,21 @@ def test_roles(spark):
     assert [r[0] for r in ids.coalesce(1).select(roles.record_author_ids(F.col("a"), F.col("b"))).collect()] == [["A1", "A2"], []]
 
 
+def test_places_in_order(spark):
+    rnd = random.Random(13)
+    ids = rnd.sample(range(5000), 600)
+    rows = [(rnd.choice(["a", "a", "b", None]), i) for i in ids]
+    got = {(r["k"], r["i"]): r["at"] for r in corpus.numbered(spark.createDataFrame(rows, "k string, i long"), ["k"], "i", "at", width=50).collect()}
+    for k in ("a", "b", None):
+        assert [got[k, i] for i in sorted(i for x, i in rows if x == k)] == list(range(sum(x == k for x, _ in rows)))
+
+
+def test_ranks(spark):
+    rows = [(1, p, v) for p, v in enumerate([5, 5, 5, 2, 9, None])] + [(2, 0, 1)]
+    got = {(r["corpus_id"], r["person"]): (r["rank"], r["tied"]) for r in people.rank(spark.createDataFrame(rows, "corpus_id long, person long, x long"), F.col("x")).collect()}
+    assert got == {(1, 4): (1, False), (1, 0): (2, True), (1, 1): (2, True), (1, 2): (2, True), (1, 3): (5, False), (1, 5): (6, False), (2, 0): (1, False)}
+
+
 def test_author_search(spark):
     rows = [("w", "w1", "I2", "t", 2001), ("w", "w1", "I1", "t", 2000), ("w", "w1", "", "u", 2002), ("v", "v1", None, None, None), ("v", "v2", "I", "t", 1)]
     df = spark.createDataFrame(rows, "name string, person string, institution string, topic string, year int")
