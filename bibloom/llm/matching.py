@@ -302,6 +302,7 @@ def _compact(f: list[Features], year: list[int | None], **texts: list[str | None
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cleaned cells and features; authors and numbers as joined text, with the first author's initials and the first three authors, and all in compact form."""
     names = [x.split()[0] for x in _FEATURES.split(", ")]
+    mojibake.use(frozenset())
     for b in batches:
         doi, volume, issue, page, title, people = (b.column(i).to_pylist() for i in range(3, 9))
         f = list(map(features, title, people))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bibloom.runtime import forget, materialise
+
 #: Encodings a reader may wrongly have assumed. One-byte ones pass bytes they don't define as control characters.
 ONE_BYTE = ("latin-1", "cp1252", "mac_roman", "cp1251", "koi8-r", "cp437")
 TWO_BYTE = ("gb18030", "big5", "cp949", "cp932")
@@ -46,8 +48,19 @@ _HAN_PAIR = re.compile(rb"[\xe2-\xef][\x80-\xbf]{2}[\xe2-\xef][\x80-\xbf]{2}|[\x
 _HAN_BYTES = re.compile(rb"(?:[\xe2-\xef][\x80-\xbf]{2}|[\xc2-\xdf][\x80-\xbf])*[\xe3-\xe9][\x80-\xbf]{2}(?:[\xe2-\xef][\x80-\xbf]{2}|[\xc2-\xdf][\x80-\xbf]|[\x20-\x7e](?=[\xe2-\xef][\x80-\xbf]{2}))*")
 
 
-#: Ideographs outside GB2312 that personal and place names often hold (fixed values).
-NAME_HAN = "旻堃喆璟沚玥珺昇祎赟翀彧頔婳煊瑄锜芃垚犇淏祺"
+#: Ideographs outside GB2312 that a corpus uses by themselves, as personal and place names do: see familiar(). Set by use().
+_known: frozenset[str] = frozenset()
+#: Share of the fields with an uncommon ideograph in which it is the only one, from which the corpus uses it; garbled text brings several together.
+ALONE = 1 / 3
+
+
+def use(known: frozenset[str]) -> None:
+    """The ideographs that cost little from now on, in this process."""
+    global _known
+    if known != _known:
+        _known = known
+        for f in (_cost, _uncommon, _any_uncommon, _piece):
+            f.cache_clear()
 
 
 @functools.cache
@@ -84,7 +97,7 @@ def _cost(c: str) -> float:
         try:
             return 0.0 if c.encode("gb2312")[0] < 0xD8 else 0.25
         except UnicodeEncodeError:
-            return 0.25 if c in NAME_HAN else 1.0
+            return 0.25 if c in _known else 1.0
     if 0x3000 <= o <= 0x303F or 0xFF01 <= o <= 0xFF5E or c in "—“”‘’…·•★☆※○●△□　​﻿ⅠⅡⅢⅣⅤⅥⅱαβγμ℃°±×≥≤÷":
         return 0.05
     if 0xC0 <= o <= 0x24F and name[0] == "L":
@@ -297,14 +310,45 @@ def _uncommon() -> frozenset[str]:
     return frozenset(chr(i) for a, b in odd for i in range(a, b) if _cost(chr(i)) >= 1.0)
 
 
+def _uncommon_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ideographs outside GB2312 of every field that holds any and nothing else that is odd."""
+    use(frozenset())
+    han = frozenset(c for c in _uncommon() if "一" <= c <= "鿿")
+    any_ = re.compile("[" + "".join(sorted(han)) + "]")
+    for b in batches:
+        got = [sorted(han.intersection(t)) for c in b.columns for t in c.to_pylist() if t and any_.search(t) and not _ODD.search(t)]
+        yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.string()))], names=["chars"])
+
+
+def familiar(df: DataFrame, fields: tuple[str, ...]) -> frozenset[str]:
+    """The ideographs outside GB2312 that the corpus uses by themselves: in at least ALONE of the fields that hold one, it is the only one.
+
+    Counted over all rows; those found don't count as company of others, until no more is found. The result has as many
+    characters as there are ideographs at most, whatever the corpus.
+    """
+    sets = materialise(df.select(*fields).mapInArrow(_uncommon_sets, "chars array<string>"), "uncommon")
+    found: set[str] = set()
+    while True:
+        rest = sets.select(F.array_except("chars", F.array(*map(F.lit, sorted(found))).cast("array<string>")).alias("chars"))
+        n = rest.select(F.explode("chars").alias("c"), (F.size("chars") == 1).alias("alone")).groupBy("c").agg(F.count("*").alias("n"), F.count_if("alone").alias("k"))
+        new = {r["c"] for r in n.filter(F.col("k") >= F.col("n") * ALONE).select("c").collect()}
+        if not new:
+            forget(sets)
+            return frozenset(found)
+        found |= new
+
+
 def repaired(df: DataFrame, row: str, fields: tuple[str, ...]) -> DataFrame:
     """One row for each affected field: ``(row, field_name, original, repaired, recovered)``.
 
-    No shuffle: each field is judged by itself, in Arrow batches where it is read. Further columns of ``df`` are ignored.
+    Uncommon ideographs that the corpus uses by themselves are counted first, over all rows; then each field is judged by
+    itself, in Arrow batches where it is read, without a shuffle. Further columns of ``df`` are ignored.
     """
     kind = dict(df.dtypes)[row]
+    known = familiar(df, fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(known)
         for b in batches:
             ids = b.column(0)
             for k, name in enumerate(fields, 1):
@@ -319,8 +363,10 @@ def repaired(df: DataFrame, row: str, fields: tuple[str, ...]) -> DataFrame:
 def restore(df: DataFrame, row: str, fields: tuple[str, ...]) -> DataFrame:
     """``df`` with the fields' recoverable text put back in place; every other value, and every row, stays as it is."""
     names = df.columns
+    known = familiar(df, fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(known)
         for b in batches:
             cols = [pa.array([repair(x)[0] for x in b.column(i).to_pylist()], pa.string()) if n in fields else b.column(i) for i, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(cols, names=names)

@@ -36,10 +36,19 @@ def test_lost_text_is_affected():
 
 
 def test_right_text_is_left():
-    for t in (None, "", " ", "plain", ZH, "张锟", "Ñuria Abelçant", "Łuka Grzewnik", "Håkon Ülbrist", "Jürg Pellandü", "张旻堃；喆璟", "β-胡萝卜素 Ⅱ型", "“引号”——…", "Иван Петров", "한국어", "ひらがな", "㐂䶮", "½ × 3 °C", "x" * 100_000, "中" * 100_000):
+    for t in (None, "", " ", "plain", ZH, "张锟", "Ñuria Abelçant", "Łuka Grzewnik", "Håkon Ülbrist", "Jürg Pellandü", "β-胡萝卜素 Ⅱ型", "“引号”——…", "Иван Петров", "한국어", "ひらがな", "㐂䶮", "½ × 3 °C", "x" * 100_000, "中" * 100_000):
         assert mojibake.repair(t) == (t, False, False), t
 
 
+def test_ideographs_that_a_corpus_uses(spark):
+    """Rare ideographs of names are told from garbling by standing alone among common ones."""
+    names = ["张旻", "李堃；王一", "喆明", "璟", "王旻；李四", "陈堃"] * 5 + ["张旻堃；喆璟"] * 4 + [ZH.encode("gb18030").decode("big5", "replace"), "中文编码".encode().decode("gb18030", "replace")]
+    df = spark.createDataFrame([(i, None, x) for i, x in enumerate(names)], "rec_id long, title string, authors_raw string")
+    assert mojibake.familiar(df, ("title", "authors_raw")) == frozenset("旻堃喆璟")
+    assert {r["rec_id"] for r in mojibake.found(df).collect()} == {len(names) - 2, len(names) - 1}
+    assert mojibake.familiar(df.limit(0), ("title",)) == frozenset()
+
+
 def test_repair_of_tables(spark):
     df = spark.createDataFrame([(1, ZH.encode().decode("latin-1"), None, "a"), (2, ZH, "", "b"), (2, None, "�", "c")], "rec_id long, title string, authors_raw string, field_name string")
     got = mojibake.found(df)
