@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 import unicodedata
@@ -119,8 +120,19 @@ def author_tokens(text: str | None) -> tuple[tuple[tuple[str, ...], ...], bool]:
         plain = _ET_AL.sub("", plain)
     if not plain.isascii():
         plain = _OTHER.sub(" ", plain.replace("、", ";").replace("；", ";"))
-    out = [tuple(sorted(a.split())) for a in plain.translate(_NAMES).split(";")]
-    return tuple(a for a in out if a), et_al
+    return tuple([t for a in plain.translate(_NAMES).split(";") if (t := _name(a))]), et_al
+
+
+@functools.lru_cache(1 << 16)
+def _name(text: str) -> tuple[str, ...]:
+    """The sorted tokens of one name. Names recur, so they are kept."""
+    return tuple(sorted(text.split()))
+
+
+@functools.lru_cache(1 << 16)
+def _initials(name: tuple[str, ...]) -> int:
+    """The first letters of a name's tokens, as bits."""
+    return sum({_LETTER[t[0]] for t in name})
 
 
 def features(title: str | None, authors: str | None) -> Features:
@@ -237,6 +249,7 @@ def clean_doi(text: str | None) -> str | None:
     return x if _DOI.fullmatch(x) else None
 
 
+@functools.lru_cache(1 << 14)
 def clean_number(text: str | None) -> str | None:
     """A volume or issue without padding and leading zeros; null for blank cells and fillers."""
     if not text:
@@ -294,7 +307,7 @@ def _compact(f: list[Features], year: list[int | None], **texts: list[str | None
     out["pairs_zh"], out["pairs_en"] = _pairs([x.zh for x in f]), _pairs([x.en for x in f])
     for c, bits in _CODES.items():
         out[c] = _code(texts[c], bits)
-    out["initials"] = [([sum({_LETTER[t[0]] for t in a}) for a in x.authors[:_LISTED]] + [0] * _LISTED)[:_LISTED] for x in f]
+    out["initials"] = [([*map(_initials, x.authors[:_LISTED])] + [0] * _LISTED)[:_LISTED] for x in f]
     out["sketch"] = _pair_bits([x.zh or x.en for x in f], _SKETCH)[:, 0]
     return out
 
@@ -492,7 +505,11 @@ def _near(t: pa.Table, old: int, across: bool, names: list[str]) -> Iterator[pa.
         other = (d_of["flags"][i] ^ d_of["flags"][j]) & (_ZH | _EN)
         title = np.where(keyed, _most_alike(bits[i], bits[j], pairs[i], pairs[j]), _most_alike(d_of["sketch"][i], d_of["sketch"][j], either[i], either[j]))
         title[((d_of["flags"][i] | d_of["flags"][j]) & _CUT > 0) | (form == _ZH | _EN) | ~keyed & (form == _EN) & (other > 0)] = 1.0
-        good = bounds(d_of[i], d_of[j], title, keyed | (form > 0)) >= LEAST - 1e-6
+        titled = keyed | (form > 0)
+        # unlike titles rule a match out whatever else agrees: see bounds()
+        some = (title >= 0.6) | ~titled
+        i, j = i[some], j[some]
+        good = bounds(d_of[i], d_of[j], title[some], titled[some]) >= LEAST - 1e-6
         if good.any():
             out.append(np.stack([ids[i[good]], ids[j[good]]]))
     if out:

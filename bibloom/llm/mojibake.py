@@ -41,7 +41,7 @@ def _decoded_signs() -> tuple[str, ...]:
 
 _DECODED_SIGNS = _decoded_signs()
 #: Those of them that look like common ideographs.
-_WIDE_SIGNS = tuple(x for x in _DECODED_SIGNS if all("一" <= c <= "鿿" for c in x))
+_WIDE_SIGNS = re.compile("|".join(x for x in _DECODED_SIGNS if all("一" <= c <= "鿿" for c in x)))
 _LOST = re.compile("|".join([_SIGNS.pattern, *map(re.escape, _DECODED_SIGNS)]))
 #: What any run worth repairing among ideographs holds: six bytes of UTF-8 or more.
 _HAN_PAIR = re.compile(rb"[\xe2-\xef][\x80-\xbf]{2}[\xe2-\xef][\x80-\xbf]{2}|[\xc2-\xdf][\x80-\xbf](?:[\xc2-\xdf][\x80-\xbf][\xe3-\xe9]|[\xe3-\xe9][\x80-\xbf]{2}[\xc2-\xdf])[\x80-\xbf]")
@@ -290,7 +290,7 @@ def repair(text: str | None) -> tuple[str | None, bool, bool]:
 
 def _clean(text: str) -> bool:
     """Nothing odd in it, and no ideographs that read as UTF-8: the common case, decided by two searches. What the other marks of lost text are made of is odd."""
-    return not (_ODD.search(text) or any(x in text for x in _WIDE_SIGNS) or _HAN_PAIR.search(text.encode("gb18030", "replace")) or _big5(text))
+    return not (_ODD.search(text) or _WIDE_SIGNS.search(text) or _HAN_PAIR.search(text.encode("gb18030", "replace")) or _big5(text))
 
 
 def _big5(text: str) -> bool:
