@@ -75,10 +75,10 @@ class Model:
         return self.entries.filter("idx = 0")
 
 
-    def keep(self) -> Model:
-        """The same model with papers, entries and people as written tables, for queries that read them several times: each source table is read once."""
+    def keep(self, *names: str) -> Model:
+        """The same model with papers, entries and people (or those named) as written tables, for queries that read them several times: each source table is read once."""
         out = Model(self.spark, self.sf)
-        for name in ("papers", "entries", "people"):
+        for name in names or ("papers", "entries", "people"):
             out.__dict__[name] = materialise(getattr(out, name), name)
         return out
 

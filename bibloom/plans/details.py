@@ -143,6 +143,7 @@ def _side(m, cond):
   FROM alone a LEFT JOIN oldp o ON o.corpus_id = a.corpus_id AND o.person = a.person LEFT JOIN newp n ON n.corpus_id = a.corpus_id AND n.person = a.person""")
 def diff_counterparts(m):
     """Who leads records of one harvest only, and what they hold in the other."""
+    m = m.keep("papers", "entries")
     holders = diff.first_slot_holders(diff.rows(*_halves(m)), m.leads)
     return diff.slot_counterparts(holders, _side(m, "year <= 1999"), _side(m, "year >= 1997"))
 

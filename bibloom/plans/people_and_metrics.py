@@ -102,6 +102,7 @@ def affiliation_signal(m):
   FROM paper p LEFT JOIN (SELECT record_id, person FROM entry WHERE idx = 0) l ON p.record_id = l.record_id LEFT JOIN person x ON x.corpus_id = p.corpus_id AND x.person = l.person
   WHERE p.record_id NOT IN (SELECT record_id FROM target WHERE pi_index = 0) GROUP BY 1)""")
 def first_author_slots(m):
+    m = m.keep()
     return metrics.first_author_slots(m.papers, m.leads, m.target, m.people)
 
 
@@ -133,6 +134,7 @@ def activity_span(m):
   LEFT JOIN (SELECT corpus_id, first_year AS yr, count(*) AS k FROM person GROUP BY 1, 2) b ON b.corpus_id = s.corpus_id AND b.yr = s.yr
   LEFT JOIN (SELECT corpus_id, last_year AS yr, count(*) AS k FROM person GROUP BY 1, 2) d ON d.corpus_id = s.corpus_id AND d.yr = s.yr""")
 def roster_turnover(m):
+    m = m.keep()
     return metrics.turnover(m.appearances, m.people, m.papers)
 
 
@@ -173,6 +175,7 @@ def team_size(m):
 
 @query("""SELECT l.corpus_id, count(*) AS denominator, CASE WHEN count(*) >= 10 THEN quantile_cont(l.n, 0.5) END AS median FROM entry l JOIN person x ON x.corpus_id = l.corpus_id AND x.person = l.person WHERE l.idx = 0 AND x.stratum IN ('A', 'B') GROUP BY 1""")
 def team_size_subset(m):
+    m = m.keep()
     return metrics.team_size_of_leads(m.leads, m.sizes, m.people)
 
 
@@ -214,6 +217,7 @@ def trend_ols(m):
 
 @query("""SELECT a.corpus_id, a.person, a.yr AS year, count(*) AS n, bool_or(is_first) AS led FROM appearance a JOIN person x ON x.corpus_id = a.corpus_id AND x.person = a.person WHERE x.stratum IN ('A', 'B') GROUP BY 1, 2, 3""")
 def figure_gantt(m):
+    m = m.keep()
     own = m.people.filter(F.col("stratum").isin("A", "B")).select("corpus_id", "person")
     return m.appearances.join(own, ["corpus_id", "person"]).groupBy("corpus_id", "person", "year").agg(F.count("*").alias("n"), F.bool_or("is_first").alias("led"))
 
@@ -232,6 +236,7 @@ def figure_year(m):
 
 @query("""SELECT p.corpus_id, CASE WHEN x.stratum IN ('A', 'B') THEN 'student' ELSE 'other' END AS lane, s.n AS n_authors, count(*) AS n_papers FROM paper p JOIN sized s ON s.record_id = p.record_id JOIN (SELECT record_id, person FROM entry WHERE idx = 0) l ON l.record_id = p.record_id LEFT JOIN person x ON x.corpus_id = p.corpus_id AND x.person = l.person GROUP BY 1, 2, 3""")
 def figure_team(m):
+    m = m.keep()
     j = m.leads.select("corpus_id", "record_id", "person", "n").join(m.people.select("corpus_id", "person", "stratum"), ["corpus_id", "person"], "left")
     return j.groupBy("corpus_id", F.when(F.col("stratum").isin("A", "B"), "student").otherwise("other").alias("lane"), F.col("n").alias("n_authors")).agg(F.count("*").alias("n_papers"))
 
