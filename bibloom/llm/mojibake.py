@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.runtime import forget, materialise
+from bibloom.runtime import forget, materialise, rows_of
 
 #: Encodings a reader may wrongly have assumed. One-byte ones pass bytes they don't define as control characters.
 ONE_BYTE = ("latin-1", "cp1252", "mac_roman", "cp1251", "koi8-r", "cp437")
@@ -50,8 +50,9 @@ _HAN_BYTES = re.compile(rb"(?:[\xe2-\xef][\x80-\xbf]{2}|[\xc2-\xdf][\x80-\xbf])*
 
 #: Ideographs outside GB2312 that a corpus uses by themselves, as personal and place names do: see familiar(). Set by use().
 _known: frozenset[str] = frozenset()
-#: Share of the fields with an uncommon ideograph in which it is the only one, from which the corpus uses it; garbled text brings several together.
-ALONE = 1 / 3
+#: Share of the fields with an uncommon ideograph in which it is the only one, from which the corpus uses it, as garbled text
+#: brings several together; and share of all fields with any in which it is so, as garbling makes many different ones.
+ALONE, OFTEN = 1 / 3, 1e-3
 
 
 def use(known: frozenset[str]) -> None:
@@ -321,7 +322,7 @@ def _uncommon_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def familiar(df: DataFrame, fields: tuple[str, ...]) -> frozenset[str]:
-    """The ideographs outside GB2312 that the corpus uses by themselves: in at least ALONE of the fields that hold one, it is the only one.
+    """The ideographs outside GB2312 that the corpus uses by themselves: in at least ALONE of the fields that hold one, and OFTEN of those that hold any, it is the only one.
 
     Counted over all rows; those found don't count as company of others, until no more is found. The result has as many
     characters as there are ideographs at most, whatever the corpus.
@@ -331,7 +332,7 @@ def familiar(df: DataFrame, fields: tuple[str, ...]) -> frozenset[str]:
     while True:
         rest = sets.select(F.array_except("chars", F.array(*map(F.lit, sorted(found))).cast("array<string>")).alias("chars"))
         n = rest.select(F.explode("chars").alias("c"), (F.size("chars") == 1).alias("alone")).groupBy("c").agg(F.count("*").alias("n"), F.count_if("alone").alias("k"))
-        new = {r["c"] for r in n.filter(F.col("k") >= F.col("n") * ALONE).select("c").collect()}
+        new = {r["c"] for r in n.filter((F.col("k") >= F.col("n") * ALONE) & (F.col("k") >= rows_of(sets) * OFTEN) & (F.col("k") > 0)).select("c").collect()}
         if not new:
             forget(sets)
             return frozenset(found)
