@@ -26,6 +26,8 @@ MATCH, MISMATCH, GAP = 2, -2, -2
 LEAST_SHARE = 0.3
 #: Pairs aligned at once, and places of their bands and items together, unless one pair alone has more.
 ALIGNED, PLACES = 256, 1 << 20
+#: Rows of pairs that are Python objects at one time; each holds a stretch and the item's runs.
+ROWS = 1024
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -297,7 +299,7 @@ _SCHEMA = "doc_id long, item_id long, score double, verbatim boolean"
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of an item and a stretch whose alignment scores at least what a verbatim run of the required length does, and LEAST_SHARE unless there is such a run."""
-    for b in batches:
+    for b in (whole.slice(x, ROWS) for whole in batches for x in range(0, whole.num_rows, ROWS)):
         doc, item, diagonals, stretch, codes, least, runs = (b.column(c).to_pylist() for c in ("doc_id", "item_id", "diagonals", "stretch", "codes", "least", "runs"))
         todo = [(i, lo, hi) for i, (d, c) in enumerate(zip(diagonals, codes, strict=True)) for lo, hi in _clusters(sorted(d), len(c))]
         todo.sort(key=lambda x: (x[2] - x[1], len(codes[x[0]])))
