@@ -26,7 +26,7 @@ MATCH, MISMATCH, GAP = 2, -2, -2
 LEAST_SHARE = 0.3
 #: Pairs aligned at once, and places of their bands and items together, unless one pair alone has more.
 ALIGNED, PLACES = 256, 1 << 20
-#: Rows of pairs that are Python objects at one time; each holds a stretch and the item's runs.
+#: Texts that are arrays, and rows of pairs that are Python objects, at one time.
 ROWS = 1024
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -177,7 +177,7 @@ def _scan(bits: int, packed: dict[int, np.ndarray], longest: int):
         tables = {k: np.unpackbits(v).astype(bool) for k, v in packed.items()}
         names = [x.split()[0] for x in _HOLDING.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        for b in batches:
+        for b in (whole.slice(x, ROWS) for whole in batches for x in range(0, whole.num_rows, ROWS)):
             ids = b.column(0).to_pylist()
             f, at, _ = folding.fold([x or "" for x in b.column(1).to_pylist()])
             kept = f != folding.SKIP
