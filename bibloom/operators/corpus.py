@@ -44,6 +44,12 @@ def resolve_target(entries: DataFrame, evidence: Column, record: str = "record_i
     return best.select(record, (-F.col("b.back")).alias("pi_index"), F.col("b.ev").alias("pi_evidence"), tied.alias("pi_ambiguous"))
 
 
+def mark_target(entries: DataFrame, evidence: Column, record: str = "record_id") -> DataFrame:
+    """Entries with ``pi_index``, the entry that resolve_target() chooses, null where none has evidence: a window over each record, without a join."""
+    best = F.max(F.when(evidence > 0, F.struct(evidence.cast("long").alias("ev"), (-F.col("idx")).alias("back")))).over(Window.partitionBy(record))
+    return entries.withColumn("pi_index", -best["back"])
+
+
 def exclusion_reasons(papers: DataFrame, n_authors: Column, record: str = "record_id", many: int = MANY_AUTHORS) -> DataFrame:
     """``papers`` with ``reason``, null for those kept. A date without a year is unparseable, whatever year stands in for it.
 
@@ -112,7 +118,8 @@ def spine(papers: DataFrame) -> DataFrame:
     return window_years(papers).select("corpus_id", "window_start", "window_end", F.explode(F.sequence("window_start", "window_end")).alias("year"))
 
 
-def appearances(entries: DataFrame, target: DataFrame, record: str = "record_id") -> DataFrame:
-    """Entries other than the target's slot, with ``is_first`` and ``is_last`` of the persons of the byline."""
-    e = entries.join(target.select(record, "pi_index"), record, "left").filter("pi_index is null or idx <> pi_index")
+def appearances(entries: DataFrame, target: DataFrame | None = None, record: str = "record_id") -> DataFrame:
+    """Entries other than the target's slot, with ``is_first`` and ``is_last`` of the persons of the byline. Without ``target`` the entries come from mark_target()."""
+    e = entries if target is None else entries.drop("pi_index").join(target.select(record, "pi_index"), record, "left")
+    e = e.filter("pi_index is null or idx <> pi_index")
     return e.withColumns({"is_first": F.col("idx") == 0, "is_last": F.col("idx") == F.col("n") - 1}).drop("pi_index")

@@ -190,6 +190,6 @@ def trend_context(series: DataFrame, keys: tuple[str, ...] = ("corpus_id",)) ->
 def corresponding_share(entries: DataFrame, target: DataFrame, record: str = "record_id") -> DataFrame:
     """Per corpus records in which the target is located, and those in which it is corresponding: null where no entry of the corpus has such a mark."""
     marked = entries.groupBy("corpus_id").agg(F.bool_or(F.coalesce("is_corresponding", F.lit(False))).alias("measured"))
-    t = entries.join(target.select(record, "pi_index"), record).filter("idx = pi_index").groupBy("corpus_id").agg(F.count("*").alias("located"), F.count_if(F.coalesce("is_corresponding", F.lit(False))).alias("k"))
+    t = entries.drop("pi_index").join(target.select(record, "pi_index"), record).filter("idx = pi_index").groupBy("corpus_id").agg(F.count("*").alias("located"), F.count_if(F.coalesce("is_corresponding", F.lit(False))).alias("k"))
     j = marked.join(t, "corpus_id", "left")
     return j.select("corpus_id", F.coalesce("located", F.lit(0)).alias("located"), F.when(F.col("measured"), F.coalesce("k", F.lit(0))).alias("corresponding"))

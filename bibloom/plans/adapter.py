@@ -18,6 +18,10 @@ from bibloom.runtime import materialise
 LONG = "long"
 
 
+def _rank():
+    return F.when(F.col("l_returnflag") == "R", 4).when(F.col("l_returnflag") == "A", 2).otherwise(1)
+
+
 @dataclass
 class Model:
     """Frames of one data directory; each is built when first asked for."""
@@ -41,12 +45,13 @@ class Model:
     @cached_property
     def entries(self) -> DataFrame:
         line = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_returnflag", "l_linestatus")
-        numbered = corpus.byline(line, "l_orderkey", ("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice"))
         s = self.table("supplier").select("s_suppkey", "s_nationkey").join(self.table("nation").select("n_nationkey", F.col("n_name").alias("affiliation")), F.col("s_nationkey") == F.col("n_nationkey"))
         p = self.papers.select("corpus_id", "record_id", "year", "date_iso")
-        j = numbered.join(p, F.col("l_orderkey") == F.col("record_id")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-        return j.select(
-            "corpus_id", "record_id", "year", "date_iso", "idx", "n", F.col("l_partkey").alias("person"), "affiliation", (F.col("s_nationkey") == F.col("corpus_id")).alias("is_home"), (F.col("l_returnflag") == "A").alias("equal_contrib"), (F.col("l_linestatus") == "F").alias("is_corresponding"), "l_returnflag",
+        # the lines meet their order before they are numbered, so that they are partitioned by it once for all that follows
+        j = line.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_orderkey") == F.col("record_id"))
+        numbered = corpus.byline(j, "record_id", ("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")).withColumn("is_home", F.col("s_nationkey") == F.col("corpus_id"))
+        return corpus.mark_target(numbered, F.when(F.col("is_home"), _rank())).select(
+            "corpus_id", "record_id", "year", "date_iso", "idx", "n", F.col("l_partkey").alias("person"), "affiliation", "is_home", (F.col("l_returnflag") == "A").alias("equal_contrib"), (F.col("l_linestatus") == "F").alias("is_corresponding"), "l_returnflag", "pi_index",
         )
 
     @cached_property
@@ -55,12 +60,11 @@ class Model:
 
     @cached_property
     def target(self) -> DataFrame:
-        rank = F.when(F.col("l_returnflag") == "R", 4).when(F.col("l_returnflag") == "A", 2).otherwise(1)
-        return corpus.resolve_target(self.entries.filter("is_home"), rank)
+        return corpus.resolve_target(self.entries.filter("is_home").drop("pi_index"), _rank())
 
     @cached_property
     def appearances(self) -> DataFrame:
-        return corpus.appearances(self.entries, self.target)
+        return corpus.appearances(self.entries)
 
     @cached_property
     def windows(self) -> DataFrame:

@@ -179,6 +179,20 @@ def test_roles(spark):
     assert [r[0] for r in ids.coalesce(1).select(roles.record_author_ids(F.col("a"), F.col("b"))).collect()] == [["A1", "A2"], []]
 
 
+def test_target_by_window_and_by_aggregate(spark):
+    rnd = random.Random(14)
+    rows = [(r, i, rnd.choice([None, 0, 1, 2, 2, 4])) for r in range(80) for i in range(rnd.randrange(1, 6))]
+    e = spark.createDataFrame(rows, "record_id long, idx long, ev int")
+    want = {}
+    for r, i, v in rows:
+        if v and v > want.get(r, (0, 0))[0]:
+            want[r] = v, i
+    got = {r["record_id"]: r for r in corpus.resolve_target(e, F.col("ev")).collect()}
+    assert {r: (x["pi_evidence"], x["pi_index"]) for r, x in got.items()} == want
+    assert all(x["pi_ambiguous"] == (sum(a == r and v == want[r][0] for a, _, v in rows) > 1) for r, x in got.items())
+    assert {r["record_id"]: r["pi_index"] for r in corpus.mark_target(e, F.col("ev")).collect()} == {r: want[r][1] if r in want else None for r, _, _ in rows}
+
+
 def test_places_in_order(spark):
     rnd = random.Random(13)
     ids = rnd.sample(range(5000), 600)
