@@ -72,8 +72,8 @@ def load_counters(rows: DataFrame) -> DataFrame:
 
 def fill_constant(df: DataFrame, column: str) -> DataFrame:
     """Blank cells of a column filled with its only value, if it has one only: a roster that names its advisor once."""
-    one = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    return df.crossJoin(F.broadcast(one)).withColumn(column, F.coalesce(F.col(column), F.when(F.col("lo") == F.col("hi"), F.col("lo")))).drop("lo", "hi")
+    one = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    return df.withColumn(column, F.coalesce(F.col(column), F.lit(one["lo"]))) if one["lo"] == one["hi"] else df
 
 
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:

@@ -136,3 +136,14 @@ def test_answers(spark, tmp_path):
     kept = signals.load_answers(spark, path, "doi string, citation_count long, n_searched long, source string")
     assert {tuple(r) for r in kept.collect()} == {("1", 3, 5, None), ("2", None, 5, None)} and signals.denominator_mismatch(kept).first()["n_kept"] == 2
     assert signals.load_answers(spark, path + "x", "doi string").count() == 0
+
+
+def test_small_tables(spark):
+    rows = spark.createDataFrame([("a", "x"), (None, "y"), (None, None)], "advisor string, student string")
+    assert [r["advisor"] for r in files.fill_constant(rows, "advisor").collect()] == ["a"] * 3
+    two = rows.unionByName(spark.createDataFrame([("b", "z")], rows.schema))
+    assert sorted(r["advisor"] or "" for r in files.fill_constant(two, "advisor").collect()) == ["", "", "a", "b"]
+    assert files.fill_constant(rows.limit(0), "advisor").count() == 0
+    loaded = spark.createDataFrame([(None, False), (None, True), ("no_title", False), ("no_title", True)], "reject string, duplicate boolean")
+    assert {(r["outcome"], r["n"]) for r in files.load_counters(loaded).collect()} == {("loaded", 1), ("duplicate", 1), ("no_title", 2)}
+    assert [tuple(r) for r in files.worklist_rows(rows, ("advisor", "note")).collect()] == [("a", ""), ("", ""), ("", "")]
