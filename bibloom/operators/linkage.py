@@ -157,18 +157,37 @@ def graduate_groups(rows: DataFrame) -> DataFrame:
     return a.withColumn("flag", F.when((F.col("n_rows") > 1) & (F.col("n_degrees") == F.col("n_rows")), "continuing_student").when(F.col("n_rows") > 1, "same_name_same_degree"))
 
 
+def with_parts(df: DataFrame, name: str, prefix: str) -> DataFrame:
+    """``df`` with the parts of the names in a column, for level()."""
+    t = f"{prefix}_tokens"
+    # a column each: Spark would work out the fields of a struct again wherever they are read
+    return df.withColumn(t, S.latin_tokens(F.col(name))).withColumns({f"{prefix}_{k}": v for k, v in S.name_parts(F.col(name), F.col(t)).items()})
+
+
+def level(a: str, b: str) -> Column:
+    """How the names with the parts ``a`` and ``b`` of with_parts() agree."""
+    parts = lambda p: {k: F.col(f"{p}_{k}") for k in ("script", "han", "tokens", "forms", "firsts", "letters")}
+    return S.level_of(parts(a), parts(b))
+
+
 def name_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """``(corpus_id, left, right, level)``: pairs of names of one corpus that agree at all.
 
     Both have ``corpus_id, name``, distinct. Names that are equal or forms of each other meet by their form (each rotation
-    of the tokens, joined, or the ideographs), which few share; those that may state part of each other by a full word.
+    of the tokens, joined, or the ideographs), which few share. One that may state part of the other meets it by one full
+    word with the first letter of another token: by a word alone all names of a common surname would meet.
     """
-    parts = lambda df, c: df.select("corpus_id", F.col("name").alias(c), S.latin_tokens(F.col("name")).alias("t"), F.nullif(S.han_key(F.col("name")), F.lit("")).alias("h"))
-    form = F.array_distinct(F.concat(F.transform(S.rotations(F.col("t")), lambda x: F.concat(F.lit("l:"), x)), F.array_compact(F.array(F.concat(F.lit("h:"), "h")))))
-    word = F.array_distinct(F.filter("t", lambda x: F.length(x) > 1))
-    meet = lambda k: parts(left, "left").select("corpus_id", "left", F.explode(k).alias("k")).join(parts(right, "right").select("corpus_id", "right", F.explode(k).alias("k")), ["corpus_id", "k"]).select("corpus_id", "left", "right")
-    pairs = meet(form).unionByName(meet(word)).distinct()
-    return pairs.withColumn("level", S.name_level(F.col("left"), F.col("right"))).filter("level is not null and level <> 'undecidable_script'")
+    mark = lambda p, keys: F.transform(keys, lambda x: F.concat(F.lit(p), x))
+
+    def meeting(df: DataFrame, c: str, less: str, more: str) -> DataFrame:
+        named = df.select("corpus_id", F.col("name").alias(c), S.latin_tokens(F.col("name")).alias("t"), F.array_compact(F.array(F.nullif(S.han_key(F.col("name")), F.lit("")))).alias("h"))
+        keys = F.concat(mark("l:", F.array_distinct(S.rotations(F.col("t")))), mark("h:", F.col("h")), mark(less, S.short_keys(F.col("t"))), mark(more, S.long_keys(F.col("t"))))
+        return named.select("corpus_id", c, F.explode(keys).alias("k"))
+
+    pairs = meeting(left, "left", "<", ">").join(meeting(right, "right", ">", "<"), ["corpus_id", "k"]).select("corpus_id", "left", "right").distinct()
+    told = with_parts(with_parts(pairs, "left", "a"), "right", "b").select("corpus_id", "left", "right", level("a", "b").alias("level"))
+    # written before it is filtered: a filter on the level would be pushed into the join, with all parts of names worked out for each of its rows
+    return materialise(told, "names").filter("level is not null and level <> 'undecidable_script'")
 
 
 def reconcile(graduates: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -180,7 +199,8 @@ def reconcile(graduates: DataFrame, people: DataFrame) -> tuple[DataFrame, DataF
     The second has ``(corpus_id, person, standing)`` of every person: claimed, in_review (named by a graduate that isn't
     matched) or people_only.
     """
-    found = materialise(name_candidates(graduates, people), "names")
+    graduates, people = materialise(graduates, "graduates"), materialise(people, "people")
+    found = name_candidates(graduates, people)
     good = F.col("level").isin("exact", "name_form")
     a = found.groupBy("corpus_id", "left").agg(F.count_if(good).alias("n_good"), F.min(F.when(good, F.col("right"))).alias("person"), F.bool_or(F.col("level") == "partial_name").alias("weak"))
     script = S.script_of(F.col("name"))

@@ -1,11 +1,13 @@
 """Edge cases of the operators on hand-made frames."""
 
 import random
+import time
 from statistics import quantiles
 
 import pytest
 from pyspark.sql import functions as F
 
+from bibloom.functions import scalar as S
 from bibloom.operators import cache, cohesion, corpus, diff, impact, linkage, metrics, people, quality, roles, scoring
 
 
@@ -138,6 +140,30 @@ def test_reconcile(spark):
     assert empty[0].count() == 0 and empty[1].count() == 0
 
 
+def test_name_candidates_against_all_pairs(spark):
+    rng = random.Random(5)
+    words = ("wei", "we", "zhou", "w", "z", "ei", "an", "a", "Wei", "Ān", "吴", "weizhou")
+    names = sorted({rng.choice((" ", "-", " ")).join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(260)})
+    df = spark.createDataFrame([(1, x) for x in names], "corpus_id long, name string")
+    got = {(r["left"], r["right"]): r["level"] for r in linkage.name_candidates(df, df).collect()}
+    told = linkage.with_parts(linkage.with_parts(df.withColumnRenamed("name", "x"), "x", "a").crossJoin(df.select(F.col("name").alias("y"))), "y", "b")
+    common = F.exists("a_tokens", lambda t: (F.length(t) > 1) & F.array_contains("b_tokens", t)) | F.arrays_overlap("a_forms", "b_forms") | (F.col("a_han") != "") & (F.col("a_han") == F.col("b_han"))
+    all_ = told.filter(common).select("x", "y", S.name_level(F.col("x"), F.col("y")).alias("plain"), linkage.level("a", "b").alias("by_parts")).collect()
+    assert all(r["plain"] == r["by_parts"] for r in all_)
+    assert got == {(r["x"], r["y"]): r["plain"] for r in all_ if r["plain"] not in (None, "undecidable_script")}
+    assert {"exact", "name_form", "partial_name"} == set(got.values())
+
+
+def test_common_surname_is_not_all_pairs(spark):
+    given = lambda i: "".join("bdfghjklm"[int(c)] + "a" for c in f"{i:04d}")
+    g = spark.range(6000).select(F.lit(1).cast("long").alias("corpus_id"), F.concat(F.lit("Wei "), F.conv(F.col("id") * 7, 10, 25)).alias("name")).withColumn("name", F.translate("name", "0123456789", "qrstuvwxyz"))
+    p = spark.createDataFrame([(1, "Wei " + given(i)) for i in range(6000) if "9" not in str(i)] + [(1, "Wei Q")], "corpus_id long, name string")
+    began = time.time()
+    out, _ = linkage.reconcile(g.distinct(), p)
+    assert out.count() == g.distinct().count()
+    assert time.time() - began < 60
+
+
 def test_merge_and_diff(spark):
     keyed = "corpus_id long, record_id long, keys array<string>"
     a = spark.createDataFrame([(1, 1, ["d:x"]), (1, 2, ["p:1"]), (1, 3, [])], keyed)
