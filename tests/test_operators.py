@@ -161,6 +161,8 @@ def test_common_surname_is_not_all_pairs(spark):
     began = time.time()
     out, standing = linkage.reconcile(g.distinct(), p)
     assert out.count() == g.distinct().count() and standing.count() == p.count()
+    share = linkage.reconcile_shares(out, standing).collect()[0]
+    assert share["graduates"] == g.distinct().count() and share["people_only"] <= p.count()
     assert time.time() - began < 60
 
 
