@@ -158,16 +158,46 @@ def graduate_groups(rows: DataFrame) -> DataFrame:
 
 
 def with_parts(df: DataFrame, name: str, prefix: str) -> DataFrame:
-    """``df`` with the parts of the names in a column, for level()."""
+    """``df`` with the parts of the names in a column, for with_level()."""
     t = f"{prefix}_tokens"
     # a column each: Spark would work out the fields of a struct again wherever they are read
     return df.withColumn(t, S.latin_tokens(F.col(name))).withColumns({f"{prefix}_{k}": v for k, v in S.name_parts(F.col(name), F.col(t)).items()})
 
 
-def level(a: str, b: str) -> Column:
-    """How the names with the parts ``a`` and ``b`` of with_parts() agree."""
+def with_level(df: DataFrame, a: str, b: str, *columns: str) -> DataFrame:
+    """``columns`` of ``df`` and how the names with the parts ``a`` and ``b`` of with_parts() agree, as ``level``."""
     parts = lambda p: {k: F.col(f"{p}_{k}") for k in ("script", "han", "tokens", "forms", "firsts", "letters")}
-    return S.level_of(parts(a), parts(b))
+    x, y = parts(a), parts(b)
+    # rules on arrays are outside generated code: only pairs that need them carry their arrays there
+    carried = [F.when(S.tokens_decide(x, y), p[k]).alias(f"{c}_{k}") for c, p in ((a, x), (b, y)) for k in ("tokens", "forms")]
+    told = df.select(*columns, S.level_by_script(x, y).alias("_level"), *carried)
+    return told.select(*columns, F.when(x["tokens"].isNotNull(), S.level_by_tokens(x, y)).otherwise(F.col("_level")).alias("level"))
+
+
+#: Rows of either side that joined_in_pieces() joins in one piece, about.
+PIECE = 500
+
+
+def joined_in_pieces(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """All pairs of rows with equal keys, where either side may have very many of one; rows have ids ``left`` and ``right``.
+
+    A key with more rows than PIECE on a side is joined in pieces of PIECE by PIECE, each a join key of its own, so that
+    no task makes all pairs of it.
+    """
+    left, right = materialise(left.filter(F.col(keys[0]).isNotNull()), "left"), materialise(right.filter(F.col(keys[0]).isNotNull()), "right")
+    count = lambda df, c: df.groupBy(*keys).agg(F.ceil(F.count("*") / PIECE).cast("int").alias(c))
+    # at most 1 / PIECE of all rows' keys
+    many = materialise(count(left, "p_left").join(count(right, "p_right"), keys).filter("p_left > 1 or p_right > 1"), "pieces")
+
+    def cut(df: DataFrame, c: str, other: str) -> DataFrame:
+        one = F.lit(1)
+        at, of = F.pmod(F.xxhash64(c), F.coalesce(f"p_{c}", one)).cast("int"), F.sequence(F.lit(0), F.coalesce(f"p_{other}", one) - 1)
+        return df.join(many, keys, "left").select(*df.columns, at.alias(f"at_{c}"), F.explode(of).alias(f"at_{other}"))
+
+    # by a given number: partitions would else be put together by their bytes, which say nothing of the pairs they make
+    by, tasks = [*keys, "at_left", "at_right"], 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = cut(left, "left", "right").repartition(tasks, *by).join(cut(right, "right", "left").repartition(tasks, *by).hint("shuffle_hash"), by)
+    return pieces.drop("at_left", "at_right")
 
 
 def name_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -185,9 +215,9 @@ def name_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
         return named.select("corpus_id", c, F.explode(keys).alias("k"))
 
     pairs = meeting(left, "left", "<", ">").join(meeting(right, "right", ">", "<"), ["corpus_id", "k"]).select("corpus_id", "left", "right").distinct()
-    told = with_parts(with_parts(pairs, "left", "a"), "right", "b").select("corpus_id", "left", "right", level("a", "b").alias("level"))
+    told = with_parts(with_parts(pairs, "left", "a"), "right", "b")
     # written before it is filtered: a filter on the level would be pushed into the join, with all parts of names worked out for each of its rows
-    return materialise(told, "names").filter("level is not null and level <> 'undecidable_script'")
+    return materialise(with_level(told, "a", "b", "corpus_id", "left", "right"), "names").filter("level is not null and level <> 'undecidable_script'")
 
 
 def reconcile(graduates: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:

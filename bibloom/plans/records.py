@@ -137,8 +137,10 @@ both_ AS (SELECT work_id, rec_id, w.idx, {X.name_columns('a', 'w.name')}, {X.nam
 def name_compare(m):
     """Byline names of the works against those in the same place of the records with the same DOI: how they agree."""
     side = lambda t, i, c: m.table(t).select(i, C.doi_key(F.col("doi")).alias("d"), F.posexplode(F.split(c, ";")).alias("idx", c))
-    j = side("works", "work_id", "authors_str").join(side("chinese_records", "rec_id", "authors_pinyin_raw"), ["d", "idx"])
-    return j.select("work_id", "rec_id", F.col("idx").cast("long").alias("idx"), S.name_level(F.col("authors_str"), F.col("authors_pinyin_raw")).alias("level"))
+    left = linkage.with_parts(side("works", "work_id", "authors_str"), "authors_str", "a").drop("authors_str")
+    right = linkage.with_parts(side("chinese_records", "rec_id", "authors_pinyin_raw"), "authors_pinyin_raw", "b").drop("authors_pinyin_raw")
+    j = linkage.joined_in_pieces(left.withColumnRenamed("work_id", "left"), right.withColumnRenamed("rec_id", "right"), ["d", "idx"])
+    return linkage.with_level(j, "a", "b", "left", "right", "idx").select(F.col("left").alias("work_id"), F.col("right").alias("rec_id"), F.col("idx").cast("long").alias("idx"), "level")
 
 
 _NAMES = f"""WITH g0 AS (SELECT DISTINCT publication_year::bigint AS corpus_id, trim(unnest(string_split(authors_str, ';'))) AS name FROM works), p0 AS (SELECT DISTINCT pub_year::bigint AS corpus_id, trim(unnest(string_split(authors_pinyin_raw, ';'))) AS name FROM chinese_records),

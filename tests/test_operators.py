@@ -148,12 +148,21 @@ def test_name_candidates_against_all_pairs(spark):
     got = {(r["left"], r["right"]): r["level"] for r in linkage.name_candidates(df, df).collect()}
     told = linkage.with_parts(linkage.with_parts(df.withColumnRenamed("name", "x"), "x", "a").crossJoin(df.select(F.col("name").alias("y"))), "y", "b")
     common = F.exists("a_tokens", lambda t: (F.length(t) > 1) & F.array_contains("b_tokens", t)) | F.arrays_overlap("a_forms", "b_forms") | (F.col("a_han") != "") & (F.col("a_han") == F.col("b_han"))
-    all_ = told.filter(common).select("x", "y", S.name_level(F.col("x"), F.col("y")).alias("plain"), linkage.level("a", "b").alias("by_parts")).collect()
+    plain = told.filter(common).withColumn("plain", S.name_level(F.col("x"), F.col("y")))
+    all_ = linkage.with_level(plain, "a", "b", "x", "y", "plain").withColumnRenamed("level", "by_parts").collect()
     assert all(r["plain"] == r["by_parts"] for r in all_)
     assert got == {(r["x"], r["y"]): r["plain"] for r in all_ if r["plain"] not in (None, "undecidable_script")}
     assert {"exact", "name_form", "partial_name"} == set(got.values())
 
 
+def test_pieces_of_a_common_key(spark):
+    rows = lambda n, c: spark.range(n).select(F.col("id").alias(c), F.when(F.col("id") % 20 < 18, "common").when(F.col("id") % 20 == 18, F.col("id").cast("string")).alias("d"), (F.col("id") % 2).alias("idx"))
+    left, right = rows(1700, "left"), rows(2900, "right")
+    j = linkage.joined_in_pieces(left, right, ["d", "idx"]).withColumn("piece", F.spark_partition_id())
+    assert j.select("left", "right").distinct().count() == j.count() == left.join(right, ["d", "idx"]).count()
+    assert len({r["piece"] for r in j.filter("d = 'common'").select("piece").distinct().collect()}) > 2
+
+
 def test_common_surname_is_not_all_pairs(spark):
     given = lambda i: "".join("bdfghjklm"[int(c)] + "a" for c in f"{i:04d}")
     g = spark.range(6000).select(F.lit(1).cast("long").alias("corpus_id"), F.concat(F.lit("Wei "), F.conv(F.col("id") * 7, 10, 25)).alias("name")).withColumn("name", F.translate("name", "0123456789", "qrstuvwxyz"))
