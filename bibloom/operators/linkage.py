@@ -207,17 +207,26 @@ def name_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     of the tokens, joined, or the ideographs), which few share. One that may state part of the other meets it by one full
     word with the first letter of another token: by a word alone all names of a common surname would meet.
     """
-    mark = lambda p, keys: F.transform(keys, lambda x: F.concat(F.lit(p), x))
+    t, w, i, none = F.col("t"), F.col("w"), F.col("i"), F.array().cast("array<string>")
+    rotated = F.array_join(F.concat(F.slice(t, i + 1, F.size(t)), F.slice(t, F.lit(1), i)), "")
 
     def meeting(df: DataFrame, c: str, less: str, more: str) -> DataFrame:
-        named = df.select("corpus_id", F.col("name").alias(c), S.latin_tokens(F.col("name")).alias("t"), F.array_compact(F.array(F.nullif(S.han_key(F.col("name")), F.lit("")))).alias("h"))
-        keys = F.concat(mark("l:", F.array_distinct(S.rotations(F.col("t")))), mark("h:", F.col("h")), mark(less, S.short_keys(F.col("t"))), mark(more, S.long_keys(F.col("t"))))
-        return named.select("corpus_id", c, F.explode(keys).alias("k"))
-
-    pairs = meeting(left, "left", "<", ">").join(meeting(right, "right", ">", "<"), ["corpus_id", "k"]).select("corpus_id", "left", "right").distinct()
-    told = with_parts(with_parts(pairs, "left", "a"), "right", "b")
-    # written before it is filtered: a filter on the level would be pushed into the join, with all parts of names worked out for each of its rows
-    return materialise(with_level(told, "a", "b", "corpus_id", "left", "right"), "names").filter("level is not null and level <> 'undecidable_script'")
+        named = df.select("corpus_id", F.col("name").alias(c), S.latin_tokens(F.col("name")).alias("t"), F.nullif(S.han_key(F.col("name")), F.lit("")).alias("h"))
+        each = named.withColumn("at", S.longest_word(t)).select("*", F.posexplode_outer("t").alias("i", "w"))
+        # a row for each token: outside of lambdas, and of explode(), its keys are made by generated code
+        keys = F.concat(
+            F.when(w.isNotNull(), F.array(F.concat(F.lit("l:"), rotated))).otherwise(none), F.when(F.coalesce(i, F.lit(0)) == 0, F.array(F.concat(F.lit("h:"), "h"))).otherwise(none),
+            F.when(i == F.col("at"), F.array(F.concat(F.lit(less), S.short_key(t, w, i)))).otherwise(none), F.when((F.length(w) > 1) & (F.size(t) > 1), S.long_keys(t, w, i, more)).otherwise(none),
+        )
+        # a number is sorted faster than text; names that meet since their keys have one number are told apart by the level
+        return each.select("corpus_id", c, keys.alias("keys")).select("corpus_id", c, F.explode_outer("keys").alias("k")).filter("k is not null").select("corpus_id", c, F.xxhash64("corpus_id", "k").alias("k"))
+
+    x, y = meeting(left, "left", "<", ">"), meeting(right, "right", ">", "<")
+    pairs = x.join(y, ["k", "corpus_id"]).select("corpus_id", "left", "right").distinct()
+    parts = lambda c, t, script: {"script": F.col(script), "han": S.han_key(F.col(c)), "tokens": F.col(t), "forms": S.rotations(F.col(t))}
+    told = pairs.withColumns({f"{p}_tokens": S.latin_tokens(F.col(c)) for p, c in (("a", "left"), ("b", "right"))} | {f"{p}_script": S.script_of(F.col(c)) for p, c in (("a", "left"), ("b", "right"))})
+    # written before it is filtered: a filter on the level would be pushed into the join, and worked out for each of its rows
+    return materialise(told.select("corpus_id", "left", "right", S.level_by_parts(parts("left", "a_tokens", "a_script"), parts("right", "b_tokens", "b_script")).alias("level")), "names").filter("level is not null and level <> 'undecidable_script'")
 
 
 def reconcile(graduates: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:

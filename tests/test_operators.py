@@ -175,6 +175,19 @@ def test_common_surname_is_not_all_pairs(spark):
     assert time.time() - began < 60
 
 
+def test_keys_of_names_are_made_once_and_meet_by_number(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(linkage, "materialise", lambda df, tag: plans.setdefault(tag, df))
+    df = spark.createDataFrame([(1, "Wei Zhou"), (1, "Zhou W"), (2, "Zhou Wei"), (2, "Wei"), (2, "Wei Zhou Min"), (3, "Wei Zhou")], "corpus_id long, name string")
+    got = {(r["corpus_id"], r["left"], r["right"]): r["level"] for r in linkage.name_candidates(df.filter("corpus_id < 3"), df).collect()}
+    assert {k[1:]: v for k, v in got.items() if k[0] == 1 and k[1] != k[2]} == {("Wei Zhou", "Zhou W"): "partial_name", ("Zhou W", "Wei Zhou"): "partial_name"}
+    assert len(got) == 13 and {k[0] for k in got} == {1, 2}
+    steps = plans["names"]._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    made = [x for x in steps if "Generate" in x or "Filter" in x]
+    assert made and not any("lambdafunction" in x for x in made)  # else all keys of a name are worked out twice, and without generated code
+    assert all("xxhash64" in x for x in steps if "AS k#" in x)
+
+
 def test_merge_and_diff(spark):
     keyed = "corpus_id long, record_id long, keys array<string>"
     a = spark.createDataFrame([(1, 1, ["d:x"]), (1, 2, ["p:1"]), (1, 3, [])], keyed)
