@@ -251,10 +251,11 @@ def reconcile(graduates: DataFrame, people: DataFrame) -> tuple[DataFrame, DataF
     g = g.withColumn("outcome", outcome).withColumn("person", F.when(F.col("outcome") == "matched", F.col("person")))
     claims = g.filter("person is not null").groupBy("corpus_id", "person").agg(F.count("*").alias("claims"))
     out = materialise(g.join(claims, ["corpus_id", "person"], "left").select("corpus_id", "graduate", F.when(F.col("claims") > 1, "contested").otherwise(F.col("outcome")).alias("outcome"), "person"), "outcomes")
-    claimed = out.filter("outcome = 'matched'").select("corpus_id", "person").withColumn("claimed", F.lit(True))
-    review = found.withColumnRenamed("left", "graduate").join(out.filter(F.col("outcome").isin("ambiguous", "partial_name", "contested")).select("corpus_id", "graduate"), ["corpus_id", "graduate"]).select("corpus_id", F.col("right").alias("person")).distinct().withColumn("review", F.lit(True))
-    standing = F.when(F.col("claimed"), "claimed").when(F.col("review"), "in_review").otherwise("people_only")
-    p = people.select("corpus_id", F.col("name").alias("person")).join(claimed, ["corpus_id", "person"], "left").join(review, ["corpus_id", "person"], "left")
+    claimed = out.filter("outcome = 'matched'").select("corpus_id", "person", F.lit(True).alias("claimed"))
+    review = found.withColumnRenamed("left", "graduate").join(out.filter(F.col("outcome").isin("ambiguous", "partial_name", "contested")).select("corpus_id", "graduate"), ["corpus_id", "graduate"]).select("corpus_id", F.col("right").alias("person"), F.lit(False).alias("claimed"))
+    named = claimed.unionByName(review).groupBy("corpus_id", "person").agg(F.bool_or("claimed").alias("claimed"))
+    standing = F.when(F.col("claimed"), "claimed").when(~F.col("claimed"), "in_review").otherwise("people_only")
+    p = people.select("corpus_id", F.col("name").alias("person")).join(named, ["corpus_id", "person"], "left")
     return out, p.select("corpus_id", "person", standing.alias("standing"))
 
 

@@ -188,6 +188,14 @@ def test_keys_of_names_are_made_once_and_meet_by_number(spark, monkeypatch):
     assert all("xxhash64" in x for x in steps if "AS k#" in x)
 
 
+def test_standing_meets_people_once(spark):
+    of = lambda *names: spark.createDataFrame([(1, x) for x in names], "corpus_id long, name string")
+    # Li Wen is claimed and named by a graduate in review as well
+    _, standing = linkage.reconcile(of("Li Wen", "Li W", "Ma Bo"), of("Li Wen", "Ma Bo", "Bo Ma", "Xu"))
+    assert {r["person"]: r["standing"] for r in standing.collect()} == {"Li Wen": "claimed", "Ma Bo": "in_review", "Bo Ma": "in_review", "Xu": "people_only"}
+    assert standing._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
 def test_merge_and_diff(spark):
     keyed = "corpus_id long, record_id long, keys array<string>"
     a = spark.createDataFrame([(1, 1, ["d:x"]), (1, 2, ["p:1"]), (1, 3, [])], keyed)
